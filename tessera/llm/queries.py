@@ -20,18 +20,54 @@ def op1_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2(F.col("media"), 256).alias("media_sha256"), feature.alias("feature"))
 
 
+def op3_quality_convnet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .convnet import fitted, quality_scores
+
+    docs = documents(spark, sf_dir)
+    net = fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    d = quality_scores(docs.select("doc_id", "text"), net, keep=["doc_id"])
+    return d.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .weakrules import rule_report
 
     return rule_report(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
 
 
+def op5_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir), words=3, percent=85)
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import dictionaries, identify
+
+    docs = documents(spark, sf_dir)
+    content = dictionaries(docs.where(fold("doc_id", 5) != 0))
+    d = identify(docs.select("doc_id", "text"), content, keep=["doc_id"])
+    return d.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sourcemix import mix
 
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import KINDS, fitted, personal_data
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    d = personal_data(docs, fitted(docs), keep=["doc_id"])
+    base = F.filter("pii", lambda s: s["pattern"])
+    kinds = F.transform(base, lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return d.select("doc_id", *counts, F.sha2(said(base), 256).alias("base_sha256"), said(F.col("pii")).alias("spans"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokens import token_table, vocabulary_file
 
@@ -45,6 +81,6 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), vocabulary_file("byte_bpe_50k.json"), 1024, 2, "leading")
 
 
-QUERIES = {f.__name__: f for f in (op1_audio_features, op4_quality_rules, op7_source_mix, op9_token_files, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_audio_features, op3_quality_convnet, op4_quality_rules, op5_superminhash, op6_language_id, op7_source_mix, op8_personal_data, op9_token_files, op10_best_fit_packing)}
 ORACLE: dict[str, str] = {}
 __all__ = ["ORACLE", "QUERIES", "fold"]

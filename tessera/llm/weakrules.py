@@ -15,8 +15,8 @@ from .common import stored, texts_of, with_arrow
 
 SYMBOLS = "#*$%&|<>"
 ABSTAIN, GOOD, BAD = 0, 1, 2
-#: The rules in the order of a vote pattern's base-3 digits.
-RULES = ("symbols", "capitals", "exclaims", "short_words", "word_length", "same_lines", "repeats", "letters", "variety", "sentences")
+#: The rules in the order of a vote pattern's base-3 digits. Those that look for a defect abstain when there is none.
+RULES = ("symbols", "capitals", "exclaims", "short_words", "word_length", "same_lines", "repeats", "letters", "lone_symbols", "sentences")
 MEASURES = T.StructType([
     *[T.StructField(x, T.LongType()) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "votes")],
 ])
@@ -37,7 +37,7 @@ def repeated_words(words: list[bytes]) -> int:
     return hit
 
 
-def side(value: float, good: bool, bad: bool) -> int:
+def side(good: bool, bad: bool) -> int:
     return GOOD if good else BAD if bad else ABSTAIN
 
 
@@ -57,24 +57,25 @@ def measure(text: str) -> tuple[int, ...]:
     letters = upper + lower + len(raw) - len(text)
     caps, short = upper / max(1, upper + lower), sum(len(w) <= 3 for w in words) / n
     ends = sum(x.rstrip(b" \t\v\f\r").endswith((b".", b"!", b"?", b":", b";")) for x in lines) / len(lines)
-    mean, kinds = chars / n, len(set(words)) / n
+    mean, lone = chars / n, sum(w in LONE for w in words)
     votes = (
-        side(0, symbols < 0.02 * n, symbols > 0.1 * n),
-        side(0, caps < 0.2, caps > 0.5),
-        side(0, raw.count(b"!") < 0.02 * n, raw.count(b"!!") > 0.1 * n),
-        side(0, 0.15 <= short <= 0.7, short < 0.05 or short > 0.85),
-        side(0, 3 <= mean <= 10, mean < 2 or mean > 15),
-        side(0, same == 0 and len(lines) > 2, same > 0.3 * len(lines)),
-        side(0, again < 0.1 * n, again > 0.3 * n),
-        side(0, letters > 0.85 * chars, letters < 0.7 * chars),
-        side(0, kinds > 0.3, kinds < 0.15 and n > 100),
-        side(0, ends > 0.8, ends < 0.1 and len(lines) > 3),
+        side(False, symbols > 0.1 * n),
+        side(False, caps > 0.5),
+        side(False, raw.count(b"!!") > 0.1 * n),
+        side(0.15 <= short <= 0.7, short < 0.05 or short > 0.85),
+        side(3 <= mean <= 10, mean < 2 or mean > 15),
+        side(False, same > 0.3 * len(lines)),
+        side(False, again > 0.3 * n),
+        side(letters > 0.85 * chars, letters < 0.7 * chars),
+        side(False, lone > 0.1 * n),
+        side(ends > 0.8, ends < 0.1 and len(lines) > 3),
     )
     return n, chars, symbols, same, again, sum(v * 3**i for i, v in enumerate(votes))
 
 
 UPPER = [bytes([c]) for c in range(65, 91)]
 LOWER = [bytes([c]) for c in range(97, 123)]
+LONE = frozenset(bytes([c]) for c in range(33, 127) if not chr(c).isalnum())
 
 
 def measured(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -117,29 +118,31 @@ class Supervisor:
         return out
 
 
-def fit(votes: DataFrame, rounds: int = 50, strength: float = 20.0) -> Supervisor:
+def fit(votes: DataFrame, rounds: int = 50, least: float = 20.0, pull: float = 0.05) -> Supervisor:
     """EM over all documents that have words. Only counts of vote patterns reach the driver: 3**len(RULES) rows at most.
 
-    ``strength`` pseudo-documents vote rightly with 0.8; they fix which side is called good. No documents: these alone.
+    Each class starts from, and is drawn to by pseudo-documents (``pull`` of all, ``least`` or more), what rules are
+    made for: one kind of defect each, so a good document seldom gets a bad vote, while a bad one gets a few and many
+    good votes. That also fixes which class is the good one. No documents: these alone.
     """
     patterns = votes.where("n_words > 0").groupBy("votes").agg(F.count(F.lit(1)).alias("n")).orderBy("votes").collect()
     code = np.array([r["votes"] for r in patterns], dtype=np.int64)
     n = np.array([r["n"] for r in patterns], dtype=float)
     digit = np.stack([(code // 3**i) % 3 for i in range(len(RULES))], 1) if len(code) else np.zeros((0, len(RULES)), int)
     one = np.eye(3)[digit]
-    guess = np.array([0.3, 0.56, 0.14])
-    good, bad, prior = np.tile(guess, (len(RULES), 1)), np.tile(guess[[0, 2, 1]], (len(RULES), 1)), 0.8
-    pull_good, pull_bad = strength * good, strength * bad
+    strength = max(least, pull * float(n.sum()))
+    start_good, start_bad = np.tile([0.18, 0.8, 0.02], (len(RULES), 1)), np.tile([0.1, 0.6, 0.3], (len(RULES), 1))
+    good, bad, prior = start_good, start_bad, 0.85
     for _ in range(rounds):
         # an abstention says nothing about quality, so it has no weight
         ratio = np.log(good / bad)
         ratio[:, ABSTAIN] = 0
         logit = np.log(prior / (1 - prior)) + np.einsum("pij,ij->p", one, ratio)
         q = 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
-        good = np.einsum("p,pij->ij", n * q, one) + pull_good
-        bad = np.einsum("p,pij->ij", n * (1 - q), one) + pull_bad
+        good = np.einsum("p,pij->ij", n * q, one) + strength * start_good
+        bad = np.einsum("p,pij->ij", n * (1 - q), one) + strength * start_bad
         good, bad = good / good.sum(1, keepdims=True), bad / bad.sum(1, keepdims=True)
-        prior = float(np.clip((float(n @ q) + 0.8 * strength) / (n.sum() + strength), 1e-4, 1 - 1e-4))
+        prior = float((n @ q + 0.85 * strength) / (n.sum() + strength))
     return Supervisor(prior, good, bad)
 
 
