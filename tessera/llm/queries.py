@@ -20,6 +20,15 @@ def op1_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2(F.col("media"), 256).alias("media_sha256"), feature.alias("feature"))
 
 
+def op2_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing_lm import learn, scores
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = learn(docs.where(fold("doc_id", 7) != 2))
+    d = scores(docs, model, keep=["doc_id"])
+    return d.select("doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op3_quality_convnet(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .convnet import fitted, quality_scores
 
@@ -81,6 +90,6 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), vocabulary_file("byte_bpe_50k.json"), 1024, 2, "leading")
 
 
-QUERIES = {f.__name__: f for f in (op1_audio_features, op3_quality_convnet, op4_quality_rules, op5_superminhash, op6_language_id, op7_source_mix, op8_personal_data, op9_token_files, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_audio_features, op2_context_mixing, op3_quality_convnet, op4_quality_rules, op5_superminhash, op6_language_id, op7_source_mix, op8_personal_data, op9_token_files, op10_best_fit_packing)}
 ORACLE: dict[str, str] = {}
 __all__ = ["ORACLE", "QUERIES", "fold"]

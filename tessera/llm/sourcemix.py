@@ -87,3 +87,21 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3
     whole = rows.where(F.col("low").isNull() | (F.col("at") < F.col("low")) | (F.col("at") >= F.col("low") + width)).select(*names, (F.col("epochs") * F.col("size") + sure).cast("long").alias("taken"))
     cut = last.withColumn("part", part).join(targets.withColumnRenamed("source", "ts"), F.col("source").eqNullSafe(F.col("ts"))).select(*names, (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken"))
     return whole.unionByName(cut)
+
+
+def take_mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0, share: float = 1.0, seed: str = "mix") -> DataFrame:
+    """The mix itself: ``docs`` (doc_id, source, text and others) with each row as often as mix() takes it.
+
+    The row in which a budget ends comes once more with its first words only, joined by spaces; ``n_chars``, where there
+    is one, is counted again there. Rows that are not taken, such as those without words, go.
+    """
+    columns = docs.columns
+    packed = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row_"))
+    m = mix(packed, weights, most, share, seed, keep=("row_",)).where("taken > 0")
+    m = m.withColumn("copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
+    rest = F.col("taken") - (F.col("copy") - 1) * F.col("size")
+    words = F.regexp_extract_all("row_.text", F.lit(f"({WORD})"))
+    text = F.when(rest >= F.col("size"), F.col("row_.text")).otherwise(F.array_join(F.slice(words, F.lit(1), rest.cast("int")), " "))
+    m = m.withColumns({"text_": text, "cut_": rest < F.col("size")})
+    chars = lambda c: F.when(F.col("cut_"), F.length("text_").cast(docs.schema[c].dataType)).otherwise(F.col(f"row_.{c}"))
+    return m.select(*[F.col("text_").alias(c) if c == "text" else chars(c).alias(c) if c == "n_chars" else F.col(f"row_.`{c}`").alias(c) for c in columns])
