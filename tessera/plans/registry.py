@@ -32,7 +32,7 @@ def load() -> None:
         importlib.import_module(f"tessera.plans.{name}")
 
 
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("metrics",)
 
 
 def queries() -> dict[str, Query]:
