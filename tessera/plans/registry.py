@@ -32,7 +32,7 @@ def load() -> None:
         importlib.import_module(f"tessera.plans.{name}")
 
 
-MODULES: tuple[str, ...] = ("metrics", "queues")
+MODULES: tuple[str, ...] = ("metrics", "queues", "pages")
 
 
 def queries() -> dict[str, Query]:
