@@ -91,5 +91,19 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_audio_features, op2_context_mixing, op3_quality_convnet, op4_quality_rules, op5_superminhash, op6_language_id, op7_source_mix, op8_personal_data, op9_token_files, op10_best_fit_packing)}
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op7_source_mix": r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    CASE WHEN length(text) > 0 THEN CAST(0.5 AS DOUBLE) + greatest(CAST(0 AS DOUBLE), CAST(1 AS DOUBLE) - CAST(10 AS DOUBLE) * (length(text) - length(translate(text, '#*$%&|<>!', ''))) / length(text)) ELSE CAST(0.5 AS DOUBLE) END AS quality,
+    (CAST(CAST('0x' || substr(md5('mix' || doc_id), 1, 12) AS BIGINT) AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(281474976710656 AS DOUBLE) AS u FROM documents),
+  s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) AS place FROM d GROUP BY source),
+  w AS (SELECT *, CAST((place - 1) % 3 + 1 AS DOUBLE) AS w, CAST(3 AS DOUBLE) * source_size AS most FROM s),
+  l AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(most) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level FROM w WINDOW b AS (ORDER BY most / w, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  c AS (SELECT arg_min(level, (most / w, place)) FILTER (most / w > level) AS common FROM l),
+  t AS (SELECT source, source_size, CASE WHEN common IS NULL THEN most ELSE least(most, common * w) END AS target FROM l, c),
+  e AS (SELECT *, CAST(CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS BIGINT) AS epochs FROM t),
+  r AS (SELECT d.doc_id, d.size, e.source_size, e.target, e.epochs, CAST(floor(e.target) AS BIGINT) - e.epochs * e.source_size AS rest,
+    CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY -ln(u) / quality, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken FROM r""",
+}
 __all__ = ["ORACLE", "QUERIES", "fold"]
