@@ -34,7 +34,8 @@ def points(rules: list[tuple[int, Column, str]]) -> tuple[Column, Column]:
 
 def hard_filter(signals: DataFrame) -> DataFrame:
     """Append ``reject_reason``, the first reason against a page, or null."""
-    hay = F.lower(F.concat_ws(" ", "title", "text_sample"))
+    # a column of its own, so that it is made once for all markers
+    signals, hay, columns = signals.withColumn("_hay", F.lower(F.concat_ws(" ", "title", "text_sample"))), F.col("_hay"), signals.columns
     words, images = F.coalesce("word_count", F.lit(0)), F.coalesce("img_count", F.lit(0))
     corporate = F.coalesce(*[F.when(hay.contains(m), f"corporate:{m}") for m in CORPORATE_MARKERS])
     foreign = F.coalesce(*[F.when(F.col("text_sample").rlike(p), f"non-us:{k}") for k, p in FOREIGN])
@@ -43,7 +44,7 @@ def hard_filter(signals: DataFrame) -> DataFrame:
         F.when((words < 40) & (images < 3), "empty-page"), F.when(hay.rlike(PARKED), "parked-domain"),
         F.when(hay.rlike(PLACEHOLDER) & (words < 150), "placeholder-site"), F.when(~F.coalesce("us_hint", F.lit(False)), foreign),
     )
-    return signals.withColumn("reject_reason", reason)
+    return signals.withColumn("reject_reason", reason).select(*columns, "reject_reason")
 
 
 def weighted(dims: dict[str, Column]) -> Column:

@@ -21,6 +21,7 @@ def page_scan(pages: DataFrame, most: int = 900_000) -> DataFrame:
 def extract_signals(pages: DataFrame) -> DataFrame:
     """Append the text, metadata and flags of each page (page_id, url, html)."""
     p = pages.withColumn("clean", mk.stripped(F.col("html"))).withColumn("text", mk.visible(F.col("html")))
+    p = p.withColumns({"low_text": F.lower("text"), "low_clean": F.lower("clean")})
     clean, text, html = F.col("clean"), F.col("text"), F.col("html")
     prices = F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"\$\s?(\d{1,3}(?:,\d{3})*(?:\.\d{2})?)"), 1), lambda x: F.replace(x, F.lit(","), F.lit("")).cast("double")), lambda v: (v > 0) & (v < 100000))
     years = F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"(?i)(?:©|copyright)\s*(?:\d{4}\s*[-–]\s*)?(\d{4})"), 1), lambda y: y.cast("int")), lambda y: (y >= 2000) & (y <= 2100))
@@ -29,12 +30,12 @@ def extract_signals(pages: DataFrame) -> DataFrame:
         "platform": mk.platform(html, clean), "has_viewport": clean.rlike(r"(?i)<meta[^>]+name\s*=\s*[\"']viewport[\"']"),
         "text_len": F.length(text).cast("long"), "word_count": F.regexp_count(text, F.lit(r"\S+")).cast("long"), "text_sample": F.substring(text, 1, 3000),
         "prices": F.array_sort(F.slice(prices, 1, 301)), "copyright_year": F.array_max(years),
-        "add_to_cart_hits": F.regexp_count(F.lower(clean), F.lit("add to cart|add to bag|buy now|shop now")).cast("long"),
-        "has_cart": clean.rlike("(?i)/cart|shopping-cart|cart-count|cart-drawer"),
+        "add_to_cart_hits": F.regexp_count("low_clean", F.lit("add to cart|add to bag|buy now|shop now")).cast("long"),
+        "has_cart": F.col("low_clean").rlike("/cart|shopping-cart|cart-count|cart-drawer"),
         "img_count": F.regexp_count(clean, F.lit(r"(?i)<img\b[^>]*>")).cast("long"),
-        **{k: text.rlike(f"(?i){v}") for k, v in CONTENT_FLAGS.items()}, **{k: clean.rlike(f"(?i){v}") for k, v in HTML_FLAGS.items()},
+        **{k: F.col("low_text").rlike(v) for k, v in CONTENT_FLAGS.items()}, **{k: F.col("low_clean").rlike(v) for k, v in HTML_FLAGS.items()},
         "us_hint": mk.us_hint(text), "content_hash": content_hash("html"),
-    })
+    }).drop("low_text", "low_clean")
 
 
 def content_hash(column: str):
