@@ -16,8 +16,6 @@ from .common import bytes_of, steps, stored, with_arrow
 BANDS, ROWS = 38, 5
 #: Shingles handled together; a larger set is handled in parts, whose slot minima are the set's.
 TOGETHER = 60_000
-#: Members of a bucket's smaller components that are compared with the rest of the bucket in a round.
-PIVOTS = 16
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 SET = T.StructType([T.StructField("n_shingles", T.LongType()), T.StructField("same", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
@@ -134,30 +132,37 @@ def shingled(docs: DataFrame, words: int, percent: int, text: str = "text", keep
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Which pairs (a, b) are at the similarity or above, on the full shingle sets of their texts (id, text)."""
+    """Pairs (a, b) compared on the full shingle sets of their texts (id, text).
+
+    ``linked``: whether they are at the similarity or above; ``size_a``, ``size_b``: of the sets; ``edits``: hashes of the
+    shingles that only one of them has.
+    """
 
     def run(batches):
+        import xxhash
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        schema = to_arrow_schema(LINK)
+        schema = to_arrow_schema(COMPARED)
         last, held = None, set()
         for batch in (b for x in batches for b in steps(x, "text_a")):
-            links = []
+            rows: list[list] = [[] for _ in COMPARED]
             for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b")), bytes_of(batch, "text_a"), bytes_of(batch, "text_b"), strict=True):
                 if b != last:
                     last, held = b, shingle_set(y, words)
                 own = shingle_set(x, words)
                 both = len(own & held)
-                if 100 * both >= percent * (len(own) + len(held) - both):
-                    links.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], schema=schema)
+                linked = 100 * both >= percent * (len(own) + len(held) - both)
+                edits = np.fromiter((xxhash.xxh3_64_intdigest(b" ".join(s)) for s in own ^ held), np.uint64, len(own) + len(held) - 2 * both).view(np.int64)
+                for c, v in zip(rows, (a, b, linked, len(own), len(held), edits), strict=True):
+                    c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
 
     one = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     two = one.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    return two.select("a", "b", "text_a", "text_b").mapInArrow(run, LINK)
+    return two.select("a", "b", "text_a", "text_b").mapInArrow(run, COMPARED)
 
 
-LINK = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+COMPARED = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("linked", T.BooleanType()), T.StructField("size_a", T.LongType()), T.StructField("size_b", T.LongType()), T.StructField("edits", T.ArrayType(T.LongType()))])
 
 
 def union_find(links: DataFrame) -> DataFrame:
@@ -188,46 +193,48 @@ def union_find(links: DataFrame) -> DataFrame:
     return rest.unionByName(rest.select(F.col("component").alias("node"), "component").distinct())
 
 
-def sizes_near(a: str, b: str, percent: int):
-    """Sets can't be as similar when the sizes are further apart than this."""
-    return (100 * F.col(a) >= percent * F.col(b)) & (100 * F.col(b) >= percent * F.col(a))
+def edit_candidates(compared: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of one hub that may be linked though one of them isn't linked with the hub.
+
+    ``compared``: members (a) with their hub (b). Two sets x, y with edits X, Y against the hub p differ in X xor Y, and
+    are linked when that has at most c(|x| + |y|) elements, c = (100 - percent) / (100 + percent). If x is not linked with
+    p, |X| > c(|x| + |p|), so x and y share more than (|Y| + c(|p| - |y|)) / 2 edits, and at least (|X| - c(|x| + |p|)) / (1 + c).
+    Sets that share o elements also share one among their first size - o + 1 in any common order; the order here is by
+    how many members have an edit, rarest first. So members with edits of their own don't meet, however many they are.
+    """
+    c = (100 - percent) / (100 + percent)
+    m = compared.withColumn("n", F.size("edits"))
+    share_y = F.greatest(F.lit(1), F.ceil((F.col("n") + c * (F.col("size_b") - F.col("size_a"))) / 2 - 1e-6))
+    share_x = F.greatest(F.lit(1), F.ceil((F.col("n") - c * (F.col("size_a") + F.col("size_b"))) / (1 + c) - 1e-6))
+    m = m.select("a", "b", "linked", (F.col("n") - share_y + 1).alias("as_y"), (F.col("n") - share_x + 1).alias("as_x"), "edits")
+    every = m.select("a", "b", "linked", "as_y", "as_x", F.explode("edits").alias("edit"))
+    often = every.groupBy("b", "edit").agg(F.count(F.lit(1)).alias("often"))
+    ranked = every.join(often, ["b", "edit"]).groupBy("a", "b", "linked", "as_y", "as_x").agg(F.array_sort(F.collect_list(F.struct("often", "edit"))).alias("ranked"))
+    first = stored(ranked.select("a", "b", "linked", "as_y", "as_x", F.posexplode("ranked").alias("at", "r")).where("r.often > 1").select("a", "b", "at", F.col("r.edit").alias("edit"), (F.col("at") < F.col("as_y")).alias("is_y"), (~F.col("linked") & (F.col("at") < F.col("as_x"))).alias("is_x")), "prefixes")
+    x = first.where("is_x").select("b", "edit", F.col("a").alias("x"))
+    y = first.where("is_y").select("b", "edit", F.col("a").alias("y"))
+    met = x.join(y, ["b", "edit"]).where("x <> y")
+    return met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
 def class_links(classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(node, component) of the class representatives that are near another one.
 
-    ``classes``: rep, n_shingles, bands. A bucket's members are first compared with its smallest member. Then, as long
-    as a bucket holds several components, members of all but its largest are compared with all others of the bucket
-    and leave it, so every pair of a bucket is compared or lies in one component. No bucket is cut or dropped.
+    ``classes``: rep, n_shingles, bands. A bucket's members are compared with its hub, the one that meets most others in
+    buckets. Two members that are both linked with it are in one component; any other pair of a bucket that may be
+    linked is among edit_candidates(), and is compared too. No bucket is cut or dropped.
     """
-    near = classes.where("bands is not null").select("rep", "n_shingles", F.explode("bands").alias("key"))
-    hubs = near.groupBy("key").agg(F.min(F.struct("rep", "n_shingles")).alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", F.col("hub.rep").alias("hub"), F.col("hub.n_shingles").alias("hub_n"))
-    live = stored(near.join(hubs, "key"), "buckets")
-    members = live.select(F.col("rep").alias("id")).distinct()
-    texts = stored(docs.select(F.col("doc_id").alias("id"), "text").join(members, "id", "left_semi").dropDuplicates(["id"]), "texts")
-    pairs = stored(live.where((F.col("rep") != F.col("hub")) & sizes_near("n_shingles", "hub_n", percent)).select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
-    links = stored(verified(pairs, texts, words, percent), "verified")
-    live, tested = live.where("rep != hub").select("key", "rep", "n_shingles"), pairs
-    while True:
-        groups = stored(union_find(links), "components")
-        named = live.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed_ = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
-        named = stored(named.join(mixed_, "key", "left_semi"), "mixed")
-        if named.isEmpty():
-            return groups
-        parts = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
-        largest = parts.groupBy("key").agg(F.max(F.struct("size", "component")).alias("top")).select("key", F.col("top.component").alias("top"))
-        outside = named.join(largest, "key").where("component != top")
-        # of each such component, the smallest member of each of PIVOTS hash slots
-        slot = F.pmod(F.xxhash64("rep"), F.lit(PIVOTS))
-        chosen = outside.groupBy("key", "component", slot.alias("slot")).agg(F.min(F.struct("rep", "n_shingles")).alias("p"))
-        pivots = stored(chosen.select("key", F.col("component").alias("own"), F.col("p.rep").alias("pivot"), F.col("p.n_shingles").alias("pivot_n")), "pivots")
-        found = named.join(pivots, "key").where((F.col("component") != F.col("own")) & sizes_near("n_shingles", "pivot_n", percent))
-        found = found.select(F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = stored(found, "pairs")
-        tested = tested.unionByName(pairs)
-        links = links.unionByName(stored(verified(pairs, texts, words, percent), "verified"))
-        live = stored(named.join(pivots.select("key", F.col("pivot").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep", "n_shingles"), "buckets")
+    near = classes.where("bands is not null").select("rep", F.explode("bands").alias("key"))
+    sizes = near.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    shared = stored(near.join(sizes, "key"), "shared")
+    central = shared.groupBy("rep").agg(F.sum("c").alias("meets"))
+    hubs = shared.join(central, "rep").groupBy("key").agg(F.max(F.struct("meets", (-F.col("rep")).alias("low"))).alias("hub")).select("key", (-F.col("hub.low")).alias("hub"))
+    pairs = stored(shared.join(hubs, "key").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
+    texts = stored(docs.select(F.col("doc_id").alias("id"), "text").join(central.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]), "texts")
+    compared = stored(verified(pairs, texts, words, percent), "compared")
+    more = stored(edit_candidates(compared, percent).join(pairs, ["a", "b"], "left_anti"), "more")
+    links = compared.where("linked").select("a", "b").unionByName(verified(more, texts, words, percent).where("linked").select("a", "b"))
+    return union_find(links)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
