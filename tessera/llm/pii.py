@@ -272,9 +272,13 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def fitted(docs: DataFrame, text: str = "text") -> Potentials:
-    """Potentials from the texts of the FIT_DOCUMENTS smallest hashes among those with a digit or an @."""
-    rows = docs.where(F.col(text).rlike("[0-9@]")).select(F.col(text).alias("t")).orderBy(F.xxhash64("t"), "t").limit(FIT_DOCUMENTS)
-    return fit([r["t"] for r in rows.select(F.substring("t", 1, 20000).alias("t")).collect()])
+    """Potentials from the FIT_DOCUMENTS distinct texts of the smallest hashes among those with a digit or an @, cut to 20,000 characters."""
+    some = docs.where(F.col(text).rlike("[0-9@]")).select(F.xxhash64(text).alias("h"), F.col(text).alias("t"))
+    last = some.select("h").distinct().orderBy("h").limit(FIT_DOCUMENTS).agg(F.max("h")).first()[0]
+    if last is None:
+        return fit([])
+    rows = some.where(F.col("h") <= last).groupBy("h").agg(F.min(F.substring("t", 1, 20000)).alias("t"))
+    return fit([r["t"] for r in rows.orderBy("h").collect()])
 
 
 def personal_data(docs: DataFrame, p: Potentials, text: str = "text", keep: list[str] | None = None) -> DataFrame:
