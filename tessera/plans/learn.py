@@ -14,10 +14,10 @@ from .standins import ENTITIES, FEEDBACK, entities, feedback, table
 
 @register("k01_mine_corpus", f"""WITH t AS (SELECT text, quality = 1 AS good FROM documents JOIN labels USING (doc_id)), n AS (SELECT count(*) FILTER (good) AS ng, greatest(1, count(*) FILTER (NOT good)) AS nb FROM t),
   w AS (SELECT good, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{{4,18}}'))) AS keyword FROM t), c AS (SELECT keyword, count(*) FILTER (good) AS g, count(*) FILTER (NOT good) AS b FROM w WHERE keyword NOT IN ({quoted(lr.STOPWORDS)}) GROUP BY 1),
-  s AS (SELECT keyword, g, b, CAST(g AS DOUBLE) / ng AS rate, (CAST(g AS DOUBLE) / ng) / (CAST(b AS DOUBLE) / nb + CAST(0.01 AS DOUBLE)) AS lift FROM c, n WHERE g >= 3 AND ng >= 5) SELECT * FROM s WHERE rate >= 0.05 AND lift >= 1.2 ORDER BY lift DESC, keyword LIMIT 40""")
+  s AS (SELECT keyword, g, b, CAST(g AS DOUBLE) / ng AS rate, (CAST(g AS DOUBLE) / ng) / (CAST(b AS DOUBLE) / nb + CAST(0.01 AS DOUBLE)) AS lift FROM c, n WHERE g >= 3 AND ng >= 5) SELECT * FROM s WHERE rate >= 0.05 AND lift >= 2.5 ORDER BY lift DESC, keyword LIMIT 40""")
 def k01(spark, sf):
     t = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select("text", (F.col("quality") == 1).alias("good"))
-    return lr.mine_corpus(t, lift=1.2)
+    return lr.mine_corpus(t)
 
 
 _KW = "kw AS (SELECT p_name AS keyword, CASE min(p_partkey) % 3 WHEN 0 THEN 'ACTIVE' WHEN 1 THEN 'UNVALIDATED' ELSE 'DEAD' END AS status, count(*) AS runs, min(p_partkey) % 4 AS leads_found, min(p_size) AS domains_kept, CASE WHEN min(p_partkey) % 5 <> 0 THEN DATE '2024-01-01' + CAST(min(p_partkey) % 28 AS INT) END AS last_run FROM part GROUP BY 1)"
