@@ -206,14 +206,16 @@ def edit_candidates(compared: DataFrame, percent: int) -> DataFrame:
     m = compared.withColumn("n", F.size("edits"))
     share_y = F.greatest(F.lit(1), F.ceil((F.col("n") + c * (F.col("size_b") - F.col("size_a"))) / 2 - 1e-6))
     share_x = F.greatest(F.lit(1), F.ceil((F.col("n") - c * (F.col("size_a") + F.col("size_b"))) / (1 + c) - 1e-6))
-    m = m.select("a", "b", "linked", (F.col("n") - share_y + 1).alias("as_y"), (F.col("n") - share_x + 1).alias("as_x"), "edits")
-    every = m.select("a", "b", "linked", "as_y", "as_x", F.explode("edits").alias("edit"))
+    m = m.select("a", "b", "linked", "n", "size_a", (F.col("n") - share_y + 1).alias("as_y"), (F.col("n") - share_x + 1).alias("as_x"), "edits")
+    every = m.select("a", "b", "linked", "n", "size_a", "as_y", "as_x", F.explode("edits").alias("edit"))
     often = every.groupBy("b", "edit").agg(F.count(F.lit(1)).alias("often"))
-    ranked = every.join(often, ["b", "edit"]).groupBy("a", "b", "linked", "as_y", "as_x").agg(F.array_sort(F.collect_list(F.struct("often", "edit"))).alias("ranked"))
-    first = stored(ranked.select("a", "b", "linked", "as_y", "as_x", F.posexplode("ranked").alias("at", "r")).where("r.often > 1").select("a", "b", "at", F.col("r.edit").alias("edit"), (F.col("at") < F.col("as_y")).alias("is_y"), (~F.col("linked") & (F.col("at") < F.col("as_x"))).alias("is_x")), "prefixes")
-    x = first.where("is_x").select("b", "edit", F.col("a").alias("x"))
-    y = first.where("is_y").select("b", "edit", F.col("a").alias("y"))
-    met = x.join(y, ["b", "edit"]).where("x <> y")
+    ranked = every.join(often, ["b", "edit"]).groupBy("a", "b", "linked", "n", "size_a", "as_y", "as_x").agg(F.array_sort(F.collect_list(F.struct("often", "edit"))).alias("ranked"))
+    first = stored(ranked.select("a", "b", "linked", "n", "size_a", "as_y", "as_x", F.posexplode("ranked").alias("at", "r")).where("r.often > 1").select("a", "b", (F.col("n") - F.col("at")).alias("left"), "n", "size_a", F.col("r.edit").alias("edit"), (F.col("at") < F.col("as_y")).alias("is_y"), (~F.col("linked") & (F.col("at") < F.col("as_x"))).alias("is_x")), "prefixes")
+    x = first.where("is_x").select("b", "edit", F.col("a").alias("x"), F.col("left").alias("left_x"), F.col("n").alias("n_x"), F.col("size_a").alias("size_x"))
+    y = first.where("is_y").select("b", "edit", F.col("a").alias("y"), F.col("left").alias("left_y"), F.col("n").alias("n_y"), F.col("size_a").alias("size_y"))
+    # the first edit that two sets share leaves room for as many as either has from there on
+    enough = 2 * F.least("left_x", "left_y") >= F.col("n_x") + F.col("n_y") - c * (F.col("size_x") + F.col("size_y")) - 1e-6
+    met = x.join(y, ["b", "edit"]).where((F.col("x") != F.col("y")) & enough)
     return met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
