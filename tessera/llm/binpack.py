@@ -1,5 +1,5 @@
-"""Best-fit packing of token sequences, hierarchical: partitions pack locally and emit nearly full bins; underfull bins
-go up a tree as items of further best-fit rounds."""
+"""Best-fit packing of token sequences, hierarchical: partitions pack locally and emit nearly full bins; the pieces of
+all other bins go up and are packed together, by how many there are of each length."""
 
 from __future__ import annotations
 
@@ -9,22 +9,23 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import steps, stored, texts_of
 from .tokens import encoder
 
-#: Bins this near to full leave; a node of the tree merges so many below it and passes on so many bins at most.
-SLACK, FAN, CARRY = 8, 8, 4096
+#: Bins this near to full leave at once.
+SLACK = 8
 #: Pieces that a task packs at a time.
 LOCAL = 200_000
+#: Sequences of the second round are numbered from here.
+UPPER = 1 << 60
 PLACED = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),
-    T.StructField("ids_crc32", T.LongType()), T.StructField("bin", T.LongType()), T.StructField("at", T.LongType()), T.StructField("fill", T.LongType()), T.StructField("node", T.LongType()), T.StructField("up", T.BooleanType()),
+    T.StructField("ids_crc32", T.LongType()), T.StructField("bin", T.LongType()), T.StructField("at", T.LongType()), T.StructField("node", T.LongType()), T.StructField("rank", T.LongType()), T.StructField("up", T.BooleanType()),
 ])
-MOVED = T.StructType([T.StructField("bin", T.LongType()), T.StructField("to", T.LongType()), T.StructField("shift", T.LongType()), T.StructField("fill", T.LongType()), T.StructField("node", T.LongType()), T.StructField("up", T.BooleanType())])
 
 
 def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -54,15 +55,44 @@ def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np
     return place, at, np.array(fill, np.int64)
 
 
-def rising(fill: np.ndarray, size: int) -> np.ndarray:
-    """Which bins go up: not nearly full, and the CARRY emptiest of them; the fuller rest stays as it is."""
-    up = fill < size - SLACK
-    if up.sum() > CARRY:
-        keep = np.argsort(fill, kind="stable")[:CARRY]
-        chosen = np.zeros(len(fill), bool)
-        chosen[keep] = True
-        up &= chosen
-    return up
+def ranks(length: np.ndarray) -> np.ndarray:
+    """How many equal lengths stand before each."""
+    order = np.argsort(length, kind="stable")
+    put = length[order]
+    out = np.empty(len(length), np.int64)
+    out[order] = np.arange(len(length)) - np.searchsorted(put, put)
+    return out
+
+
+def best_fit_counts(counts: dict[int, int], size: int) -> np.ndarray:
+    """Best-fit decreasing of ``counts`` pieces of each length, as rows (length, rank, bin, each, at) by length and rank.
+
+    From the piece of this rank on, pieces of the length fill bins from ``bin`` on, ``each`` to a bin, the first at
+    offset ``at``. Bins that hold the same are one range, and a length splits two ranges at most besides those that it
+    fills, so the work depends on ``size``, not on how many pieces there are.
+    """
+    out, open_, mask, made = [], {}, 0, 0
+    for need in sorted(counts, reverse=True):
+        n, done = counts[need], 0
+        while n:
+            fits = mask >> need << need
+            if fits:
+                room = (fits & -fits).bit_length() - 1
+                lo, hi = open_[room].pop()
+                if not open_[room]:
+                    mask &= ~(1 << room)
+            else:
+                room, lo = size, made
+                made = hi = lo + -(-n // (size // need))
+            each = min(room // need, n)
+            full = min(hi - lo, n // each)
+            out.append((need, done, lo, each, size - room))
+            done, n = done + full * each, n - full * each
+            for a, b, left in ((lo, lo + full, room - each * need), (lo + full, hi, room)):
+                if a < b and left:
+                    open_.setdefault(left, []).append((a, b))
+                    mask |= 1 << left
+    return np.array(sorted(out), np.int64).reshape(-1, 5)
 
 
 def local_round(docs: DataFrame, vocab_path: str, size: int, end_id: int, spaces: str) -> DataFrame:
@@ -70,21 +100,23 @@ def local_round(docs: DataFrame, vocab_path: str, size: int, end_id: int, spaces
         from pyspark.sql.pandas.types import to_arrow_schema
 
         enc, schema, end = encoder(vocab_path, spaces), to_arrow_schema(PLACED), np.array([end_id], "<u4").tobytes()
-        part, used = TaskContext.get().partitionId(), 0
+        part, used, flushed = TaskContext.get().partitionId(), 0, 0
         rows: list[tuple] = []
 
         def flush():
-            nonlocal rows, used
+            nonlocal rows, used, flushed
             length = np.array([r[3] for r in rows], np.int64)
             place, at, fill = best_fit(length, size)
-            up = rising(fill, size)
-            name = (np.int64(part) << 36) + used + place
-            used += len(fill)
+            up = (fill < size - SLACK)[place]
+            rank = np.zeros(len(length), np.int64)
+            rank[up] = ranks(length[up])
+            name, node = (np.int64(part) << 36) + used + place, (np.int64(part) << 36) + flushed
+            used, flushed = used + len(fill), flushed + 1
             cols = list(zip(*rows, strict=True))
             rows = []
             return pa.RecordBatch.from_arrays([
                 pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(length), pa.array(cols[4], pa.int64()),
-                pa.array(name), pa.array(at), pa.array(fill[place]), pa.array(np.full(len(name), part, np.int64)), pa.array(up[place]),
+                pa.array(name), pa.array(at), pa.array(np.full(len(name), node, np.int64)), pa.array(rank), pa.array(up),
             ], schema=schema)
 
         for b in chain.from_iterable(steps(b, "text") for b in batches):
@@ -104,20 +136,30 @@ def local_round(docs: DataFrame, vocab_path: str, size: int, end_id: int, spaces
     return d.mapInArrow(run, PLACED)
 
 
-def merge_round(bins: DataFrame, size: int, level: int) -> DataFrame:
-    """Pack the bins (bin, fill, node) of FAN nodes together."""
+def upper_round(placed: DataFrame, size: int) -> DataFrame:
+    """Bins and offsets of the pieces that went up: each has a rank among all of its length, which says where it goes.
 
-    def merge(key, table):
-        bin_, fill_ = table.column("bin").to_numpy(), table.column("fill").to_numpy()
-        order = np.argsort(bin_, kind="stable")
-        bin_, fill_ = bin_[order], fill_[order]
-        node = key[0].as_py()
-        place, at, fill = best_fit(fill_, size)
-        up = rising(fill, size)
-        name = (np.int64(level) << 58) + (np.int64(node) << 34) + place
-        return pa.table([pa.array(bin_), pa.array(name), pa.array(at), pa.array(fill[place]), pa.array(np.full(len(bin_), node, np.int64)), pa.array(up[place])], names=[f.name for f in MOVED])
+    The driver holds the counts of ``size`` lengths; which pieces they are stays with the executors.
+    """
+    up = placed.where("up")
+    here = up.groupBy("node", "length").agg(F.count(F.lit(1)).alias("n"))
+    plan = best_fit_counts({r["length"]: r["n"] for r in here.groupBy("length").agg(F.sum("n").alias("n")).collect()}, size)
+    before = Window.partitionBy("length").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
+    shift = here.select("node", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
+    held = placed.sparkSession.sparkContext.broadcast(plan)
+
+    def run(batches):
+        need, first, lo, each, base = held.value.T
+        key = (need << 48) + first
+        for b in batches:
+            length, rank = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("length", "rank"))
+            i = np.searchsorted(key, (length << 48) + rank, "right") - 1
+            k = rank - first[i]
+            new = {"bin": UPPER + lo[i] + k // each[i], "at": base[i] + k % each[i] * length}
+            yield pa.RecordBatch.from_arrays([pa.array(new[c]) if c in new else b.column(j) for j, c in enumerate(b.schema.names)], names=b.schema.names)
 
-    return bins.withColumn("node", F.floor(F.col("node") / FAN).cast("long")).groupBy("node").applyInArrow(merge, MOVED)
+    ranked = up.join(shift, ["node", "length"]).withColumn("rank", F.col("rank") + F.col("shift")).select(*placed.columns)
+    return ranked.mapInArrow(run, placed.schema)
 
 
 def pack_documents(docs: DataFrame, vocab_path: str, size: int = 1024, end_id: int = 2, spaces: str = "leading") -> DataFrame:
@@ -126,28 +168,8 @@ def pack_documents(docs: DataFrame, vocab_path: str, size: int = 1024, end_id: i
     A document is its ids and then ``end_id``; only longer ones are cut, the first piece being the shorter one.
     Result: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Null and empty texts hold the end id alone.
     Repeated rows are packed each. Other columns are ignored. An empty table gives an empty result. A task holds the
-    lengths of LOCAL pieces; a node of the tree FAN * CARRY bins.
+    lengths of LOCAL pieces; a sequence leaves its partition only when SLACK tokens at most are free in it.
     """
     placed = stored(local_round(docs, vocab_path, size, end_id, spaces), "placed")
-    # one row for each bin: its first piece
-    bins, moves, level = placed.where("up and at = 0").select("bin", "fill", "node"), None, 1
-    while True:
-        nodes = bins.agg(F.max("node")).first()[0]
-        if nodes is None:
-            break
-        moved = stored(merge_round(bins, size, level), f"merge{level}")
-        step = moved.select("bin", "to", "shift")
-        if moves is None:
-            moves = step
-        else:
-            later = step.select(F.col("bin").alias("mid"), F.col("to").alias("last"), F.col("shift").alias("more"))
-            moves = moves.join(later, moves["to"] == later["mid"], "left").select("bin", F.coalesce("last", "to").alias("to"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("shift"))
-        bins = moved.where("up and shift = 0").select(F.col("to").alias("bin"), "fill", "node")
-        level += 1
-        if nodes < FAN:
-            break
-    out = placed
-    if moves is not None:
-        out = placed.join(moves, "bin", "left")
-        out = out.withColumns({"at": F.col("at") + F.coalesce("shift", F.lit(0)), "bin": F.coalesce("to", "bin")})
+    out = placed.where("not up").unionByName(upper_round(placed, size))
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), F.col("at").alias("offset"))

@@ -367,6 +367,31 @@ def test_packing(spark, docs, empty):
     assert fill.max() <= 1024 and len(fill) == 3 + 0 * len(place) or len(fill) == 4
 
 
+def test_packing_across_partitions(spark):
+    from tessera.llm.binpack import best_fit, best_fit_counts, pack_documents
+    from tessera.llm.tokens import vocabulary_file
+
+    g = np.random.default_rng(5)
+    for n in (1, 3, 40, 700):
+        lengths = g.integers(1, 65, n)
+        got = best_fit_counts(dict(zip(*(x.tolist() for x in np.unique(lengths, return_counts=True)), strict=True)), 64)
+        fill = {}
+        for i, (need, first, lo, each, at) in enumerate(got.tolist()):
+            last = got[i + 1, 1] if i + 1 < len(got) and got[i + 1, 0] == need else (lengths == need).sum()
+            for k in range(last - first):
+                fill.setdefault(lo + k // each, []).append((at + k % each * need, need))
+        for b in fill.values():
+            b.sort()
+            assert [a for a, _ in b] == np.cumsum([0, *(x for _, x in b)])[:-1].tolist() and sum(x for _, x in b) <= 64
+        assert sorted(x for b in fill.values() for _, x in b) == sorted(lengths.tolist()) and len(fill) == len(best_fit(lengths, 64)[2])
+    # each long text of one partition has room for a short one of another, however many there are
+    texts = spark.range(12_000, numPartitions=2).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 6000, F.repeat(F.lit(" a"), 599)).otherwise(F.repeat(F.lit(" a"), 399)).alias("text"))
+    got = pack_documents(texts, vocabulary_file("byte_bpe_50k.json")).cache()
+    assert got.agg(F.min("length"), F.max("length"), F.count("doc_id")).first()[:] == (400, 600, 12_000)
+    bins = got.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.min("offset").alias("a"), F.max(F.col("offset") + F.col("length")).alias("b"))
+    assert bins.where("n > 1024 or a != 0 or b != n").count() == 0 and bins.count() == 6000
+
+
 def test_pipeline_and_queries(spark):
     import corpus_pipeline as p
     from tessera.llm.queries import QUERIES
