@@ -1,13 +1,14 @@
 """Personal data: patterns and a skip-chain conditional random field over a document's number- and address-like tokens.
 
 Pattern spans are evidence and stay. Neighbouring tokens share chain potentials; repeated or similar tokens anywhere in
-the document share skip potentials; loopy message passing makes their labels agree, which finds occurrences that a
+the document, and numbers written in several tokens, share skip potentials; loopy message passing makes their labels agree, which finds occurrences that a
 pattern misses.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,7 +34,9 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 WHITE = frozenset(" \t\n\v\f\r")
 HIT = re.compile(r"[0-9@]")
-NOT_DIGIT = re.compile(r"[^0-9]")
+NOT_DIGIT, BETWEEN = re.compile(r"[^0-9]"), re.compile(r"[ ()]")
+#: A token that may be part of a number written in several tokens, and what may stand between two of them.
+GROUP, GAP = re.compile(r"\+?[0-9().-]*[0-9][0-9().-]*"), re.compile(r"\)? ?[(-]? ?")
 
 
 def luhn(digits: str) -> bool:
@@ -128,14 +131,71 @@ def same_key(word: str) -> str | None:
     return word.lower() if "@" in word or word.count(".") == 3 else None
 
 
+def suffixes(digits: str) -> list[str]:
+    """What is left of a number of a telephone's length without its first one to three digits, its country code perhaps."""
+    return [digits[k:] for k in range(1, 4) if len(digits) - k >= 7] if len(digits) <= 15 else []
+
+
+def joined_numbers(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
+    """(first token, last token, digits) of the numbers written in several tokens that are repeated elsewhere in the text.
+
+    Digit groups that a space, brackets or a hyphen part are one run; any part of a run with 7 to 19 digits may be a
+    number. One counts if the same digits, or the same but for a country code, stand apart from it. Of those that overlap,
+    one with an equal stands before one with a similar, then the longer before the shorter.
+    """
+    words = [text[a:b] for a, b in spans]
+    digits = [NOT_DIGIT.sub("", w) if GROUP.fullmatch(w) else "" for w in words]
+    many, every = [], []
+    for i, w in enumerate(words):
+        d = digits[i]
+        if not d:
+            if (key := same_key(w)) is not None and "@" not in w and key.isdigit():
+                every.append((i, i, key))
+            continue
+        if 7 <= len(d):
+            every.append((i, i, d))
+        j = i + 1
+        while j < len(words) and digits[j] and words[j][0] != "+" and GAP.fullmatch(text, spans[j - 1][1], spans[j][0]):
+            d += digits[j]
+            if len(d) > 19:
+                break
+            if len(d) >= 7:
+                many.append((i, j, d))
+            j += 1
+    if not many:
+        return []
+    # where the first one of some digits ends and the last one begins, and the same for what similar ones end with
+    own, ends = {}, {}
+    for i, j, d in many + every:
+        for held, names in ((own, (d,)), (ends, suffixes(d))):
+            for name in names:
+                lo, hi = held.get(name, (j, i))
+                held[name] = min(lo, j), max(hi, i)
+    apart = lambda held, name, i, j: name in held and (held[name][0] < i or held[name][1] > j)
+    found = []
+    for i, j, d in many:
+        if apart(own, d, i, j):
+            found.append((0, -len(d), i, j, d))
+        elif len(d) <= 15 and (apart(ends, d, i, j) or any(apart(own, x, i, j) for x in suffixes(d))):
+            found.append((1, -len(d), i, j, d))
+    out, taken = [], set()
+    for _, _, i, j, d in sorted(found):
+        if taken.isdisjoint(range(i, j + 1)):
+            taken.update(range(i, j + 1))
+            out.append((i, j, d))
+    return sorted(out)
+
+
 @dataclass
 class Graph:
-    """Tokens of a document with their features, labels known from patterns (-1: unknown), and edges (i, j, is_skip)."""
+    """Tokens of a document, then repeated numbers of several tokens, with their features, labels known from patterns (-1: unknown), edges (i, j, is_skip), which have a key, and whether it is a number."""
 
     spans: list
     on: np.ndarray
     known: np.ndarray
     edges: np.ndarray
+    keyed: np.ndarray
+    bare: np.ndarray
 
 
 def graph(text: str, base: list[tuple[int, int, int]]) -> Graph | None:
@@ -143,7 +203,7 @@ def graph(text: str, base: list[tuple[int, int, int]]) -> Graph | None:
     if not spans:
         return None
     on, known = np.zeros((len(spans), FEATURES), np.float32), np.full(len(spans), -1)
-    edges, last, at = [], {}, 0
+    edges, keys, at = [], [], 0
     order = sorted(base)
     for i, (a, b) in enumerate(spans):
         word = text[a:b]
@@ -161,10 +221,35 @@ def graph(text: str, base: list[tuple[int, int, int]]) -> Graph | None:
             edges.append((i - 1, i, 0))
         key = same_key(word)
         if key is not None:
-            if key in last:
-                edges.append((last[key], i, 1))
-            last[key] = i
-    return Graph(spans, on, known, np.array(edges, np.int64).reshape(-1, 3))
+            keys.append((a, i, key))
+    many = joined_numbers(text, spans)
+    if many:
+        n = len(spans)
+        on = np.concatenate([on, np.zeros((len(many), FEATURES), np.float32)])
+        known = np.concatenate([known, np.full(len(many), -1)])
+        begins = [s[0] for s in order]
+        for k, (i, j, d) in enumerate(many, n):
+            a, b = spans[i][0], spans[j][1]
+            while a > 0 and text[a - 1] in "+(":
+                a -= 1
+            on[k, shape(BETWEEN.sub("", text[a:b]), False)] = 1
+            # the pattern spans that hold its first digit: it is known where one holds all of it
+            at = bisect_right(begins, spans[i][0])
+            known[k] = next((c for x, y, c in reversed(order[max(0, at - 8) : at]) if x <= spans[i][0] and b <= y), -1)
+            spans.append((a, b))
+            keys.append((a, k, d))
+    last, ends = {}, {}
+    for _, i, key in sorted(keys):
+        near = suffixes(key) if key.isdigit() else []
+        for j in {last.get(key), ends.get(key) if len(key) <= 15 else None, *map(last.get, near)} - {None}:
+            if spans[j][1] <= spans[i][0]:
+                edges.append((j, i, 1))
+        last[key] = i
+        for x in near:
+            ends[x] = i
+    bare = np.zeros(len(spans), bool)
+    bare[[i for _, i, key in keys if key.isdigit() and not on[i, 17]]] = True
+    return Graph(spans, on, known, np.array(edges, np.int64).reshape(-1, 3), np.array([k[1] for k in keys], np.int64), bare)
 
 
 @dataclass
@@ -179,7 +264,8 @@ def fit(texts: list[str], rounds: int = 150, rate: float = 0.1) -> Potentials:
     """Pseudo-likelihood of the pattern labels, with each token's neighbours given, by Adam. No tokens: no preferences.
 
     A third of the tokens that patterns mark keep only the form features that any writing of the same value has, so
-    that links, not just forms, carry weight.
+    that links, not just forms, carry weight. What is linked to a marked token but isn't marked has no label: a pattern
+    that misses another writing doesn't say that it is something else.
     """
     graphs = [g for x in texts if (g := graph(x, patterns(x)))]
     unary, pair = np.zeros((FEATURES, LABELS)), np.zeros((2, LABELS, LABELS))
@@ -190,20 +276,27 @@ def fit(texts: list[str], rounds: int = 150, rate: float = 0.1) -> Potentials:
     on = np.concatenate([g.on for g in graphs]).astype(np.float64)
     y = np.concatenate([np.where(g.known < 0, OTHER, g.known) for g in graphs])
     edges = np.concatenate([g.edges + [s, s, 0] for g, s in zip(graphs, shift, strict=False)])
-    hide = (np.arange(len(y)) % 3 == 0)[:, None] & np.isin(np.arange(FEATURES), [16, 17, 19, 21])
-    on = np.where(hide, 0, on)
+    third = np.arange(len(y)) % 3 == 0
+    on = np.where(third[:, None] & np.isin(np.arange(FEATURES), [16, 17, 19, 21]), 0, on)
+    # a long number's third is written in digits alone
+    bare = np.flatnonzero(third & (y != OTHER) & np.concatenate([g.bare for g in graphs]))
+    on[np.ix_(bare, [18, 20, 22])] = 1, 0, 0
     around = np.zeros((len(y), 2, LABELS))
     for i, j in ((0, 1), (1, 0)):
         np.add.at(around, (edges[:, i], edges[:, 2], y[edges[:, j]]), 1)
     x = np.concatenate([on, around.reshape(len(y), -1)], 1)
     w = np.concatenate([unary, pair.reshape(-1, LABELS)])
     target = np.eye(LABELS)[y]
+    a, b = edges[edges[:, 2] == 1, :2].T
+    labelled = np.ones(len(y), bool)
+    labelled[a[(y[a] == OTHER) & (y[b] != OTHER)]] = labelled[b[(y[b] == OTHER) & (y[a] != OTHER)]] = False
+    x, target = x[labelled], target[labelled]
     m, v, prior = np.zeros_like(w), np.zeros_like(w), w.copy()
     for t in range(1, rounds + 1):
         z = x @ w
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        g = x.T @ (p - target) / len(y) + 1e-3 * (w - prior)
+        g = x.T @ (p - target) / len(x) + 1e-3 * (w - prior)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     pair = w[FEATURES:].reshape(2, LABELS, LABELS)
@@ -240,16 +333,18 @@ def beliefs(g: Graph, p: Potentials) -> np.ndarray:
 
 
 def find(text: str, p: Potentials) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Pattern spans, and the spans that the field adds: tokens linked to a marked one that it is sure of."""
+    """Pattern spans, and the spans that the field adds: long numbers and addresses that it is sure of."""
     base = patterns(text)
-    if not base:
-        return base, []
     g = graph(text, base)
-    if g is None or not (g.known < 0).any() or not (g.edges[:, 2] == 1).any():
+    if g is None or not (g.known[g.keyed] < 0).any():
         return base, []
     belief = beliefs(g, p)
-    linked = set(g.edges[g.edges[:, 2] == 1][:, :2].ravel().tolist())
-    added = [(*g.spans[i], k) for i in sorted(linked) if g.known[i] < 0 and (k := int(belief[i].argmax())) != OTHER and belief[i, k] >= SURE]
+    added, end = [], 0
+    for i in sorted(g.keyed.tolist(), key=lambda i: (g.spans[i][0], -g.spans[i][1])):
+        k = int(belief[i].argmax())
+        if g.known[i] < 0 and k != OTHER and belief[i, k] >= SURE and g.spans[i][1] > end:
+            end = g.spans[i][1]
+            added.append((*g.spans[i], k))
     return base, added
 
 

@@ -307,6 +307,26 @@ def test_personal_data(spark, docs, empty):
     assert find("version 2.0 of 15 parts, 2024", fit(train)) == ([], [])
 
 
+def test_personal_data_written_otherwise():
+    from tessera.llm.pii import find, fit, graph, patterns
+
+    train = [f"pay with {n} or {n} now, call +{c} or {c}" for n in ("4111111111111111", "5500005555555559", "4012888888881881") for c in ("1 555 010 7713", "44 555 019 2231")] * 20
+    p = fit(train)
+    for text, want in (
+        ("call +1 555 123 4567, later 555-123-4567 or 15551234567", ["555-123-4567", "15551234567"]),
+        ("call +15551234567, later 555 123 4567 or (555) 123-4567", ["555 123 4567", "(555) 123-4567"]),
+        ("card 4111111111111111 and 4111 1111 1111 1111 4550 9978 here", ["4111 1111 1111 1111"]),
+    ):
+        base, added = find(text, p)
+        assert [text[a:b] for a, b, _ in added if not any(a < y and x < b for x, y, _ in base)] == want, text
+    linked = lambda t: {tuple(sorted((g.spans[i], g.spans[j]))) for i, j, s in g.edges.tolist() if s} if (g := graph(t, patterns(t))) else set()
+    assert linked("555 123 4567 then 555 123 4567") == {((0, 12), (18, 30))}
+    # nothing is linked with a part of itself, and a table of small numbers is no number
+    assert linked("1 555 123 4567") == set() and linked("12 34 56 78 90 and 11 22 33 44 55") == set()
+    assert find("rows 12 34 56 78 90 and 11 22 33 44 55", p) == ([], [])
+    assert len(find("1 " * 100_000, p)[0]) == 0
+
+
 def test_tokens_and_files(spark, docs, empty):
     from tokenizers import Tokenizer
 
