@@ -146,8 +146,8 @@ def fit(votes: DataFrame, rounds: int = 50, least: float = 20.0, pull: float = 0
     return Supervisor(prior, good, bad)
 
 
-def judged(votes: DataFrame, model: Supervisor, threshold: float = 0.05) -> DataFrame:
-    """Append p_good, base_failed and kept. Documents without words fail the base."""
+def judged(votes: DataFrame, model: Supervisor, threshold: float = 0.5) -> DataFrame:
+    """Append p_good, base_failed and kept: what is as likely good as bad, or likelier. Documents without words fail the base."""
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return votes.withColumns({"p_good": model.posterior(F.col("votes")), "base_failed": failed}).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
 

@@ -152,6 +152,18 @@ def test_quality_rules(spark, docs, empty):
     assert all(0 <= x <= 1 for x in accuracy.values())
 
 
+def test_quality_verdict_is_the_likelier_class(spark):
+    from tessera.llm.weakrules import BAD, GOOD, RULES, Supervisor, judged
+
+    model = Supervisor(0.85, np.tile([0.18, 0.8, 0.02], (len(RULES), 1)), np.tile([0.1, 0.6, 0.3], (len(RULES), 1)))
+    # two defects beside three good votes: bad at odds of 17 to 1; one defect beside four: good
+    votes = [sum(v * 3**i for i, v in enumerate(x)) for x in ((BAD, BAD, GOOD, GOOD, GOOD), (BAD, GOOD, GOOD, GOOD, GOOD))]
+    d = spark.createDataFrame([(i, 100, 0, v) for i, v in enumerate(votes)], "doc_id long, n_words long, n_repeat_words long, votes long")
+    got = by_id(judged(d, model))
+    assert got[0]["p_good"] == pytest.approx(0.0563, abs=1e-4) and not got[0]["kept"]
+    assert got[1]["p_good"] > 0.5 and got[1]["kept"]
+
+
 def plain_components(texts, words, percent):
     sets = []
     for t in texts:
