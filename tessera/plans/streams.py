@@ -77,7 +77,7 @@ def w04(spark, sf):
 def w04_stream(spark, sf):
     b = budget(spark, sf).select("profile_id", "metric", "units", F.col("day").cast("timestamp").alias("at"))
     path = folder(spark, "spend")
-    out = ar.spend_stream(staged(b.coalesce(1), "units"))
+    out = ar.spend_stream(staged(b, "units"))
     ar.run_available(out.writeStream.outputMode("append").format("parquet").option("path", path), folder(spark, "state"), spark)
     return spark.read.schema(out.schema).parquet(path)
 

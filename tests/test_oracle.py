@@ -45,6 +45,20 @@ def test_query(spark, con, name):
     assert ordered(df.columns, df.collect()) == ordered(columns, got.fetchall())
 
 
+def test_spend_stream_reads_several_files(spark, con, monkeypatch):
+    from tessera.plans import streams
+
+    parts, staged = [], streams.staged
+    monkeypatch.setattr(streams, "staged", lambda df, name: parts.append(df.rdd.getNumPartitions()) or staged(df, name))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    try:
+        test_query(spark, con, "w04_spend_stream")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert parts[0] > 1
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_query_without_sql_runs(spark, name):
     assert QUERIES[name](spark, SF).count() >= 0
