@@ -10,10 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.operators.graph import components
+
 from .common import bytes_of, steps, stored, with_arrow
 
 #: Bands of so many signature slots. A pair at similarity 0.8 misses all of them once in 3 million times.
 BANDS, ROWS = 38, 5
+#: Members that aren't linked with a hub are paired with each other where at most so many of them meet at an edit.
+FEW = 16
 #: Shingles handled together; a larger set is handled in parts, whose slot minima are the set's.
 TOGETHER = 60_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -165,78 +169,84 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
 COMPARED = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("linked", T.BooleanType()), T.StructField("size_a", T.LongType()), T.StructField("size_b", T.LongType()), T.StructField("edits", T.ArrayType(T.LongType()))])
 
 
-def union_find(links: DataFrame) -> DataFrame:
-    """(node, component): each node of ``links`` (a, b) and the smallest node it reaches.
+def next_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b, deep): pairs of members of one hub that may be linked though one of them isn't linked with the hub.
 
-    Large and small stars in turn point every node at the smallest of its neighbourhood, until nothing changes; the
-    number of rounds grows with the logarithm of the longest chain. Links stay distributed.
-    """
-    edges = stored(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-
-    def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
-    before = mark(edges)
-    while before[0]:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a != b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(least, "a")
-        small = small.select("b", "low").where("b != low").select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(least.select("a", F.col("low").alias("b"))).distinct()
-        edges = stored(small, "links")
-        now = mark(edges)
-        if now == before:
-            break
-        before = now
-    rest = edges.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component")
-    return rest.unionByName(rest.select(F.col("component").alias("node"), "component").distinct())
-
-
-def edit_candidates(compared: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of members of one hub that may be linked though one of them isn't linked with the hub.
-
-    ``compared``: members (a) with their hub (b). Two sets x, y with edits X, Y against the hub p differ in X xor Y, and
-    are linked when that has at most c(|x| + |y|) elements, c = (100 - percent) / (100 + percent). If x is not linked with
-    p, |X| > c(|x| + |p|), so x and y share more than (|Y| + c(|p| - |y|)) / 2 edits, and at least (|X| - c(|x| + |p|)) / (1 + c).
-    Sets that share o elements also share one among their first size - o + 1 in any common order; the order here is by
-    how many members have an edit, rarest first. So members with edits of their own don't meet, however many they are.
+    ``rows``: members (a, meets) compared with their hub (b). Two sets x, y with edits X, Y against the hub p differ in
+    X xor Y, and are linked when that has at most c(|x| + |y|) elements, c = (100 - percent) / (100 + percent). If x is not
+    linked with p, |X| > c(|x| + |p|), so x and y share more than (|Y| + c(|p| - |y|)) / 2 edits, and at least
+    (|X| - c(|x| + |p|)) / (1 + c). Sets that share o elements also share one among their first size - o + 1 in any common
+    order; the order here is by how many members have an edit, rarest first. So members with edits of their own don't meet.
+
+    Members that meet at an edit are paired with each other where at most FEW of them aren't linked with the hub.
+    Elsewhere they are paired with the first of them alone (``deep``), which is a hub for them in the next round, so a
+    round makes a number of pairs in proportion to its rows.
     """
     c = (100 - percent) / (100 + percent)
-    m = compared.withColumn("n", F.size("edits"))
+    m = rows.withColumn("n", F.size("edits"))
     share_y = F.greatest(F.lit(1), F.ceil((F.col("n") + c * (F.col("size_b") - F.col("size_a"))) / 2 - 1e-6))
     share_x = F.greatest(F.lit(1), F.ceil((F.col("n") - c * (F.col("size_a") + F.col("size_b"))) / (1 + c) - 1e-6))
-    m = m.select("a", "b", "linked", "n", "size_a", (F.col("n") - share_y + 1).alias("as_y"), (F.col("n") - share_x + 1).alias("as_x"), "edits")
-    every = m.select("a", "b", "linked", "n", "size_a", "as_y", "as_x", F.explode("edits").alias("edit"))
+    own = ["a", "b", "linked", "n", "meets", "need", "as_y", "as_x"]
+    m = m.withColumns({"as_y": F.col("n") - share_y + 1, "as_x": F.col("n") - share_x + 1, "need": F.col("n") - c * F.col("size_a")}).select(*own, "edits")
+    every = m.select(*own, F.explode("edits").alias("edit"))
     often = every.groupBy("b", "edit").agg(F.count(F.lit(1)).alias("often"))
-    ranked = every.join(often, ["b", "edit"]).groupBy("a", "b", "linked", "n", "size_a", "as_y", "as_x").agg(F.array_sort(F.collect_list(F.struct("often", "edit"))).alias("ranked"))
-    first = stored(ranked.select("a", "b", "linked", "n", "size_a", "as_y", "as_x", F.posexplode("ranked").alias("at", "r")).where("r.often > 1").select("a", "b", (F.col("n") - F.col("at")).alias("left"), "n", "size_a", F.col("r.edit").alias("edit"), (F.col("at") < F.col("as_y")).alias("is_y"), (~F.col("linked") & (F.col("at") < F.col("as_x"))).alias("is_x")), "prefixes")
-    x = first.where("is_x").select("b", "edit", F.col("a").alias("x"), F.col("left").alias("left_x"), F.col("n").alias("n_x"), F.col("size_a").alias("size_x"))
-    y = first.where("is_y").select("b", "edit", F.col("a").alias("y"), F.col("left").alias("left_y"), F.col("n").alias("n_y"), F.col("size_a").alias("size_y"))
-    # the first edit that two sets share leaves room for as many as either has from there on
-    enough = 2 * F.least("left_x", "left_y") >= F.col("n_x") + F.col("n_y") - c * (F.col("size_x") + F.col("size_y")) - 1e-6
-    met = x.join(y, ["b", "edit"]).where((F.col("x") != F.col("y")) & enough)
-    return met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    ranked = every.join(often, ["b", "edit"]).groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("often", "edit"))).alias("ranked"))
+    at = ranked.select(*own, F.posexplode("ranked").alias("at", "r")).where("r.often > 1").select("a", "b", "meets", "need", (F.col("n") - F.col("at")).alias("left"), F.col("r.edit").alias("edit"), (F.col("at") < F.col("as_y")).alias("is_y"), (~F.col("linked") & (F.col("at") < F.col("as_x"))).alias("is_x"))
+    first = stored(at.where("is_x or is_y"), "prefixes")
+    # two sets are linked only where twice what either may still share is as much as both need
+    least = first.groupBy("b", "edit").agg(F.count(F.lit(1)).alias("c"), F.max("is_x").alias("any_x"), F.min("need").alias("low")).where("c > 1 and any_x")
+    open_ = first.join(least.select("b", "edit", "low"), ["b", "edit"]).where(2 * F.col("left") >= F.col("need") + F.col("low") - 1e-6)
+    groups = open_.groupBy("b", "edit").agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("is_x").cast("int")).alias("n_x"), F.min(F.struct((-F.col("meets")).alias("m"), "a")).alias("lead")).where("c > 1 and n_x > 0")
+    met = stored(open_.drop("low").join(groups, ["b", "edit"]).drop("c"), "met")
+    few = met.where(F.col("n_x") <= FEW)
+    x = few.where("is_x").select("b", "edit", F.col("a").alias("x"), F.col("left").alias("left_x"), F.col("need").alias("need_x"), F.col("meets").alias("meets_x"))
+    y = few.where("is_y").select("b", "edit", F.col("a").alias("y"), F.col("left").alias("left_y"), F.col("need").alias("need_y"), F.col("meets").alias("meets_y"))
+    enough = 2 * F.least("left_x", "left_y") >= F.col("need_x") + F.col("need_y") - 1e-6
+    leads = F.struct((-F.col("meets_x")).alias("m"), F.col("x").alias("a")) < F.struct((-F.col("meets_y")).alias("m"), F.col("y").alias("a"))
+    some = x.join(y, ["b", "edit"]).where((F.col("x") != F.col("y")) & enough).select(F.when(leads, F.col("y")).otherwise(F.col("x")).alias("a"), F.when(leads, F.col("x")).otherwise(F.col("y")).alias("b"), F.lit(False).alias("deep"))
+    many = met.where((F.col("n_x") > FEW) & (F.col("a") != F.col("lead.a"))).select("a", F.col("lead.a").alias("b"), F.lit(True).alias("deep"))
+    return some.unionByName(many).groupBy("a", "b").agg(F.max("deep").alias("deep"))
+
+
+def near_pairs(pairs: DataFrame, meets: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The links (a, b) that make the components of all pairs that meet at a hub; ``pairs``: members (a) and hubs (b).
+
+    Members come after their hub in one order of all sets, most meetings first. Where members of a hub remain that may be
+    linked without it, the first of them is their hub in the next round: hubs move on in the order, so rounds end, and
+    each compares a set once with a hub.
+    """
+    ranked = meets.select(F.col("rep").alias("a"), "meets")
+    done = stored(verified(pairs, texts, words, percent), "compared")
+    deep, rows = pairs, done
+    while True:
+        found = stored(next_pairs(rows.join(ranked, "a"), percent), "found")
+        fresh = stored(verified(found.join(done, ["a", "b"], "left_anti").select("a", "b"), texts, words, percent), "compared")
+        done = done.unionByName(fresh)
+        more = stored(found.where("deep").select("a", "b").join(deep, ["a", "b"], "left_anti"), "deep")
+        if more.isEmpty():
+            return done.where("linked").select("a", "b")
+        deep = deep.unionByName(more)
+        hubs = more.select("b").distinct()
+        rows = done.join(deep, ["a", "b"], "left_semi").join(hubs, "b", "left_semi")
 
 
 def class_links(classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(node, component) of the class representatives that are near another one.
 
-    ``classes``: rep, n_shingles, bands. A bucket's members are compared with its hub, the one that meets most others in
-    buckets. Two members that are both linked with it are in one component; any other pair of a bucket that may be
-    linked is among edit_candidates(), and is compared too. No bucket is cut or dropped.
+    ``classes``: rep, text_hash, bands; ``docs``: doc_id, text. A bucket's members are compared with its hub, the one that
+    meets most others in buckets. Two members that are both linked with it are in one component; near_pairs() compares
+    any other pair of a bucket that may be linked, or finds both linked with a common third. No bucket is cut or dropped.
     """
     near = classes.where("bands is not null").select("rep", F.explode("bands").alias("key"))
     sizes = near.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     shared = stored(near.join(sizes, "key"), "shared")
-    central = shared.groupBy("rep").agg(F.sum("c").alias("meets"))
+    central = stored(shared.groupBy("rep").agg(F.sum("c").alias("meets")), "central")
     hubs = shared.join(central, "rep").groupBy("key").agg(F.max(F.struct("meets", (-F.col("rep")).alias("low"))).alias("hub")).select("key", (-F.col("hub.low")).alias("hub"))
     pairs = stored(shared.join(hubs, "key").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
-    texts = stored(docs.select(F.col("doc_id").alias("id"), "text").join(central.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]), "texts")
-    compared = stored(verified(pairs, texts, words, percent), "compared")
-    more = stored(edit_candidates(compared, percent).join(pairs, ["a", "b"], "left_anti"), "more")
-    links = compared.where("linked").select("a", "b").unionByName(verified(more, texts, words, percent).where("linked").select("a", "b"))
-    return union_find(links)
+    wanted = classes.select(F.col("rep").alias("id"), "text_hash").join(central.select(F.col("rep").alias("id")), "id", "left_semi")
+    texts = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_hash"), "text").join(wanted, ["id", "text_hash"], "left_semi")
+    texts = stored(texts.select("id", "text").dropDuplicates(["id"]), "texts")
+    return components(near_pairs(pairs, central, texts, words, percent))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -245,22 +255,36 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     Two documents are linked when 100 * intersection >= percent * union of their distinct ``words``-word shingles; a
     text of fewer words is one shingle. Null and empty texts have no shingles and no links, like rows without an id,
     which are kept. Equal sets are one class, which its smallest id represents, so copies are never expanded into
-    pairs. Repeated rows get equal results. Other columns are ignored. An empty table gives an empty result.
+    pairs. Repeated rows get equal results. An id with several texts is the document of the text with the smallest hash,
+    and all its rows get that one's result. Very long texts are compared whole. Other columns are ignored,
+    whatever their names. An empty table gives an empty result.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = stored(shingled(d, words, percent, "text", ["doc_id"]), "sets")
-    classes = stored(sets.where("doc_id is not null and same is not null").groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")), "classes")
+    hashed = d.withColumn("text_hash", F.xxhash64("text"))
+    sets = stored(shingled(hashed, words, percent, "text", ["doc_id", "text_hash"]), "sets")
+    ids = sets.where("doc_id is not null").groupBy("doc_id").agg(F.min_by(F.struct("text_hash", "n_shingles", "same", "bands"), "text_hash").alias("one")).select("doc_id", "one.*")
+    ids = stored(ids, "ids")
+    classes = ids.where("same is not null").groupBy("same").agg(F.min_by(F.struct("doc_id", "text_hash", "bands"), "doc_id").alias("one"))
+    classes = stored(classes.select("same", F.col("one.doc_id").alias("rep"), "one.text_hash", "one.bands"), "classes")
     groups = class_links(classes, d, words, percent)
     classes = classes.select("same", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("same", F.coalesce("component", "rep").alias("component_id"))
-    out = sets.select("doc_id", "n_shingles", "same").join(classes, "same", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    by_id = ids.select("doc_id", "n_shingles", "same").join(classes, "same", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = sets.where("doc_id is not null").select("doc_id").join(by_id, "doc_id").select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    none = sets.where("doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    return out.unionByName(none)
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that stay, one of each group, with their own columns. Rows that repeat an id are one document."""
-    kept = near_duplicates(docs, words, percent).where("kept").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """The documents that stay, one of each group, with their own columns, whatever their names.
+
+    Rows that repeat an id are one document: the row with the smallest text hash stays, or of equal texts any. Rows
+    without an id stay, each; null and empty texts are in no group and stay; an empty table gives an empty result.
+    """
+    kept = near_duplicates(docs, words, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("id_")).distinct()
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_")
+    named = docs.select(F.col("doc_id").cast("long").alias("id_"), F.xxhash64(F.col("text").cast("string")).alias("hash_"), row)
+    one = named.join(kept, "id_", "left_semi").groupBy("id_").agg(F.min_by("row_", "hash_").alias("row_"))
+    return one.select("row_").unionByName(named.where("id_ is null").select("row_")).select(*[F.col(f"row_.`{c}`").alias(c) for c in docs.columns])
 
 
-__all__ = ["drop_near_duplicates", "near_duplicates", "super_minhash", "union_find"]
+__all__ = ["drop_near_duplicates", "near_duplicates", "super_minhash"]

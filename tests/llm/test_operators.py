@@ -208,6 +208,43 @@ def test_near_duplicates(spark, docs, empty):
     assert drop_near_duplicates(d.unionByName(d), 5, 80).count() == len(set(want)) and near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_beside_a_hub(spark, monkeypatch):
+    """Clusters that share buckets with a hub but aren't linked with it: pairs grow with the members, and no link is lost."""
+    from tessera.llm import neardup as nd
+
+    made, verified = [], nd.verified
+    monkeypatch.setattr(nd, "verified", lambda pairs, *rest: (made.append(pairs.count()), verified(pairs, *rest))[1])
+    r = random.Random(12)
+    base = [f"w{i}" for i in range(120)]
+    n, texts = 300, []
+    for far in range(3):
+        words = list(base)
+        for k in range(6 * min(far, 1)):
+            words[5 + 19 * k + far] = f"far{far}x{k}"
+        for i in range(n):
+            own = list(words)
+            own[r.randrange(120)] = f"own{far}x{i}"
+            texts.append(" ".join(own))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = [x["component_id"] for x in sorted(nd.near_duplicates(d, 3, 85).collect(), key=lambda x: x["doc_id"])]
+    assert got == [i // n * n for i in range(3 * n)]
+    # all pairs of the two clusters beside the hub would be 90,000
+    assert sum(made) < 20 * len(texts), made
+
+
+def test_near_duplicates_repeated_ids(spark):
+    from tessera.llm.neardup import drop_near_duplicates, near_duplicates
+
+    long, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    data = [(5, long, "a"), (5, other, "b"), (5, long, "a"), (6, long, "c"), (7, other, "d"), (None, long, "e"), (8, None, "f"), (9, "", "g")]
+    d = spark.createDataFrame(data, "doc_id long, text string, row_ string")
+    got = near_duplicates(d)
+    assert got.count() == len(data) and got.where("doc_id = 5").distinct().count() == 1
+    kept = drop_near_duplicates(d)
+    assert kept.columns == d.columns and sorted(x["row_"] for x in kept.collect() if x["doc_id"] != 5) in (["d", "e", "f", "g"], ["c", "e", "f", "g"])
+    assert kept.where("doc_id = 5").count() == 1
+
+
 def test_super_minhash_estimates_and_parts():
     from tessera.llm import neardup as nd
 
