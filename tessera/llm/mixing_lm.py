@@ -1,20 +1,22 @@
 """Language-model scores by online logistic context mixing.
 
-A text is a sequence of words and an end. Each word is written as the bits of a Huffman code over the frequent words,
-any other word as the bits of an escape. Every bit is predicted by several predictors: the tree's own weights, and two
-tables of counts whose slots are hashes of the tree's node with the one or two words before. A logistic mixer combines
-them by weights that a gate selects, an adaptive map refines the result, and both learn online within the document.
-The counts come from all training documents.
-
-The bits, and the bytes of escaped words by their frequencies, are the text's code length, in bits per byte. The score
-is the log10 probability of the sequence of words, all words that training never saw being one, as for the base: the
-bits, and for an escaped word its share of all that escapes stand for instead of its spelling.
+A text is a sequence of words and an end. A frequent word is written as the bits of a Huffman code, any other word as the
+bits of an escape and then of its bytes and their end, by a second code. Every bit is predicted by several predictors:
+the tree's own weights, and two tables of counts whose slots are hashes of the tree's node with what stands before: one
+or two words, and inside a word that is spelled two or four bytes. A logistic mixer combines them by weights that a gate
+selects, an adaptive map refines the result, and both learn online within the document, from its first words on. The
+counts come from all training documents; how many words have a code and how many slots the tables have follows from how
+much there is to learn from, up to a bound of memory.
+
+All bits are the text's code length, in bits per byte. The score is the log10 probability of the sequence of words, all
+words that training never saw being one, as for the base: the bits, and for an escaped word its share of all that escapes
+stand for instead of its spelling.
 """
 
 from __future__ import annotations
 
 import heapq
-import zlib
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,17 +28,23 @@ from pyspark.sql import types as T
 from .common import bytes_of, steps, stored, with_arrow
 from .neardup import WordHashes
 
-#: Words with a code of their own. Slots of each table, as a power of 2, and slots of a block of a table.
-WORDS, BITS, BLOCK = 100_000, 21, 1 << 16
+#: Bounds of memory: most words with a code of their own, and slots of each table, as a power of 2, at least and at most.
+WORDS, LEAST_BITS, MOST_BITS = 1 << 18, 22, 23
+#: A word has a code if training saw it so often; a table has a slot for so many training tokens; slots of a block of a table.
+SEEN, TOKENS_A_SLOT, BLOCK = 4, 4, 1 << 16
 #: Distinct words that a task counts before it passes them on; bytes of text whose bits are laid out together.
-COUNTED, LAID = 300_000, 1 << 20
-#: Bits that the mixer takes between updates: at first, and at most.
-FIRST, MOST = 512, 8192
+COUNTED, LAID = 300_000, 1 << 18
+#: Tokens that the mixer takes between updates: at first, then twice as many each time, up to a bound.
+FIRST, MOST = 4, 1024
+#: What ends the bytes of a spelled word; a word has no line feed.
+STOP = 10
+#: Gates and places of the refinement, for words' bits and then for spelled ones.
+GATES, BOXES = 16, 37
 #: The end of a text, as a word's hash. 1 and 2 stand before the first word.
 END = np.uint64(0)
 MIX1, MIX2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 COUNT = T.StructType([T.StructField("is_byte", T.BooleanType()), T.StructField("h", T.LongType()), T.StructField("c", T.LongType())])
-TABLE = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("counts", T.BinaryType())])
+TABLE = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("counts", T.BinaryType())])
 SCORED = T.StructType([
     T.StructField("n_tokens", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("own_known", T.LongType()), T.StructField("own_log", T.DoubleType()), T.StructField("word_log", T.DoubleType()), T.StructField("code_bits", T.DoubleType()),
     T.StructField("rare", T.ArrayType(T.LongType())), T.StructField("row", T.LongType()),
@@ -100,12 +108,17 @@ def huffman(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return real.sum(1), node[real], bit[real], ones
 
 
+def stretched(share: np.ndarray) -> np.ndarray:
+    share = np.clip(share, 1e-7, 1 - 1e-7)
+    return np.log(share / (1 - share)).astype(np.float32)
+
+
 @dataclass
 class Code:
     """The frequent words (sorted hashes, their symbols and counts) and the paths of all symbols, end to end.
 
-    Symbols: words, then the escape. ``key`` is a path place's node, scrambled, with its bit lowest; ``own`` the
-    stretched probability of the node's 1 side; ``spelling`` the bits of each byte of an escaped word, then of its end.
+    Symbols: words, then the escape, then the 256 bytes of spelled words. ``key`` is a path place's node, scrambled, with
+    its bit lowest; ``own`` the stretched probability of the node's 1 side. ``bits``: slots of a table, as a power of 2.
     """
 
     hashes: np.ndarray
@@ -115,19 +128,22 @@ class Code:
     length: np.ndarray
     key: np.ndarray
     own: np.ndarray
-    spelling: np.ndarray
+    bits: int
 
     @staticmethod
-    def of(hashes: np.ndarray, counts: np.ndarray, rest: float, octets: np.ndarray) -> Code:
+    def of(hashes: np.ndarray, counts: np.ndarray, rest: float, octets: np.ndarray, bits: int = LEAST_BITS) -> Code:
         """``rest``: how often other words occur; ``octets``: counts of bytes in words."""
         one = (np.array([1]), np.array([0]), np.array([0]), np.array([1e-7]))
         length, inner, bit, ones = huffman(np.append(counts + 1.0, max(1.0, rest))) if len(hashes) else one
-        share = np.clip(ones, 1e-7, 1 - 1e-7)
-        node = inner.astype(np.uint32) * MIX2
+        weight = octets + 1.0
+        weight[STOP] = octets.sum() / 8 + 1.0
+        length2, inner2, bit2, ones2 = huffman(weight)
+        length, bit = np.append(length, length2), np.append(bit, bit2)
+        own = np.append(stretched(ones)[inner], stretched(ones2)[inner2])
+        node = np.append(inner, inner2 + len(ones)).astype(np.uint32) * MIX2
         key = (node ^ (node >> np.uint32(15))) & np.uint32(0xFFFFFFFE) | bit.astype(np.uint32)
-        weight = np.append(octets + 1.0, octets.sum() / 8 + 1.0)
         order = np.argsort(hashes)
-        return Code(hashes[order], order.astype(np.int32), counts[order].astype(np.int64), np.cumsum(length) - length, length, key, np.log(share / (1 - share)).astype(np.float32)[inner], -np.log2(weight / weight.sum()))
+        return Code(hashes[order], order.astype(np.int32), counts[order].astype(np.int64), (np.cumsum(length) - length).astype(np.int32), length.astype(np.int32), key, own, bits)
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in ``hashes``, and which of ``h`` stand there."""
@@ -139,12 +155,22 @@ class Code:
 
 @dataclass
 class Laid:
-    """The bits of some texts: each bit's path place and table slots, and where each text's bits begin (one more at the end)."""
+    """The bits of some texts in the order of the mixer's updates: first the first tokens of all texts, and so on.
+
+    ``key``, ``own``: of each bit's path place; ``slot1``, ``slot2``: its table slots; ``owner``: its text, by rank, the
+    longest first; ``spelled``: whether it spells a word. ``ends``: where each update's bits end; ``live``: how many texts
+    have bits in it, and in a later one; ``rank``: of each text.
+    """
 
-    place: np.ndarray
+    key: np.ndarray
+    own: np.ndarray
     slot1: np.ndarray
     slot2: np.ndarray
-    begin: np.ndarray
+    owner: np.ndarray
+    spelled: np.ndarray
+    ends: list
+    live: list
+    rank: np.ndarray
 
 
 def scrambled(x: np.ndarray) -> np.ndarray:
@@ -152,34 +178,73 @@ def scrambled(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint32(13))
 
 
-def lay(code: Code, hashes: list[np.ndarray]) -> Laid:
-    """The bits of texts, given their words' hashes with END after each text's."""
+def halves(x: np.ndarray) -> np.ndarray:
+    return (x ^ (x >> np.uint64(32))).astype(np.uint32)
+
+
+def updates(longest: int) -> np.ndarray:
+    """Token numbers at which the mixer has learned from all before."""
+    out, step = [0], FIRST
+    while out[-1] < longest:
+        out.append(out[-1] + step)
+        step = min(MOST, 2 * step)
+    return np.array(out)
+
+
+def byte_contexts(data: np.ndarray, within: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the two and of the four bytes before each byte, inside its word (``within``: its place there)."""
+    before = np.zeros((4, len(data)), np.uint32)
+    for k in range(4):
+        before[k, k + 1 :] = data[: len(data) - k - 1]
+        before[k, within <= k] = 0
+    c1 = scrambled((before[0] | before[1] << np.uint32(8) | np.uint32(1 << 24)) * MIX2)
+    return c1, scrambled(c1 * MIX2 + (before[2] | before[3] << np.uint32(8) | np.uint32(1 << 25)))
+
+
+def lay(code: Code, words: list[list[bytes]], hashes: list[np.ndarray]) -> Laid:
+    """The bits of texts, given their words and the words' hashes, with END after each text's."""
     h = np.concatenate(hashes)
     count = np.array([len(x) for x in hashes])
     first = np.cumsum(count) - count
     at, hit = code.find(h)
-    symbol = np.where(hit, code.symbols[at] if len(code.hashes) else 0, len(code.hashes))
+    escape = len(code.hashes)
+    symbol = np.where(hit, code.symbols[at], escape).astype(np.int32) if escape else np.zeros(len(h), np.int32)
     # what stands before a word: marks at a text's beginning
     before1, before2 = np.empty_like(h), np.empty_like(h)
     before1[1:], before2[2:] = h[:-1], h[:-2]
     before1[first] = 1
     before2[first] = before2[np.minimum(first + 1, first + count - 1)] = 2
-    c1 = scrambled((before1 ^ (before1 >> np.uint64(32))).astype(np.uint32))
-    c2 = scrambled(c1 * MIX2 + (before2 ^ (before2 >> np.uint64(32))).astype(np.uint32))
+    c1 = scrambled(halves(before1))
+    c2 = scrambled(c1 * MIX2 + halves(before2))
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(-count, kind="stable")] = np.arange(len(count))
+    owner = np.repeat(rank, count)
+    place = np.arange(len(h)) - np.repeat(first, count)
+    cuts = updates(int(count.max()))
+    step = np.searchsorted(cuts, place, "right") - 1
+    spelled = np.zeros(len(h), bool)
+    missed = np.flatnonzero(~hit)
+    if len(missed):
+        text = np.repeat(np.arange(len(count)), count)[missed]
+        some = [words[t][p] if p < len(words[t]) else b"" for t, p in zip(text.tolist(), place[missed].tolist(), strict=True)]
+        size = np.fromiter(map(len, some), np.int64, len(some)) + 1
+        data = np.frombuffer(b"\n".join(some) + b"\n", np.uint8)
+        b1, b2 = byte_contexts(data, np.arange(len(data)) - np.repeat(np.cumsum(size) - size, size))
+        symbol = np.append(symbol, escape + 1 + data.astype(np.int32))
+        c1, c2, owner, step = np.append(c1, b1), np.append(c2, b2), np.append(owner, np.repeat(owner[missed], size)), np.append(step, np.repeat(step[missed], size))
+        spelled = np.append(spelled, np.ones(len(data), bool))
+    order = np.argsort(step * len(count) + owner, kind="stable")
+    symbol, c1, c2 = symbol[order], c1[order], c2[order]
     bits = code.length[symbol]
     ends = np.cumsum(bits)
-    place = np.repeat(code.begin[symbol] - (ends - bits), bits)
-    place += np.arange(len(place))
-    node = code.key[place] >> np.uint32(1)
-    shift = np.uint32(32 - BITS)
+    path = np.repeat(code.begin[symbol] - (ends - bits).astype(np.int32), bits)
+    path += np.arange(len(path), dtype=np.int32)
+    key = code.key[path]
+    node, shift = key >> np.uint32(1), np.uint32(32 - code.bits)
     slot1 = ((np.repeat(c1, bits) + node) * MIX1) >> shift
     slot2 = ((np.repeat(c2, bits) ^ node) * MIX2) >> shift
-    return Laid(place, slot1, slot2, np.append(0, ends[first + count - 1]))
-
-
-def spelled(code: Code, words: list[bytes]) -> float:
-    """Bits of escaped words by their bytes."""
-    return float(code.spelling[np.frombuffer(b"".join(words), np.uint8)].sum()) + len(words) * float(code.spelling[256])
+    last = np.searchsorted(step[order], np.arange(len(cuts) - 1), "right") - 1
+    return Laid(key, code.own[path], slot1, slot2, np.repeat(owner[order], bits), np.repeat(spelled[order], bits), ends[last].tolist(), [(int((count > a).sum()), int((count > b).sum())) for a, b in zip(cuts, cuts[1:], strict=False)], rank)
 
 
 def hashed(raws: list[bytes], known: WordHashes) -> tuple[list[list[bytes]], list[np.ndarray]]:
@@ -199,68 +264,89 @@ def parts(raws: list[bytes]) -> list[tuple[int, int]]:
     return [*out, (a, len(raws))] if a < len(raws) else out
 
 
-def context_counts(docs: DataFrame, code: Code, text: str = "text") -> DataFrame:
-    """(block, counts): how often each slot of the two tables was followed by 0 and by 1, summed over all documents.
+def packed(counts: np.ndarray) -> bytes:
+    """Counts in the narrowest of two widths, compressed."""
+    import zstandard
+
+    wide = counts.max(initial=0) > 255
+    return (b"8" if wide else b"1") + zstandard.compress(counts.astype(np.uint64 if wide else np.uint8).tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.decompress(data[1:]), np.uint64 if data[:1] == b"8" else np.uint8)
 
-    A task counts into its own tables and passes them on in blocks; the blocks of a number stream through one task
-    that holds a single sum.
+
+def context_tables(docs: DataFrame, code: Code, text: str = "text") -> DataFrame:
+    """(block, part, counts): the two tables' predictions, from how often each slot was followed by 0 and by 1 in all documents.
+
+    A task counts into its own tables and passes on the blocks that it touched. Those of one number meet in two steps,
+    by parts of about as many tasks as there are parts and then all, in a task for each block that holds a single sum.
     """
-    blocks = 2 * (1 << BITS) // BLOCK
+    parts_ = max(1, math.isqrt(docs.rdd.getNumPartitions()))
 
     def count(batches):
+        from pyspark import TaskContext
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        schema, known = to_arrow_schema(TABLE), WordHashes()
-        tables, used = [np.zeros(2 << BITS, np.uint32) for _ in range(2)], False
+        schema, known, part = to_arrow_schema(TABLE), WordHashes(), TaskContext.get().partitionId() % parts_
+        tables: list = []
         for b in (s for batch in batches for s in steps(batch, text)):
             raws = bytes_of(b, text)
+            tables = tables or [np.zeros(2 << code.bits, np.uint32) for _ in range(2)]
             for x, y in parts(raws):
-                laid = lay(code, hashed(raws[x:y], known)[1])
-                bit = (code.key[laid.place] & np.uint32(1)).astype(np.int64)
+                laid = lay(code, *hashed(raws[x:y], known))
+                bit = laid.key & np.uint32(1)
                 for table, slot in zip(tables, (laid.slot1, laid.slot2), strict=True):
-                    np.add.at(table, slot.astype(np.int64) * 2 + bit, np.uint32(1))
-                used = True
-        if used:
-            for i in range(blocks):
-                table = tables[2 * i // blocks]
-                a = i % (blocks // 2) * 2 * BLOCK
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(table[a : a + 2 * BLOCK].tobytes(), 1)])], schema=schema)
-
-    def add(batches):
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        schema, block, total = to_arrow_schema(TABLE), None, None
-        out = lambda: pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)])], schema=schema)
-        for batch in batches:
-            for r in range(batch.num_rows):
-                i, data = batch.column(0)[r].as_py(), np.frombuffer(zlib.decompress(batch.column(1)[r].as_py()), np.uint32)
-                if i == block:
-                    total = total + data
-                else:
-                    if total is not None:
-                        yield out()
-                    block, total = i, data.astype(np.uint64)
-        if total is not None:
-            yield out()
-
-    counted = docs.select(text).mapInArrow(count, TABLE)
-    return counted.repartition(min(blocks, 32), "block").sortWithinPartitions("block").mapInArrow(add, TABLE)
-
-
-def predictions(rows: list) -> list[np.ndarray]:
-    """Each slot of the tables as one small number: the stretched probability of 1 in 64ths, and in the lowest two bits how sure it is."""
-    flat = np.zeros(2 << BITS, np.int16)
+                    np.add.at(table, slot * np.uint32(2) + bit, np.uint32(1))
+        for i, table in enumerate(tables):
+            for k, piece in enumerate(table.reshape(-1, 2 * BLOCK)):
+                if piece.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([i << code.bits - 16 | k], pa.int32()), pa.array([part], pa.int32()), pa.array([packed(piece)])], schema=schema)
+
+    def add(last: bool):
+        def run(batches):
+            from pyspark.sql.pandas.types import to_arrow_schema
+
+            schema, at, total = to_arrow_schema(TABLE), None, None
+            out = lambda: pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int32()), pa.array([predictions(total) if last else packed(total)])], schema=schema)
+            for batch in batches:
+                for r in range(batch.num_rows):
+                    now, data = (batch.column(0)[r].as_py(), 0 if last else batch.column(1)[r].as_py()), unpacked(batch.column(2)[r].as_py())
+                    if now == at:
+                        total += data
+                    else:
+                        if total is not None:
+                            yield out()
+                        at, total = now, data.astype(np.uint64)
+            if total is not None:
+                yield out()
+
+        return run
+
+    blocks = 2 << code.bits - 16
+    some = docs.select(text).mapInArrow(count, TABLE).repartition(blocks, "block", "part").sortWithinPartitions("block", "part").mapInArrow(add(False), TABLE)
+    return some.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(add(True), TABLE)
+
+
+def predictions(counts: np.ndarray) -> bytes:
+    """Each slot as one small number: the stretched probability of 1 in 64ths, and in the lowest two bits how sure it is."""
+    n = counts.reshape(-1, 2).astype(np.float64)
+    total = n.sum(1)
+    stretch = np.round(64 * np.log((n[:, 1] + 0.4) / (n[:, 0] + 0.4))).clip(-640, 640).astype(np.int16)
+    return (stretch * 4 + ((total > 0).astype(np.int16) + (total > 3) + (total > 20))).astype("<i2").tobytes()
+
+
+def tables_of(rows: list, bits: int) -> list[np.ndarray]:
+    flat = np.zeros(2 << bits, np.int16)
     for r in rows:
-        n = np.frombuffer(zlib.decompress(r["counts"]), np.uint64).reshape(-1, 2).astype(np.float64)
-        total = n.sum(1)
-        stretch = np.round(64 * np.log((n[:, 1] + 0.4) / (n[:, 0] + 0.4))).clip(-640, 640).astype(np.int16)
-        sure = (total > 0).astype(np.int16) + (total > 3) + (total > 20)
-        flat[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = stretch * 4 + sure
-    return [flat[: 1 << BITS], flat[1 << BITS :]]
+        flat[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["counts"], "<i2")
+    return [flat[: 1 << bits], flat[1 << bits :]]
 
 
-def first_weights() -> list[np.ndarray]:
-    """Weights of each of the three predictors by gate: how sure the two tables are."""
+def first_weights() -> np.ndarray:
+    """(3, 2 * GATES): weights of each predictor by gate: how sure the two tables are; words' bits, then spelled ones."""
     w = np.zeros((4, 4, 3), np.float32)
     w[0, :] = 1, 0, 0
     w[1, :] = 0.85, 0.2, 0
@@ -269,46 +355,46 @@ def first_weights() -> list[np.ndarray]:
     w[:, 1] = 0.6, 0.25, 0.15
     w[:, 2] = 0.3, 0.4, 0.35
     w[:, 3] = 0.1, 0.3, 0.65
-    return [np.ascontiguousarray(x) for x in w.reshape(16, 3).T]
+    return np.tile(w.reshape(GATES, 3).T, 2)
 
 
 class Mixer:
-    """Scores the bits of one text at a time; every text starts from the same weights."""
+    """Scores the bits of many texts side by side, each by its own weights; every text starts from the same ones."""
 
-    def __init__(self, code: Code, tables: list[np.ndarray], rate: float = 0.002, refine: float = 0.01):
+    def __init__(self, code: Code, tables: list[np.ndarray], rate: float = 0.02, refine: float = 0.02):
         self.code, self.tables, self.rate, self.refine = code, tables, rate, refine
         self.start = first_weights()
 
-    def logs(self, laid: Laid) -> list[float]:
-        """Natural log probability of each text's bits."""
-        sign = (self.code.key[laid.place] & np.uint32(1)).astype(np.float32) * 2 - 1
-        own = self.code.own[laid.place]
-        v1, v2 = self.tables[0][laid.slot1], self.tables[1][laid.slot2]
-        gate = (((v1 & 3) << 2) | (v2 & 3)).astype(np.intp)
-        s1, s2 = (v1 >> 2).astype(np.float32) / 64, (v2 >> 2).astype(np.float32) / 64
-        out = []
-        for a, b in zip(laid.begin[:-1].tolist(), laid.begin[1:].tolist(), strict=True):
-            w, fine, total, step = [x.copy() for x in self.start], np.zeros(37, np.float32), 0.0, FIRST
-            while a < b:
-                e = min(b, a + step)
-                g, xs, sg = gate[a:e], (own[a:e], s1[a:e], s2[a:e]), sign[a:e]
-                st = w[0].take(g) * xs[0]
-                st += w[1].take(g) * xs[1]
-                st += w[2].take(g) * xs[2]
-                np.clip(st, -9, 9, out=st)
-                box = (st * 2 + 18.5).astype(np.intp)
-                st += fine.take(box)
-                st *= sg
-                odds = np.exp(-st)
-                total -= float(np.log1p(odds).sum(dtype=np.float64))
-                if e < b:
-                    miss = sg * odds / (1 + odds)
-                    for k, x in enumerate(xs):
-                        w[k] += np.clip(self.rate * np.bincount(g, miss * x, 16), -0.2, 0.2).astype(np.float32)
-                    fine += np.clip(self.refine * np.bincount(box, miss, 37), -0.2, 0.2).astype(np.float32)
-                a, step = e, min(MOST, 4 * step)
-            out.append(total)
-        return out
+    def logs(self, laid: Laid) -> tuple[np.ndarray, np.ndarray]:
+        """Natural log probability of each text's words (escapes as such), and of the spelling of its escaped words."""
+        n = len(laid.rank)
+        w = [np.tile(x, n) for x in self.start]
+        fine, total = np.zeros(n * 2 * BOXES, np.float32), np.zeros(2 * n)
+        a = 0
+        for b, (live, later) in zip(laid.ends, laid.live, strict=True):
+            v1, v2 = self.tables[0].take(laid.slot1[a:b]), self.tables[1].take(laid.slot2[a:b])
+            half = laid.owner[a:b] * 2 + laid.spelled[a:b]
+            g = half * GATES + (((v1 & 3) << 2) | (v2 & 3))
+            sign = (laid.key[a:b] & np.uint32(1)).astype(np.float32) * 2 - 1
+            xs = laid.own[a:b], (v1 >> 2) * np.float32(1 / 64), (v2 >> 2) * np.float32(1 / 64)
+            st = w[0].take(g) * xs[0]
+            st += w[1].take(g) * xs[1]
+            st += w[2].take(g) * xs[2]
+            np.clip(st, -9, 9, out=st)
+            box = half * BOXES + (st * 2 + 18.5).astype(np.int64)
+            st += fine.take(box)
+            st *= sign
+            odds = np.exp(-st)
+            total[: 2 * live] -= np.bincount(half, np.log1p(odds), 2 * live)
+            if later:
+                # the longest texts come first, so those that go on are the first ones
+                miss = odds / (1 + odds)
+                miss *= sign
+                for weight, x in zip(w, xs, strict=True):
+                    weight[: 2 * GATES * live] += np.clip(self.rate * np.bincount(g, miss * x, 2 * GATES * live), -0.2, 0.2)
+                fine[: 2 * BOXES * live] += np.clip(self.refine * np.bincount(box, miss, 2 * BOXES * live), -0.2, 0.2)
+            a = b
+        return total[0::2][laid.rank], total[1::2][laid.rank]
 
 
 @dataclass
@@ -324,7 +410,12 @@ class Model:
 
 
 def learn(train: DataFrame, text: str = "text") -> Model:
-    """Learn from all texts of ``train``. The driver holds WORDS counts, 256 byte counts and two tables of fixed size."""
+    """Learn from all texts of ``train``.
+
+    All words that occur SEEN times or more have a code, the WORDS most frequent ones if there are more, and the tables a
+    slot for TOKENS_A_SLOT tokens, between 2**LEAST_BITS and 2**MOST_BITS: so much is sent to the driver and broadcast,
+    about 80 MB at most. The counts of all words stay a table.
+    """
     every = stored(token_counts(train, text), "token-counts")
     counts = every.where("not is_byte").select("h", "c")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
@@ -332,17 +423,19 @@ def learn(train: DataFrame, text: str = "text") -> Model:
     for r in every.where("is_byte").collect():
         octets[r["h"]] = r["c"]
     octets[[9, 10, 11, 12, 13, 32]] = 0
-    top = counts.orderBy(F.desc("c"), "h").limit(WORDS).toArrow()
+    top = counts.where(F.col("c") >= SEEN).orderBy(F.desc("c"), "h").limit(WORDS).toArrow()
     hashes, c = top["h"].to_numpy().view(np.uint64), top["c"].to_numpy().astype(np.float64)
-    if len(hashes) and not (hashes == END).any():
-        hashes, c = np.append(hashes, END), np.append(c, 0.0)
-    code = Code.of(hashes, c, n - c.sum(), octets)
-    tables = predictions(context_counts(train, share(train, code), text).collect())
+    if n and not (hashes == END).any():
+        ends = counts.where(F.col("h") == int(END)).first()
+        hashes, c = np.append(hashes, END), np.append(c, float(ends["c"]) if ends else 0.0)
+    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(n / TOKENS_A_SLOT)))) if n else LEAST_BITS
+    code = Code.of(hashes, c, n - c.sum(), octets, bits)
+    tables = tables_of(context_tables(train, share(train, code), text).collect(), bits)
     return Model(counts, n, v, n - c.sum() + v - int((c > 0).sum()) + 1, code, tables)
 
 
 def share(df: DataFrame, value):
-    """A broadcast that reads like the value itself; its size is bounded by WORDS and BITS."""
+    """A broadcast that reads like the value itself; its size is bounded by WORDS and MOST_BITS."""
     return Shared(df.sparkSession.sparkContext.broadcast(value))
 
 
@@ -376,12 +469,11 @@ def scores(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
             cols: list[list] = [[] for _ in SCORED]
             for x, y in parts(raws):
                 words, hashes = hashed(raws[x:y], known)
-                for raw, ws, h, said in zip(raws[x:y], words, hashes, mixer.logs(lay(code.value, hashes)), strict=True):
+                for raw, h, said, written in zip(raws[x:y], hashes, *mixer.logs(lay(code.value, words, hashes)), strict=True):
                     at, hit = code.value.find(h)
                     own = at[hit]
-                    written = spelled(code.value, [ws[i] for i in np.flatnonzero(~hit[:-1]).tolist()])
                     seen[0] += 1
-                    row = (len(h), len(raw), int((code.value.counts[own] > 0).sum()), float(log[own].sum()), said / np.log(10), written - said / np.log(2), h[~hit].view(np.int64), (TaskContext.get().partitionId() << 36) + seen[0])
+                    row = (len(h), len(raw), int((code.value.counts[own] > 0).sum()), float(log[own].sum()), said / np.log(10), -(said + written) / np.log(2), h[~hit].view(np.int64), (TaskContext.get().partitionId() << 36) + seen[0])
                     for c, value in zip(cols, row, strict=True):
                         c.append(value)
             return cols

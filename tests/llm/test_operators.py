@@ -84,23 +84,64 @@ def test_context_mixing(spark, docs, empty):
 
 
 def test_context_mixing_probabilities_sum_to_one(spark):
-    """All next words together, the unseen one included, have probability 1."""
+    """All next words together, the unseen one included, have probability 1, and so have all spellings of one byte or none."""
     from tessera.llm import mixing_lm as lm
     from tessera.llm.neardup import WordHashes
 
-    d = spark.createDataFrame([("a b a b a c",), ("a c a b",), ("d",)], "text string")
+    d = spark.createDataFrame([("a b a b a c",), ("a c a b",), ("d",)] * 4, "text string")
     m = lm.learn(d)
     mixer, known = lm.Mixer(m.code, m.tables), WordHashes()
-    total = 0.0
-    for first in (b"a", b"b", b"c", b"d", b"never"):
-        laid = lm.lay(m.code, lm.hashed([first], known)[1])
-        # the first word's share alone: its own bits, without the end's
-        n = int(m.code.length[m.code.symbols[m.code.find(np.array([known[first]], np.uint64))[0][0]]]) if first != b"never" else int(m.code.length[len(m.code.hashes)])
-        cut = lm.Laid(laid.place[:n], laid.slot1[:n], laid.slot2[:n], np.array([0, n]))
-        total += np.exp(mixer.logs(cut)[0])
-    laid = lm.lay(m.code, lm.hashed([b""], known)[1])
-    total += np.exp(mixer.logs(laid)[0])
+    said = lambda ws, hs: tuple(x[0] for x in mixer.logs(lm.lay(m.code, [ws], [np.array(hs, np.uint64)])))
+    total = sum(np.exp(said([w], [known[w]])[0]) for w in (b"a", b"b", b"c", b"d", b"never")) + np.exp(said([], [lm.END])[0])
     assert total == pytest.approx(1, abs=1e-4)
+    # a first byte, then anything: the spellings of one byte and of the empty word, with what goes on left out
+    stop = m.code.length[len(m.code.hashes) + 1 + lm.STOP]
+    assert stop > 0 and said([b"never"], [known[b"never"]])[1] < said([b"n"], [known[b"n"]])[1] < 0
+
+
+def test_context_mixing_against_one_bit_at_a_time(spark, docs):
+    from tessera.llm import mixing_lm as lm
+    from tessera.llm.neardup import WordHashes
+
+    m = lm.learn(docs.where("doc_id % 2 = 0"))
+    code, mixer = m.code, lm.Mixer(m.code, m.tables)
+    raws = [(t or "").encode() for t in TEXTS if t != LONG] + [LONG[:9000].encode(), b"new words here " * 40]
+    words, hashes = lm.hashed(raws, WordHashes())
+    got = mixer.logs(lm.lay(code, words, hashes))
+    one = lambda x: np.array([x], np.uint32)
+    where = {int(h): int(s) for h, s in zip(code.hashes, code.symbols, strict=True)}
+    shift = np.uint32(32 - code.bits)
+    for t, (ws, hs) in enumerate(zip(words, hashes, strict=True)):
+        w, fine, sums = mixer.start.astype(float).copy(), np.zeros((2, lm.BOXES)), [0.0, 0.0]
+        at, step = 0, lm.FIRST
+        while at < len(hs):
+            grads, refined = np.zeros_like(w), np.zeros_like(fine)
+            for i in range(at, min(len(hs), at + step)):
+                b1, b2 = (int(hs[i - 1]) if i > 0 else 1), (int(hs[i - 2]) if i > 1 else 2)
+                c1 = lm.scrambled(one((b1 ^ b1 >> 32) & 0xFFFFFFFF))
+                todo = [(0, where.get(int(hs[i]), len(code.hashes)), c1, lm.scrambled(c1 * lm.MIX2 + one((b2 ^ b2 >> 32) & 0xFFFFFFFF)))]
+                if int(hs[i]) not in where:
+                    raw = ws[i] + b"\n"
+                    for k, c in enumerate(raw):
+                        p = [raw[k - j] if k >= j else 0 for j in (1, 2, 3, 4)]
+                        d1 = lm.scrambled(one(p[0] | p[1] << 8 | 1 << 24) * lm.MIX2)
+                        todo.append((1, len(code.hashes) + 1 + c, d1, lm.scrambled(d1 * lm.MIX2 + one(p[2] | p[3] << 8 | 1 << 25))))
+                for half, symbol, x1, x2 in todo:
+                    for place in range(code.begin[symbol], code.begin[symbol] + code.length[symbol]):
+                        node, bit = code.key[place : place + 1] >> np.uint32(1), int(code.key[place]) & 1
+                        v = [int(m.tables[0][((x1 + node) * lm.MIX1 >> shift)[0]]), int(m.tables[1][((x2 ^ node) * lm.MIX2 >> shift)[0]])]
+                        g = half * lm.GATES + (v[0] & 3) * 4 + (v[1] & 3)
+                        x = np.array([code.own[place], (v[0] >> 2) / 64, (v[1] >> 2) / 64])
+                        st = np.clip(np.float32(w[:, g] @ x), -9, 9)
+                        box = int(st * 2 + 18.5)
+                        p1 = 1 / (1 + np.exp(-float(st + fine[half, box])))
+                        sums[half] += np.log(p1 if bit else 1 - p1)
+                        grads[:, g] += (bit - p1) * x
+                        refined[half, box] += bit - p1
+            w += np.clip(mixer.rate * grads, -0.2, 0.2)
+            fine += np.clip(mixer.refine * refined, -0.2, 0.2)
+            at, step = at + step, min(lm.MOST, 2 * step)
+        assert sums == pytest.approx([got[0][t], got[1][t]], rel=2e-3, abs=2e-3)
 
 
 def test_convnet(spark, docs, empty):
