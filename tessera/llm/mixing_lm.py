@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import heapq
 import math
+import pickle
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,7 +33,7 @@ from .neardup import WordHashes
 #: Bounds of memory: most words with a code of their own, and slots of each table, as a power of 2, at least and at most.
 WORDS, LEAST_BITS, MOST_BITS = 1 << 18, 22, 23
 #: A word has a code if training saw it so often; a table has a slot for so many training tokens; slots of a block of a table.
-SEEN, TOKENS_A_SLOT, BLOCK = 4, 4, 1 << 16
+SEEN, TOKENS_A_SLOT, BLOCK = 4, 8, 1 << 18
 #: Distinct words that a task counts before it passes them on; bytes of text whose bits are laid out together.
 COUNTED, LAID = 300_000, 1 << 18
 #: Tokens that the mixer takes between updates: at first, then twice as many each time, up to a bound.
@@ -264,6 +266,28 @@ def parts(raws: list[bytes]) -> list[tuple[int, int]]:
     return [*out, (a, len(raws))] if a < len(raws) else out
 
 
+class Shared:
+    """A broadcast, sent compressed, that each worker unpacks once; its size is bounded by WORDS and MOST_BITS."""
+
+    #: The latest that this process has unpacked, by name.
+    unpacked: dict = {}
+
+    def __init__(self, df: DataFrame, value):
+        import zstandard
+
+        self.name, self.held = uuid.uuid4().hex, df.sparkSession.sparkContext.broadcast(zstandard.compress(pickle.dumps(value, 5), 3))
+
+    @property
+    def value(self):
+        import zstandard
+
+        if self.name not in Shared.unpacked:
+            if len(Shared.unpacked) > 1:
+                Shared.unpacked.clear()
+            Shared.unpacked[self.name] = pickle.loads(zstandard.decompress(self.held.value))
+        return Shared.unpacked[self.name]
+
+
 def packed(counts: np.ndarray) -> bytes:
     """Counts in the narrowest of two widths, compressed."""
     import zstandard
@@ -278,7 +302,7 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(data[1:]), np.uint64 if data[:1] == b"8" else np.uint8)
 
 
-def context_tables(docs: DataFrame, code: Code, text: str = "text") -> DataFrame:
+def context_tables(docs: DataFrame, held: Shared, bits: int, text: str = "text") -> DataFrame:
     """(block, part, counts): the two tables' predictions, from how often each slot was followed by 0 and by 1 in all documents.
 
     A task counts into its own tables and passes on the blocks that it touched. Those of one number meet in two steps,
@@ -291,7 +315,7 @@ def context_tables(docs: DataFrame, code: Code, text: str = "text") -> DataFrame
         from pyspark.sql.pandas.types import to_arrow_schema
 
         schema, known, part = to_arrow_schema(TABLE), WordHashes(), TaskContext.get().partitionId() % parts_
-        tables: list = []
+        tables, code = [], held.value
         for b in (s for batch in batches for s in steps(batch, text)):
             raws = bytes_of(b, text)
             tables = tables or [np.zeros(2 << code.bits, np.uint32) for _ in range(2)]
@@ -303,7 +327,7 @@ def context_tables(docs: DataFrame, code: Code, text: str = "text") -> DataFrame
         for i, table in enumerate(tables):
             for k, piece in enumerate(table.reshape(-1, 2 * BLOCK)):
                 if piece.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([i << code.bits - 16 | k], pa.int32()), pa.array([part], pa.int32()), pa.array([packed(piece)])], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array([i * len(table) // (2 * BLOCK) + k], pa.int32()), pa.array([part], pa.int32()), pa.array([packed(piece)])], schema=schema)
 
     def add(last: bool):
         def run(batches):
@@ -325,7 +349,7 @@ def context_tables(docs: DataFrame, code: Code, text: str = "text") -> DataFrame
 
         return run
 
-    blocks = 2 << code.bits - 16
+    blocks = (2 << bits) // BLOCK
     some = docs.select(text).mapInArrow(count, TABLE).repartition(blocks, "block", "part").sortWithinPartitions("block", "part").mapInArrow(add(False), TABLE)
     return some.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(add(True), TABLE)
 
@@ -406,6 +430,7 @@ class Model:
     kinds: int
     escaped: float
     code: Code
+    held: Shared
     tables: list[np.ndarray]
 
 
@@ -430,23 +455,9 @@ def learn(train: DataFrame, text: str = "text") -> Model:
         hashes, c = np.append(hashes, END), np.append(c, float(ends["c"]) if ends else 0.0)
     bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(n / TOKENS_A_SLOT)))) if n else LEAST_BITS
     code = Code.of(hashes, c, n - c.sum(), octets, bits)
-    tables = tables_of(context_tables(train, share(train, code), text).collect(), bits)
-    return Model(counts, n, v, n - c.sum() + v - int((c > 0).sum()) + 1, code, tables)
-
-
-def share(df: DataFrame, value):
-    """A broadcast that reads like the value itself; its size is bounded by WORDS and MOST_BITS."""
-    return Shared(df.sparkSession.sparkContext.broadcast(value))
-
-
-class Shared:
-    def __init__(self, held):
-        self.held = held
-
-    def __getattr__(self, name):
-        if name == "held":
-            raise AttributeError(name)
-        return getattr(self.held.value, name)
+    held = Shared(train, code)
+    tables = tables_of(context_tables(train, held, bits, text).collect(), bits)
+    return Model(counts, n, v, n - c.sum() + v - int((c > 0).sum()) + 1, code, held, tables)
 
 
 def scores(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -457,8 +468,7 @@ def scores(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
     """
     from pyspark import TaskContext
 
-    spark = docs.sparkSession.sparkContext
-    held, code = spark.broadcast(model.tables), spark.broadcast(model.code)
+    held, code = Shared(docs, model.tables), model.held
 
     def make():
         known, mixer, seen = WordHashes(), Mixer(code.value, held.value), [0]
