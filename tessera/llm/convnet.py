@@ -16,8 +16,8 @@ from .common import bytes_of, fold, with_arrow
 CHUNK, STEP, WIDTH, STRIDE = 512, 448, 8, 4
 #: Numbers of a byte's embedding, of filters, of hidden units.
 EMBED, FILTERS, HIDDEN = 6, 24, 16
-#: Bound of the labelled rows of each class that the network is fitted on, rows of a step, and the least steps and epochs.
-FIT_ROWS, BATCH, LEAST_STEPS, LEAST_EPOCHS = 1000, 16, 500, 4
+#: Bound of the labelled rows of each class that the network is fitted on and of the chunks of each; rows of a step, and the least steps and epochs.
+FIT_ROWS, FIT_CHUNKS, BATCH, LEAST_STEPS, LEAST_EPOCHS = 1000, 64, 16, 500, 4
 #: Chunks computed together.
 TOGETHER = 256
 SCORE = T.StructType([T.StructField("score", T.DoubleType())])
@@ -32,6 +32,12 @@ def chunks(raw: bytes) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(data, CHUNK)[starts]
 
 
+def spread(raw: bytes) -> np.ndarray:
+    """At most FIT_CHUNKS of the chunks, evenly spread over the text."""
+    c = chunks(raw)
+    return c if len(c) <= FIT_CHUNKS else c[np.linspace(0, len(c) - 1, FIT_CHUNKS).astype(int)]
+
+
 def windows(c: np.ndarray) -> np.ndarray:
     """(chunks, places, WIDTH) bytes under the filters."""
     return np.lib.stride_tricks.sliding_window_view(c, WIDTH, 1)[:, ::STRIDE]
@@ -83,8 +89,8 @@ class Net:
         return out
 
 
-def fit(raws: list[bytes], labels: list[int], weights: dict[int, float], seed: int = 7, batch: int = BATCH, rate: float = 4e-3) -> Net:
-    """Adam on the weighted log loss. Without rows of both classes the network stays as drawn but for its bias."""
+def fit(raws: list[bytes | np.ndarray], labels: list[int], weights: dict[int, float], seed: int = 7, batch: int = BATCH, rate: float = 4e-3) -> Net:
+    """Adam on the weighted log loss of texts, or of their chunks. Without rows of both classes the network stays as drawn but for its bias."""
     net, r = Net.new(seed), np.random.default_rng(seed)
     total = {k: weights.get(k, 0.0) for k in (0, 1)}
     share = (total[1] + 1) / (total[0] + total[1] + 2)
@@ -95,7 +101,7 @@ def fit(raws: list[bytes], labels: list[int], weights: dict[int, float], seed: i
     y_all = np.array(labels, np.float32)
     per = {k: weights[k] / max(1, int((y_all == k).sum())) for k in (0, 1)}
     mean = (per[0] * (y_all == 0).sum() + per[1] * (y_all == 1).sum()) / len(y_all)
-    cut = [chunks(x) for x in raws]
+    cut = [chunks(x) if isinstance(x, bytes) else x for x in raws]
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in net.parts()]
     t, epochs = 0, max(LEAST_EPOCHS, -(-LEAST_STEPS * batch // len(raws)))
     for epoch in range(epochs):
@@ -137,7 +143,8 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Net:
     """The network from labelled rows whose crc32(doc_id as text) mod 5 is not 0.
 
     At most FIT_ROWS rows of each class, those of the smallest id hashes; classes count by their share of all labelled
-    rows. Rows with null labels or texts are left out.
+    rows. Rows with null labels or texts are left out. A text has FIT_CHUNKS chunks at most, spread evenly over the whole
+    of it, so at most 2 * FIT_ROWS * FIT_CHUNKS * CHUNK bytes (65 MB) reach the driver.
     """
     rows = labels.where(F.col(label).isin(0, 1) & (fold("doc_id", 5) != 0)).select("doc_id", F.col(label).cast("int").alias("y"))
     counts = {r["y"]: float(r["count"]) for r in rows.groupBy("y").count().collect()}
@@ -146,8 +153,13 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Net:
         part = rows.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
         some = part if some is None else some.unionByName(part)
     # at most 2 * FIT_ROWS ids
-    picked = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(some), "doc_id").orderBy("doc_id", "y", "text").collect()
-    return fit([r["text"].encode("utf-8", "surrogatepass") for r in picked], [r["y"] for r in picked], counts)
+    picked = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(some), "doc_id")
+
+    def make():
+        return lambda batch: [[spread(x).tobytes() for x in bytes_of(batch, "text")]]
+
+    cut = with_arrow(picked, T.StructType([T.StructField("chunks", T.BinaryType())]), make, keep=["doc_id", "y"]).orderBy("doc_id", "y", "chunks").collect()
+    return fit([np.frombuffer(r["chunks"], np.uint8).reshape(-1, CHUNK) for r in cut], [r["y"] for r in cut], counts)
 
 
 def quality_scores(docs: DataFrame, net: Net, text: str = "text", keep: list[str] | None = None) -> DataFrame:
