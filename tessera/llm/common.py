@@ -1,4 +1,4 @@
-"""Helpers shared by the corpus operators: stored tables, bounded Arrow batches, ASCII words."""
+"""Helpers shared by the corpus operators: stored tables, bounded Arrow batches, private column names."""
 
 from __future__ import annotations
 
@@ -20,9 +20,11 @@ STEP_BYTES = 6 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset and all is one process."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = f"file:///tmp/checkpoints/{uuid.uuid4().hex}"
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -65,10 +67,10 @@ def with_arrow(df: DataFrame, fields: T.StructType, make: Callable[[], Callable[
     """Append columns computed in Python from bounded slices of each partition.
 
     ``make`` runs once a task and gives the function from a slice to one list or array for each field.
-    Columns of ``df`` named like a new field are replaced; ``keep`` narrows what is passed on.
+    Columns of ``df`` named like a new field, in whatever case, are replaced; ``keep`` narrows what is passed on.
     """
-    new = {f.name for f in fields}
-    have = [c for c in (df.columns if keep is None else keep) if c not in new]
+    new = {f.name.lower() for f in fields}
+    have = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
     base = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*have, text])])
     drop_text = text not in have
     out = T.StructType([f for f in base.schema if f.name != text or not drop_text] + list(fields))
@@ -85,6 +87,17 @@ def with_arrow(df: DataFrame, fields: T.StructType, make: Callable[[], Callable[
     return base.mapInArrow(run, out)
 
 
-def ascii_words(text: bytes) -> list[bytes]:
-    """Words between ASCII white space; bytes.split() splits at exactly those six characters."""
-    return text.split()
+def window_of(text: Column, h: Column, most: int) -> Column:
+    """``most`` characters of a text from a place that ``h`` gives, anywhere in it; the whole text if it is no longer."""
+    return F.substring(text, F.lit(1) + F.pmod(h, F.greatest(F.lit(1), F.length(text) - F.lit(most - 1))).cast("int"), F.lit(most))
+
+
+def private(df: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
+    """``df`` with column names that no operator uses, and the text column's; public() gives the old ones back."""
+    names = [f"own_{i}__" for i in range(len(df.columns))]
+    return df.toDF(*names), names[df.columns.index(text)]
+
+
+def public(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns that private() renamed, alone and with their old names."""
+    return df.select(*[f"own_{i}__" for i in range(len(columns))]).toDF(*columns)

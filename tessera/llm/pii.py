@@ -17,13 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import texts_of, with_arrow
+from .common import private, public, texts_of, window_of, with_arrow
 
 KINDS = ("email", "ip", "card", "phone")
 OTHER = len(KINDS)
 LABELS = len(KINDS) + 1
-#: Bound of the documents that the potentials are fitted on.
-FIT_DOCUMENTS = 2000
+#: Bound of the documents that the potentials are fitted on, and of the characters of each, from a place by its hash on.
+FIT_DOCUMENTS, FIT_CHARS = 2000, 20_000
 #: Rounds of message passing, their damping, and the belief from which a token is taken.
 ROUNDS, DAMPING, SURE = 8, 0.3, 0.8
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -238,10 +238,19 @@ def graph(text: str, base: list[tuple[int, int, int]]) -> Graph | None:
             known[k] = next((c for x, y, c in reversed(order[max(0, at - 8) : at]) if x <= spans[i][0] and b <= y), -1)
             spans.append((a, b))
             keys.append((a, k, d))
-    last, ends = {}, {}
+    last, ends, halves = {}, {}, {}
     for _, i, key in sorted(keys):
         near = suffixes(key) if key.isdigit() else []
-        for j in {last.get(key), ends.get(key) if len(key) <= 15 else None, *map(last.get, near)} - {None}:
+        links = {last.get(key), ends.get(key) if len(key) <= 15 else None, *map(last.get, near)} - {None}
+        # similar ones: the same mailbox at another domain, or a number with one digit changed, so that a half is the same
+        n, half = len(key), len(key) // 2
+        parts = [(n, 0, key[:half]), (n, 1, key[half:])] if key.isdigit() and n >= 10 else [key[: key.index("@") + 1]] if key.find("@") > 2 else []
+        for part in parts:
+            j, other = halves.get(part, (None, ""))
+            if j is not None and (isinstance(part, str) or close(other, key)):
+                links.add(j)
+            halves[part] = i, key
+        for j in links:
             if spans[j][1] <= spans[i][0]:
                 edges.append((j, i, 1))
         last[key] = i
@@ -348,6 +357,11 @@ def find(text: str, p: Potentials) -> tuple[list[tuple[int, int, int]], list[tup
     return base, added
 
 
+def close(a: str, b: str) -> bool:
+    """Whether numbers of the same length differ in one digit."""
+    return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+
+
 def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, b, k in sorted(spans, key=lambda s: (s[0], s[2], s[1])))
 
@@ -367,12 +381,15 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def fitted(docs: DataFrame, text: str = "text") -> Potentials:
-    """Potentials from the FIT_DOCUMENTS distinct texts of the smallest hashes among those with a digit or an @, cut to 20,000 characters."""
+    """Potentials from the FIT_DOCUMENTS distinct texts of the smallest hashes among those with a digit or an @.
+
+    Of a longer text, FIT_CHARS characters count from a place that its hash gives, anywhere in it.
+    """
     some = docs.where(F.col(text).rlike("[0-9@]")).select(F.xxhash64(text).alias("h"), F.col(text).alias("t"))
     last = some.select("h").distinct().orderBy("h").limit(FIT_DOCUMENTS).agg(F.max("h")).first()[0]
     if last is None:
         return fit([])
-    rows = some.where(F.col("h") <= last).groupBy("h").agg(F.min(F.substring("t", 1, 20000)).alias("t"))
+    rows = some.where(F.col("h") <= last).groupBy("h").agg(F.min(window_of(F.col("t"), F.col("h"), FIT_CHARS)).alias("t"))
     return fit([r["t"] for r in rows.orderBy("h").collect()])
 
 
@@ -399,9 +416,14 @@ def personal_data(docs: DataFrame, p: Potentials, text: str = "text", keep: list
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """The documents with personal data replaced in ``text``, and ``n_chars``, where there is one, counted again."""
-    found = personal_data(docs, fitted(docs))
-    out = found.withColumn("text", F.col("redacted"))
+    """The documents with personal data replaced in ``text``, and ``n_chars``, where there is one, counted again.
+
+    All rows and columns stay, whatever their names. Null texts stay null and keep their ``n_chars``; empty ones stay
+    empty; very long ones are read whole. Repeated rows get equal results. An empty table gives an empty result.
+    """
+    own, name = private(docs)
+    out = personal_data(own, fitted(docs), name).withColumn(name, F.col("redacted"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
-    return out.select(*docs.columns)
+        chars = f"own_{docs.columns.index('n_chars')}__"
+        out = out.withColumn(chars, F.coalesce(F.length(name).cast(docs.schema["n_chars"].dataType), F.col(chars)))
+    return public(out, docs.columns)

@@ -93,7 +93,8 @@ def take_mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: floa
     """The mix itself: ``docs`` (doc_id, source, text and others) with each row as often as mix() takes it.
 
     The row in which a budget ends comes once more with its first words only, joined by spaces; ``n_chars``, where there
-    is one, is counted again there. Rows that are not taken, such as those without words, go.
+    is one, is counted again there. Rows that are not taken, such as those without words (null and empty texts), go. Other
+    columns are passed on, whatever their names. Repeated rows are taken each. An empty table gives an empty result.
     """
     columns = docs.columns
     packed = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row_"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, texts_of, with_arrow
+from .common import private, public, stored, texts_of, with_arrow
 
 SYMBOLS = "#*$%&|<>"
 ABSTAIN, GOOD, BAD = 0, 1, 2
@@ -163,7 +163,11 @@ def rule_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The documents that the rules keep, with their own columns. The measures are taken twice rather than stored with the texts."""
+    """The documents that the rules keep, with their own columns and values, whatever their names.
+
+    Null and empty texts fail the base rules and go; very long ones are measured whole. Repeated rows stay or go together.
+    An empty table gives an empty result. The measures are taken twice rather than stored with the texts.
+    """
     model = fit(measured(docs.select(text), text, []))
-    columns = docs.columns
-    return judged(measured(docs, text), model).where("kept").select(*columns)
+    own, name = private(docs, text)
+    return public(judged(measured(own, name), model).where("kept"), docs.columns)
