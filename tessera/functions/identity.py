@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .rules import HANDLE_TAILS, LEGAL_SUFFIXES, MARKETPLACES, MULTI_PART_SUFFIXES
+from .rules import HANDLE_TAILS, LEGAL_SUFFIXES, MARKETPLACES, MULTI_PART_SUFFIXES, PRIVATE_HOSTS
 
 
 def filled(c: Column) -> Column:
@@ -79,5 +79,12 @@ def slugs(value: Column) -> Column:
     return F.when(F.length(full) >= 5, F.when((cut != full) & (F.length(cut) >= 5), F.array(full, cut)).otherwise(F.array(full))).otherwise(F.array().cast("array<string>"))
 
 
+def is_public(url: Column) -> Column:
+    """Whether a URL or bare host names a public host: one with a dot that is no private range, local name or metadata service."""
+    s = F.regexp_replace(F.lower(F.trim(url)), r"^[a-z][a-z0-9+.-]*://", "")
+    h = F.regexp_replace(F.regexp_extract(s, r"^(?:[^/?#@]*@)?(\[[^\]/?#]*\]?|[^/?#:]*)", 1), r"\.$", "")
+    return F.coalesce(h.contains(".") & ~h.rlike("|".join(PRIVATE_HOSTS)), F.lit(False))
+
+
 def is_marketplace(dom: Column) -> Column:
     return dom.isin(MARKETPLACES)

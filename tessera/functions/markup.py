@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .rules import PLATFORMS
-
-US_STATES = "AL|AK|AZ|AR|CA|CO|CT|DE|FL|GA|HI|ID|IL|IN|IA|KS|KY|LA|ME|MD|MA|MI|MN|MS|MO|MT|NE|NV|NH|NJ|NM|NY|NC|ND|OH|OK|OR|PA|RI|SC|SD|TN|TX|UT|VT|VA|WA|WV|WI|WY"
-US_WORDS = r"united states|usa|u\.s\.a|brooklyn|los angeles|new york|portland|austin|chicago|seattle|nashville|philadelphia|oakland|atlanta|denver|minneapolis|richmond|providence"
+from .rules import PLATFORMS, US_STATES, US_WORDS
 
 
 def stripped(html: Column) -> Column:

@@ -16,8 +16,8 @@ LEGAL_SUFFIXES = ["llc", "inc", "incorporated", "co", "corp", "ltd", "limited",
 CORPORATE_MARKERS = ["investor relations", "careers at", "nasdaq", "nyse:", "our global", "fortune 500", "annual report", "shareholder", "board of directors", "press@", "ir@", "corporate headquarters"]
 MARKETPLACES = ["etsy.com", "instagram.com", "tiktok.com", "facebook.com", "amazon.com", "linktr.ee", "beacons.ai", "bio.link", "linktree.com", "twitter.com", "x.com", "pinterest.com", "youtube.com", "depop.com", "ebay.com", "shop.app", "bigcartel.com", "gumroad.com"]
 PLATFORMS = [
-    ("shopify", r"cdn\.shopify\.com|shopify\.com/s/files|shopify\.theme|myshopify\.com"),
-    ("squarespace", r"squarespace\.com|static1\.squarespace|squarespace\.afterbodyload"),
+    ("shopify", r"cdn\.shopify\.com|shopify\.com/s/files|Shopify\.theme|myshopify\.com"),
+    ("squarespace", r"squarespace\.com|static1\.squarespace|Squarespace\.afterBodyLoad"),
     ("wix", r"wix\.com|wixstatic\.com|parastorage\.com"),
     ("webflow", r"webflow\.com|website-files\.com|wf-domain"),
     ("wordpress", r"wp-content|wp-includes|wordpress"),
@@ -39,4 +39,9 @@ HTML_FLAGS = {
     "has_booking": r"calendly|acuityscheduling|squareup\.com/appointments|book\s+(a|an|now|online)|schedule\s+(a|an)\s+(call|session|consult)|appointment|reserve\s+your",
     "has_blog": r"/blog|/journal|/news|/stories|/diary",
 }
-GENERAL_TLDS = ["com", "net", "org", "edu", "gov", "info", "biz", "co", "io", "shop", "studio"]
+US_STATES = "AL|AK|AZ|AR|CA|CO|CT|DE|FL|GA|HI|ID|IL|IN|IA|KS|KY|LA|ME|MD|MA|MI|MN|MS|MO|MT|NE|NV|NH|NJ|NM|NY|NC|ND|OH|OK|OR|PA|RI|SC|SD|TN|TX|UT|VT|VA|WA|WV|WI|WY"
+US_WORDS = r"united states|usa|u\.s\.a|brooklyn|los angeles|new york|portland|austin|chicago|seattle|nashville|philadelphia|oakland|atlanta|denver|minneapolis|richmond|providence"
+# Hosts that are not public names.
+PRIVATE_HOSTS = [r"^localhost$", r"\.localhost$", r"^127\.", r"^0\.", r"^10\.", r"^169\.254\.", r"^192\.168\.", r"^172\.(?:1[6-9]|2\d|3[01])\.", r"^\[?::1\]?$", r"^\[?f[cd][0-9a-f]{2}:", r"^\[?fe80:", r"\.internal$", r"\.local$", r"\.lan$", r"\.home$", r"^metadata\.google", r"^instance-data"]
+# Praise that names nothing.
+VAGUE_PRAISE = r"^(?:the\s+)?(?:aesthetic|brand|unique|strong|beautiful|lovely|great|nice|good|distinct|creative)\b[\w\s]*(?:personality|identity|aesthetic|products?|brand|vibe|feel|style|values?)\s*$"

@@ -18,7 +18,7 @@ CHAIN_NAME, CHAIN_NUMBER = r"\b(inc|llc|corp|corporation|franchise|outlet|supers
 TLDS = ["com", "co", "shop", "studio", "store", "art", "design", "us", "net", "club", "boutique"]
 OTHER_TRADES = ["tile", "sanitary", "refractor", "abrasive", "insulation", "porcelainware", "bearing", "granite", "marble", "flooring", "plumbing", "hvac", "roofing", "concrete", "masonry", "kitchenbath", "countertop", "industrial", "technical", "advanced", "solutions", "systems", "engineering", "supplies", "equipment", "corporation", "holdings", "international", "globalgroup", "manufacturing", "distributor", "wholesaleinc", "hospital", "clinic", "dental", "insurance", "realty", "mortgage", "lawfirm", "attorney", "bankof", "university", "college"]
 OTHER_COUNTRIES = ["saudi", "emirates", "dubai", "qatar", "kuwait", "india", "indian", "pakistan", "bangla", "nigeria", "kenya", "malaysia", "indonesia", "vietnam", "thai", "philippine", "brasil", "brazil", "mexico", "espana", "deutschland", "france", "italia", "nippon", "korea", "shanghai", "beijing", "guangzhou", "shenzhen", "australia", "canada", "newzealand"]
-KEPT_TAGS = ["name", "website", "phone", "addr:city", "addr:state", "addr:street", "shop", "craft", "amenity", "opening_hours", "description", "brand", "operator", "wheelchair", "payment:credit_cards", "healthcare", "office"]
+KEPT_TAGS = ["shop", "craft", "cuisine", "opening_hours", "phone", "addr:street", "addr:city", "addr:state", "addr:postcode", "contact:instagram", "description", "wheelchair", "payment:credit_cards", "air_conditioning", "second_hand", "organic", "brand"]
 
 
 def tag(key: str) -> Column:
@@ -44,7 +44,7 @@ def keep_tags(c: Column, keys: list[str] = KEPT_TAGS, most: int = 200) -> Column
 
 def place_niche(elements: DataFrame, claims: DataFrame, fallback: str) -> DataFrame:
     """Elements (id, field, value) by the first niche (claims: field, value, niche, place) that claims the value."""
-    hit = elements.join(F.broadcast(claims.limit(10_000)), ["field", "value"])
+    hit = elements.join(claims, ["field", "value"])
     first = hit.groupBy("id").agg(F.min(F.struct("place", "niche"))["niche"].alias("niche"))
     return elements.select("id").distinct().join(first, "id", "left").select("id", F.coalesce("niche", F.lit(fallback)).alias("niche"))
 
@@ -79,11 +79,13 @@ def plausible_domain(dom: Column) -> Column:
 def apex_domains(certs: DataFrame, keywords: DataFrame) -> DataFrame:
     """(keyword, domain): plain two-label names of certificates (name_value, one a line) that hold a keyword's first 6 characters.
 
-    Keywords are the batch that was asked for, a few dozen.
+    A name's runs of 1 to 6 characters are joined with the keywords' beginnings, so work grows with the names alone.
     """
     n = certs.select(F.explode(F.split("name_value", "\n")).alias("n")).select(F.lower(F.trim("n")).alias("domain")).where("domain <> '' and instr(domain, '*') = 0 and instr(domain, ' ') = 0")
     n = n.where((F.size(F.split("domain", r"\.")) == 2) & plausible_domain(F.col("domain"))).distinct()
-    return n.join(F.broadcast(keywords.limit(10_000)), F.col("domain").contains(F.substring("keyword", 1, 6))).select("keyword", "domain").distinct()
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.lit(6), F.length("domain"))), lambda k: F.transform(F.sequence(F.lit(1), F.length("domain") - k + 1), lambda i: F.substring(F.col("domain"), i, k))))
+    r = n.select("domain", F.explode(F.array_distinct(runs)).alias("run"))
+    return r.join(keywords.select("keyword", F.substring("keyword", 1, 6).alias("run")).distinct(), "run").select("keyword", "domain").distinct()
 
 
 def seed_lines(lines: DataFrame) -> DataFrame:
@@ -159,6 +161,17 @@ def batch_split(fresh: DataFrame, stale: DataFrame, room: int) -> DataFrame:
     return fresh.orderBy("turn").limit(n).select("id", F.lit("fresh").alias("kind")).unionByName(stale.orderBy("turn").limit(room - n).select("id", F.lit("stale").alias("kind")))
 
 
+def reject_chains(entities: DataFrame, sightings: DataFrame, least: int = 3) -> DataFrame:
+    """Entities (profile_id, domain, state, reject_reason) with the chains of their profile rejected; those in contact are spared.
+
+    ``sightings``: profile_id, domain, source. A domain under ``least`` or more sources of a profile is a chain there.
+    """
+    chains = sightings.where("domain is not null").groupBy("profile_id", "domain").agg(F.count_distinct("source").alias("_n")).where(F.col("_n") >= least)
+    j = entities.join(chains, ["profile_id", "domain"], "left")
+    hit = F.col("_n").isNotNull() & ~F.col("state").isin("CONTACTED", "REPLIED", "CONVERSATION", "CLIENT")
+    return j.withColumns({"reject_reason": F.when(hit, "chain:multi-metro").otherwise(F.col("reject_reason")), "state": F.when(hit, "REJECTED").otherwise(F.col("state"))}).drop("_n")
+
+
 def cross_metro_chains(sightings: DataFrame, least: int = 3) -> DataFrame:
     """Domains seen under ``least`` or more sources."""
     return sightings.groupBy("domain").agg(F.count_distinct("source").alias("sources")).where(F.col("sources") >= least)

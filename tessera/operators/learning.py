@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.operators.signals import config
+
 # Fixed values.
 STOPWORDS = "the and for you our with your from that this all are was were has have will can not but they she her his out now new get see how why who what when where about more most some any each other than then them ours shop store home page cart checkout menu search sign login account order orders shipping returns policy privacy terms contact email address phone hours open closed sale off free products product collection collections view add price prices usd size sizes color colors black white blue green small large one two three click here read".split()
 
@@ -53,7 +55,7 @@ def classify_skips(feedback: DataFrame, categories: DataFrame, version: int, mos
     """The newest pending reasons (feedback_id, reason, version, created_at) with the first category whose keyword they hold; all are stamped."""
     pending = feedback.where(F.col("version").isNull() | (F.col("version") < version)).orderBy(F.desc("created_at"), F.desc("feedback_id")).limit(most)
     words = categories.select("category_id", "position", F.explode("keywords").alias("word")).where("word <> ''")
-    hit = pending.join(F.broadcast(words.limit(10_000)), F.lower("reason").contains(F.lower("word")))
+    hit = pending.join(config(words), F.lower("reason").contains(F.lower("word")))
     first = hit.groupBy("feedback_id").agg(F.min(F.struct("position", "category_id"))["category_id"].alias("category_id"))
     return pending.select("feedback_id").join(first, "feedback_id", "left").withColumn("version", F.lit(version))
 

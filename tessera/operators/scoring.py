@@ -9,12 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions.rules import ADVANCED_STATES, CORPORATE_MARKERS, MARKETPLACES, QUALIFY_BAR, WEIGHTS
+from tessera.functions.rules import ADVANCED_STATES, CORPORATE_MARKERS, MARKETPLACES, QUALIFY_BAR, VAGUE_PRAISE, WEIGHTS
 
 # Evidence of a place abroad, in the order in which it is looked for.
 FOREIGN = [
     ("currency", r"(£\s?\d|€\s?\d|₹\s?\d|¥\s?\d|\bAED\b|\bSAR\b|\bINR\b|\bGBP\b|\bEUR\b|\bCAD\b|\bAUD\b)"),
-    ("address", r"(?i)\b(united kingdom|england|scotland|ireland|deutschland|germany|france|spain|italia|nederland|australia|new zealand|canada|ontario|quebec|british columbia|saudi arabia|united arab emirates|dubai|abu dhabi|mumbai|delhi|bangalore|singapore|malaysia|philippines|jakarta|bangkok|shanghai|shenzhen|tokyo|seoul)\b"),
+    ("address", r"(?i)\b(united kingdom|england|scotland|ireland|deutschland|germany|france|españa|spain|italia|nederland|australia|new zealand|canada|ontario|québec|quebec|british columbia|saudi arabia|united arab emirates|dubai|abu dhabi|mumbai|delhi|bangalore|singapore|malaysia|philippines|jakarta|bangkok|shanghai|shenzhen|tokyo|seoul)\b"),
     ("uk-postcode", r"\b[A-Z]{1,2}\d[A-Z\d]?\s?\d[A-Z]{2}\b"),
 ]
 PARKED, PLACEHOLDER = "domain (is )?for sale|buy this domain|parked (free )?courtesy", "coming soon|under construction|opening soon"
@@ -155,11 +155,14 @@ def clean_evaluation(evaluations: DataFrame, niches: list[str]) -> DataFrame:
 
 
 def specific_compliment(praise: DataFrame, column: str = "praise") -> DataFrame:
-    """Praise of 12 to 200 characters that names something: a capital inside, a digit or a quote, or no plain "x and y"."""
-    p = F.trim(column)
-    plain = p.rlike(r"^[a-z]+ and [a-z]+$") | F.lower(p).rlike(r"^(your|the) (site|website|brand|work|design)s? (is|are|looks?) ")
-    named = p.rlike(r".[A-Z]|[0-9]|[\"“']")
-    return praise.where(F.length(p).between(12, 200) & (~plain | named))
+    """Praise of 12 to 200 characters that names something.
+
+    Refused are words of worth about a brand, style or products in general, and plain words joined by "and" without a
+    capital, a digit or a quotation mark after the first character.
+    """
+    p = F.regexp_replace(column, r"^\s+|\s+$", "")
+    joined = p.rlike(r"^[\w\s]+ and [\w\s]+$") & ~F.substring(p, 2, 200).rlike(r"[A-Z0-9\"']")
+    return praise.where(F.length(p).between(12, 200) & ~p.rlike(f"(?i){VAGUE_PRAISE}") & ~joined)
 
 
 def robots_filter(urls: DataFrame, rules: DataFrame, agent: str) -> DataFrame:

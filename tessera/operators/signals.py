@@ -11,6 +11,15 @@ from tessera.functions import markup as mk
 from tessera.functions.rules import CONTENT_FLAGS, HTML_FLAGS
 
 MOST_LINKS = 401
+#: Rows of a configuration table that is checked against every row.
+CONFIG_ROWS = 10_000
+
+
+def config(rows: DataFrame, most: int = CONFIG_ROWS) -> DataFrame:
+    """A broadcast of a configuration table; a table of more than ``most`` rows is an error, never cut."""
+    if rows.limit(most + 1).count() > most:
+        raise ValueError(f"a configuration table has more than {most} rows")
+    return F.broadcast(rows)
 
 
 def page_scan(pages: DataFrame, most: int = 900_000) -> DataFrame:
@@ -18,6 +27,11 @@ def page_scan(pages: DataFrame, most: int = 900_000) -> DataFrame:
     return pages.where(F.col("html").isNotNull() & F.col("html").rlike("<")).withColumn("html", F.substring("html", 1, most))
 
 
+def public_pages(urls: DataFrame, column: str = "url") -> DataFrame:
+    """Rows whose URL names a public host; what isn't one is never asked for."""
+    return urls.where(ident.is_public(F.col(column)))
+
+
 def extract_signals(pages: DataFrame) -> DataFrame:
     """Append the text, metadata and flags of each page (page_id, url, html)."""
     p = pages.withColumn("clean", mk.stripped(F.col("html"))).withColumn("text", mk.visible(F.col("html")))
@@ -81,10 +95,10 @@ def guess_niche(texts: DataFrame, keywords: DataFrame, fallback: str, least: int
     """Texts (id, text) by the niche with most keyword hits; phrases count twice, the first niche wins ties.
 
     keywords (niche, place, keyword) is a profile's configuration: a few hundred rows, so the pairs are checked by a
-    broadcast nested loop.
+    broadcast nested loop. More than CONFIG_ROWS of them are an error.
     """
     t = texts.select("id", F.lower("text").alias("t"))
-    hit = t.join(F.broadcast(keywords.limit(10_000)), F.col("t").contains(F.col("keyword")))
+    hit = t.join(config(keywords), F.col("t").contains(F.col("keyword")))
     n = hit.groupBy("id", "niche", "place").agg(F.sum(F.when(F.col("keyword").contains(" "), 2).otherwise(1)).alias("hits"))
     best = n.groupBy("id").agg(F.max(F.struct("hits", (-F.col("place")).alias("first"), "niche")).alias("m"))
     return t.select("id").join(best, "id", "left").select("id", F.when(F.col("m.hits") >= least, F.col("m.niche")).otherwise(fallback).alias("niche"))

@@ -65,19 +65,26 @@ def c10(spark, sf):
     return table(spark, sf, "pages").select("page_id", ct.paid_apps(F.concat("html", x)).alias("apps"))
 
 
-@register("c12_xor_emails", "SELECT event_id, ['me' || user_id || '@shop.com'] AS emails FROM events WHERE event_type = 'view'")
+@register("c12_xor_emails", "SELECT event_id, ['me' || user_id || '@shop.com'] AS emails FROM events")
 def c12(spark, sf):
     plain = F.concat(F.lit("me"), "user_id", F.lit("@shop.com"))
     hexed = F.array_join(F.transform(F.sequence(F.lit(1), F.length(plain)), lambda i: F.lpad(F.lower(F.hex(F.ascii(F.substring(plain, i, F.lit(1))).bitwiseXOR(F.lit(42)))), 2, "0")), "")
     html = F.concat(F.lit('<a data-cfemail="2a'), hexed, F.lit('">x</a>'))
-    return table(spark, sf, "events").where("event_type = 'view'").select("event_id", ct.xor_emails(html).alias("emails"))
+    return table(spark, sf, "events").select("event_id", ct.xor_emails(html).alias("emails"))
 
 
-@register("c13_written_emails", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN ['me' || doc_id || '@shop.com'] WHEN 1 THEN ['you' || doc_id || '@shop.co'] ELSE [] END AS emails FROM documents")
+# whole texts with a sentence behind them that hides an address, or only seems to
+_SAID = "CASE doc_id % 4 WHEN 0 THEN ' write me' || doc_id || ' (at) shop (dot) com please' WHEN 1 THEN ' you' || doc_id || ' at shop dot co' WHEN 2 THEN ' email me at hello dot com' ELSE ' our latest collection at studio.com' END"
+_MARKED = "text || " + _SAID
+for _p, _m in ct.SPELLED:
+    _MARKED = f"regexp_replace({_MARKED}, '{_p}', chr({ord(_m)}), 'g')"
+_AT = f"split_part(s, chr(3), 1)"
+
+
+@register("c13_written_emails", f"""WITH f AS (SELECT doc_id, regexp_extract_all({_MARKED}, '{ct.WRITTEN}', 1) AS f FROM documents), b AS (SELECT doc_id, list_concat(list_filter(f, lambda s: contains(s, chr(1))), list_filter(f, lambda s: contains(s, chr(3)) AND lower({_AT}) NOT IN ({quoted(ct.SENTENCE_WORDS)}))) AS b FROM f)
+  SELECT doc_id, list_transform(b, lambda s: lower(regexp_replace(translate(s, chr(1) || chr(2) || chr(3), '@.@'), '\\s*\\.\\s*', '.', 'g'))) AS emails FROM b""")
 def c13(spark, sf):
-    k = F.col("doc_id")
-    t = F.when(k % 4 == 0, F.concat(F.lit("write me"), k, F.lit(" (at) shop (dot) com please"))).when(k % 4 == 1, F.concat(F.lit("you"), k, F.lit(" at shop dot co"))).when(k % 4 == 2, "email me at hello dot com").otherwise("our latest collection at studio.com")
-    return table(spark, sf, "documents").select("doc_id", ct.written_emails(t).alias("emails"))
+    return table(spark, sf, "documents").select("doc_id", ct.written_emails(F.concat("text", F.expr(_SAID))).alias("emails"))
 
 
 @register("c16_copyright_year", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN CAST(2010 + page_id % 15 AS INT) END AS copyright_year FROM pages")

@@ -53,19 +53,23 @@ def a03(spark, sf):
     return ds.place_niche(e, claims, "other")
 
 
-@register("a04_search_spec", "SELECT n_regionkey AS profile_id, CASE WHEN n_nationkey % 2 = 0 THEN 'shop' ELSE 'craft' END AS field, list_sort(list_distinct(flatten(list([n_name, 'all'])))) AS \"values\" FROM nation GROUP BY 1, 2")
+@register("a04_search_spec", "SELECT p_brand AS profile_id, CASE WHEN length(p_type) % 2 = 0 THEN 'shop' ELSE 'craft' END AS field, list_sort(list_distinct(flatten(list([p_type, 'all'])))) AS \"values\" FROM part GROUP BY 1, 2")
 def a04(spark, sf):
-    n = table(spark, sf, "nation")
-    field = F.when(F.col("n_nationkey") % 2 == 0, "shop").otherwise("craft")
-    fields = F.create_map(field, F.array(F.col("n_name"), F.lit("all")))
-    p = n.groupBy(F.col("n_regionkey").alias("profile_id")).agg(F.map_from_entries(F.collect_list(F.struct("n_name", fields.alias("f")))).alias("niches"))
+    n = table(spark, sf, "part").select("p_brand", "p_type").distinct()
+    field = F.when(F.length("p_type") % 2 == 0, "shop").otherwise("craft")
+    fields = F.create_map(field, F.array(F.col("p_type"), F.lit("all")))
+    p = n.groupBy(F.col("p_brand").alias("profile_id")).agg(F.map_from_entries(F.collect_list(F.struct("p_type", fields.alias("f")))).alias("niches"))
     return ds.search_spec(p)
 
 
-@register("a05_keep_tags", "SELECT event_id, CAST(map_extract(MAP {'name': event_type, 'k': props, 'phone': repeat('9', 250)}, 'name')[1] AS VARCHAR) AS name, repeat('9', 200) AS phone, CAST(2 AS INT) AS n FROM events")
+@register("a05_keep_tags", f"WITH {_EL} SELECT id, CASE WHEN brand THEN 'Big' END AS brand, CASE WHEN phone THEN '1' END AS phone, CASE WHEN id % 2 = 0 THEN 'Salem' END AS city, street, repeat('o', 200) AS hours, '97301' AS postcode, CASE WHEN id % 3 = 1 THEN 'ig' || id END AS instagram, CAST(3 + brand::INT + phone::INT + (id % 2 = 0)::INT + (id % 4 = 0)::INT + (id % 3 = 1)::INT AS INT) AS n FROM el")
 def a05(spark, sf):
-    m = F.create_map(F.lit("name"), "event_type", F.lit("k"), "props", F.lit("phone"), F.lit("9" * 250))
-    return table(spark, sf, "events").select("event_id", ds.keep_tags(m).alias("t")).select("event_id", F.element_at("t", "name").alias("name"), F.element_at("t", "phone").alias("phone"), F.size("t").alias("n"))
+    k = F.col("id")
+    more = F.create_map(F.lit("opening_hours"), F.lit("o" * 250), F.lit("addr:postcode"), F.lit("97301"), F.lit("amenity"), F.lit("cafe"))
+    e = elements(spark, sf).withColumn("tags", F.map_concat("tags", more, F.when(k % 3 == 1, F.create_map(F.lit("contact:instagram"), F.concat(F.lit("ig"), k))).otherwise(F.create_map().cast("map<string,string>"))))
+    t = e.select("id", ds.keep_tags(F.col("tags")).alias("t"))
+    got = {"brand": "brand", "phone": "phone", "city": "addr:city", "street": "addr:street", "hours": "opening_hours", "postcode": "addr:postcode", "instagram": "contact:instagram"}
+    return t.select("id", *[F.element_at("t", v).alias(n) for n, v in got.items()], F.size("t").alias("n"))
 
 
 def sql_plausible(d: str) -> str:
@@ -128,11 +132,11 @@ FRONT = "fr AS (SELECT o_custkey % 2 AS profile_id, 'https://o' || o_orderkey AS
 
 
 @register("d02_frontier_add", f"""WITH {ENTITIES}, {FRONT}, c AS (SELECT profile_id, 'd' || (CAST(replace(replace(domain, 'd', ''), '.com', '') AS INT) * 3 % 150) || '.com' AS domain, max(priority) AS priority FROM fr GROUP BY 1, 2) SELECT c.*, 'PENDING' AS status FROM c
-  WHERE domain NOT IN (SELECT domain FROM ents WHERE evaluated_on IS NOT NULL AND entity_id < 60) AND NOT EXISTS (SELECT 1 FROM fr WHERE fr.profile_id = c.profile_id AND fr.domain = c.domain AND fr.added_on < DATE '1995-01-15')""")
+  WHERE domain NOT IN (SELECT domain FROM ents WHERE evaluated_on IS NOT NULL) AND NOT EXISTS (SELECT 1 FROM fr WHERE fr.profile_id = c.profile_id AND fr.domain = c.domain AND fr.added_on < DATE '1995-01-15')""")
 def d02(spark, sf):
     f = frontier(spark, sf)
     n = F.regexp_extract("domain", r"\d+", 0).cast("int") * 3 % 150
-    return ds.frontier_add(f.withColumn("domain", F.concat(F.lit("d"), n, F.lit(".com"))), entities(spark, sf).where("entity_id < 60"), f.where("added_on < DATE'1995-01-15'"))
+    return ds.frontier_add(f.withColumn("domain", F.concat(F.lit("d"), n, F.lit(".com"))), entities(spark, sf), f.where("added_on < DATE'1995-01-15'"))
 
 
 @register("d03_frontier_batch", f"WITH {FRONT} SELECT profile_id, CAST(row_number() OVER (PARTITION BY profile_id ORDER BY priority DESC, added_on, url) AS INT) AS turn, url FROM fr WHERE status = 'PENDING' QUALIFY turn <= 90")
@@ -169,22 +173,28 @@ def d08(spark, sf):
     return ds.cross_metro_chains(table(spark, sf, "lineitem").select(F.col("l_partkey").alias("domain"), F.col("l_suppkey").alias("source")), 20)
 
 
-@register("d09_metro_order", "SELECT n_regionkey, n_name, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS INT) AS turn FROM nation")
+@register("d08_reject_chains", f"WITH {ENTITIES}, st AS (SELECT l_suppkey % 2 AS profile_id, 'd' || (l_partkey % 97) || '.com' AS domain, l_suppkey % 50 AS source FROM lineitem), ch AS (SELECT profile_id, domain FROM st GROUP BY 1, 2 HAVING count(DISTINCT source) >= 20) SELECT entity_id, CASE WHEN hit THEN 'REJECTED' ELSE state END AS state, CASE WHEN hit THEN 'chain:multi-metro' END AS reject_reason FROM (SELECT e.*, ch.domain IS NOT NULL AND state NOT IN ('CONTACTED', 'REPLIED', 'CONVERSATION', 'CLIENT') AS hit FROM ents e LEFT JOIN ch USING (profile_id, domain))")
+def d08_reject(spark, sf):
+    st = table(spark, sf, "lineitem").select((F.col("l_suppkey") % 2).alias("profile_id"), F.concat(F.lit("d"), F.col("l_partkey") % 97, F.lit(".com")).alias("domain"), (F.col("l_suppkey") % 50).alias("source"))
+    return ds.reject_chains(entities(spark, sf).withColumn("reject_reason", F.lit(None).cast("string")), st, 20).select("entity_id", "state", "reject_reason")
+
+
+@register("d09_metro_order", "SELECT s_nationkey, s_name, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_name) AS INT) AS turn FROM supplier")
 def d09(spark, sf):
-    return ds.round_robin(table(spark, sf, "nation"), "n_regionkey", "n_name")
+    return ds.round_robin(table(spark, sf, "supplier"), "s_nationkey", "s_name")
 
 
-@register("d10_metros_for", """WITH rg AS (SELECT n_name AS slug, CASE WHEN n_nationkey % 5 = 0 THEN 'block' ELSE 'city' END AS kind, n_nationkey % 4 <> 3 AS active, n_nationkey % 3 <> 1 AS acknowledged, n_nationkey AS priority FROM nation WHERE n_nationkey % 2 = 0),
-  a AS (SELECT slug, -priority AS turn, 0 AS tier FROM rg WHERE kind = 'city' AND active AND acknowledged), b AS (SELECT n_name AS slug, n_nationkey AS turn, 1 AS tier FROM nation WHERE n_name NOT IN (SELECT slug FROM a)) SELECT * FROM (SELECT * FROM a UNION ALL SELECT * FROM b) WHERE slug NOT IN (SELECT slug FROM rg WHERE kind = 'block' AND active)""")
+@register("d10_metros_for", """WITH rg AS (SELECT s_name AS slug, CASE WHEN s_suppkey % 5 = 0 THEN 'block' ELSE 'city' END AS kind, s_suppkey % 4 <> 3 AS active, s_suppkey % 3 <> 1 AS acknowledged, s_suppkey AS priority FROM supplier WHERE s_suppkey % 2 = 0),
+  a AS (SELECT slug, -priority AS turn, 0 AS tier FROM rg WHERE kind = 'city' AND active AND acknowledged), b AS (SELECT s_name AS slug, s_suppkey AS turn, 1 AS tier FROM supplier WHERE s_name NOT IN (SELECT slug FROM a)) SELECT * FROM (SELECT * FROM a UNION ALL SELECT * FROM b) WHERE slug NOT IN (SELECT slug FROM rg WHERE kind = 'block' AND active)""")
 def d10(spark, sf):
-    n, k = table(spark, sf, "nation"), F.col("n_nationkey")
-    r = n.where(k % 2 == 0).select(F.col("n_name").alias("slug"), F.when(k % 5 == 0, "block").otherwise("city").alias("kind"), (k % 4 != 3).alias("active"), (k % 3 != 1).alias("acknowledged"), k.alias("priority"))
-    return ds.metros_for(n.select(F.col("n_name").alias("slug"), k.alias("turn")), r)
+    n, k = table(spark, sf, "supplier"), F.col("s_suppkey")
+    r = n.where(k % 2 == 0).select(F.col("s_name").alias("slug"), F.when(k % 5 == 0, "block").otherwise("city").alias("kind"), (k % 4 != 3).alias("active"), (k % 3 != 1).alias("acknowledged"), k.alias("priority"))
+    return ds.metros_for(n.select(F.col("s_name").alias("slug"), k.alias("turn")), r)
 
 
-@register("d11_metros_due", "WITH c AS (SELECT user_id AS n_nationkey, max(ts) AS last_run FROM events WHERE user_id < 20 GROUP BY 1) SELECT n_nationkey, last_run FROM nation LEFT JOIN c USING (n_nationkey) WHERE last_run IS NULL OR last_run < TIMESTAMP '2024-01-30 20:00:00' ORDER BY last_run ASC NULLS FIRST, n_nationkey LIMIT 12")
+@register("d11_metros_due", "WITH c AS (SELECT user_id AS n_nationkey, max(ts) AS last_run FROM events GROUP BY 1) SELECT n_nationkey, last_run FROM nation LEFT JOIN c USING (n_nationkey) WHERE last_run IS NULL OR last_run < TIMESTAMP '2024-01-30 20:00:00' ORDER BY last_run ASC NULLS FIRST, n_nationkey LIMIT 12")
 def d11(spark, sf):
-    cursor = table(spark, sf, "events").where("user_id < 20").groupBy(F.col("user_id").cast("int").alias("n_nationkey")).agg(F.max("ts").alias("last_run"))
+    cursor = table(spark, sf, "events").groupBy(F.col("user_id").cast("int").alias("n_nationkey")).agg(F.max("ts").alias("last_run"))
     return ds.due_first(table(spark, sf, "nation").select("n_nationkey", F.col("n_nationkey").alias("place")), cursor, "n_nationkey", F.lit("2024-01-30 20:00:00").cast("timestamp_ntz"), 12)
 
 
@@ -213,9 +223,9 @@ def d14(spark, sf):
     return ds.due_first(terms, used, "term", F.lit("2100-01-01").cast("timestamp_ntz"), 40)
 
 
-@register("d15_slugify_places", "SELECT doc_id, substr(regexp_replace(regexp_replace(translate(lower(substr(text, 1, 80)), 'àáâäãåçèéêëìíîïñòóôöõùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 1, 60) AS slug FROM documents")
+@register("d15_slugify_places", "SELECT doc_id, substr(regexp_replace(regexp_replace(translate(lower(text), 'àáâäãåçèéêëìíîïñòóôöõùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 1, 60) AS slug FROM documents")
 def d15(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", ds.slug(F.substring("text", 1, 80)).alias("slug"))
+    return table(spark, sf, "documents").select("doc_id", ds.slug(F.col("text")).alias("slug"))
 
 
 @register("d16_low_water", f"WITH {FRONT} SELECT profile_id, count(*) FILTER (status = 'PENDING') AS pending, count(*) FILTER (status = 'PENDING') >= 2500 AS healthy FROM fr GROUP BY 1")
@@ -223,11 +233,9 @@ def d16(spark, sf):
     return ds.low_water(frontier(spark, sf), 2500)
 
 
-@register("d17_add_places", "SELECT lower(replace(n_name, '_', '-')) || CASE WHEN n_nationkey % 3 <> 0 THEN '-ca' ELSE '' END AS slug, n_nationkey % 4 = 0 AND n_nationkey % 3 = 0 AS existing, n_nationkey % 3 = 0 AS acknowledged, CAST(greatest(-10, least(10, n_nationkey - 12)) AS INT) AS priority FROM nation")
+@register("d17_add_places", "SELECT regexp_replace(regexp_replace(lower(s_name), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') || CASE WHEN s_suppkey % 3 <> 0 THEN '-ca' ELSE '' END AS slug, s_suppkey % 4 = 0 AND s_suppkey % 3 = 0 AS existing, s_suppkey % 3 = 0 AS acknowledged, CAST(greatest(-10, least(10, s_suppkey - 12)) AS BIGINT) AS priority FROM supplier")
 def d17(spark, sf):
-    n, k = table(spark, sf, "nation"), F.col("n_nationkey")
-    p = n.select(F.col("n_name").alias("name"), F.when(k % 3 == 0, "us").otherwise("ca").alias("country"), k.cast("double").alias("lat"), k.cast("double").alias("lon"), (k - 12).alias("priority"))
-    r = n.where(k % 4 == 0).select(F.lower(F.translate("n_name", "_", "-")).alias("slug"))
+    n, k = table(spark, sf, "supplier"), F.col("s_suppkey")
+    p = n.select(F.col("s_name").alias("name"), F.when(k % 3 == 0, "us").otherwise("ca").alias("country"), (k % 80).cast("double").alias("lat"), (k % 180).cast("double").alias("lon"), (k - 12).alias("priority"))
+    r = n.where(k % 4 == 0).select(ds.slug(F.col("s_name")).alias("slug"))
     return ds.add_places(p, r).drop("box")
-
-

@@ -99,9 +99,9 @@ def m04(spark, sf):
     return lr.lesson_pending(f, entities(spark, sf))
 
 
-@register("m05_upsert_lessons", "WITH b AS (SELECT substr(text, 1, 60) AS lesson, CASE WHEN doc_id % 2 = 0 THEN 'AVOID' ELSE 'PREFER' END AS kind, CASE WHEN doc_id < 400 THEN 0 ELSE 1 END AS new FROM documents) SELECT arg_min(lesson, (new, lesson)) AS lesson, kind, CAST(sum(CASE new WHEN 0 THEN 2 ELSE 1 END) AS BIGINT) AS weight FROM b GROUP BY substr(trim(regexp_replace(lower(lesson), '[^a-z0-9]+', ' ', 'g')), 1, 40), kind")
+@register("m05_upsert_lessons", "WITH b AS (SELECT text AS lesson, CASE WHEN doc_id % 2 = 0 THEN 'AVOID' ELSE 'PREFER' END AS kind, CASE WHEN doc_id < 400 THEN 0 ELSE 1 END AS new FROM documents) SELECT arg_min(lesson, (new, lesson)) AS lesson, kind, CAST(sum(CASE new WHEN 0 THEN 2 ELSE 1 END) AS BIGINT) AS weight FROM b GROUP BY substr(trim(regexp_replace(lower(lesson), '[^a-z0-9]+', ' ', 'g')), 1, 40), kind")
 def m05(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 60).alias("lesson"), F.when(F.col("doc_id") % 2 == 0, "AVOID").otherwise("PREFER").alias("kind"))
+    d = table(spark, sf, "documents").select("doc_id", F.col("text").alias("lesson"), F.when(F.col("doc_id") % 2 == 0, "AVOID").otherwise("PREFER").alias("kind"))
     return lr.upsert_lessons(d.where("doc_id < 400").withColumn("weight", F.lit(2).cast("long")), d.where("doc_id >= 400"))
 
 
@@ -117,17 +117,17 @@ def m07(spark, sf):
     return lr.rerank_clamp(entities(spark, sf), r)
 
 
-@register("m08_apply_corrections", """WITH p AS (SELECT doc_id AS proposal_id, ['opinion', 'name', 'niche', 'email'][CAST(doc_id % 4 + 1 AS INT)] AS field, lang, substr(text, 1, 300) AS note FROM documents),
+@register("m08_apply_corrections", """WITH p AS (SELECT doc_id AS proposal_id, ['opinion', 'name', 'niche', 'email'][CAST(doc_id % 4 + 1 AS INT)] AS field, lang, text AS note FROM documents),
   v AS (SELECT *, CASE field WHEN 'name' THEN CASE WHEN proposal_id % 8 = 1 THEN substr(note, 1, 40) ELSE 'Zebra Qqqq' END WHEN 'niche' THEN lang WHEN 'email' THEN CASE WHEN proposal_id % 3 = 0 THEN 'nobody' ELSE 'p' || (proposal_id % 50) || '@x.com' END ELSE '' END AS value FROM p),
   r AS (SELECT *, CASE WHEN field = 'opinion' THEN 'opinion' WHEN field = 'name' AND NOT list_has_any(regexp_extract_all(lower(value), '[a-z0-9]{4,}'), regexp_extract_all(lower(note), '[a-z0-9]{4,}')) THEN 'name-not-in-note' WHEN field = 'niche' AND value NOT IN ('en', 'fr') THEN 'unknown-niche'
-   WHEN field = 'email' AND NOT regexp_matches(value, '^[^\\s@]+@[^\\s@]+\\.[a-z]{2,}$') THEN 'bad-email' WHEN field = 'email' AND value IN (SELECT 'p' || s_suppkey || '@x.com' FROM supplier WHERE s_suppkey < 20) THEN 'suppressed' END AS refused FROM v) SELECT proposal_id, field, refused, refused IS NULL AND field IN ('name', 'niche') AS reevaluate FROM r""")
+   WHEN field = 'email' AND NOT regexp_matches(value, '^[^\\s@]+@[^\\s@]+\\.[a-z]{2,}$') THEN 'bad-email' WHEN field = 'email' AND value IN (SELECT 'p' || s_suppkey || '@x.com' FROM supplier) THEN 'suppressed' END AS refused FROM v) SELECT proposal_id, field, refused, refused IS NULL AND field IN ('name', 'niche') AS reevaluate FROM r""")
 def m08(spark, sf):
     k = F.col("doc_id")
     field = F.element_at(F.array(*map(F.lit, ["opinion", "name", "niche", "email"])), (k % 4 + 1).cast("int"))
-    note = F.substring("text", 1, 300)
+    note = F.col("text")
     value = F.when(k % 4 == 1, F.when(k % 8 == 1, F.substring(note, 1, 40)).otherwise("Zebra Qqqq")).when(k % 4 == 2, F.col("lang")).when(k % 4 == 3, F.when(k % 3 == 0, "nobody").otherwise(F.concat(F.lit("p"), k % 50, F.lit("@x.com")))).otherwise("")
     p = table(spark, sf, "documents").select(k.alias("proposal_id"), field.alias("field"), value.alias("value"), note.alias("note"))
-    s = table(spark, sf, "supplier").where("s_suppkey < 20").select(F.concat(F.lit("p"), "s_suppkey", F.lit("@x.com")).alias("key"))
+    s = table(spark, sf, "supplier").select(F.concat(F.lit("p"), "s_suppkey", F.lit("@x.com")).alias("key"))
     return lr.apply_corrections(p, ["en", "fr"], s)
 
 
@@ -143,12 +143,12 @@ def m10(spark, sf):
     return lr.record_feedback(feedback(spark, sf), entities(spark, sf))
 
 
-@register("m27_upsert_categories", """WITH e AS (SELECT p_partkey % 2 AS profile_id, p_partkey AS ord, CASE WHEN p_partkey % 9 = 0 THEN 'x' ELSE p_brand || ' ' || p_type END AS name FROM part WHERE p_partkey < 120), s AS (SELECT *, regexp_replace(regexp_replace(lower(trim(name)), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM e),
+@register("m27_upsert_categories", """WITH e AS (SELECT p_partkey % 2 AS profile_id, p_partkey AS ord, CASE WHEN p_partkey % 9 = 0 THEN 'x' ELSE p_brand || ' ' || p_type END AS name FROM part), s AS (SELECT *, regexp_replace(regexp_replace(lower(trim(name)), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM e),
   t AS (SELECT *, CASE WHEN length(name) < 2 THEN 'short-name' WHEN row_number() OVER (PARTITION BY profile_id, slug ORDER BY ord) > 1 THEN 'slug-clash' END AS refused FROM s)
   SELECT profile_id, ord AS "order", slug, refused, CASE WHEN refused IS NULL THEN 3 + CAST(sum(CASE WHEN refused IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY profile_id ORDER BY ord) AS BIGINT) END AS position, 2 AS words FROM t""")
 def m27(spark, sf):
     k = F.col("p_partkey")
-    e = table(spark, sf, "part").where(k < 120).select((k % 2).alias("profile_id"), k.alias("order"), F.when(k % 9 == 0, "x").otherwise(F.concat_ws(" ", "p_brand", "p_type")).alias("name"), F.concat("p_name", F.lit(", Other ,,")).alias("keywords"))
+    e = table(spark, sf, "part").select((k % 2).alias("profile_id"), k.alias("order"), F.when(k % 9 == 0, "x").otherwise(F.concat_ws(" ", "p_brand", "p_type")).alias("name"), F.concat("p_name", F.lit(", Other ,,")).alias("keywords"))
     c = table(spark, sf, "region").select((F.col("r_regionkey") % 2).cast("long").alias("profile_id"), F.lower("r_name").alias("slug"), (F.col("r_regionkey") % 2 + 3 - F.col("r_regionkey") % 2).alias("position"))
     return lr.upsert_categories(e, c)
 
@@ -165,17 +165,17 @@ def p02(spark, sf):
     return lr.purge_profile(table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("entity_id")), entities(spark, sf), 1).select("o_orderkey", "entity_id")
 
 
-@register("p03_resolve_profile", "SELECT n_nationkey AS profile_id, n_name AS slug FROM nation WHERE n_nationkey % 2 = 1 ORDER BY CASE WHEN n_name = 'NATION_8' THEN 0 WHEN n_regionkey = 2 THEN 1 ELSE 2 END, n_nationkey LIMIT 1")
+@register("p03_resolve_profile", "SELECT c_custkey AS profile_id, c_name AS slug FROM customer WHERE c_custkey % 2 = 1 ORDER BY CASE WHEN c_name = 'nobody' THEN 0 WHEN c_nationkey = 2 THEN 1 ELSE 2 END, c_custkey LIMIT 1")
 def p03(spark, sf):
-    n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("profile_id"), F.col("n_name").alias("slug"), (F.col("n_nationkey") % 2 == 1).alias("active"), (F.col("n_regionkey") == 2).alias("is_default"))
-    return lr.resolve_profile(n, "NATION_8")
+    n = table(spark, sf, "customer").select(F.col("c_custkey").alias("profile_id"), F.col("c_name").alias("slug"), (F.col("c_custkey") % 2 == 1).alias("active"), (F.col("c_nationkey") == 2).alias("is_default"))
+    return lr.resolve_profile(n, "nobody")
 
 
-@register("p04_profile_config_check", """WITH p AS (SELECT lower(regexp_replace(p_brand, '[^A-Za-z0-9]+', '_', 'g')) AS slug, list_distinct(list_filter(list(lower(p_name)), lambda k: length(k) > 2)) AS kw, list_distinct(list_filter(list(lower(p_type)), lambda t: t <> 'promo')) AS tg FROM part WHERE p_size < 6 GROUP BY p_brand)
+@register("p04_profile_config_check", """WITH p AS (SELECT lower(regexp_replace(p_brand, '[^A-Za-z0-9]+', '_', 'g')) AS slug, list_distinct(list_filter(list(lower(p_name)), lambda k: length(k) > 2)) AS kw, list_distinct(list_filter(list(lower(p_type)), lambda t: t <> 'promo')) AS tg FROM part GROUP BY p_brand)
   SELECT slug, CAST(least(60, len(kw)) AS INT) AS keywords, CAST(len(tg) AS INT) AS tags, CASE WHEN len(kw) < 5 THEN 'few-keywords' WHEN len(tg) = 0 THEN 'no-tags' END AS problem FROM p""")
 def p04(spark, sf):
     t = F.when(F.col("p_type") == "PROMO", "Not A Tag").otherwise(F.lower("p_type"))
-    p = table(spark, sf, "part").where("p_size < 6").groupBy(F.col("p_brand").alias("slug")).agg(F.collect_set("p_name").alias("keywords"), F.collect_set(t).alias("tags"))
+    p = table(spark, sf, "part").groupBy(F.col("p_brand").alias("slug")).agg(F.collect_set("p_name").alias("keywords"), F.collect_set(t).alias("tags"))
     return lr.profile_config_check(p)
 
 

@@ -93,12 +93,12 @@ def b13(spark, sf):
     return ln.enrich_existing(e, c, ["email"]).select("entity_id", "email", "has_website")
 
 
-@register("b14_ownership_filter", f"""WITH {ENTITIES}, mt AS (SELECT s_suppkey AS cand_id, s_nationkey % 2 AS profile_id, entity_id, e.profile_id AS owner, evaluated_on AS first_seen FROM supplier JOIN ents e ON e.entity_id % 50 = s_suppkey % 50 AND e.entity_id < 400),
+@register("b14_ownership_filter", f"""WITH {ENTITIES}, mt AS (SELECT s_suppkey AS cand_id, s_nationkey % 2 AS profile_id, entity_id, e.profile_id AS owner, evaluated_on AS first_seen FROM supplier JOIN ents e ON e.entity_id // 15 = s_suppkey),
   o AS (SELECT cand_id, profile_id, arg_min((entity_id, owner), (coalesce(first_seen, DATE '0001-01-01'), entity_id)) AS m FROM mt GROUP BY ALL) SELECT cand_id, m[1] AS entity_id, m[2] <> profile_id AS "foreign", CASE WHEN m[2] <> profile_id THEN 'owned-by-another-profile' END AS reason FROM o""")
 def b14(spark, sf):
     e = entities(spark, sf).withColumn("first_seen", F.coalesce("evaluated_on", F.lit("0001-01-01").cast("date")))
-    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("cand_id"), (F.col("s_nationkey") % 2).alias("profile_id"), (F.col("s_suppkey") % 50).alias("g"))
-    m = s.join(e.where("entity_id < 400").select("entity_id", (F.col("entity_id") % 50).alias("g")), "g").drop("g")
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("cand_id"), (F.col("s_nationkey") % 2).alias("profile_id"), (F.col("s_suppkey").cast("long")).alias("g"))
+    m = s.join(e.select("entity_id", F.floor(F.col("entity_id") / 15).alias("g")), "g").drop("g")
     return ln.ownership(m, e)
 
 

@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import identity as ident
 from tessera.functions import markup as mk
-from tessera.functions.markup import US_STATES, US_WORDS
-from tessera.functions.rules import CONTENT_FLAGS, HANDLE_TAILS, HTML_FLAGS, LEGAL_SUFFIXES, MULTI_PART_SUFFIXES, PLATFORMS
+from tessera.functions.rules import CONTENT_FLAGS, HANDLE_TAILS, HTML_FLAGS, LEGAL_SUFFIXES, MULTI_PART_SUFFIXES, PLATFORMS, PRIVATE_HOSTS, US_STATES, US_WORDS
 from tessera.operators import signals as sg
 
 from .registry import register
@@ -222,12 +221,14 @@ def f08(spark, sf):
     return sg.changed_pages(p, s)
 
 
-_PRIVATE = r"^(localhost|.*\\.(local|internal|localhost)|127\\..*|10\\..*|192\\.168\\..*|169\\.254\\..*|172\\.(1[6-9]|2[0-9]|3[01])\\..*|0\\..*|[^.]*)$"
+# hosts of each kind, and every other page's own URL
+_HOSTS = ["http://10.0.0.7/x", "http://localhost/", "printer.lan", "http://nas.home/a", "http://x.internal./", "http://metadata.google.com/v1", "http://instance-data.ec2/", "http://[fe80::1.2]/", "http://[::1]:80/", "http://172.32.0.1/", "http://11.0.0.1:8080/", "intranet", "https://user@www.brand.co.uk/p"]
+_URLS = f"CASE WHEN page_id % 2 = 0 THEN ([{quoted(_HOSTS)}])[CAST(page_id // 2 % {len(_HOSTS)} + 1 AS INT)] ELSE url END"
+_PUBLIC = "regexp_replace(regexp_extract(regexp_replace(lower(trim(u)), '^[a-z][a-z0-9+.-]*://', ''), '^(?:[^/?#@]*@)?(\\[[^\\]/?#]*\\]?|[^/?#:]*)', 1), '\\.$', '')"
 
 
-@register("f12_public_host_filter", "SELECT page_id, u FROM (SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'http://10.0.0.' || (page_id % 250) || '/x' WHEN 1 THEN 'http://localhost/' ELSE url END AS u FROM pages) WHERE NOT regexp_matches(" + sql_host("u") + ", '" + _PRIVATE.replace("\\\\", "\\") + "')")
+@register("f12_public_host_filter", f"SELECT page_id, u FROM (SELECT page_id, {_URLS} AS u FROM pages) WHERE contains({_PUBLIC}, '.') AND NOT regexp_matches({_PUBLIC}, '{'|'.join(PRIVATE_HOSTS)}')")
 def f12(spark, sf):
-    u = F.when(F.col("page_id") % 6 == 0, F.concat(F.lit("http://10.0.0."), F.col("page_id") % 250, F.lit("/x"))).when(F.col("page_id") % 6 == 1, "http://localhost/").otherwise(F.col("url"))
-    return pages(spark, sf).select("page_id", u.alias("u")).where(~ident.host(F.col("u")).rlike(_PRIVATE.replace("\\\\", "\\")))
-
-
+    k = F.col("page_id")
+    u = F.when(k % 2 == 0, F.element_at(F.array(*map(F.lit, _HOSTS)), (F.floor(k / 2) % len(_HOSTS) + 1).cast("int"))).otherwise(F.col("url"))
+    return sg.public_pages(pages(spark, sf).select("page_id", u.alias("u")), "u")

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions.rules import ADVANCED_STATES, CORPORATE_MARKERS, MARKETPLACES, WEIGHTS
+from tessera.functions.rules import ADVANCED_STATES, CORPORATE_MARKERS, MARKETPLACES, VAGUE_PRAISE, WEIGHTS
 from tessera.operators import scoring as sc
 
 from .pages import quoted
 from .registry import register
 from .standins import ENTITIES, entities, table
 
-EXTRA = ["", " Annual report", " domain for sale", " coming soon", " £ 40", " in Toronto, Ontario, Canada", " SW1A 1AA", ""]
+EXTRA = ["", " Annual report", " domain for sale", " coming soon", " £ 40", " in Toronto, Ontario, Canada", " SW1A 1AA", " Sevilla, España"]
 _DOCS = f"""d AS (SELECT doc_id, substr(text, 1, 3000) || ([{quoted(EXTRA)}])[CAST(doc_id % 8 + 1 AS INT)] AS text_sample, len(regexp_extract_all(text, '\\S+')) AS word_count, doc_id % 5 AS img_count, doc_id % 3 = 0 AS us_hint, CASE WHEN doc_id % 31 = 0 THEN 'etsy.com' END AS domain FROM documents)"""
 
 
@@ -155,6 +155,14 @@ def f13(spark, sf):
     return sc.robots_filter(u, rules, "tessera")
 
 
-@register("f14_specific_compliment", """SELECT doc_id, praise FROM (SELECT doc_id, trim(split_part(text, '.', 1)) AS praise FROM documents) WHERE length(praise) BETWEEN 12 AND 200 AND (NOT (regexp_matches(praise, '^[a-z]+ and [a-z]+$') OR regexp_matches(lower(praise), '^(your|the) (site|website|brand|work|design)s? (is|are|looks?) ')) OR regexp_matches(praise, '(?s).[A-Z]|[0-9]|["“'']'))""")
+# every other first sentence is replaced by stock praise
+_PRAISE = ["strong brand identity", "brand personality and handmade products", "the ash-glazed vase collection", "mugs and 12 bowls in blue", "clay and Kiln glazes"]
+_STOCK = f"CASE WHEN doc_id % 2 = 0 THEN ([{quoted(_PRAISE)}])[CAST(doc_id // 2 % 5 + 1 AS INT)] ELSE trim(split_part(text, '.', 1)) END"
+
+
+@register("f14_specific_compliment", f"""SELECT doc_id, praise FROM (SELECT doc_id, {_STOCK} AS praise, regexp_replace({_STOCK}, '^\\s+|\\s+$', '', 'g') AS p FROM documents) WHERE length(p) BETWEEN 12 AND 200
+  AND NOT regexp_matches(p, '(?i){VAGUE_PRAISE}') AND NOT (regexp_matches(p, '^[\\w\\s]+ and [\\w\\s]+$') AND NOT regexp_matches(p[2:], '[A-Z0-9"'']'))""")
 def f14(spark, sf):
-    return sc.specific_compliment(table(spark, sf, "documents").select("doc_id", F.trim(F.split_part("text", F.lit("."), F.lit(1))).alias("praise")))
+    k = F.col("doc_id")
+    stock = F.element_at(F.array(*map(F.lit, _PRAISE)), (F.floor(k / 2) % 5 + 1).cast("int"))
+    return sc.specific_compliment(table(spark, sf, "documents").select("doc_id", F.when(k % 2 == 0, stock).otherwise(F.trim(F.split_part("text", F.lit("."), F.lit(1)))).alias("praise")))

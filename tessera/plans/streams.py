@@ -20,18 +20,18 @@ def notices(spark, sf):
     c = table(spark, sf, "conversations")
     k = F.col("conv_id") * 7 + F.col("turn")
     return c.select(
-        F.concat_ws("-", "conv_id", "turn").alias("message_id"), F.lit("Undelivered").alias("subject"), F.when(k % 5 == 0, F.concat(F.lit("to nobody@else.org and C"), k % 60, F.lit("@shop.com"))).otherwise(F.substring("text", 1, 40)).alias("summary"),
+        F.concat_ws("-", "conv_id", "turn").alias("message_id"), F.lit("Undelivered").alias("subject"), F.when(k % 5 == 0, F.concat(F.lit("to nobody@else.org and C"), k % 1500, F.lit("@shop.com"))).otherwise(F.substring("text", 1, 40)).alias("summary"),
         F.lit("me@here.org").alias("to_address"), F.lit("daemon").alias("sender"), (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(hours=(k % 600).cast("int"))).alias("received_at"),
     )
 
 
 def sent_rows(spark, sf):
-    o = table(spark, sf, "orders").where("o_orderstatus = 'F' and o_custkey < 60").groupBy(F.col("o_custkey").alias("entity_id")).agg(F.min("o_orderkey").alias("outreach_id"))
+    o = table(spark, sf, "orders").where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("entity_id")).agg(F.min("o_orderkey").alias("outreach_id"))
     return o.select(F.concat(F.lit("c"), "entity_id", F.lit("@shop.com")).alias("email"), "outreach_id", "entity_id")
 
 
-_NOTICE = """WITH k AS (SELECT conv_id || '-' || turn AS message_id, (conv_id * 7 + turn) AS k FROM conversations), s AS (SELECT o_custkey AS entity_id, min(o_orderkey) AS outreach_id FROM orders WHERE o_orderstatus = 'F' AND o_custkey < 60 GROUP BY 1)
-  SELECT DISTINCT message_id, outreach_id, entity_id FROM k LEFT JOIN s ON k % 5 = 0 AND entity_id = k % 60"""
+_NOTICE = """WITH k AS (SELECT conv_id || '-' || turn AS message_id, (conv_id * 7 + turn) AS k FROM conversations), s AS (SELECT o_custkey AS entity_id, min(o_orderkey) AS outreach_id FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
+  SELECT DISTINCT message_id, outreach_id, entity_id FROM k LEFT JOIN s ON k % 5 = 0 AND entity_id = k % 1500"""
 
 
 @register("w01_bounce_batch", _NOTICE)
@@ -82,13 +82,12 @@ def w04_stream(spark, sf):
     return spark.read.schema(out.schema).parquet(path)
 
 
-_CONTACT = "e AS (SELECT user_id AS entity_id, ts AS seen, CASE WHEN event_type = 'purchase' THEN 'reply' ELSE 'contact' END AS kind FROM events WHERE event_type IN ('purchase', 'view') AND user_id % 3 <> 0 OR event_id % 97 = 0)"
+_CONTACT = "e AS (SELECT user_id AS entity_id, ts AS seen, CASE WHEN event_type = 'purchase' THEN 'reply' ELSE 'contact' END AS kind FROM events)"
 
 
-@register("w05_ghosts_batch", f"WITH {_CONTACT}, l AS (SELECT entity_id, max(seen) AS seen, arg_max(kind, (seen, kind)) AS kind FROM e GROUP BY 1) SELECT entity_id, seen + INTERVAL 2 DAY AS ghosted_at FROM l WHERE kind = 'contact' AND seen + INTERVAL 2 DAY <= TIMESTAMP '2024-01-31 00:00:00'")
+@register("w05_ghosts_batch", f"WITH {_CONTACT}, l AS (SELECT entity_id, max(seen) AS seen, arg_max(kind, (seen, kind)) AS kind FROM e GROUP BY 1) SELECT entity_id, seen + INTERVAL 2 DAY AS ghosted_at FROM l WHERE kind = 'contact' AND seen + INTERVAL 2 DAY <= TIMESTAMP '2024-02-02 00:00:00'")
 def w05(spark, sf):
-    e = table(spark, sf, "events").where("event_type in ('purchase', 'view') and user_id % 3 <> 0 or event_id % 97 = 0")
-    e = e.select(F.col("user_id").alias("entity_id"), F.col("ts").alias("at"), F.when(F.col("event_type") == "purchase", "reply").otherwise("contact").alias("kind"))
-    return ar.ghosts_in_batch(e, 2, F.lit("2024-01-31 00:00:00").cast("timestamp_ntz"))
+    e = table(spark, sf, "events").select(F.col("user_id").alias("entity_id"), F.col("ts").alias("at"), F.when(F.col("event_type") == "purchase", "reply").otherwise("contact").alias("kind"))
+    return ar.ghosts_in_batch(e, 2, F.lit("2024-02-02 00:00:00").cast("timestamp_ntz"))
 
 
