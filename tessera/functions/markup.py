@@ -31,7 +31,12 @@ def decoded(s: Column) -> Column:
 
 def visible(html: Column) -> Column:
     """The page's text with white space collapsed."""
-    s = F.regexp_replace(decoded(stripped(html)), "<[^>]+>", " ")
+    return text_of(stripped(html))
+
+
+def text_of(clean: Column) -> Column:
+    """The text of a page that is stripped() already."""
+    s = F.regexp_replace(decoded(clean), "<[^>]+>", " ")
     s = F.replace(F.replace(s, F.lit("&nbsp;"), F.lit(" ")), F.lit("&amp;"), F.lit("&"))
     s = F.replace(F.regexp_replace(s, "&#39;|&apos;", "'"), F.lit("&quot;"), F.lit('"'))
     return F.trim(F.regexp_replace(F.regexp_replace(s, "(?i)&[a-z]+;", " "), r"\s+", " "))
@@ -50,10 +55,14 @@ def meta(clean: Column, attr: str, value: str) -> Column:
     return attribute(F.regexp_extract(clean, rf"(?is)<meta[^>]+{attr}\s*=\s*[\"']{value}[\"'][^>]*>", 0), "content")
 
 
+def generator(clean: Column) -> Column:
+    return meta(clean, "name", "generator")
+
+
 def platform(html: Column, clean: Column) -> Column:
     found = [F.when(html.rlike(f"(?i){pattern}"), name) for name, pattern in PLATFORMS]
-    generator = F.lower(F.regexp_extract(meta(clean, "name", "generator"), r"^([^\s\d]*)", 1))
-    return F.coalesce(*found, F.when(generator != "", generator))
+    named = F.lower(F.regexp_extract(generator(clean), r"^([^\s\d]*)", 1))
+    return F.coalesce(*found, F.when(named != "", named))
 
 
 def us_hint(text: Column) -> Column:

@@ -77,21 +77,50 @@ def rewrite_drafts(outreach: DataFrame, queue: DataFrame, day: date) -> DataFram
     return kept.select("entity_id", "status", "day").unionByName(new)
 
 
+def surfaced(entities: DataFrame, queue: DataFrame) -> DataFrame:
+    """Entities after a queue was built: queued ones that wait for it are ready and were shown once more."""
+    q = queue.select("entity_id").distinct().withColumn("_q", F.lit(True))
+    j, hit = entities.join(q, "entity_id", "left"), F.col("_q") & F.col("state").isin("QUALIFIED", "SHORTLISTED", "NURTURE")
+    return j.withColumns({"times_surfaced": F.when(hit, F.col("times_surfaced") + 1).otherwise(F.col("times_surfaced")), "state": F.when(hit, "OUTREACH_READY").otherwise(F.col("state"))}).drop("_q")
+
+
+def bounced_outreach(outreach: DataFrame, bounces: DataFrame) -> DataFrame:
+    """Rows with the last bounce (outreach_id, note, at) of each: its time and its cut note."""
+    last = bounces.groupBy("outreach_id").agg(F.max(F.struct("at", "note")).alias("_b"))
+    hit = F.col("_b").isNotNull()
+    return outreach.join(last, "outreach_id", "left").withColumns({"status": F.when(hit, "BOUNCED").otherwise(F.col("status")), "bounced_at": F.col("_b.at"), "send_error": F.when(hit, F.substring(F.concat(F.lit("bounced: "), "_b.note"), 1, 300))}).drop("_b")
+
+
+def bounce_suppressions(suppressions: DataFrame, bounces: DataFrame, outreach: DataFrame, entities: DataFrame) -> DataFrame:
+    """The list (key, reason) with the dead addresses of bounced entities, which replace what stood there."""
+    dead = bounces.join(outreach.select("outreach_id", "entity_id"), "outreach_id").join(entities.where("email is not null").select("entity_id", "email"), "entity_id")
+    new = dead.groupBy(F.col("email").alias("key")).agg(F.max(F.struct("at", "note"))["note"].alias("note"))
+    new = new.select("key", F.substring(F.concat(F.lit("bounced: "), "note"), 1, 200).alias("reason"))
+    return suppressions.join(new, "key", "left_anti").select("key", "reason").unionByName(new)
+
+
 def queue_view(outreach: DataFrame, entities: DataFrame, day: date) -> DataFrame:
     return outreach.where(F.col("day") == F.lit(day)).join(entities, "entity_id").select("outreach_id", "entity_id", "display_name", "location", "score", "status").orderBy("outreach_id")
 
 
-def last_decision(events: DataFrame) -> DataFrame:
-    return events.groupBy("entity_id").agg(F.max(F.struct("created_at", "feedback_id", "decision", "k")).alias("e")).select("entity_id", "e.decision", "e.k", "e.created_at")
+def last_decision(events: DataFrame, by: str = "entity_id") -> DataFrame:
+    return events.groupBy(by).agg(F.max(F.struct("created_at", "feedback_id", "decision", "reason")).alias("e")).select(by, "e.decision", "e.reason", "e.created_at")
 
 
 def apply_decisions(events: DataFrame, entities: DataFrame) -> DataFrame:
-    """States after each entity's last decision. Skips only move entities that were ready; blocks end contact."""
+    """States after each entity's last decision. Skips only move entities that were ready, and keep why; blocks end contact."""
     j = entities.join(last_decision(events.where(F.col("decision").isin("SENT", "SKIPPED", "BLOCKED"))), "entity_id", "left")
-    d = F.col("decision")
-    state = F.when(d == "SENT", "CONTACTED").when((d == "SKIPPED") & (F.col("state") == "OUTREACH_READY"), "NURTURE").when(d == "BLOCKED", "DO_NOT_CONTACT").otherwise(F.col("state"))
-    contacted = F.when(d == "SENT", F.coalesce("contacted_on", F.to_date("created_at"))).otherwise(F.col("contacted_on"))
-    return j.select("entity_id", state.alias("state"), contacted.alias("contacted_on"))
+    d, sent = F.col("decision"), F.to_date("created_at")
+    skipped = (d == "SKIPPED") & (F.col("state") == "OUTREACH_READY")
+    state = F.when(d == "SENT", "CONTACTED").when(skipped, "NURTURE").when(d == "BLOCKED", "DO_NOT_CONTACT").otherwise(F.col("state"))
+    contacted = F.when(d == "SENT", F.coalesce("contacted_on", sent)).otherwise(F.col("contacted_on"))
+    return j.select("entity_id", state.alias("state"), contacted.alias("contacted_on"), F.when(d == "SENT", sent).otherwise(F.col("contacted_on")).alias("last_contacted_on"), F.when(skipped, F.substring("reason", 1, 200)).alias("skip_reason"))
+
+
+def decided_outreach(outreach: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Rows after the last decision (outreach_id, decision, reason, created_at, feedback_id) on each: sent with its time, or skipped."""
+    j = outreach.join(last_decision(decisions.where(F.col("decision").isin("SENT", "SKIPPED")), "outreach_id"), "outreach_id", "left")
+    return j.withColumns({"status": F.coalesce("decision", "status"), "sent_at": F.when(F.col("decision") == "SENT", F.col("created_at"))}).drop("decision", "reason", "created_at")
 
 
 def block_suppressions(events: DataFrame, entities: DataFrame, suppressions: DataFrame) -> DataFrame:
@@ -109,15 +138,34 @@ def apply_bounces(outreach: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def revive(requests: DataFrame, outreach: DataFrame, day: date) -> DataFrame:
-    """Skipped or bounced rows brought back to ``day`` after its last rank; sent rows and second rows of an entity are refused."""
+    """What becomes of requests (outreach_id) to bring skipped or bounced rows (outreach: profile_id, rank and others) back to ``day``.
+
+    Sent rows and second rows of an entity are refused; the others get the ranks after the day's last one of their profile.
+    """
     today = outreach.where(F.col("day") == F.lit(day))
-    top = today.agg(F.coalesce(F.max("outreach_id"), F.lit(0)).alias("top"))
+    top = today.groupBy("profile_id").agg(F.max("rank").alias("top"))
     j = requests.join(outreach, "outreach_id").join(today.select(F.col("entity_id").alias("_e")).distinct(), F.col("entity_id") == F.col("_e"), "left")
     j = j.withColumn("refused", F.when(F.col("status") == "SENT", "already-sent").when(F.col("_e").isNotNull(), "already-queued"))
     turn = F.row_number().over(Window.partitionBy("refused", "entity_id").orderBy("outreach_id"))
     j = j.withColumn("refused", F.coalesce("refused", F.when(turn > 1, F.lit("already-queued"))))
-    rank = F.when(F.col("refused").isNull(), F.row_number().over(Window.partitionBy("refused").orderBy("outreach_id")))
-    return j.withColumn("r", rank).crossJoin(top).select("outreach_id", "entity_id", "refused", (F.col("r") + F.col("top")).alias("rank"))
+    # refused rows have no rank, so they are spread by their entity
+    fine = F.col("refused").isNull()
+    place = F.row_number().over(Window.partitionBy(F.when(fine, F.col("profile_id")), F.when(~fine, F.col("entity_id"))).orderBy("outreach_id"))
+    return j.withColumn("place", place).join(top, "profile_id", "left").select("outreach_id", "entity_id", "profile_id", "refused", F.when(fine, F.col("place") + F.coalesce("top", F.lit(0))).alias("rank"))
+
+
+def revived_rows(outreach: DataFrame, outcome: DataFrame, day: date) -> DataFrame:
+    """All rows, those that revive() accepts as drafts of the day."""
+    new = outcome.where("refused is null").select("outreach_id", F.col("rank").alias("_rank"))
+    j, hit = outreach.join(new, "outreach_id", "left"), F.col("_rank").isNotNull()
+    return j.withColumns({"status": F.when(hit, "DRAFT").otherwise(F.col("status")), "day": F.when(hit, F.lit(day)).otherwise(F.col("day")), "rank": F.coalesce("_rank", "rank")}).drop("_rank")
+
+
+def revived_entities(entities: DataFrame, outcome: DataFrame) -> DataFrame:
+    """Entities of revived rows are ready again."""
+    back = outcome.where("refused is null").select("entity_id").distinct().withColumn("_back", F.lit(True))
+    ready = F.col("_back") & (F.col("state") == "NURTURE")
+    return entities.join(back, "entity_id", "left").withColumn("state", F.when(ready, "OUTREACH_READY").otherwise(F.col("state"))).drop("_back")
 
 
 def response_status(events: DataFrame, entities: DataFrame) -> DataFrame:

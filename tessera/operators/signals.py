@@ -34,22 +34,26 @@ def public_pages(urls: DataFrame, column: str = "url") -> DataFrame:
 
 def extract_signals(pages: DataFrame) -> DataFrame:
     """Append the text, metadata and flags of each page (page_id, url, html)."""
-    p = pages.withColumn("clean", mk.stripped(F.col("html"))).withColumn("text", mk.visible(F.col("html")))
+    p = pages.withColumn("clean", mk.stripped(F.col("html"))).withColumn("text", mk.text_of(F.col("clean")))
     p = p.withColumns({"low_text": F.lower("text"), "low_clean": F.lower("clean")})
     clean, text, html = F.col("clean"), F.col("text"), F.col("html")
     prices = F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"\$\s?(\d{1,3}(?:,\d{3})*(?:\.\d{2})?)"), 1), lambda x: F.replace(x, F.lit(","), F.lit("")).cast("double")), lambda v: (v > 0) & (v < 100000))
+    tags = F.regexp_extract_all(clean, F.lit(r"(?i)(<img\b[^>]*>)"), 1)
+    p = p.withColumns({"prices": F.array_sort(F.slice(prices, 1, 301)), "tags": tags})
+    shown = lambda test: F.size(F.filter("tags", test)).cast("long")
     years = F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"(?i)(?:©|copyright)\s*(?:\d{4}\s*[-–]\s*)?(\d{4})"), 1), lambda y: y.cast("int")), lambda y: (y >= 2000) & (y <= 2100))
     return p.withColumns({
         "title": mk.title(clean), "meta_description": F.substring(mk.meta(clean, "name", "description"), 1, 400), "site_name": mk.meta(clean, "property", "og:site_name"),
         "platform": mk.platform(html, clean), "has_viewport": clean.rlike(r"(?i)<meta[^>]+name\s*=\s*[\"']viewport[\"']"),
         "text_len": F.length(text).cast("long"), "word_count": F.regexp_count(text, F.lit(r"\S+")).cast("long"), "text_sample": F.substring(text, 1, 3000),
-        "prices": F.array_sort(F.slice(prices, 1, 301)), "copyright_year": F.array_max(years),
+        "price_count": F.size("prices").cast("long"), "price_median": F.get("prices", F.floor(F.size("prices") / 2).cast("int")), "price_max": F.array_max("prices"), "copyright_year": F.array_max(years),
         "add_to_cart_hits": F.regexp_count("low_clean", F.lit("add to cart|add to bag|buy now|shop now")).cast("long"),
         "has_cart": F.col("low_clean").rlike("/cart|shopping-cart|cart-count|cart-drawer"),
-        "img_count": F.regexp_count(clean, F.lit(r"(?i)<img\b[^>]*>")).cast("long"),
+        "generator": mk.generator(clean), "img_count": F.size("tags").cast("long"), "img_with_dims": shown(lambda t: t.rlike(r"(?i)width\s*=") & t.rlike(r"(?i)height\s*=")),
+        "img_lazy": shown(lambda t: t.rlike(r"(?i)loading\s*=\s*[\"']lazy[\"']")), "img_srcset": shown(lambda t: t.rlike(r"(?i)srcset\s*=")),
         **{k: F.col("low_text").rlike(v) for k, v in CONTENT_FLAGS.items()}, **{k: F.col("low_clean").rlike(v) for k, v in HTML_FLAGS.items()},
         "us_hint": mk.us_hint(text), "content_hash": content_hash("html"),
-    }).drop("low_text", "low_clean")
+    }).withColumn("responsive_hint", F.col("has_viewport") & ((F.col("img_srcset") > 0) | html.rlike("(?i)@media"))).drop("low_text", "low_clean", "tags")
 
 
 def content_hash(column: str):
@@ -68,6 +72,12 @@ def page_links(pages: DataFrame) -> DataFrame:
     return a.withColumn("n", F.row_number().over(w)).where(F.col("n") <= MOST_LINKS).select("page_id", "page_url", "pos", "url", "host", "label")
 
 
+def link_counts(links: DataFrame) -> DataFrame:
+    """Product and collection links of each page."""
+    n = lambda pattern, name: F.count_if(F.col("url").rlike(pattern)).alias(name)
+    return links.groupBy("page_id").agg(n("(?i)/products?/", "product_links"), n("(?i)/collections?/|/shop/", "collection_links"))
+
+
 def contact_links(links: DataFrame, most: int = 3) -> DataFrame:
     """Same-host links that probably lead to an address: by path, then label; the best of each path, ``most`` a page."""
     path, label = F.lower(F.regexp_extract("url", r"^https?://[^/?#]+([^?#]*)", 1)), F.lower("label")
@@ -85,6 +95,20 @@ def js_shell_pages(signals: DataFrame) -> DataFrame:
     return signals.where((F.col("word_count") < 60) & (F.col("img_count") < 4) & (F.regexp_count("html", F.lit("(?i)<script")) >= 2) & root)
 
 
+def append_snapshots(snapshots: DataFrame, signals: DataFrame, fetched_at, status: int = 200, render_mode: str = "static") -> DataFrame:
+    """Snapshots with a row for each page of ``signals`` added: when and how it was read, what it held, its signals as JSON."""
+    own = ("page_id", "url", "html", "clean", "text", "content_hash")
+    found = F.to_json(F.struct(*[c for c in signals.columns if c not in own]))
+    new = signals.select("page_id", "url", F.lit(fetched_at).alias("fetched_at"), F.lit(status).alias("status"), "content_hash", F.octet_length("html").cast("long").alias("bytes"), "text_sample", F.lit(render_mode).alias("render_mode"), found.alias("signals"))
+    return snapshots.unionByName(new)
+
+
+def touch_unchanged(entities: DataFrame, pages: DataFrame, snapshots: DataFrame, at) -> DataFrame:
+    """Entities (key, last_evaluated) whose page (key, content_hash) holds what its latest snapshot held: only the time moves."""
+    same = pages.select("key").join(changed_pages(pages, snapshots).select("key"), "key", "left_anti").distinct().withColumn("_same", F.lit(True))
+    return entities.join(same, "key", "left").withColumn("last_evaluated", F.when(F.col("_same"), F.lit(at)).otherwise(F.col("last_evaluated"))).drop("_same")
+
+
 def changed_pages(pages: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Pages (key, content_hash) whose hash differs from the key's latest snapshot (key, content_hash, fetched_at)."""
     last = snapshots.groupBy("key").agg(F.max(F.struct("fetched_at", "content_hash"))["content_hash"].alias("_old"))

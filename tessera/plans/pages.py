@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import identity as ident
 from tessera.functions import markup as mk
 from tessera.functions.rules import CONTENT_FLAGS, HANDLE_TAILS, HTML_FLAGS, LEGAL_SUFFIXES, MULTI_PART_SUFFIXES, PLATFORMS, PRIVATE_HOSTS, US_STATES, US_WORDS
+from tessera.operators import contact as ct
 from tessera.operators import signals as sg
 
 from .registry import register
@@ -121,9 +122,21 @@ def c01(spark, sf):
     return sg.extract_signals(pages(spark, sf)).select("page_id", "text", "text_len", "word_count", "text_sample")
 
 
-@register("c02_page_meta", f"WITH {PAGES} SELECT page_id, trim(regexp_extract(clean, '(?is)<title[^>]*>(.{{0,300}}?)</title>', 1)) AS title, regexp_matches(clean, '(?i)<meta[^>]+name\\s*=\\s*[\"'']viewport[\"'']') AS has_viewport, '' AS meta_description FROM sg")
+# every third page with a description, a generator and a style for small screens
+_META = """CASE WHEN page_id % 3 = 0 THEN '<meta name="description" content="About ' || page_id || '"><meta name="generator" content="Hugo 0.1"><meta name="viewport" content="w"><style>@media print{}</style>' ELSE '' END || html"""
+
+
+def sql_meta(name: str) -> str:
+    return f"regexp_extract(regexp_extract(clean, '(?is)<meta[^>]+name\\s*=\\s*[\"'']{name}[\"''][^>]*>'), '(?i)content\\s*=\\s*[\"'']([^\"'']*)[\"'']', 1)"
+
+
+VIEWPORT = "regexp_matches(clean, '(?i)<meta[^>]+name\\s*=\\s*[\"'']viewport[\"'']')"
+TITLE = "trim(regexp_extract(clean, '(?is)<title[^>]*>(.{0,300}?)</title>', 1))"
+
+
+@register("c02_page_meta", f"WITH {PAGES.replace('FROM pages)', f'FROM (SELECT page_id, url, {_META} AS html FROM pages))')} SELECT page_id, {TITLE} AS title, {VIEWPORT} AS has_viewport, substr({sql_meta('description')}, 1, 400) AS meta_description, {sql_meta('generator')} AS generator, {VIEWPORT} AND regexp_matches(html, '(?i)@media') AS responsive_hint FROM sg")
 def c02(spark, sf):
-    return sg.extract_signals(pages(spark, sf)).select("page_id", "title", "has_viewport", "meta_description")
+    return sg.extract_signals(pages(spark, sf).withColumn("html", F.expr(_META))).select("page_id", "title", "has_viewport", "meta_description", "generator", "responsive_hint")
 
 
 @register("c03_platform", "SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(h, '(?i){p}') THEN '{n}'" for n, p in PLATFORMS) + " END AS platform FROM (SELECT doc_id, text || ([' wp-content', ' cdn.shopify.com', ' ', ' wixstatic.com', ' carrd.co'])[CAST(doc_id % 5 + 1 AS INT)] AS h FROM documents)")
@@ -145,18 +158,29 @@ def c04(spark, sf):
 
 
 @register("c06_prices", """WITH p AS (SELECT doc_id, list_sort(list_filter(list_transform(regexp_extract_all(text, '\\$\\s?(\\d{1,3}(?:,\\d{3})*(?:\\.\\d{2})?)', 1), lambda x: CAST(replace(x, ',', '') AS DOUBLE)), lambda v: v > 0 AND v < 100000)[:301]) AS p FROM (SELECT doc_id, text || ' $' || (doc_id % 90 + 1) || ' and $1,' || (doc_id % 900 + 100) || '.50' AS text FROM documents))
-  SELECT doc_id, CAST(len(p) AS INT) AS price_count, p[len(p) // 2 + 1] AS price_median, list_max(p) AS price_max FROM p""")
+  SELECT doc_id, len(p) AS price_count, p[len(p) // 2 + 1] AS price_median, list_max(p) AS price_max FROM p""")
 def c06(spark, sf):
     text = F.concat("text", F.lit(" $"), F.col("doc_id") % 90 + 1, F.lit(" and $1,"), F.col("doc_id") % 900 + 100, F.lit(".50"))
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("page_id"), text.alias("html"))
     s = sg.extract_signals(d)
-    n = F.size("prices")
-    return s.select(F.col("page_id").alias("doc_id"), n.alias("price_count"), F.get("prices", F.floor(n / 2).cast("int")).alias("price_median"), F.array_max("prices").alias("price_max"))
+    return s.select(F.col("page_id").alias("doc_id"), "price_count", "price_median", "price_max")
+
 
+# two of three pages with a shop behind them
+SHOP = """html || CASE page_id % 3 WHEN 0 THEN '<a href="/products/a">a</a><a href="/collections/b/product/c">b</a><button>Add to cart</button> $1,180 or $40 <img src=a srcset=x width=1 height=2><a href="https://instagram.com/i">i</a> hello@mara.studio wp-content <meta name="viewport" content="w"> Wholesale'
+  WHEN 1 THEN '<a href="/shop/x">x</a><a href="/cart">c</a>' || repeat('<img src=b loading="lazy">', 16) || ' ann@mara.studio Klaviyo © 2015 our studio' ELSE '' END"""
+SHOP_PAGES = PAGES.replace("FROM pages)", f"FROM (SELECT page_id, url, {SHOP} AS html FROM pages))")
+LINKS = "lk AS (SELECT page_id, count(*) FILTER (regexp_matches(url, '(?i)/products?/')) AS product_links, count(*) FILTER (regexp_matches(url, '(?i)/collections?/|/shop/')) AS collection_links, arg_min(url, pos) FILTER (ends_with(host, 'instagram.com')) AS instagram FROM ln GROUP BY 1)"
+CARTS, CART = "len(regexp_extract_all(lower(clean), 'add to cart|add to bag|buy now|shop now'))", "regexp_matches(clean, '(?i)/cart|shopping-cart|cart-count|cart-drawer')"
 
-@register("c08_commerce_flags", f"WITH {PAGES} SELECT page_id, len(regexp_extract_all(lower(clean), 'add to cart|add to bag|buy now|shop now')) AS add_to_cart_hits, regexp_matches(clean, '(?i)/cart|shopping-cart|cart-count|cart-drawer') AS has_cart FROM sg")
+
+def shop_pages(spark, sf):
+    return pages(spark, sf).withColumn("html", F.expr(SHOP))
+
+
+@register("c08_commerce_flags", f"WITH {SHOP_PAGES}, {_ANCHORS}, {LINKS} SELECT page_id, {CARTS} AS add_to_cart_hits, {CART} AS has_cart, coalesce(product_links, 0) AS product_links, coalesce(collection_links, 0) AS collection_links, {CART} OR {CARTS} > 0 OR coalesce(product_links, 0) > 0 AS is_ecommerce FROM sg LEFT JOIN lk USING (page_id)")
 def c08(spark, sf):
-    return sg.extract_signals(pages(spark, sf)).select("page_id", "add_to_cart_hits", "has_cart")
+    return ct.full_signals(shop_pages(spark, sf)).select("page_id", "add_to_cart_hits", "has_cart", "product_links", "collection_links", "is_ecommerce")
 
 
 _FLAGS = ", ".join([f"regexp_matches(text, '(?i){v}') AS {k}" for k, v in CONTENT_FLAGS.items()] + [f"regexp_matches(clean, '(?i){v}') AS {k}" for k, v in HTML_FLAGS.items()])
@@ -209,9 +233,18 @@ def c21(spark, sf):
     return pages(spark, sf).select("page_id", sg.content_hash("html").alias("content_hash"))
 
 
-@register("a15_snapshot_append", f"WITH {PAGES} SELECT page_id, url, {_HASH.format('html')} AS content_hash, CAST(octet_length(encode(html)) AS BIGINT) AS bytes, substr(text, 1, 3000) AS text_sample FROM sg")
+@register("a15_snapshot_append", f"WITH {PAGES} SELECT page_id, url, TIMESTAMP '2024-01-31 00:00:00' AS fetched_at, 200 AS status, {_HASH.format('html')} AS content_hash, CAST(octet_length(encode(html)) AS BIGINT) AS bytes, substr(text, 1, 3000) AS text_sample, 'static' AS render_mode, {TITLE} AS title FROM sg UNION ALL SELECT page_id, url, TIMESTAMP '2024-01-30 00:00:00', 304, 'old', 0, '', 'static', NULL FROM pages WHERE page_id % 2 = 0")
 def a15(spark, sf):
-    return sg.extract_signals(pages(spark, sf)).select("page_id", "url", "content_hash", F.octet_length("html").cast("long").alias("bytes"), "text_sample")
+    p, at = pages(spark, sf), lambda d: F.lit(f"2024-01-{d} 00:00:00").cast("timestamp_ntz")
+    old = p.where("page_id % 2 = 0").select("page_id", "url", at(30).alias("fetched_at"), F.lit(304).alias("status"), F.lit("old").alias("content_hash"), F.lit(0).cast("long").alias("bytes"), F.lit("").alias("text_sample"), F.lit("static").alias("render_mode"), F.lit(None).cast("string").alias("signals"))
+    return sg.append_snapshots(old, sg.extract_signals(p), at(31)).withColumn("signals", F.get_json_object("signals", "$.title")).withColumnRenamed("signals", "title")
+
+
+@register("f08_touch_unchanged", f"WITH p AS (SELECT page_id, {_HASH.format('html')} AS h FROM pages) SELECT page_id AS key, CASE WHEN page_id % 5 <> 0 AND page_id % 4 <> 0 THEN 20 ELSE 10 END AS last_evaluated FROM p")
+def f08_touch(spark, sf):
+    p = pages(spark, sf).select(F.col("page_id").alias("key"), sg.content_hash("html").alias("content_hash"))
+    s = p.where("key % 5 <> 0").select("key", F.when(F.col("key") % 4 == 0, "other").otherwise(F.col("content_hash")).alias("content_hash"), F.lit(1).alias("fetched_at"))
+    return sg.touch_unchanged(p.select("key", F.lit(10).alias("last_evaluated")), p, s, 20)
 
 
 @register("f08_changed_pages", f"WITH p AS (SELECT page_id, url, {_HASH.format('html')} AS h FROM pages), s AS (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'other' ELSE h END AS old FROM p WHERE page_id % 5 <> 0) SELECT page_id AS key, h AS content_hash FROM p LEFT JOIN s USING (page_id) WHERE h IS DISTINCT FROM old")

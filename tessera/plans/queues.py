@@ -99,19 +99,59 @@ def q07(spark, sf):
     return queue.queue_view(outreach(spark, sf), entities(spark, sf), DAY)
 
 
-_LAST = "last AS (SELECT entity_id, decision, created_at FROM feed {0} QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY created_at DESC, feedback_id DESC) = 1)"
+_WHY = "'reason ' || repeat('x', 190) || k"
+_LAST = f"last AS (SELECT entity_id, decision, {_WHY} AS reason, created_at FROM feed {{0}}" + " QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY created_at DESC, feedback_id DESC) = 1)"
 
 
 @register("q08_apply_decisions", f"""WITH {ENTITIES}, {FEEDBACK}, {_LAST.format("WHERE decision IN ('SENT', 'SKIPPED', 'BLOCKED')")} SELECT entity_id,
   CASE WHEN decision = 'SENT' THEN 'CONTACTED' WHEN decision = 'SKIPPED' AND state = 'OUTREACH_READY' THEN 'NURTURE' WHEN decision = 'BLOCKED' THEN 'DO_NOT_CONTACT' ELSE state END AS state,
-  CASE WHEN decision = 'SENT' THEN coalesce(contacted_on, CAST(created_at AS DATE)) ELSE contacted_on END AS contacted_on FROM ents LEFT JOIN last USING (entity_id)""")
+  CASE WHEN decision = 'SENT' THEN coalesce(contacted_on, CAST(created_at AS DATE)) ELSE contacted_on END AS contacted_on, CASE WHEN decision = 'SENT' THEN CAST(created_at AS DATE) ELSE contacted_on END AS last_contacted_on,
+  CASE WHEN decision = 'SKIPPED' AND state = 'OUTREACH_READY' THEN substr(reason, 1, 200) END AS skip_reason FROM ents LEFT JOIN last USING (entity_id)""")
 def q08(spark, sf):
-    return queue.apply_decisions(feedback(spark, sf), entities(spark, sf))
+    return queue.apply_decisions(reasoned(spark, sf), entities(spark, sf))
+
+
+def reasoned(spark, sf):
+    return feedback(spark, sf).withColumn("reason", F.concat(F.lit("reason " + 190 * "x"), "k"))
+
+
+@register("q08_decided_outreach", f"""WITH {OUTREACH}, {FEEDBACK}, d AS (SELECT feedback_id % 5000 AS outreach_id, arg_max(decision, (created_at, feedback_id)) AS decision, max(created_at) AS seen FROM feed WHERE decision IN ('SENT', 'SKIPPED') GROUP BY 1)
+  SELECT outreach_id, entity_id, coalesce(decision, status) AS status, CASE WHEN decision = 'SENT' THEN seen END AS sent_at FROM outr LEFT JOIN d USING (outreach_id)""")
+def q08_outreach(spark, sf):
+    d = reasoned(spark, sf).withColumn("outreach_id", F.col("feedback_id") % 5000)
+    return queue.decided_outreach(outreach(spark, sf).select("outreach_id", "entity_id", "status"), d.drop("entity_id"))
+
+
+_BOUNCES = "bo AS (SELECT feedback_id % 5000 AS outreach_id, 'user ' || repeat('y', 195) || k AS note, created_at AS seen FROM feed WHERE decision = 'BOUNCED')"
+
+
+def bounces(spark, sf):
+    f = feedback(spark, sf).where("decision = 'BOUNCED'")
+    return f.select((F.col("feedback_id") % 5000).alias("outreach_id"), F.concat(F.lit("user " + 195 * "y"), "k").alias("note"), F.col("created_at").alias("at"))
+
+
+@register("q09_bounced_outreach", f"""WITH {OUTREACH}, {FEEDBACK}, {_BOUNCES}, b AS (SELECT outreach_id, max(seen) AS seen, arg_max(note, (seen, note)) AS note FROM bo GROUP BY 1)
+  SELECT outreach_id, CASE WHEN seen IS NULL THEN status ELSE 'BOUNCED' END AS status, seen AS bounced_at, substr('bounced: ' || note, 1, 300) AS send_error FROM outr LEFT JOIN b USING (outreach_id)""")
+def q09_outreach(spark, sf):
+    return queue.bounced_outreach(outreach(spark, sf).select("outreach_id", "status"), bounces(spark, sf))
+
+
+@register("q09_bounce_suppressions", f"""WITH {ENTITIES}, {OUTREACH}, {FEEDBACK}, {SUPP}, {_BOUNCES}, n AS (SELECT email AS key, substr('bounced: ' || arg_max(note, (seen, note)), 1, 200) AS reason FROM bo JOIN outr USING (outreach_id) JOIN ents USING (entity_id) WHERE email IS NOT NULL GROUP BY 1)
+  SELECT key, 'asked' AS reason FROM supp WHERE key NOT IN (SELECT key FROM n) UNION ALL SELECT * FROM n""")
+def q09_suppressions(spark, sf):
+    s = suppressions(spark, sf).distinct().withColumn("reason", F.lit("asked"))
+    return queue.bounce_suppressions(s, bounces(spark, sf), outreach(spark, sf), entities(spark, sf))
+
+
+@register("q04_surfaced", f"WITH {ENTITIES} SELECT entity_id, CASE WHEN hit THEN 'OUTREACH_READY' ELSE state END AS state, times_surfaced + CASE WHEN hit THEN 1 ELSE 0 END AS times_surfaced FROM (SELECT *, score >= 60 AND state IN ('QUALIFIED', 'SHORTLISTED', 'NURTURE') AS hit FROM ents)")
+def q04_surfaced(spark, sf):
+    e = entities(spark, sf)
+    return queue.surfaced(e, e.where("score >= 60")).select("entity_id", "state", "times_surfaced")
 
 
 @register("q08_block_suppressions", f"WITH {ENTITIES}, {FEEDBACK}, {SUPP}, {_LAST.format('')} SELECT key FROM supp UNION SELECT email FROM last JOIN ents USING (entity_id) WHERE decision = 'BLOCKED' AND email IS NOT NULL")
 def q08_block(spark, sf):
-    return queue.block_suppressions(feedback(spark, sf), entities(spark, sf), suppressions(spark, sf))
+    return queue.block_suppressions(reasoned(spark, sf), entities(spark, sf), suppressions(spark, sf))
 
 
 @register("q09_apply_bounces", f"""WITH {ENTITIES}, {OUTREACH}, o AS (SELECT entity_id, count(*) FILTER (status = 'BOUNCED') AS b, count(*) FILTER (status = 'SENT') AS s FROM outr GROUP BY 1)
@@ -120,13 +160,34 @@ def q09(spark, sf):
     return queue.apply_bounces(outreach(spark, sf), entities(spark, sf))
 
 
-@register("q10_revive", f"""WITH {OUTREACH}, today AS (SELECT * FROM outr WHERE day = DATE '2001-07-20'), r AS (SELECT outreach_id, entity_id,
-  CASE WHEN status = 'SENT' THEN 'already-sent' WHEN entity_id IN (SELECT entity_id FROM today) THEN 'already-queued' END AS refused FROM outr WHERE outreach_id % 50 = 0),
-  s AS (SELECT *, coalesce(refused, CASE WHEN row_number() OVER (PARTITION BY refused, entity_id ORDER BY outreach_id) > 1 THEN 'already-queued' END) AS again FROM r)
-  SELECT outreach_id, entity_id, again AS refused, CASE WHEN again IS NULL THEN row_number() OVER (PARTITION BY again ORDER BY outreach_id) + (SELECT coalesce(max(outreach_id), 0) FROM today) END AS rank FROM s""")
+_REVIVE = f"""{OUTREACH}, o AS (SELECT *, entity_id % 2 AS profile_id, outreach_id % 40 AS rank FROM outr), today AS (SELECT * FROM o WHERE day = DATE '2001-07-20'), r AS (SELECT outreach_id, entity_id, profile_id,
+  CASE WHEN status = 'SENT' THEN 'already-sent' WHEN entity_id IN (SELECT entity_id FROM today) THEN 'already-queued' END AS refused FROM o WHERE outreach_id % 3 <> 0),
+  s AS (SELECT *, coalesce(refused, CASE WHEN row_number() OVER (PARTITION BY refused, entity_id ORDER BY outreach_id) > 1 THEN 'already-queued' END) AS again FROM r), t AS (SELECT profile_id, max(rank) AS top FROM today GROUP BY 1),
+  v AS (SELECT outreach_id, entity_id, profile_id, again AS refused, CASE WHEN again IS NULL THEN row_number() OVER (PARTITION BY again, profile_id ORDER BY outreach_id) + coalesce(top, 0) END AS rank FROM s LEFT JOIN t USING (profile_id))"""
+
+
+def ranked_outreach(spark, sf):
+    return outreach(spark, sf).withColumns({"profile_id": F.col("entity_id") % 2, "rank": F.col("outreach_id") % 40})
+
+
+def revivals(spark, sf):
+    o = ranked_outreach(spark, sf)
+    return queue.revive(o.where("outreach_id % 3 <> 0").select("outreach_id"), o, DAY)
+
+
+@register("q10_revive", f"WITH {_REVIVE} SELECT * FROM v")
 def q10(spark, sf):
-    o = outreach(spark, sf)
-    return queue.revive(o.where("outreach_id % 50 = 0").select("outreach_id"), o, DAY)
+    return revivals(spark, sf)
+
+
+@register("q10_revived_rows", f"WITH {_REVIVE} SELECT outreach_id, CASE WHEN v.rank IS NULL THEN status ELSE 'DRAFT' END AS status, CASE WHEN v.rank IS NULL THEN day ELSE DATE '2001-07-20' END AS day, coalesce(v.rank, o.rank) AS rank FROM o LEFT JOIN v USING (outreach_id)")
+def q10_rows(spark, sf):
+    return queue.revived_rows(ranked_outreach(spark, sf), revivals(spark, sf), DAY).select("outreach_id", "status", "day", "rank")
+
+
+@register("q10_revived_entities", f"WITH {ENTITIES}, {_REVIVE} SELECT entity_id, CASE WHEN state = 'NURTURE' AND entity_id IN (SELECT entity_id FROM v WHERE refused IS NULL) THEN 'OUTREACH_READY' ELSE state END AS state FROM ents")
+def q10_entities(spark, sf):
+    return queue.revived_entities(entities(spark, sf), revivals(spark, sf)).select("entity_id", "state")
 
 
 @register("q11_response_status", f"""WITH {ENTITIES}, ev AS (SELECT user_id AS entity_id, CASE arg_max(event_type, (ts, event_id)) WHEN 'purchase' THEN 'REPLIED' WHEN 'error' THEN 'NO_REPLY' WHEN 'view' THEN 'GHOSTED' END AS response FROM events GROUP BY 1)

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions.rules import ADVANCED_STATES, CORPORATE_MARKERS, MARKETPLACES, VAGUE_PRAISE, WEIGHTS
+from tessera.functions.rules import ADVANCED_STATES, CORPORATE_MARKERS, MARKETPLACES, PLATFORMS, US_STATES, US_WORDS, VAGUE_PRAISE, WEIGHTS
+from tessera.operators import contact as ct
 from tessera.operators import scoring as sc
 
-from .pages import quoted
+from .pages import _ANCHORS as ANCHORS
+from .pages import _FLAGS as FLAGS
+from .pages import CART, CARTS, LINKS, SHOP_PAGES, TITLE, VIEWPORT, quoted, shop_pages, sql_domain, sql_meta
 from .registry import register
 from .standins import ENTITIES, entities, table
 
@@ -68,6 +71,36 @@ def f02(spark, sf):
     return sc.rule_score(key_signals(spark, sf), 2026).select("k", *WEIGHTS, "prescore")
 
 
+# the same sums over the signals of whole pages
+_CHOICE = {"domain <> 'etsy.com'": f"domain NOT IN ({quoted(MARKETPLACES)})", "platform = 'shopify'": "platform IN ('shopify', 'bigcommerce', 'squarespace')", "platform = 'carrd'": "platform IN ('carrd', 'linktree')", "platform = 'wix'": "platform IN ('wix', 'bigcartel')", "contains(text_sample, 'studio')": "regexp_matches(text_sample, '(?i)studio|session|consult|workshop|class|appointment|commission')"}
+
+
+def of_pages(total: str) -> str:
+    for key_rule, page_rule in _CHOICE.items():
+        total = total.replace(key_rule, page_rule)
+    return total
+
+
+_TAGS = "regexp_extract_all(clean, '(?i)<img\\b[^>]*>')"
+_PRICES = "list_sort(list_filter(list_transform(regexp_extract_all(text, '\\$\\s?(\\d{1,3}(?:,\\d{3})*(?:\\.\\d{2})?)', 1), lambda x: CAST(replace(x, ',', '') AS DOUBLE)), lambda v: v > 0 AND v < 100000)[:301])"
+_MADE = " ".join(f"WHEN regexp_matches(html, '(?i){p}') THEN '{n}'" for n, p in PLATFORMS)
+_APPS = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(html, '(?i){p}') THEN '{n}' END" for n, p in ct.PAID_APPS) + "], lambda x: x IS NOT NULL)"
+_EMAILS = f"list_filter(list_transform(regexp_extract_all(text, '[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\\.[A-Za-z0-9_.]{{2,}}'), lambda e: lower(regexp_replace(e, '[.]+$', ''))), lambda e: regexp_matches(e, '(?i)\\.({'|'.join(ct.COUNTRY_TLDS + ct.OTHER_TLDS)})$') AND NOT regexp_matches(e, '{ct.JUNK_EMAIL}'))"
+_WHOLE = f"""s AS (SELECT page_id, {sql_domain('url')} AS domain, CASE {_MADE} END AS platform, coalesce(product_links, 0) AS product_links, coalesce(collection_links, 0) AS collection_links, instagram, {CARTS} AS add_to_cart_hits, {CART} AS has_cart,
+  {CART} OR {CARTS} > 0 OR coalesce(product_links, 0) > 0 AS is_ecommerce, {_PRICES} AS pr, pr[len(pr) // 2 + 1] AS price_median, list_max(pr) AS price_max, len({_TAGS}) AS img_count, len(list_filter({_TAGS}, lambda t: regexp_matches(t, '(?i)srcset\\s*='))) AS img_srcset,
+  len(list_filter({_TAGS}, lambda t: regexp_matches(t, '(?i)loading\\s*=\\s*["'']lazy["'']'))) AS img_lazy, len(list_filter({_TAGS}, lambda t: regexp_matches(t, '(?i)width\\s*=') AND regexp_matches(t, '(?i)height\\s*='))) AS img_with_dims,
+  len(regexp_extract_all(text, '\\S+')) AS word_count, list_max(list_filter(list_transform(regexp_extract_all(text, '(?i)(?:©|copyright)\\s*(?:\\d{{4}}\\s*[-–]\\s*)?(\\d{{4}})', 1), lambda y: CAST(y AS INT)), lambda y: y BETWEEN 2000 AND 2100)) AS copyright_year,
+  {FLAGS}, {VIEWPORT} AS has_viewport, regexp_matches(text, '\\b({US_STATES})\\b[\\s,]*\\d{{5}}') OR regexp_matches(text, '(?i)\\b({US_WORDS})\\b') AS us_hint, {TITLE} AS title, substr({sql_meta('description')}, 1, 400) AS meta_description, substr(text, 1, 3000) AS text_sample,
+  len({_APPS}) AS apps, {_EMAILS} AS em, CASE WHEN len(list_filter(em, lambda e: NOT regexp_matches(e, '{sc.GENERAL_INBOX}'))) > 0 THEN 0 WHEN len(em) > 0 THEN 1 ELSE 2 END AS mails FROM sg LEFT JOIN lk USING (page_id))"""
+
+
+@register("f02_page_scores", f"""WITH {SHOP_PAGES}, {ANCHORS}, {LINKS}, {_WHOLE}, d AS (SELECT page_id, CAST({_FIT} AS INT) AS fit, CAST({of_pages(_MONEY)} AS INT) AS money, CAST(greatest({of_pages(_WEB)}, {of_pages(_SYS)}) AS INT) AS need, 50 AS creative, CASE mails WHEN 0 THEN 95 WHEN 1 THEN 70 ELSE CASE WHEN instagram IS NOT NULL THEN 35 ELSE 10 END END AS contactability,
+  CAST({_PERS} AS INT) AS personalization, 50 AS conversion FROM s) SELECT *, {_PRE} AS prescore FROM d""")
+def f02_pages(spark, sf):
+    """Pages scored from end to end."""
+    return sc.rule_score(ct.full_signals(shop_pages(spark, sf)), 2026).select("page_id", *WEIGHTS, "prescore")
+
+
 _DIM = {k: f"c_custkey * {m} % 101" for k, m in zip(WEIGHTS, (7, 11, 13, 17, 19, 23, 29), strict=True)}
 _DIMS = "dm AS (SELECT c_custkey AS entity_id, " + ", ".join(f"{v} AS {k}" for k, v in _DIM.items()) + " FROM customer)"
 

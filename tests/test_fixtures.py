@@ -81,7 +81,7 @@ def test_page_signals(spark):
     p = spark.createDataFrame([(1, "https://mara.studio/", PAGE)], "page_id long, url string, html string")
     s = sg.extract_signals(p).first()
     assert s["title"] == "Mara Studio | ceramics" and s["platform"] == "shopify" and s["has_viewport"] and s["us_hint"] and s["copyright_year"] == 2026
-    assert s["prices"] == [20.0, 1180.0] and s["has_wholesale"] and s["has_press"] and s["has_team"] and s["has_email_capture"] and "at $1,180" in s["text"] and s["meta_description"] == "Pots"
+    assert s["price_max"] == 1180.0 and s["price_median"] == 1180.0 and s["price_count"] == 2 and s["has_wholesale"] and s["has_press"] and s["has_team"] and s["has_email_capture"] and "at $1,180" in s["text"] and s["meta_description"] == "Pots"
     assert contact.page_emails(p).first()["emails"] == ["hello@mara.studio"]
     links = sg.page_links(p)
     assert sg.contact_links(links).first()["url"] == "https://mara.studio/contact"
