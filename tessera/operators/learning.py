@@ -75,21 +75,32 @@ def lesson_pending(feedback: DataFrame, entities: DataFrame, most: int = 25, lea
     return b.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy())).where(F.col("n") >= least).select("feedback_id", "entity_id", "display_name", "reason")
 
 
+def mark_applied(feedback: DataFrame, learned: DataFrame) -> DataFrame:
+    """Feedback with the rows that lessons were drawn from (feedback_id) marked."""
+    done = learned.select("feedback_id").distinct().withColumn("_done", F.lit(True))
+    return feedback.join(done, "feedback_id", "left").withColumn("applied", F.coalesce("_done", "applied")).drop("_done")
+
+
 def lesson_key(c: Column) -> Column:
     return F.substring(F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " ")), 1, 40)
 
 
 def upsert_lessons(lessons: DataFrame, proposed: DataFrame) -> DataFrame:
-    """Lessons (lesson, kind, weight) with proposals counted in: those that begin alike are one, and gain weight."""
-    both = lessons.select("lesson", "kind", "weight", F.lit(0).alias("new")).unionByName(proposed.select("lesson", "kind", F.lit(1).cast("long").alias("weight"), F.lit(1).alias("new")))
-    g = both.groupBy(lesson_key(F.col("lesson")).alias("key"), "kind").agg(F.min(F.struct("new", "lesson"))["lesson"].alias("lesson"), F.sum("weight").alias("weight"))
-    return g.select("lesson", "kind", "weight")
+    """Lessons (lesson, kind, weight, source_count) with proposals (lesson, kind, sources) counted in: those that begin alike are one, and gain weight and sources."""
+    both = lessons.select("lesson", "kind", "weight", "source_count", F.lit(0).alias("new")).unionByName(proposed.select("lesson", "kind", F.lit(1).cast("long").alias("weight"), F.col("sources").alias("source_count"), F.lit(1).alias("new")))
+    g = both.groupBy(lesson_key(F.col("lesson")).alias("key"), "kind").agg(F.min(F.struct("new", "lesson"))["lesson"].alias("lesson"), F.sum("weight").alias("weight"), F.sum("source_count").alias("source_count"))
+    return g.select("lesson", "kind", "weight", "source_count")
 
 
 def active_lessons(lessons: DataFrame, most: int = 12) -> DataFrame:
-    """The weightiest lessons of each niche."""
+    """The weightiest lessons of each niche; those without one count for every niche."""
     w = Window.partitionBy("niche").orderBy(F.desc("weight"), F.desc("updated"), "lesson_id")
-    return lessons.where("active").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("niche", "rank", "lesson_id", "weight")
+    live = lessons.where("active")
+    # no niche can show more of the common ones than ``most``
+    common = live.where("niche is null").orderBy(F.desc("weight"), F.desc("updated"), "lesson_id").limit(most).drop("niche")
+    niches = live.where("niche is not null").select("niche").distinct()
+    every = live.where("niche is not null").unionByName(niches.join(F.broadcast(common), F.lit(True)))
+    return every.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("niche", "rank", "lesson_id", "weight")
 
 
 def rerank_clamp(entities: DataFrame, revised: DataFrame, low: int = 15, high: int = 100) -> DataFrame:
@@ -109,9 +120,9 @@ def apply_corrections(proposals: DataFrame, niches: list[str], suppressions: Dat
 
 
 def rename_in_history(outreach: DataFrame, renames: DataFrame) -> DataFrame:
-    """Bodies (entity_id, body) with an entity's old name replaced."""
-    j = outreach.join(renames, "entity_id", "left")
-    return j.withColumn("body", F.when(F.col("old").isNotNull() & (F.col("old") != ""), F.replace("body", F.col("old"), F.col("new"))).otherwise(F.col("body"))).drop("old", "new")
+    """Subjects and bodies (entity_id, subject, body) with an entity's old name replaced."""
+    j, named = outreach.join(renames, "entity_id", "left"), F.col("old").isNotNull() & (F.col("old") != "")
+    return j.withColumns({c: F.when(named, F.replace(c, F.col("old"), F.col("new"))).otherwise(F.col(c)) for c in ("subject", "body")}).drop("old", "new")
 
 
 def record_feedback(events: DataFrame, entities: DataFrame) -> DataFrame:
@@ -148,6 +159,16 @@ def purge_profile(rows: DataFrame, entities: DataFrame, profile: int) -> DataFra
     return rows.join(entities.where(F.col("profile_id") == profile).select("entity_id"), "entity_id", "left_anti")
 
 
+def released_keys(keys: DataFrame, entities: DataFrame, profile: int) -> DataFrame:
+    """Identity keys (key, entity_id) without those of a profile's entities, so that other profiles may take them."""
+    return purge_profile(keys, entities, profile)
+
+
+def heir(profiles: DataFrame, gone: int) -> DataFrame:
+    """The profile that takes over when ``gone`` is deleted: the first other active one, the default first; none is an empty table."""
+    return profiles.where(F.col("active") & (F.col("profile_id") != gone)).orderBy(F.desc("is_default"), "profile_id").limit(1).select("profile_id", "slug")
+
+
 def resolve_profile(profiles: DataFrame, slug: str) -> DataFrame:
     """The active profile of a slug, else the default, else the first."""
     return profiles.where("active").orderBy(F.when(F.col("slug") == slug, 0).when(F.col("is_default"), 1).otherwise(2), "profile_id").limit(1).select("profile_id", "slug")

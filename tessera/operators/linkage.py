@@ -56,7 +56,8 @@ def resolve_entities(candidates: DataFrame, keys: DataFrame) -> DataFrame:
 
     candidates: cand_id, profile_id and the identifiers. A weak key joins its members only if, over all groups that have
     it, no identifier takes two values and the profile is one; so a weak link never brings two domains together through
-    one key, whatever the order of arrival.
+    one key, whatever the order of arrival. With a column first_seen a group is named by its oldest member, else by its
+    smallest one.
     """
     strong = key_groups(keys.where("tier = 'strong'"))
     named = candidates.join(strong, "cand_id", "left").withColumn("component", F.coalesce("component", "cand_id"))
@@ -69,7 +70,11 @@ def resolve_entities(candidates: DataFrame, keys: DataFrame) -> DataFrame:
     fine = weak.groupBy("key").agg(agree.alias("agree"), F.min("component").alias("b")).where("agree").select("key", "b")
     links = weak.join(fine, "key").select(F.col("component").alias("a"), "b")
     joined = components(links).withColumnRenamed("component", "top")
-    return named.join(joined, F.col("component") == F.col("node"), "left").select("cand_id", F.coalesce("top", "component").alias("component"))
+    out = named.join(joined, F.col("component") == F.col("node"), "left").withColumn("component", F.coalesce("top", "component"))
+    if "first_seen" not in candidates.columns:
+        return out.select("cand_id", "component")
+    oldest = out.groupBy("component").agg(F.min(F.struct(F.coalesce("first_seen", F.lit("9999-12-31").cast("timestamp")).alias("t"), "cand_id"))["cand_id"].alias("oldest"))
+    return out.join(oldest, "component").select("cand_id", F.col("oldest").alias("component"))
 
 
 def merge_records(members: DataFrame, fields: list[str], first: list[str], last: list[str], order: list[Column]) -> DataFrame:

@@ -84,8 +84,15 @@ def spend(budget: DataFrame, bounds: tuple) -> DataFrame:
 
 
 def places_rollup(entities: DataFrame, states: int = 8, cities: int = 12) -> DataFrame:
-    """Entities by region and place with region totals: the largest regions, and the largest places of each."""
-    r = entities.rollup("region", "location").agg(F.count(F.lit(1)).alias("n")).where("region is not null")
+    """Entities (location, source) by state and place with state totals: the largest states, and the largest places of each.
+
+    The state is that of "City, ST", else the end of a source "osm:city-st", else Unknown; the place the location, else the
+    source's.
+    """
+    loc, source = F.coalesce("location", F.lit("")), F.coalesce("source", F.lit(""))
+    state = F.when(loc.rlike(r", ..$"), F.substring(loc, -2, 2)).when(source.rlike(r"^osm:.*-..$"), F.upper(F.substring(source, -2, 2))).otherwise("Unknown")
+    at = entities.select(state.alias("region"), F.when(loc != "", loc).otherwise(F.replace(source, F.lit("osm:"), F.lit(""))).alias("location"))
+    r = at.rollup("region", "location").agg(F.count(F.lit(1)).alias("n")).where("region is not null")
     totals = r.where("location is null").select("region", F.col("n").alias("total")).orderBy(F.desc("total"), "region").limit(states)
     w = Window.partitionBy("region").orderBy(F.desc("n"), "location")
     places = r.where("location is not null").join(totals, "region").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cities)
@@ -113,11 +120,11 @@ def rail_counts(outreach: DataFrame, entities: DataFrame, day: date) -> DataFram
 
 def history_page(outreach: DataFrame, entities: DataFrame, feedback: DataFrame, status: str, search: str, first: date, last: date, page: int = 0, size: int = 20) -> DataFrame:
     """One page of a status' rows, newest first, with the total and the latest decision on each row's entity."""
-    hit = F.col("display_name").ilike(f"%{search}%") | F.col("location").ilike(f"%{search}%")
+    hit = F.col("display_name").ilike(f"%{search}%") | F.col("location").ilike(f"%{search}%") | F.col("subject").ilike(f"%{search}%")
     rows = outreach.where((F.col("status") == status) & F.col("day").between(F.lit(first), F.lit(last))).join(entities, "entity_id").where(hit)
     total = rows.agg(F.count(F.lit(1)).alias("total"))
     shown = rows.select("outreach_id", "entity_id", "display_name", "day").orderBy(F.desc("day"), F.desc("outreach_id")).offset(page * size).limit(size)
-    latest = feedback.groupBy("entity_id").agg(F.max(F.struct("created_at", "feedback_id", "decision")).alias("f")).select("entity_id", F.col("f.decision").alias("decision"))
+    latest = feedback.groupBy("entity_id").agg(F.max(F.struct("created_at", "feedback_id", "decision", "reason")).alias("f")).select("entity_id", "f.decision", "f.reason")
     return shown.join(latest, "entity_id", "left").crossJoin(total)
 
 
@@ -126,9 +133,23 @@ def distinct_places(entities: DataFrame, most: int = 200) -> DataFrame:
 
 
 def recent_notes(feedback: DataFrame, entities: DataFrame, most: int = 4) -> DataFrame:
-    """The latest decisions that carry a note, with the entity's name."""
-    top = feedback.where(F.col("decision").isin("NOTE", "SKIPPED", "BLOCKED")).join(entities.select("entity_id", "display_name"), "entity_id")
-    return top.orderBy(F.desc("created_at"), F.desc("feedback_id")).limit(most).select("feedback_id", "display_name", "decision")
+    """The latest decisions with a reason, and the entity's name."""
+    top = feedback.where("reason is not null").join(entities.select("entity_id", "display_name"), "entity_id")
+    return top.orderBy(F.desc("created_at"), F.desc("feedback_id")).limit(most).select("feedback_id", "display_name", "decision", "reason")
+
+
+def top_lessons(lessons: DataFrame, most: int = 6) -> DataFrame:
+    """The weightiest active lessons of each profile."""
+    w = Window.partitionBy("profile_id").orderBy(F.desc("weight"), "lesson_id")
+    return lessons.where("active").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("profile_id", "rank", "lesson_id", "kind", "weight")
+
+
+def metric_windows(rows: DataFrame, as_of: date, day: date) -> DataFrame:
+    """Rows (day) in each period's window, in one pass."""
+    bounds = {p: window_bounds(p, as_of) for p in ("today", "month", "year", "all")} | {"day": window_bounds("day", as_of, day)}
+    one = rows.agg(*[F.count_if(within(F.col("day"), b)).alias(p) for p, b in bounds.items()])
+    each = F.explode(F.array(*[F.struct(F.lit(p).alias("period"), F.lit(b[0]).alias("first"), F.lit(b[1]).alias("last"), F.lit(b[2]).alias("bucket"), F.col(p).alias("n")) for p, b in bounds.items()]))
+    return one.select(each.alias("w")).select("w.*")
 
 
 def bookings_by_day(bookings: DataFrame) -> DataFrame:
@@ -137,12 +158,20 @@ def bookings_by_day(bookings: DataFrame) -> DataFrame:
     return b.groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
 
 
-def entity_profile(entities: DataFrame, snapshots: DataFrame, most: int = 10) -> DataFrame:
-    """Each entity with its latest snapshots, newest first."""
+def booking_rows(bookings: DataFrame) -> DataFrame:
+    """Bookings (id, start_a or start_b, attendees: name and email) with the first attendee, by start; those without one go."""
+    start, who = F.coalesce("start_a", "start_b"), F.get("attendees", F.lit(0))
+    b = bookings.withColumns({"start": start, "name": who["name"], "email": F.nullif(F.lower(who["email"]), F.lit(""))}).where("start is not null")
+    return b.select(F.to_date("start").alias("day"), "id", "start", "name", "email")
+
+
+def entity_profile(entities: DataFrame, snapshots: DataFrame, keys: DataFrame | None = None, most: int = 10) -> DataFrame:
+    """Each entity with its latest snapshots, newest first, and its identity keys (entity_id, key) in order."""
     w = Window.partitionBy("entity_id").orderBy(F.desc("day"), F.desc("outreach_id"))
     last = snapshots.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
     nested = last.groupBy("entity_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "outreach_id"))), lambda s: s["outreach_id"]).alias("latest"))
-    return entities.select("entity_id", "display_name").join(nested, "entity_id", "left")
+    out = entities.select("entity_id", "display_name").join(nested, "entity_id", "left")
+    return out if keys is None else out.join(keys.groupBy("entity_id").agg(F.array_sort(F.collect_set("key")).alias("keys")), "entity_id", "left")
 
 
 def category_counts(rows: DataFrame, label: str, bounds: tuple, most: int = 5) -> DataFrame:

@@ -99,16 +99,22 @@ def m04(spark, sf):
     return lr.lesson_pending(f, entities(spark, sf))
 
 
-@register("m05_upsert_lessons", "WITH b AS (SELECT text AS lesson, CASE WHEN doc_id % 2 = 0 THEN 'AVOID' ELSE 'PREFER' END AS kind, CASE WHEN doc_id < 400 THEN 0 ELSE 1 END AS new FROM documents) SELECT arg_min(lesson, (new, lesson)) AS lesson, kind, CAST(sum(CASE new WHEN 0 THEN 2 ELSE 1 END) AS BIGINT) AS weight FROM b GROUP BY substr(trim(regexp_replace(lower(lesson), '[^a-z0-9]+', ' ', 'g')), 1, 40), kind")
+@register("m05_upsert_lessons", "WITH b AS (SELECT text AS lesson, CASE WHEN doc_id % 2 = 0 THEN 'AVOID' ELSE 'PREFER' END AS kind, CASE WHEN doc_id < 400 THEN 0 ELSE 1 END AS new FROM documents) SELECT arg_min(lesson, (new, lesson)) AS lesson, kind, CAST(sum(CASE new WHEN 0 THEN 2 ELSE 1 END) AS BIGINT) AS weight, CAST(sum(CASE new WHEN 0 THEN 5 ELSE 3 END) AS BIGINT) AS source_count FROM b GROUP BY substr(trim(regexp_replace(lower(lesson), '[^a-z0-9]+', ' ', 'g')), 1, 40), kind")
 def m05(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.col("text").alias("lesson"), F.when(F.col("doc_id") % 2 == 0, "AVOID").otherwise("PREFER").alias("kind"))
-    return lr.upsert_lessons(d.where("doc_id < 400").withColumn("weight", F.lit(2).cast("long")), d.where("doc_id >= 400"))
+    return lr.upsert_lessons(d.where("doc_id < 400").withColumns({"weight": F.lit(2).cast("long"), "source_count": F.lit(5).cast("long")}), d.where("doc_id >= 400").withColumn("sources", F.lit(3).cast("long")))
 
 
-@register("m06_active_lessons", "SELECT source AS niche, CAST(row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id % 10 DESC, doc_id) AS INT) AS rank, doc_id AS lesson_id, n_chars AS weight FROM documents WHERE doc_id % 3 <> 1 QUALIFY rank <= 12")
+@register("m06_active_lessons", "WITH l AS (SELECT CASE WHEN doc_id % 4 > 0 THEN source END AS niche, doc_id AS lesson_id, n_chars AS weight, doc_id % 10 AS updated FROM documents WHERE doc_id % 3 <> 1), e AS (SELECT * FROM l WHERE niche IS NOT NULL UNION ALL SELECT n.niche, lesson_id, weight, updated FROM l, (SELECT DISTINCT niche FROM l WHERE niche IS NOT NULL) n WHERE l.niche IS NULL) SELECT niche, CAST(row_number() OVER (PARTITION BY niche ORDER BY weight DESC, updated DESC, lesson_id) AS INT) AS rank, lesson_id, weight FROM e QUALIFY rank <= 12")
 def m06(spark, sf):
     k = F.col("doc_id")
-    return lr.active_lessons(table(spark, sf, "documents").select(k.alias("lesson_id"), F.col("source").alias("niche"), F.col("n_chars").alias("weight"), (k % 10).alias("updated"), (k % 3 != 1).alias("active")))
+    return lr.active_lessons(table(spark, sf, "documents").select(k.alias("lesson_id"), F.when(k % 4 > 0, F.col("source")).alias("niche"), F.col("n_chars").alias("weight"), (k % 10).alias("updated"), (k % 3 != 1).alias("active")))
+
+
+@register("m04_mark_applied", f"WITH {FEEDBACK} SELECT feedback_id, feedback_id % 2 = 0 OR k % 5 = 0 AS applied FROM feed")
+def m04_mark(spark, sf):
+    f = feedback(spark, sf).withColumn("applied", F.col("feedback_id") % 2 == 0)
+    return lr.mark_applied(f, f.where("k % 5 = 0")).select("feedback_id", "applied")
 
 
 @register("m07_rerank_clamp", f"WITH {ENTITIES}, r AS (SELECT user_id AS entity_id, CAST(floor(max(value)) AS BIGINT) - 50 AS revised FROM events GROUP BY 1) SELECT entity_id, least(100, greatest(15, revised)) AS score, 'seen' AS why FROM ents JOIN r USING (entity_id)")
@@ -131,11 +137,11 @@ def m08(spark, sf):
     return lr.apply_corrections(p, ["en", "fr"], s)
 
 
-@register("m09_rename_in_history", "SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN replace(text, 'the', 'THE') ELSE text END) AS body FROM documents")
+@register("m09_rename_in_history", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'THE subject' ELSE 'the subject' END AS subject, md5(CASE WHEN doc_id % 2 = 0 THEN replace(text, 'the', 'THE') ELSE text END) AS body FROM documents")
 def m09(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.col("doc_id").alias("entity_id"), F.col("text").alias("body"))
+    d = table(spark, sf, "documents").select("doc_id", F.col("doc_id").alias("entity_id"), F.lit("the subject").alias("subject"), F.col("text").alias("body"))
     r = d.where("doc_id % 2 = 0").select("entity_id", F.lit("the").alias("old"), F.lit("THE").alias("new"))
-    return lr.rename_in_history(d, r).select("doc_id", F.md5("body").alias("body"))
+    return lr.rename_in_history(d, r).select("doc_id", "subject", F.md5("body").alias("body"))
 
 
 @register("m10_record_feedback", f"WITH {ENTITIES}, {FEEDBACK} SELECT feedback_id, entity_id, decision, score AS score_at_time, niche AS niche_at_time FROM feed LEFT JOIN ents USING (entity_id)")
@@ -165,6 +171,18 @@ def p02(spark, sf):
     return lr.purge_profile(table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("entity_id")), entities(spark, sf), 1).select("o_orderkey", "entity_id")
 
 
+@register("p02_released_keys", f"WITH {ENTITIES} SELECT 'email:' || email AS key, entity_id FROM ents WHERE email IS NOT NULL AND profile_id <> 1")
+def p02_keys(spark, sf):
+    e = entities(spark, sf)
+    return lr.released_keys(e.where("email is not null").select(F.concat(F.lit("email:"), "email").alias("key"), "entity_id"), e, 1).select("key", "entity_id")
+
+
+@register("p03_heir", "SELECT c_custkey AS profile_id, c_name AS slug FROM customer WHERE c_custkey % 2 = 1 AND c_custkey <> 1 ORDER BY c_nationkey = 2 DESC, c_custkey LIMIT 1")
+def p03_heir(spark, sf):
+    n = table(spark, sf, "customer").select(F.col("c_custkey").alias("profile_id"), F.col("c_name").alias("slug"), (F.col("c_custkey") % 2 == 1).alias("active"), (F.col("c_nationkey") == 2).alias("is_default"))
+    return lr.heir(n, 1)
+
+
 @register("p03_resolve_profile", "SELECT c_custkey AS profile_id, c_name AS slug FROM customer WHERE c_custkey % 2 = 1 ORDER BY CASE WHEN c_name = 'nobody' THEN 0 WHEN c_nationkey = 2 THEN 1 ELSE 2 END, c_custkey LIMIT 1")
 def p03(spark, sf):
     n = table(spark, sf, "customer").select(F.col("c_custkey").alias("profile_id"), F.col("c_name").alias("slug"), (F.col("c_custkey") % 2 == 1).alias("active"), (F.col("c_nationkey") == 2).alias("is_default"))

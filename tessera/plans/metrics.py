@@ -65,11 +65,18 @@ def m17(spark, sf):
     return m.spend(budget(spark, sf), ALL)
 
 
-@register("m18_places_rollup", f"""WITH {ENTITIES}, r AS (SELECT region, location, count(*) AS n FROM ents GROUP BY ROLLUP (region, location)),
+# places with a state, sources with one, and neither
+_PLACE = "CASE entity_id % 4 WHEN 0 THEN location || ', ' || substr(upper(region), 1, 2) WHEN 1 THEN '' WHEN 2 THEN location END"
+_SOURCE = "CASE WHEN entity_id % 3 = 0 THEN 'osm:' || lower(location) || '-or' WHEN entity_id % 3 = 1 THEN 'seed' END"
+
+
+@register("m18_places_rollup", f"""WITH {ENTITIES}, q AS (SELECT coalesce({_PLACE}, '') AS loc, coalesce({_SOURCE}, '') AS src FROM ents), x AS (SELECT CASE WHEN regexp_matches(loc, ', ..$') THEN right(loc, 2) WHEN regexp_matches(src, '^osm:.*-..$') THEN upper(right(src, 2)) ELSE 'Unknown' END AS region, CASE WHEN loc <> '' THEN loc ELSE replace(src, 'osm:', '') END AS location FROM q),
+  r AS (SELECT region, location, count(*) AS n FROM x GROUP BY ROLLUP (region, location)),
   t AS (SELECT region, n AS total FROM r WHERE location IS NULL AND region IS NOT NULL ORDER BY n DESC, region LIMIT 8),
   p AS (SELECT r.region, total, location, n, CAST(row_number() OVER (PARTITION BY r.region ORDER BY n DESC, location) AS INT) AS rank FROM r JOIN t USING (region) WHERE location IS NOT NULL) SELECT * FROM p WHERE rank <= 12""")
 def m18(spark, sf):
-    return m.places_rollup(entities(spark, sf))
+    e = entities(spark, sf)
+    return m.places_rollup(e.select(F.expr(_PLACE).alias("location"), F.expr(_SOURCE).alias("source")))
 
 
 @register("m19_headline_rates", f"""WITH {ENTITIES}, {OUTREACH}, {BUDGET}, a AS (SELECT count(*) AS sent, count(*) FILTER (response_status = 'REPLIED') AS replied FROM outr JOIN ents USING (entity_id) WHERE status = 'SENT' AND {IN_ALL}),
@@ -98,17 +105,34 @@ def m21(spark, sf):
 
 
 @register("m22_history_page", f"""WITH {ENTITIES}, {OUTREACH}, {FEEDBACK}, r AS (SELECT outreach_id, entity_id, display_name, day FROM outr JOIN ents USING (entity_id)
-  WHERE status = 'SENT' AND day BETWEEN DATE '1996-01-01' AND DATE '2000-12-31' AND (display_name ILIKE '%CUSTOMER%7%' OR location ILIKE '%CUSTOMER%7%')),
+  WHERE status = 'SENT' AND day BETWEEN DATE '1996-01-01' AND DATE '2000-12-31' AND (display_name ILIKE '%CUSTOMER%7%' OR location ILIKE '%CUSTOMER%7%' OR priority ILIKE '%CUSTOMER%7%')),
   s AS (SELECT * FROM r ORDER BY day DESC, outreach_id DESC LIMIT 20 OFFSET 20),
-  f AS (SELECT entity_id, decision FROM feed QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY created_at DESC, feedback_id DESC) = 1)
-  SELECT s.*, decision, (SELECT count(*) FROM r) AS total FROM s LEFT JOIN f USING (entity_id)""")
+  f AS (SELECT entity_id, decision, 'reason ' || k AS reason FROM feed QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY created_at DESC, feedback_id DESC) = 1)
+  SELECT s.*, decision, reason, (SELECT count(*) FROM r) AS total FROM s LEFT JOIN f USING (entity_id)""")
 def m22(spark, sf):
-    return m.history_page(outreach(spark, sf), entities(spark, sf), feedback(spark, sf), "SENT", "customer%7", date(1996, 1, 1), date(2000, 12, 31), page=1)
+    return m.history_page(outreach(spark, sf).withColumn("subject", F.col("priority")), entities(spark, sf), reasoned(spark, sf), "SENT", "customer%7", date(1996, 1, 1), date(2000, 12, 31), page=1)
+
 
+def reasoned(spark, sf):
+    return feedback(spark, sf).withColumn("reason", F.concat(F.lit("reason "), "k"))
 
-@register("m23_recent_notes", f"""WITH {ENTITIES}, {FEEDBACK} SELECT feedback_id, display_name, decision FROM feed JOIN ents USING (entity_id) WHERE decision IN ('NOTE', 'SKIPPED', 'BLOCKED') ORDER BY created_at DESC, feedback_id DESC LIMIT 4""")
+
+@register("m23_recent_notes", f"""WITH {ENTITIES}, {FEEDBACK} SELECT feedback_id, display_name, decision, 'reason ' || k AS reason FROM feed JOIN ents USING (entity_id) WHERE k % 3 = 0 ORDER BY created_at DESC, feedback_id DESC LIMIT 4""")
 def m23(spark, sf):
-    return m.recent_notes(feedback(spark, sf), entities(spark, sf))
+    f = reasoned(spark, sf).withColumn("reason", F.when(F.col("k") % 3 == 0, F.col("reason")))
+    return m.recent_notes(f, entities(spark, sf))
+
+
+@register("m23_top_lessons", "SELECT doc_id % 5 AS profile_id, CAST(row_number() OVER (PARTITION BY doc_id % 5 ORDER BY n_chars DESC, doc_id) AS INT) AS rank, doc_id AS lesson_id, lang AS kind, n_chars AS weight FROM documents WHERE doc_id % 3 <> 1 QUALIFY rank <= 6")
+def m23_lessons(spark, sf):
+    k = F.col("doc_id")
+    return m.top_lessons(table(spark, sf, "documents").select((k % 5).alias("profile_id"), k.alias("lesson_id"), F.col("lang").alias("kind"), F.col("n_chars").alias("weight"), (k % 3 != 1).alias("active")))
+
+
+@register("m11_metric_window", f"""WITH {OUTREACH}, w(period, first, last, bucket) AS (VALUES ('today', DATE '2001-07-31', DATE '2001-08-01', 'hour'), ('month', DATE '2001-07-01', DATE '2001-08-01', 'day'), ('year', DATE '2001-01-01', DATE '2001-08-01', 'month'), ('all', NULL, DATE '2001-08-01', 'month'), ('day', DATE '2001-06-15', DATE '2001-06-16', 'hour'))
+  SELECT w.*, (SELECT count(*) FROM outr WHERE day < last AND (first IS NULL OR day >= first)) AS n FROM w""")
+def m11(spark, sf):
+    return m.metric_windows(outreach(spark, sf), AS_OF, date(2001, 6, 15))
 
 
 @register("m24_distinct_places", f"WITH {ENTITIES} SELECT DISTINCT location FROM ents WHERE location IS NOT NULL AND location <> '' ORDER BY location LIMIT 200")
@@ -124,10 +148,20 @@ def m25(spark, sf):
     return m.bookings_by_day(b)
 
 
+@register("m25_booking_rows", "SELECT CAST(ts AS DATE) AS day, event_id AS id, ts AS start, CASE WHEN user_id % 3 > 0 THEN 'n' || user_id END AS name, CASE WHEN user_id % 3 > 1 THEN 'n' || user_id || '@x.com' END AS email FROM events WHERE event_type <> 'click'")
+def m25_rows(spark, sf):
+    e, u, kind = table(spark, sf, "events"), F.col("user_id"), F.col("event_type")
+    who = F.array(F.struct(F.concat(F.lit("n"), u).alias("name"), F.when(u % 3 > 1, F.concat(F.lit("N"), u, F.lit("@X.com"))).otherwise("").alias("email")))
+    b = e.select(F.col("event_id").alias("id"), F.when(kind == "signup", F.col("ts")).alias("start_a"), F.when(~kind.isin("signup", "click"), F.col("ts")).alias("start_b"), F.when(u % 3 > 0, who).alias("attendees"))
+    return m.booking_rows(b.withColumn("attendees", F.coalesce("attendees", F.array().cast("array<struct<name:string,email:string>>"))))
+
+
 @register("m26_entity_profile", f"""WITH {ENTITIES}, {OUTREACH}, r AS (SELECT entity_id, outreach_id, row_number() OVER (PARTITION BY entity_id ORDER BY day DESC, outreach_id DESC) AS rank FROM outr),
-  l AS (SELECT entity_id, list(outreach_id ORDER BY rank) AS latest FROM r WHERE rank <= 10 GROUP BY entity_id) SELECT entity_id, display_name, latest FROM ents LEFT JOIN l USING (entity_id)""")
+  l AS (SELECT entity_id, list(outreach_id ORDER BY rank) AS latest FROM r WHERE rank <= 10 GROUP BY entity_id) SELECT entity_id, display_name, latest, list_sort(list_filter(['domain:' || domain, 'email:' || email], lambda x: x IS NOT NULL)) AS keys FROM ents LEFT JOIN l USING (entity_id)""")
 def m26(spark, sf):
-    return m.entity_profile(entities(spark, sf), outreach(spark, sf))
+    e = entities(spark, sf)
+    keys = e.select("entity_id", F.explode(F.array_compact(F.array(F.concat(F.lit("domain:"), "domain"), F.concat(F.lit("email:"), "email")))).alias("key"))
+    return m.entity_profile(e, outreach(spark, sf), keys)
 
 
 _CATS = """n AS (SELECT coalesce({0}, 'Not yet sorted') AS label, count(*) AS n FROM {1} GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, label) AS rank, count(*) OVER () AS labels FROM n)

@@ -46,6 +46,11 @@ def staged(df, name: str):
     return df.sparkSession.readStream.schema(df.schema).parquet(path)
 
 
+def stateful(spark) -> None:
+    """Python state and timers need this state store."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def folder(spark, name: str) -> str:
     return f"{shared_folder(spark)}/streams/{name}-{uuid.uuid4().hex}"
 
@@ -55,7 +60,7 @@ def w01_stream(spark, sf):
     path = folder(spark, "bounces")
     n = notices(spark, sf)
     ar.run_available(ar.bounce_stream(staged(n.unionByName(n), "notices"), lambda: sent_rows(spark, sf), path), folder(spark, "state"), spark)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).drop("batch")
 
 
 @register("w02_candidate_stream")
@@ -63,9 +68,9 @@ def w02(spark, sf):
     path = folder(spark, "keys")
     c = candidates(spark, sf)
     keys = linkage.identity_keys(c.where("cand_id % 2 = 0"))
-    keys.groupBy("key").agg(F.min("cand_id").alias("entity_id")).write.parquet(path)
+    keys.groupBy("key").agg(F.min("cand_id").alias("entity_id")).write.parquet(f"{path}/batch=-1")
     ar.run_available(ar.candidate_stream(staged(c.where("cand_id % 2 = 1"), "candidates"), linkage.identity_keys, path), folder(spark, "state"), spark)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).drop("batch")
 
 
 @register("w04_spend_batch", f"WITH {BUDGET} SELECT profile_id, metric, day, CAST(sum(units) AS BIGINT) AS units FROM budg GROUP BY ALL")
@@ -91,3 +96,25 @@ def w05(spark, sf):
     return ar.ghosts_in_batch(e, 2, F.lit("2024-02-02 00:00:00").cast("timestamp_ntz"))
 
 
+
+
+# events as fetches of pages whose content is the kind of event
+@register("w03_change_stream", "SELECT url, content_hash, fetched_at FROM (SELECT 'u' || user_id AS url, event_type AS content_hash, ts AS fetched_at, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_type) AS before FROM events) WHERE content_hash IS DISTINCT FROM before")
+def w03_stream(spark, sf):
+    stateful(spark)
+    e = table(spark, sf, "events").select(F.concat(F.lit("u"), "user_id").alias("url"), F.col("event_type").alias("content_hash"), F.col("ts").cast("timestamp").alias("fetched_at"))
+    path = folder(spark, "changes")
+    out = ar.change_stream(staged(e, "fetches"))
+    ar.run_available(out.writeStream.outputMode("append").format("parquet").option("path", path), folder(spark, "state"), spark)
+    return spark.read.schema(out.schema).parquet(path).withColumn("fetched_at", F.col("fetched_at").cast("timestamp_ntz"))
+
+
+# the watermark ends an hour before the last event
+@register("w05_ghost_stream", f"WITH {_CONTACT}, l AS (SELECT entity_id, max(seen) AS seen, arg_max(kind, (seen, kind)) AS kind FROM e GROUP BY 1) SELECT entity_id, date_trunc('millisecond', seen) + INTERVAL 2 DAY AS ghosted_at FROM l WHERE kind = 'contact' AND date_trunc('millisecond', seen) + INTERVAL 2 DAY <= (SELECT max(seen) FROM e) - INTERVAL 1 HOUR")
+def w05_stream(spark, sf):
+    stateful(spark)
+    e = table(spark, sf, "events").select(F.col("user_id").cast("long").alias("entity_id"), F.col("ts").cast("timestamp").alias("at"), F.when(F.col("event_type") == "purchase", "reply").otherwise("contact").alias("kind"))
+    path = folder(spark, "ghosts")
+    out = ar.ghost_timer(staged(e, "contacts"), 2)
+    ar.run_available(out.writeStream.outputMode("append").format("parquet").option("path", path), folder(spark, "state"), spark)
+    return spark.read.schema(out.schema).parquet(path).withColumn("ghosted_at", F.col("ghosted_at").cast("timestamp_ntz"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tessera.operators.graph import kept
+from tessera.operators.linkage import key_groups
 
 ADDRESS = r"([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
 
@@ -26,54 +27,61 @@ def match_notices(notices: DataFrame, sent: DataFrame) -> DataFrame:
 
 
 def bounce_stream(notices: DataFrame, sent: Callable[[], DataFrame], path: str, delay: str = "7 days"):
-    """Write matched notices to ``path``, each message once: within the watermark by state, for ever by what is stored."""
+    """Write matched notices to ``path``, a folder for each batch: a batch that runs again replaces its own.
+
+    A message that comes again within ``delay`` is known by state; nothing that was written is read again.
+    """
     once = notices.withWatermark("received_at", delay).dropDuplicatesWithinWatermark(["message_id"])
 
-    def batch(df: DataFrame, _: int) -> None:
-        spark = df.sparkSession
-        try:
-            seen = spark.read.parquet(path).select("message_id")
-            df = df.join(seen, "message_id", "left_anti")
-        except Exception as e:  # noqa: BLE001  nothing stored yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        match_notices(df.dropDuplicates(["message_id"]), sent()).write.mode("append").parquet(path)
+    def batch(df: DataFrame, number: int) -> None:
+        match_notices(df.dropDuplicates(["message_id"]), sent()).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return once.writeStream.foreachBatch(batch)
 
 
+def owners(keys: DataFrame, known: DataFrame) -> DataFrame:
+    """(cand_id, entity_id): candidates with keys (cand_id, key) by all keys that link them, through each other too.
+
+    A group that meets known keys (key, entity_id) belongs to the least of their entities, else to its own least candidate.
+    """
+    met = keys.select("key").distinct().join(known, "key").select("key", "entity_id")
+    # known entities are members of the groups that their keys make; ids of both kinds are kept apart by the sign
+    old = met.select((-F.col("entity_id") - 1).alias("cand_id"), "key")
+    groups = key_groups(keys.select("cand_id", "key").unionByName(old))
+    first = groups.groupBy("component").agg(F.min(F.when(F.col("cand_id") < 0, -F.col("cand_id") - 1)).alias("old"), F.min(F.when(F.col("cand_id") >= 0, F.col("cand_id"))).alias("new"))
+    return groups.where("cand_id >= 0").join(first, "component").select("cand_id", F.coalesce("old", "new").alias("entity_id"))
+
+
 def candidate_stream(candidates: DataFrame, keys_of: Callable[[DataFrame], DataFrame], key_path: str):
-    """Resolve candidates (cand_id and what ``keys_of`` needs) against the stored key table (key, entity_id) as they arrive, and store their keys."""
+    """Resolve candidates (cand_id and what ``keys_of`` needs) against the key table (key, entity_id) as they arrive.
+
+    Each batch adds its new keys as a folder, which it replaces if it runs again, and looks up those of earlier ones.
+    """
 
-    def batch(df: DataFrame, _: int) -> None:
+    def batch(df: DataFrame, number: int) -> None:
         spark, keys = df.sparkSession, kept(keys_of(df).select("cand_id", "key"), "keys")
-        known = spark.read.schema("key string, entity_id long").parquet(key_path)
-        old = keys.join(known, "key").groupBy("cand_id").agg(F.min("entity_id").alias("entity_id"))
-        first = keys.groupBy("key").agg(F.min("cand_id").alias("first"))
-        new = keys.join(first, "key").groupBy("cand_id").agg(F.min("first").alias("first"))
-        owner = new.join(old, "cand_id", "left").select("cand_id", F.coalesce("entity_id", "first").alias("entity_id"))
+        known = spark.read.schema("key string, entity_id long, batch long").parquet(key_path).where(F.col("batch") < number).select("key", "entity_id")
+        owner = owners(keys, known)
         add = keys.join(owner, "cand_id").groupBy("key").agg(F.min("entity_id").alias("entity_id")).join(known.select("key"), "key", "left_anti")
-        kept(add, "new-keys").write.mode("append").parquet(key_path)
+        add.write.mode("overwrite").parquet(f"{key_path}/batch={number}")
 
     return candidates.writeStream.foreachBatch(batch)
 
 
 class ChangeProcessor(StatefulProcessor):
-    """Remembers the last content hash of a URL and passes pages whose hash differs from it."""
+    """Remembers the last content hash of a URL and passes pages whose hash differs from the one before."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "content_hash string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = self.last.get()[0] if self.last.exists() else None
-        out = []
-        for r in pd.concat(list(rows)).sort_values("fetched_at").itertuples():
-            if r.content_hash != last:
-                out.append((key[0], r.content_hash, r.fetched_at))
-                last = r.content_hash
-        self.last.update((last,))
-        if out:
-            yield pd.DataFrame(out, columns=["url", "content_hash", "fetched_at"])
+        # the rows of one URL in one batch, which maxFilesPerTrigger bounds
+        d = pd.concat(list(rows))[["content_hash", "fetched_at"]].sort_values(["fetched_at", "content_hash"])
+        before = d["content_hash"].shift(fill_value=self.last.get()[0] if self.last.exists() else None)
+        self.last.update((d["content_hash"].iloc[-1],))
+        new = d[d["content_hash"] != before]
+        if len(new):
+            yield new.assign(url=key[0])[["url", "content_hash", "fetched_at"]]
 
     def close(self) -> None:
         pass
@@ -81,7 +89,7 @@ class ChangeProcessor(StatefulProcessor):
 
 def change_stream(pages: DataFrame) -> DataFrame:
     """Pages (url, content_hash, fetched_at) whose content differs from the last seen of their URL."""
-    return pages.groupBy("url").transformWithStateInPandas(ChangeProcessor(), "url string, content_hash string, fetched_at timestamp", "Append", "None")
+    return pages.select("url", "content_hash", "fetched_at").groupBy("url").transformWithStateInPandas(ChangeProcessor(), "url string, content_hash string, fetched_at timestamp", "Append", "None")
 
 
 def spend_stream(units: DataFrame, delay: str = "2 days") -> DataFrame:
@@ -106,27 +114,28 @@ class GhostProcessor(StatefulProcessor):
         self.due.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for r in pd.concat(list(rows)).sort_values("at").itertuples():
-            self.clear()
-            if r.kind == "contact":
-                at = int(pd.Timestamp(r.at).timestamp() * 1000) + self.days * 86_400_000
-                self.due.update((at,))
-                self.handle.registerTimer(at)
+        # only the last event of the batch decides
+        last = max((d.sort_values(["millis", "kind"]).iloc[-1] for d in rows), key=lambda r: (r["millis"], r["kind"]))
+        self.clear()
+        if last["kind"] == "contact":
+            at = int(last["millis"]) + self.days * 86_400_000
+            self.due.update((at,))
+            self.handle.registerTimer(at)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at = expiredTimerInfo.getExpiryTimeInMs()
         self.due.clear()
-        yield pd.DataFrame({"entity_id": [key[0]], "ghosted_at": [pd.Timestamp(at, unit="ms")]})
+        yield pd.DataFrame({"entity_id": [key[0]], "millis": [expiredTimerInfo.getExpiryTimeInMs()]})
 
     def close(self) -> None:
         pass
 
 
 def ghost_timer(events: DataFrame, days: int = 30, delay: str = "1 hour") -> DataFrame:
-    """Entities (entity_id, kind: contact or reply, at) that stay silent after their last contact."""
-    e = events.withWatermark("at", delay)
-    return e.groupBy("entity_id").transformWithStateInPandas(GhostProcessor(days), "entity_id long, ghosted_at timestamp", "Append", "EventTime")
+    """Entities (entity_id, kind: contact or reply, at) that stay silent after their last contact, once the watermark is past it."""
+    e = events.select("entity_id", "kind", "at", F.unix_millis("at").alias("millis")).withWatermark("at", delay)
+    out = e.groupBy("entity_id").transformWithStateInPandas(GhostProcessor(days), "entity_id long, millis long", "Append", "EventTime")
+    return out.select("entity_id", F.timestamp_millis("millis").alias("ghosted_at"))
 
 
 def ghosts_in_batch(events: DataFrame, days: int, now) -> DataFrame:
