@@ -12,9 +12,10 @@ from pyspark.sql.window import Window
 from tessera.functions.rules import ADVANCED_STATES, CORPORATE_MARKERS, MARKETPLACES, QUALIFY_BAR, VAGUE_PRAISE, WEIGHTS
 
 # Evidence of a place abroad, in the order in which it is looked for.
+PLACES_ABROAD = ["united kingdom", "england", "scotland", "ireland", "deutschland", "germany", "france", "españa", "spain", "italia", "nederland", "australia", "new zealand", "canada", "ontario", "québec", "quebec", "british columbia", "saudi arabia", "united arab emirates", "dubai", "abu dhabi", "mumbai", "delhi", "bangalore", "singapore", "malaysia", "philippines", "jakarta", "bangkok", "shanghai", "shenzhen", "tokyo", "seoul"]
 FOREIGN = [
-    ("currency", r"(£\s?\d|€\s?\d|₹\s?\d|¥\s?\d|\bAED\b|\bSAR\b|\bINR\b|\bGBP\b|\bEUR\b|\bCAD\b|\bAUD\b)"),
-    ("address", r"(?i)\b(united kingdom|england|scotland|ireland|deutschland|germany|france|españa|spain|italia|nederland|australia|new zealand|canada|ontario|québec|quebec|british columbia|saudi arabia|united arab emirates|dubai|abu dhabi|mumbai|delhi|bangalore|singapore|malaysia|philippines|jakarta|bangkok|shanghai|shenzhen|tokyo|seoul)\b"),
+    ("currency", r"[£€₹¥]\s?\d|\b(?:AED|SAR|INR|GBP|EUR|CAD|AUD)\b"),
+    ("address", rf"(?i)\b(?:{'|'.join(PLACES_ABROAD)})\b"),
     ("uk-postcode", r"\b[A-Z]{1,2}\d[A-Z\d]?\s?\d[A-Z]{2}\b"),
 ]
 PARKED, PLACEHOLDER = "domain (is )?for sale|buy this domain|parked (free )?courtesy", "coming soon|under construction|opening soon"
@@ -38,7 +39,12 @@ def hard_filter(signals: DataFrame) -> DataFrame:
     signals, hay, columns = signals.withColumn("_hay", F.lower(F.concat_ws(" ", "title", "text_sample"))), F.col("_hay"), signals.columns
     words, images = F.coalesce("word_count", F.lit(0)), F.coalesce("img_count", F.lit(0))
     corporate = F.coalesce(*[F.when(hay.contains(m), f"corporate:{m}") for m in CORPORATE_MARKERS])
-    foreign = F.coalesce(*[F.when(F.col("text_sample").rlike(p), f"non-us:{k}") for k, p in FOREIGN])
+    # plain words are looked for before the pattern that wants them whole
+    named = F.lit(False)
+    for place in PLACES_ABROAD:
+        named = named | hay.contains(place)
+    found = {"address": lambda p: F.when(named, F.col("text_sample").rlike(p))}
+    foreign = F.coalesce(*[F.when(found.get(k, F.col("text_sample").rlike)(p), f"non-us:{k}") for k, p in FOREIGN])
     reason = F.coalesce(
         F.when(F.col("text_sample").isNull(), "no-signals"), corporate, F.when(F.col("domain").isin(MARKETPLACES), "marketplace-only"),
         F.when((words < 40) & (images < 3), "empty-page"), F.when(hay.rlike(PARKED), "parked-domain"),

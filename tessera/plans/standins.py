@@ -6,10 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.rules import STATES
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from tessera.sources.tables import table
 
 
 def entities(spark: SparkSession, sf: str) -> DataFrame:
