@@ -168,7 +168,8 @@ def audio_features(docs: DataFrame, text: str = "text", settings: Settings = Set
     """Append the stored form of each text's bytes as 8-bit samples and its features (columns of MEDIA).
 
     Null and empty texts are 64 zero samples. Texts are used whole, one at a time. Equal texts get equal values, so
-    repeated rows do too. Columns named like a new one are replaced. An empty table gives an empty result.
+    repeated rows do too. Columns named like a new one are replaced. An empty table gives an empty result. A WAVE file's
+    length has 32 bits; a Spark string is shorter than that.
     """
 
     def make():

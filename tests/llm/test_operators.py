@@ -50,6 +50,24 @@ def test_audio(docs, empty):
     assert got[6]["tensors"] == got[7]["tensors"] and got[0]["media"] == got[1]["media"] and got[3]["score"] == 7.0
     assert audio_features(empty).count() == 0
     assert segments(np.array([0, 2, 0.5, 0.5, -2, 0.5, 3]), 1, -1).tolist() == [[1, 4], [6, 7]]
+    # log-mel by the sums themselves
+    from tessera.llm.audio import log_mel, mel_bank
+
+    s = Settings()
+    wave = np.random.default_rng(2).normal(0, 1, 700).astype(np.float32)
+    hann, bank = np.hanning(s.window).astype(np.float32), mel_bank(s)
+    got_mel = log_mel(wave, s, hann, bank)
+    assert got_mel.shape == (5, s.mels)
+    top = s.rate * s.up / s.down / 2
+    mel = lambda f: 2595 * np.log10(1 + f / 700)
+    edges = [700 * (10 ** (mel(top) * k / (s.mels + 1) / 2595) - 1) for k in range(s.mels + 2)]
+    for i in range(5):
+        frame = [float(wave[i * s.hop + k]) * float(hann[k]) if i * s.hop + k < 700 else 0.0 for k in range(s.window)]
+        power = [abs(sum(x * np.exp(-2j * np.pi * k * j / s.window) for k, x in enumerate(frame))) ** 2 for j in range(s.window // 2 + 1)]
+        for b in (0, 11, s.mels - 1):
+            low, mid, high = edges[b : b + 3]
+            weight = lambda f: max(0.0, min((f - low) / (mid - low), (high - f) / (high - mid))) + 1e-6  # noqa: B023, E731
+            assert got_mel[i, b] == pytest.approx(np.log(sum(p * weight(j * 2 * top / s.window) for j, p in enumerate(power)) + 1e-3), abs=1e-3)
     # each output of the resampler is its phase's filter over the inputs around it
     s = Settings()
     e = Extractor(s)
