@@ -108,17 +108,27 @@ def rerank_clamp(entities: DataFrame, revised: DataFrame, low: int = 15, high: i
     return j.select("entity_id", F.least(F.lit(high), F.greatest(F.lit(low), F.col("revised"))).alias("score"), "why")
 
 
-def apply_corrections(proposals: DataFrame, niches: list[str], suppressions: DataFrame) -> DataFrame:
-    """Proposed fixes (proposal_id, field, value, note): accepted ones, and why others are refused."""
+def apply_corrections(proposals: DataFrame, niches: list[str], suppressions: DataFrame, dead: DataFrame) -> DataFrame:
+    """Proposed fixes (proposal_id, field, value, note): accepted ones, and why others are refused. ``dead``: mail domains (mx_domain) without a server."""
     tokens = lambda c: F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]{4,})"), 1)
     s = suppressions.select(F.col("key").alias("_k")).distinct()
-    j = proposals.join(s, F.col("value") == F.col("_k"), "left")
+    d = dead.select(F.col("mx_domain").alias("_d")).distinct()
+    j = proposals.join(s, F.col("value") == F.col("_k"), "left").join(d, F.substring_index("value", "@", -1) == F.col("_d"), "left")
     f, v = F.col("field"), F.col("value")
     refused = F.when(f == "opinion", "opinion").when((f == "name") & ~F.arrays_overlap(tokens(v), tokens(F.col("note"))), "name-not-in-note").when((f == "niche") & ~v.isin(niches), "unknown-niche")
-    refused = refused.when((f == "email") & ~v.rlike(r"^[^\s@]+@[^\s@]+\.[a-z]{2,}$"), "bad-email").when((f == "email") & F.col("_k").isNotNull(), "suppressed")
+    refused = refused.when((f == "email") & ~v.rlike(r"^[^\s@]+@[^\s@]+\.[a-z]{2,}$"), "bad-email").when((f == "email") & F.col("_k").isNotNull(), "suppressed").when((f == "email") & F.col("_d").isNotNull(), "undeliverable")
     return j.select("proposal_id", "field", refused.alias("refused"), (refused.isNull() & f.isin("name", "niche")).alias("reevaluate"))
 
 
+def corrected(entities: DataFrame, accepted: DataFrame) -> DataFrame:
+    """Entities with the last accepted fix (entity_id, proposal_id, field, value) of each field; a new name or niche has them judged again."""
+    of = lambda k: F.max(F.when(F.col("field") == k, F.struct("proposal_id", "value")))["value"].alias(f"_{k}")
+    j = entities.join(accepted.groupBy("entity_id").agg(*map(of, ("name", "niche", "email"))), "entity_id", "left")
+    again = F.col("_name").isNotNull() | F.col("_niche").isNotNull()
+    new = {"display_name": F.coalesce("_name", "display_name"), "niche": F.coalesce("_niche", "niche"), "email": F.coalesce("_email", "email"), "evaluated_on": F.when(~again, F.col("evaluated_on"))}
+    return j.withColumns(new).drop("_name", "_niche", "_email")
+
+
 def rename_in_history(outreach: DataFrame, renames: DataFrame) -> DataFrame:
     """Subjects and bodies (entity_id, subject, body) with an entity's old name replaced."""
     j, named = outreach.join(renames, "entity_id", "left"), F.col("old").isNotNull() & (F.col("old") != "")

@@ -124,17 +124,26 @@ def m07(spark, sf):
 
 
 @register("m08_apply_corrections", """WITH p AS (SELECT doc_id AS proposal_id, ['opinion', 'name', 'niche', 'email'][CAST(doc_id % 4 + 1 AS INT)] AS field, lang, text AS note FROM documents),
-  v AS (SELECT *, CASE field WHEN 'name' THEN CASE WHEN proposal_id % 8 = 1 THEN substr(note, 1, 40) ELSE 'Zebra Qqqq' END WHEN 'niche' THEN lang WHEN 'email' THEN CASE WHEN proposal_id % 3 = 0 THEN 'nobody' ELSE 'p' || (proposal_id % 50) || '@x.com' END ELSE '' END AS value FROM p),
+  v AS (SELECT *, CASE field WHEN 'name' THEN CASE WHEN proposal_id % 8 = 1 THEN substr(note, 1, 40) ELSE 'Zebra Qqqq' END WHEN 'niche' THEN lang WHEN 'email' THEN CASE WHEN proposal_id % 3 = 0 THEN 'nobody' ELSE 'p' || (proposal_id % 50) || CASE WHEN proposal_id % 5 = 0 THEN '@y.com' ELSE '@x.com' END END ELSE '' END AS value FROM p),
   r AS (SELECT *, CASE WHEN field = 'opinion' THEN 'opinion' WHEN field = 'name' AND NOT list_has_any(regexp_extract_all(lower(value), '[a-z0-9]{4,}'), regexp_extract_all(lower(note), '[a-z0-9]{4,}')) THEN 'name-not-in-note' WHEN field = 'niche' AND value NOT IN ('en', 'fr') THEN 'unknown-niche'
-   WHEN field = 'email' AND NOT regexp_matches(value, '^[^\\s@]+@[^\\s@]+\\.[a-z]{2,}$') THEN 'bad-email' WHEN field = 'email' AND value IN (SELECT 'p' || s_suppkey || '@x.com' FROM supplier) THEN 'suppressed' END AS refused FROM v) SELECT proposal_id, field, refused, refused IS NULL AND field IN ('name', 'niche') AS reevaluate FROM r""")
+   WHEN field = 'email' AND NOT regexp_matches(value, '^[^\\s@]+@[^\\s@]+\\.[a-z]{2,}$') THEN 'bad-email' WHEN field = 'email' AND value IN (SELECT 'p' || s_suppkey || '@x.com' FROM supplier) THEN 'suppressed' WHEN field = 'email' AND value LIKE '%@y.com' THEN 'undeliverable' END AS refused FROM v) SELECT proposal_id, field, refused, refused IS NULL AND field IN ('name', 'niche') AS reevaluate FROM r""")
 def m08(spark, sf):
     k = F.col("doc_id")
     field = F.element_at(F.array(*map(F.lit, ["opinion", "name", "niche", "email"])), (k % 4 + 1).cast("int"))
     note = F.col("text")
-    value = F.when(k % 4 == 1, F.when(k % 8 == 1, F.substring(note, 1, 40)).otherwise("Zebra Qqqq")).when(k % 4 == 2, F.col("lang")).when(k % 4 == 3, F.when(k % 3 == 0, "nobody").otherwise(F.concat(F.lit("p"), k % 50, F.lit("@x.com")))).otherwise("")
+    value = F.when(k % 4 == 1, F.when(k % 8 == 1, F.substring(note, 1, 40)).otherwise("Zebra Qqqq")).when(k % 4 == 2, F.col("lang")).when(k % 4 == 3, F.when(k % 3 == 0, "nobody").otherwise(F.concat(F.lit("p"), k % 50, F.when(k % 5 == 0, "@y.com").otherwise("@x.com")))).otherwise("")
     p = table(spark, sf, "documents").select(k.alias("proposal_id"), field.alias("field"), value.alias("value"), note.alias("note"))
     s = table(spark, sf, "supplier").select(F.concat(F.lit("p"), "s_suppkey", F.lit("@x.com")).alias("key"))
-    return lr.apply_corrections(p, ["en", "fr"], s)
+    return lr.apply_corrections(p, ["en", "fr"], s, spark.createDataFrame([("y.com",)], "mx_domain string"))
+
+
+@register("m08_corrected", f"""WITH {ENTITIES}, a AS (SELECT event_id, user_id, event_type, CASE event_type WHEN 'click' THEN 'name' WHEN 'view' THEN 'niche' WHEN 'error' THEN 'email' END AS field FROM events), l AS (SELECT user_id AS entity_id, field, 'v' || max(event_id) AS value FROM a WHERE field IS NOT NULL AND event_id % 7 = 0 GROUP BY ALL),
+  p AS (SELECT entity_id, max(value) FILTER (field = 'name') AS nm, max(value) FILTER (field = 'niche') AS ni, max(value) FILTER (field = 'email') AS em FROM l GROUP BY 1)
+  SELECT entity_id, coalesce(nm, display_name) AS display_name, coalesce(ni, niche) AS niche, coalesce(em, email) AS email, CASE WHEN nm IS NULL AND ni IS NULL THEN evaluated_on END AS evaluated_on FROM ents LEFT JOIN p USING (entity_id)""")
+def m08_corrected(spark, sf):
+    t = F.col("event_type")
+    a = table(spark, sf, "events").where("event_id % 7 = 0").select(F.col("user_id").alias("entity_id"), F.col("event_id").alias("proposal_id"), F.when(t == "click", "name").when(t == "view", "niche").when(t == "error", "email").alias("field"), F.concat(F.lit("v"), "event_id").alias("value"))
+    return lr.corrected(entities(spark, sf), a.where("field is not null")).select("entity_id", "display_name", "niche", "email", "evaluated_on")
 
 
 @register("m09_rename_in_history", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'THE subject' ELSE 'the subject' END AS subject, md5(CASE WHEN doc_id % 2 = 0 THEN replace(text, 'the', 'THE') ELSE text END) AS body FROM documents")
