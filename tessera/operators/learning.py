@@ -155,6 +155,20 @@ def upsert_categories(edits: DataFrame, categories: DataFrame) -> DataFrame:
     return j.select("profile_id", "order", "slug", refused.alias("refused"), F.when(refused.isNull(), F.coalesce("old", F.coalesce("top", F.lit(0)) + rank)).cast("long").alias("position"), F.size("words").alias("words"))
 
 
+def raised_versions(profiles: DataFrame, outcome: DataFrame) -> DataFrame:
+    """Profiles (profile_id, version) whose categories changed get the next version, so that reasons are sorted anew."""
+    hit = outcome.where("refused is null").select("profile_id").distinct().withColumn("_hit", F.lit(1))
+    return profiles.join(hit, "profile_id", "left").withColumn("version", F.col("version") + F.coalesce("_hit", F.lit(0))).drop("_hit")
+
+
+def starter_categories(profiles: DataFrame, categories: DataFrame, starters: list[str]) -> DataFrame:
+    """Categories with ``starters`` (names) for each profile that has none."""
+    slug = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-")
+    none = profiles.select("profile_id").distinct().join(categories.select("profile_id"), "profile_id", "left_anti")
+    new = none.select("profile_id", F.posexplode(F.array(*map(F.lit, starters))).alias("position", "name"))
+    return categories.select("profile_id", "slug", "position").unionByName(new.select("profile_id", slug(F.col("name")).alias("slug"), F.col("position").cast("long")))
+
+
 def profile_footprint(tables: dict[str, DataFrame], profile: int) -> DataFrame:
     """Rows of a profile in each table, as one row."""
     out = None
@@ -185,12 +199,13 @@ def resolve_profile(profiles: DataFrame, slug: str) -> DataFrame:
 
 
 def profile_config_check(proposals: DataFrame) -> DataFrame:
-    """Generated categories (slug, keywords, tags): cleaned, with the problems that stand against them."""
+    """Generated categories (slug, keywords, tags, seeds): cleaned, with the problems that stand against them. A tag or a seed term is enough."""
     slug = F.regexp_replace(F.regexp_replace(F.lower("slug"), "[^a-z0-9]+", "_"), "^_|_$", "")
     words = F.slice(F.array_distinct(F.filter(F.transform("keywords", lambda k: F.lower(F.trim(k))), lambda k: F.length(k) > 2)), 1, 60)
     tags = F.slice(F.array_distinct(F.filter("tags", lambda t: t.rlike("^[a-z_]+$"))), 1, 24)
-    p = proposals.withColumns({"slug": slug, "keywords": words, "tags": tags})
-    return p.withColumn("problem", F.when(F.col("slug") == "", "no-slug").when(F.size("keywords") < 5, "few-keywords").when(F.size("tags") == 0, "no-tags")).select("slug", F.size("keywords").alias("keywords"), F.size("tags").alias("tags"), "problem")
+    seeds = F.array_distinct(F.filter(F.transform("seeds", lambda t: F.lower(F.trim(t))), lambda t: F.length(t) > 2))
+    p = proposals.withColumns({"slug": slug, "keywords": words, "tags": tags, "seeds": seeds})
+    return p.withColumn("problem", F.when(F.col("slug") == "", "no-slug").when(F.size("keywords") < 5, "few-keywords").when((F.size("tags") == 0) & (F.size("seeds") == 0), "no-tags")).select("slug", F.size("keywords").alias("keywords"), F.size("tags").alias("tags"), F.size("seeds").alias("seeds"), "problem")
 
 
 def isolation_check(tables: dict[str, DataFrame], entities: DataFrame) -> DataFrame:

@@ -130,9 +130,13 @@ def assign_state(scored: DataFrame, bar: int = QUALIFY_BAR) -> DataFrame:
 
 
 def apply_scores(entities: DataFrame, scored: DataFrame) -> DataFrame:
-    """Entities with scores written back: an address only if empty, the niche as stored, else guessed; findings joined by a bar."""
+    """Entities with scores written back.
+
+    An address and where it is from only if there is none; the niche as stored, else guessed from the page, else the
+    evaluation's; findings joined by a bar where the evaluation tells no opportunity.
+    """
     j = entities.join(scored, "entity_id", "left")
-    return j.select("entity_id", F.coalesce("new_score", "score").alias("score"), F.coalesce(F.when(F.col("niche") != "", F.col("niche")), "page_niche").alias("niche"), F.coalesce("email", "found_email").alias("email"), F.coalesce("opportunity", F.array_join("findings", " | ")).alias("opportunity"))
+    return j.select("entity_id", F.coalesce("new_score", "score").alias("score"), F.coalesce(F.when(F.col("niche") != "", F.col("niche")), "page_niche", "evaluation_niche").alias("niche"), F.coalesce("email", "found_email").alias("email"), F.coalesce("contact_source", F.when(F.col("email").isNull(), F.col("found_source"))).alias("contact_source"), F.coalesce("opportunity", F.array_join("findings", " | ")).alias("opportunity"))
 
 
 def evaluation_candidates(scored: DataFrame, evaluations: DataFrame, remaining: DataFrame, bar: int) -> DataFrame:

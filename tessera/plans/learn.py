@@ -198,12 +198,31 @@ def p03(spark, sf):
     return lr.resolve_profile(n, "nobody")
 
 
-@register("p04_profile_config_check", """WITH p AS (SELECT lower(regexp_replace(p_brand, '[^A-Za-z0-9]+', '_', 'g')) AS slug, list_distinct(list_filter(list(lower(p_name)), lambda k: length(k) > 2)) AS kw, list_distinct(list_filter(list(lower(p_type)), lambda t: t <> 'promo')) AS tg FROM part GROUP BY p_brand)
-  SELECT slug, CAST(least(60, len(kw)) AS INT) AS keywords, CAST(len(tg) AS INT) AS tags, CASE WHEN len(kw) < 5 THEN 'few-keywords' WHEN len(tg) = 0 THEN 'no-tags' END AS problem FROM p""")
+@register("p04_profile_config_check", """WITH p AS (SELECT lower(regexp_replace(p_brand, '[^A-Za-z0-9]+', '_', 'g')) AS slug, list_distinct(list_filter(list(lower(p_name)), lambda k: length(k) > 2)) AS kw, list_distinct(list_filter(list(CASE WHEN p_brand LIKE '%1' THEN 'promo' ELSE lower(p_type) END), lambda t: t <> 'promo')) AS tg, list_distinct(list(lower(p_type))) AS sd, p_brand LIKE '%11' AS bare FROM part GROUP BY p_brand)
+  SELECT slug, CAST(least(60, len(kw)) AS INT) AS keywords, CAST(len(tg) AS INT) AS tags, CAST(CASE WHEN bare THEN 0 ELSE len(sd) END AS INT) AS seeds, CASE WHEN len(kw) < 5 THEN 'few-keywords' WHEN len(tg) = 0 AND bare THEN 'no-tags' END AS problem FROM p""")
 def p04(spark, sf):
-    t = F.when(F.col("p_type") == "PROMO", "Not A Tag").otherwise(F.lower("p_type"))
-    p = table(spark, sf, "part").groupBy(F.col("p_brand").alias("slug")).agg(F.collect_set("p_name").alias("keywords"), F.collect_set(t).alias("tags"))
-    return lr.profile_config_check(p)
+    t = F.when((F.col("p_type") == "PROMO") | F.col("p_brand").endswith("1"), "Not A Tag").otherwise(F.lower("p_type"))
+    p = table(spark, sf, "part").groupBy(F.col("p_brand").alias("slug")).agg(F.collect_set("p_name").alias("keywords"), F.collect_set(t).alias("tags"), F.collect_set("p_type").alias("seeds"))
+    return lr.profile_config_check(p.withColumn("seeds", F.when(F.col("slug").endswith("11"), F.array().cast("array<string>")).otherwise(F.col("seeds"))))
+
+
+@register("m27_raised_versions", f"WITH {ENTITIES} SELECT entity_id % 40 AS profile_id, CAST(count(*) AS BIGINT) + CAST(entity_id % 40 % 3 = 1 AS INT) AS version FROM ents GROUP BY entity_id % 40")
+def m27_versions(spark, sf):
+    k = F.col("entity_id") % 40
+    p = entities(spark, sf).groupBy(k.alias("profile_id")).agg(F.count(F.lit(1)).alias("version"))
+    o = p.select("profile_id", F.when(F.col("profile_id") % 3 != 1, "slug-clash").alias("refused"))
+    return lr.raised_versions(p, o.unionByName(o))
+
+
+_STARTERS = ["Wrong Fit", "Too Big", "No Contact", "Already Great"]
+
+
+@register("m27_starter_categories", f"""WITH {ENTITIES}, c AS (SELECT DISTINCT entity_id % 40 AS profile_id, lower(niche) AS slug, CAST(1 AS BIGINT) AS position FROM ents WHERE entity_id % 40 % 3 = 0)
+  SELECT * FROM c UNION ALL SELECT profile_id, slug, position FROM (SELECT DISTINCT entity_id % 40 AS profile_id FROM ents WHERE entity_id % 40 % 3 <> 0), (VALUES {', '.join(f"('{n.lower().replace(' ', '-')}', CAST({i} AS BIGINT))" for i, n in enumerate(_STARTERS))}) v(slug, position)""")
+def m27_starters(spark, sf):
+    e = entities(spark, sf).withColumn("profile_id", F.col("entity_id") % 40)
+    c = e.where("profile_id % 3 = 0").select("profile_id", F.lower("niche").alias("slug"), F.lit(1).cast("long").alias("position")).distinct()
+    return lr.starter_categories(e, c, _STARTERS)
 
 
 @register("p05_isolation_check", f"WITH {ENTITIES} SELECT 'orders' AS \"table\", o_orderkey AS id, o_custkey AS entity_id FROM orders JOIN ents ON o_custkey = entity_id WHERE o_custkey % 2 <> profile_id UNION ALL SELECT 'events', event_id, user_id FROM events JOIN ents ON user_id = entity_id WHERE user_id % 3 <> profile_id")

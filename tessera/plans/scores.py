@@ -161,12 +161,12 @@ def f09(spark, sf):
     return sc.assign_state(entities(spark, sf).withColumn("vetoed", F.col("entity_id") % 9 == 0))
 
 
-@register("f10_apply_scores", f"""WITH {ENTITIES} SELECT entity_id, CASE WHEN entity_id % 2 = 0 THEN entity_id % 100 ELSE score END AS score, CASE WHEN niche = 'BUILDING' THEN CASE WHEN entity_id % 2 = 0 THEN 'guess' END ELSE niche END AS niche,
-  coalesce(email, CASE WHEN entity_id % 2 = 0 THEN 'found@x.com' END) AS email, CASE WHEN entity_id % 2 = 0 THEN CASE WHEN entity_id % 4 = 0 THEN 'told' ELSE 'a | b' END END AS opportunity FROM ents""")
+@register("f10_apply_scores", f"""WITH {ENTITIES} SELECT entity_id, CASE WHEN entity_id % 2 = 0 THEN entity_id % 100 ELSE score END AS score, CASE WHEN niche = 'BUILDING' THEN CASE WHEN entity_id % 2 = 0 THEN CASE WHEN entity_id % 3 = 0 THEN 'judged' ELSE 'guess' END END ELSE niche END AS niche,
+  coalesce(email, CASE WHEN entity_id % 2 = 0 THEN 'found@x.com' END) AS email, CASE WHEN email IS NOT NULL THEN CASE WHEN entity_id % 4 = 1 THEN 'list' END WHEN entity_id % 2 = 0 THEN 'page' END AS contact_source, CASE WHEN entity_id % 2 = 0 THEN CASE WHEN entity_id % 4 = 0 THEN 'told' ELSE 'a | b' END END AS opportunity FROM ents""")
 def f10(spark, sf):
-    e = entities(spark, sf).withColumn("niche", F.when(F.col("niche") == "BUILDING", "").otherwise(F.col("niche")))
     k = F.col("entity_id")
-    s = e.where(k % 2 == 0).select("entity_id", (k % 100).alias("new_score"), F.lit("guess").alias("page_niche"), F.lit("found@x.com").alias("found_email"), F.when(k % 4 == 0, "told").alias("opportunity"), F.array(F.lit("a"), F.lit("b")).alias("findings"))
+    e = entities(spark, sf).withColumns({"niche": F.when(F.col("niche") == "BUILDING", "").otherwise(F.col("niche")), "contact_source": F.when(F.col("email").isNotNull() & (k % 4 == 1), "list")})
+    s = e.where(k % 2 == 0).select("entity_id", (k % 100).alias("new_score"), F.when(k % 3 != 0, "guess").alias("page_niche"), F.lit("judged").alias("evaluation_niche"), F.lit("found@x.com").alias("found_email"), F.lit("page").alias("found_source"), F.when(k % 4 == 0, "told").alias("opportunity"), F.array(F.lit("a"), F.lit("b")).alias("findings"))
     return sc.apply_scores(e, s)
 
 
