@@ -128,14 +128,24 @@ def c22(spark, sf):
 _FIND = [r[1] for r in ct.DRAFT_RULES]
 
 
-@register("q16_draft_table", f"""WITH {ENTITIES}, rl(place, finding, upside, remedy) AS (VALUES {', '.join(map(str, ct.DRAFT_RULES))}), o AS (SELECT entity_id, display_name, CASE WHEN entity_id % 16 = 15 THEN NULL WHEN entity_id % 16 = 14 THEN 'a shop window' ELSE ([{quoted(_FIND)}])[CAST(entity_id % 16 + 1 AS INT)] END AS clause FROM ents)
-  SELECT entity_id, 'A thought about ' || display_name AS subject, coalesce(upside, clause) AS upside, coalesce(remedy, 'a short look at what is there and what is missing') AS remedy FROM o LEFT JOIN rl ON finding = clause WHERE clause IS NOT NULL""")
+def sql_row(row) -> str:
+    return "(" + ", ".join(str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'" for x in row) + ")"
+
+
+@register("q16_draft_table", f"""WITH {ENTITIES}, rl(place, finding, upside, remedy, consequence) AS (VALUES {', '.join(sql_row(r) for r in ct.DRAFT_RULES)}), o AS (SELECT entity_id, display_name, CASE WHEN entity_id % 16 = 15 THEN NULL WHEN entity_id % 16 = 14 THEN 'a shop window' ELSE ([{quoted(_FIND)}])[CAST(entity_id % 16 + 1 AS INT)] END AS clause FROM ents)
+  SELECT entity_id, 'A thought about ' || display_name AS subject, coalesce(upside, clause) AS upside, coalesce(remedy, '{ct.PLAIN_REMEDY}') AS remedy, coalesce(consequence, '{ct.PLAIN_CONSEQUENCE}') AS consequence FROM o LEFT JOIN rl ON finding = clause WHERE clause IS NOT NULL""")
 def q16(spark, sf):
     k = F.col("entity_id")
     f = F.element_at(F.array(*map(F.lit, [*_FIND, "a shop window", ""])), (k % 16 + 1).cast("int"))
     e = entities(spark, sf).withColumn("opportunity", F.when(k % 16 < 15, F.concat(F.lit("system opportunity: "), f, F.lit(". | more"))))
     e = e.withColumn("opportunity", F.regexp_replace("opportunity", r"\. \|", " |"))
-    return ct.draft_table(e, spark.createDataFrame(ct.DRAFT_RULES, "place int, finding string, upside string, remedy string"))
+    return ct.draft_table(e, spark.createDataFrame(ct.DRAFT_RULES, "place int, finding string, upside string, remedy string, consequence string"))
+
+
+@register("q16_no_site_drafts", f"WITH {ENTITIES} SELECT entity_id, 'A home on the web for ' || display_name AS subject, 'a place of its own that people can find' AS upside, 'one page with hours, place and pictures' AS remedy, 'people find others first' AS consequence FROM ents WHERE has_website = false AND email IS NOT NULL AND entity_id % 4 <> 0")
+def q16_no_site(spark, sf):
+    e = entities(spark, sf)
+    return ct.no_site_drafts(e.withColumn("display_name", F.when(F.col("entity_id") % 4 == 0, " ").otherwise(F.col("display_name"))))
 
 
 @register("q17_display_names", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') ELSE upper(split_part(p_name, ' ', 1)[1]) || split_part(p_name, ' ', 1)[2:] END AS name FROM part")
