@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,6 +68,16 @@ def platform(html: Column, clean: Column) -> Column:
     return F.coalesce(*found, F.when(named != "", named))
 
 
+def found(s: Column, pattern: str, collapsed: bool = False) -> Column:
+    """Whether an alternation of phrases matches in ``s``: each phrase by itself, a plain one without a pattern.
+
+    ``collapsed``: white space in ``s`` is single spaces, so white space between words is a plain space.
+    """
+    phrases = re.findall(r"(?:\([^)]*\)|[^|(])+", pattern.replace(r"\s+", " ") if collapsed else pattern)
+    plain = lambda p: not re.search(r"[\\()\[\]?*+.^$]", p.replace(r"\.", ""))
+    return reduce(Column.__or__, [s.contains(p.replace(r"\.", ".")) if plain(p) else s.rlike(p) for p in sorted(phrases, key=plain, reverse=True)])
+
+
 def us_hint(text: Column) -> Column:
     return text.rlike(rf"\b({US_STATES})\b[\s,]*\d{{5}}") | text.rlike(rf"(?i)\b({US_WORDS})\b")
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.functions.markup import found
 from tessera.functions.rules import ADVANCED_STATES, CORPORATE_MARKERS, MARKETPLACES, QUALIFY_BAR, VAGUE_PRAISE, WEIGHTS
 
 # Evidence of a place abroad, in the order in which it is looked for.
@@ -43,12 +44,12 @@ def hard_filter(signals: DataFrame) -> DataFrame:
     named = F.lit(False)
     for place in PLACES_ABROAD:
         named = named | hay.contains(place)
-    found = {"address": lambda p: F.when(named, F.col("text_sample").rlike(p))}
-    foreign = F.coalesce(*[F.when(found.get(k, F.col("text_sample").rlike)(p), f"non-us:{k}") for k, p in FOREIGN])
+    guarded = {"address": lambda p: F.when(named, F.col("text_sample").rlike(p))}
+    foreign = F.coalesce(*[F.when(guarded.get(k, F.col("text_sample").rlike)(p), f"non-us:{k}") for k, p in FOREIGN])
     reason = F.coalesce(
         F.when(F.col("text_sample").isNull(), "no-signals"), corporate, F.when(F.col("domain").isin(MARKETPLACES), "marketplace-only"),
-        F.when((words < 40) & (images < 3), "empty-page"), F.when(hay.rlike(PARKED), "parked-domain"),
-        F.when(hay.rlike(PLACEHOLDER) & (words < 150), "placeholder-site"), F.when(~F.coalesce("us_hint", F.lit(False)), foreign),
+        F.when((words < 40) & (images < 3), "empty-page"), F.when(found(hay, PARKED), "parked-domain"),
+        F.when(found(hay, PLACEHOLDER) & (words < 150), "placeholder-site"), F.when(~F.coalesce("us_hint", F.lit(False)), foreign),
     )
     return signals.withColumn("reject_reason", reason).select(*columns, "reject_reason")
 

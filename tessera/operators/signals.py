@@ -48,10 +48,10 @@ def extract_signals(pages: DataFrame) -> DataFrame:
         "text_len": F.length(text).cast("long"), "word_count": F.regexp_count(text, F.lit(r"\S+")).cast("long"), "text_sample": F.substring(text, 1, 3000),
         "price_count": F.size("prices").cast("long"), "price_median": F.get("prices", F.floor(F.size("prices") / 2).cast("int")), "price_max": F.array_max("prices"), "copyright_year": F.array_max(years),
         "add_to_cart_hits": F.regexp_count("low_clean", F.lit("add to cart|add to bag|buy now|shop now")).cast("long"),
-        "has_cart": F.col("low_clean").rlike("/cart|shopping-cart|cart-count|cart-drawer"),
+        "has_cart": mk.found(F.col("low_clean"), "/cart|shopping-cart|cart-count|cart-drawer"),
         "generator": mk.generator(clean), "img_count": F.size("tags").cast("long"), "img_with_dims": shown(lambda t: t.rlike(r"(?i)width\s*=") & t.rlike(r"(?i)height\s*=")),
         "img_lazy": shown(lambda t: t.rlike(r"(?i)loading\s*=\s*[\"']lazy[\"']")), "img_srcset": shown(lambda t: t.rlike(r"(?i)srcset\s*=")),
-        **{k: F.col("low_text").rlike(v) for k, v in CONTENT_FLAGS.items()}, **{k: F.col("low_clean").rlike(v) for k, v in HTML_FLAGS.items()},
+        **{k: mk.found(F.col("low_text"), v, collapsed=True) for k, v in CONTENT_FLAGS.items()}, **{k: mk.found(F.col("low_clean"), v) for k, v in HTML_FLAGS.items()},
         "us_hint": mk.us_hint(text), "content_hash": content_hash("html"),
     }).withColumn("responsive_hint", F.col("has_viewport") & ((F.col("img_srcset") > 0) | html.rlike("(?i)@media"))).drop("low_text", "low_clean", "tags")
 

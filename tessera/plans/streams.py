@@ -87,15 +87,18 @@ def w04_stream(spark, sf):
     return spark.read.schema(out.schema).parquet(path)
 
 
-_CONTACT = "e AS (SELECT user_id AS entity_id, ts AS seen, CASE WHEN event_type = 'purchase' THEN 'reply' ELSE 'contact' END AS kind FROM events)"
+# a user's events of one day of the month are an entity, so that most are silent long before the last event
+_CONTACT = "e AS (SELECT user_id * 100 + day(ts) AS entity_id, ts AS seen, CASE WHEN event_type = 'purchase' THEN 'reply' ELSE 'contact' END AS kind FROM events)"
 
 
-@register("w05_ghosts_batch", f"WITH {_CONTACT}, l AS (SELECT entity_id, max(seen) AS seen, arg_max(kind, (seen, kind)) AS kind FROM e GROUP BY 1) SELECT entity_id, seen + INTERVAL 2 DAY AS ghosted_at FROM l WHERE kind = 'contact' AND seen + INTERVAL 2 DAY <= TIMESTAMP '2024-02-02 00:00:00'")
-def w05(spark, sf):
-    e = table(spark, sf, "events").select(F.col("user_id").alias("entity_id"), F.col("ts").alias("at"), F.when(F.col("event_type") == "purchase", "reply").otherwise("contact").alias("kind"))
-    return ar.ghosts_in_batch(e, 2, F.lit("2024-02-02 00:00:00").cast("timestamp_ntz"))
+def contacts(spark, sf):
+    kind = F.when(F.col("event_type") == "purchase", "reply").otherwise("contact")
+    return table(spark, sf, "events").select((F.col("user_id").cast("long") * 100 + F.dayofmonth("ts")).alias("entity_id"), F.col("ts").alias("at"), kind.alias("kind"))
 
 
+@register("w05_ghosts_batch", f"WITH {_CONTACT}, l AS (SELECT entity_id, max(seen) AS seen, arg_max(kind, (seen, kind)) AS kind FROM e GROUP BY 1) SELECT entity_id, seen + INTERVAL 2 DAY AS ghosted_at FROM l WHERE kind = 'contact' AND seen + INTERVAL 2 DAY <= TIMESTAMP '2024-02-02 00:00:00'")
+def w05(spark, sf):
+    return ar.ghosts_in_batch(contacts(spark, sf), 2, F.lit("2024-02-02 00:00:00").cast("timestamp_ntz"))
 
 
 # events as fetches of pages whose content is the kind of event
@@ -113,7 +116,7 @@ def w03_stream(spark, sf):
 @register("w05_ghost_stream", f"WITH {_CONTACT}, l AS (SELECT entity_id, max(seen) AS seen, arg_max(kind, (seen, kind)) AS kind FROM e GROUP BY 1) SELECT entity_id, date_trunc('millisecond', seen) + INTERVAL 2 DAY AS ghosted_at FROM l WHERE kind = 'contact' AND date_trunc('millisecond', seen) + INTERVAL 2 DAY <= (SELECT max(seen) FROM e) - INTERVAL 1 HOUR")
 def w05_stream(spark, sf):
     stateful(spark)
-    e = table(spark, sf, "events").select(F.col("user_id").cast("long").alias("entity_id"), F.col("ts").cast("timestamp").alias("at"), F.when(F.col("event_type") == "purchase", "reply").otherwise("contact").alias("kind"))
+    e = contacts(spark, sf).withColumn("at", F.col("at").cast("timestamp"))
     path = folder(spark, "ghosts")
     out = ar.ghost_timer(staged(e, "contacts"), 2)
     ar.run_available(out.writeStream.outputMode("append").format("parquet").option("path", path), folder(spark, "state"), spark)

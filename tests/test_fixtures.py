@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import identity as ident
 from tessera.functions import markup as mk
+from tessera.functions import rules
 from tessera.operators import contact, discovery, graph, learning, linkage, merge, metrics, scoring
 from tessera.operators import signals as sg
 from tessera.streaming import arrivals as ar
@@ -219,3 +220,14 @@ def test_ghosts_in_batch(spark):
     at = lambda d: datetime(2024, 1, d)
     e = spark.createDataFrame([(1, "contact", at(1)), (2, "contact", at(1)), (2, "reply", at(2)), (3, "contact", at(9))], "entity_id long, kind string, at timestamp")
     assert [r["entity_id"] for r in ar.ghosts_in_batch(e, 5, F.lit(at(10))).collect()] == [1]
+
+
+def test_phrases_are_found_as_their_pattern_says(spark):
+    patterns = [*rules.CONTENT_FLAGS.values(), *rules.HTML_FLAGS.values(), scoring.PARKED, scoring.PLACEHOLDER]
+    texts = ["", "where to buy", "whereto buy", "a pop-up", "popup", "pop up", "fairexcom", "faire.com", "dm us to order", "dm you to order", "order via instagram", "squareup.com/appointments", "book now", "bookan", "schedule an call", "/news", "parked free courtesy", "parked courtesy", "domain for sale", "domain is for sale", "under construction", "the cut", None]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    for p in patterns:
+        for collapsed in (False, True):
+            assert d.where(~mk.found(F.col("t"), p, collapsed).eqNullSafe(F.col("t").rlike(p))).count() == 0
+    wide = spark.createDataFrame([("book \t an",)], "t string")
+    assert wide.where(mk.found(F.col("t"), rules.HTML_FLAGS["has_booking"])).count() == 1
