@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import identity as ident
-from tessera.operators.graph import components
+from tessera.operators.graph import components, kept
 
 IDENTITY = ["domain", "instagram", "tiktok", "etsy"]
+#: The domain's bit in a mask of IDENTITY.
+DOMAIN = 1
+#: Rounds in which weak links are taken strictly by age.
+PATIENCE = 6
 
 
 def identity_keys(candidates: DataFrame) -> DataFrame:
@@ -51,30 +55,115 @@ def key_groups(keys: DataFrame) -> DataFrame:
     return keys.select("cand_id").distinct().join(groups, F.col("cand_id") == F.col("node"), "left").select("cand_id", F.coalesce("component", "cand_id").alias("component"))
 
 
+def profile_groups(candidates: DataFrame, keys: DataFrame) -> DataFrame:
+    """(group, profile_id, seen, mask, place, cand_id): candidates with the group that strong keys give them within their profile.
+
+    A group is named by its oldest member (first_seen where there is such a column, then cand_id). ``mask`` says which
+    identifiers of IDENTITY the group has. Groups of one profile never share an identifier's value, since each is a strong
+    key, but for the domain of a marketplace: ``place``, where it is the group's only domain.
+    """
+    seen = F.coalesce("first_seen", F.lit("9999-12-31").cast("timestamp")) if "first_seen" in candidates.columns else F.lit("9999-12-31").cast("timestamp")
+    has = sum((F.when(F.col(k).isNotNull(), 1 << i).otherwise(0) for i, k in enumerate(IDENTITY)), F.lit(0))
+    who = candidates.select("cand_id", F.coalesce(F.col("profile_id").cast("string"), F.lit("")).alias("profile_id"), seen.alias("own_seen"), has.alias("has"), "domain")
+    own = keys.where("tier = 'strong'").join(who, "cand_id").select("cand_id", F.concat_ws("|", "profile_id", "key").alias("key"))
+    named = who.join(key_groups(own), "cand_id", "left").withColumn("component", F.coalesce("component", "cand_id"))
+    low = F.min("domain")
+    first = named.groupBy("component").agg(F.min(F.struct("own_seen", "cand_id")).alias("first"), F.bit_or("has").alias("mask"), F.when((low == F.max("domain")) & ident.is_marketplace(low), low).alias("place"))
+    return named.join(first, "component").select(F.col("first.cand_id").alias("group"), "profile_id", F.col("first.own_seen").alias("seen"), "mask", "place", "cand_id")
+
+
+def oldest_fitting(groups: DataFrame, held: DataFrame) -> DataFrame:
+    """(group, hub, mask, place, seen): for each group the oldest older one that has a weak key of it and no other value of an identifier.
+
+    A key's groups are known by the oldest of each mask and place, of which there are at most so many as the marketplaces
+    give, so a key that many groups have makes no pairs.
+    """
+    at = held.join(groups, "group")
+    tops = at.groupBy("profile_id", "key", "mask", "place").agg(F.min(F.struct("seen", "group")).alias("age"))
+    tops = tops.groupBy("profile_id", "key").agg(F.collect_list(F.struct("age", "mask", "place")).alias("tops"))
+
+    def fits(t):
+        both = t["mask"].bitwiseAND(F.col("mask"))
+        return ((both == 0) | ((both == DOMAIN) & F.coalesce(t["place"] == F.col("place"), F.lit(False)))) & (t["age"] < F.struct("seen", "group"))
+
+    choice = at.join(tops, ["profile_id", "key"]).select("group", "mask", "place", "seen", F.array_min(F.transform(F.filter("tops", fits), lambda t: t["age"])).alias("hub"))
+    return choice.where("hub is not null").groupBy("group", "mask", "place", "seen").agg(F.min("hub")["group"].alias("hub"))
+
+
+def accepted(names: DataFrame, turn: int) -> DataFrame:
+    """(group, hub) of the groups that join their hub in this round.
+
+    Groups join hubs that join no other one themselves, so the oldest come first. Where chains of names last longer than
+    PATIENCE rounds, a hash of group and round decides which hubs stay, so further rounds grow with a chain's logarithm.
+    Of the groups that bring a hub an identifier the oldest gives it, and a group joins if it gives all that it brings or
+    brings the same: the oldest group at a hub always joins.
+    """
+    bits = [1 << i for i in range(len(IDENTITY))]
+    movers = names.withColumn("age", F.struct("seen", "group"))
+    if turn >= PATIENCE:
+        stay = names.join(names.select(F.col("hub").alias("group")).distinct(), "group", "left_semi").where(F.xxhash64("group", F.lit(turn)).bitwiseAND(F.lit(1)) == 0)
+        movers = movers.join(stay.select("group"), "group", "left_anti")
+    movers = movers.join(movers.select(F.col("group").alias("hub")), "hub", "left_anti")
+    claims = movers.groupBy("hub").agg(*[F.min(F.when(F.col("mask").bitwiseAND(F.lit(b)) > 0, F.struct("age", "place"))).alias(f"first_{b}") for b in bits])
+    mine = F.lit(True)
+    for b in bits:
+        same = F.col(f"first_{b}.age") == F.col("age")
+        if b == DOMAIN:
+            same = same | F.coalesce(F.col(f"first_{b}.place") == F.col("place"), F.lit(False))
+        mine = mine & ((F.col("mask").bitwiseAND(F.lit(b)) == 0) | same)
+    return movers.join(claims, "hub").where(mine).select("group", "hub")
+
+
+def foreign_groups(groups: DataFrame, strong: DataFrame) -> DataFrame:
+    """(group, owner): groups that share a strong key (group, key) with an older group of another profile, and that one.
+
+    A foreign group owns no key, so a third group may own what it shares with the foreign one alone.
+    """
+    held = strong.join(groups, "group")
+    several = held.groupBy("key").agg(F.min("profile_id").alias("low"), F.max("profile_id").alias("high")).where("low <> high").select("key")
+    left, out = kept(held.join(several, "key").select("key", "group", "profile_id", F.struct("seen", "group", "profile_id").alias("age")), "contested"), None
+    while True:
+        first = left.groupBy("key").agg(F.min("age").alias("first"))
+        owner = left.join(first, "key").groupBy("group", "profile_id").agg(F.min("first").alias("owner"))
+        # an owner is sure only where no older group of another profile shares a key with it
+        sure = owner.where(F.col("owner.profile_id") == F.col("profile_id")).select(F.col("group").alias("sure"))
+        gone = owner.where(F.col("owner.profile_id") != F.col("profile_id")).join(sure, F.col("owner.group") == F.col("sure"), "left_semi")
+        gone = kept(gone.select("group", F.col("owner.group").alias("owner")), "foreign")
+        if gone.isEmpty():
+            return out if out is not None else gone
+        out = gone if out is None else out.unionByName(gone)
+        left = kept(left.join(gone.select("group"), "group", "left_anti"), "contested")
+
+
 def resolve_entities(candidates: DataFrame, keys: DataFrame) -> DataFrame:
-    """(cand_id, component) in two steps: strong keys first, then weak keys between groups of one profile whose identifiers agree.
+    """(cand_id, component, foreign): candidates that are one business.
 
-    candidates: cand_id, profile_id and the identifiers. A weak key joins its members only if, over all groups that have
-    it, no identifier takes two values and the profile is one; so a weak link never brings two domains together through
-    one key, whatever the order of arrival. With a column first_seen a group is named by its oldest member, else by its
-    smallest one.
+    candidates: cand_id, profile_id, the identifiers of IDENTITY and maybe first_seen. Strong keys join whatever shares
+    them, within a profile. Weak keys then join groups as long as no identifier gets two values in a group: round after round each
+    group names the oldest older one that it may join, until none can name one. What comes out hangs on ages and ids, not
+    on the order of rows. A component is named by its oldest member. Groups of different profiles are never merged: a group
+    that shares a strong key with an older group of another profile is ``foreign``, and its component is the owner's.
     """
-    strong = key_groups(keys.where("tier = 'strong'"))
-    named = candidates.join(strong, "cand_id", "left").withColumn("component", F.coalesce("component", "cand_id"))
-    one = {k: F.when(F.count_distinct(k) == 1, F.min(k)) for k in IDENTITY}
-    groups = named.groupBy("component").agg(F.min("profile_id").alias("low_p"), F.max("profile_id").alias("high_p"), *[v.alias(k) for k, v in one.items()])
-    weak = keys.where("tier = 'weak'").join(named.select("cand_id", "component"), "cand_id").select("key", "component").distinct().join(groups, "component")
-    agree = F.min("low_p") == F.max("high_p")
-    for k in IDENTITY:
-        agree = agree & (F.count_distinct(k) <= 1)
-    fine = weak.groupBy("key").agg(agree.alias("agree"), F.min("component").alias("b")).where("agree").select("key", "b")
-    links = weak.join(fine, "key").select(F.col("component").alias("a"), "b")
-    joined = components(links).withColumnRenamed("component", "top")
-    out = named.join(joined, F.col("component") == F.col("node"), "left").withColumn("component", F.coalesce("top", "component"))
-    if "first_seen" not in candidates.columns:
-        return out.select("cand_id", "component")
-    oldest = out.groupBy("component").agg(F.min(F.struct(F.coalesce("first_seen", F.lit("9999-12-31").cast("timestamp")).alias("t"), "cand_id"))["cand_id"].alias("oldest"))
-    return out.join(oldest, "component").select("cand_id", F.col("oldest").alias("component"))
+    members = kept(profile_groups(candidates, keys), "members")
+    groups = kept(members.select("group", "profile_id", "seen", "mask", "place").distinct(), "groups")
+    weak = keys.where("tier = 'weak'").join(members.select("cand_id", "group", "profile_id"), "cand_id").select("group", "profile_id", "key").distinct()
+    shared = weak.groupBy("profile_id", "key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    every, held, now, turn = groups, kept(weak.join(shared, ["profile_id", "key"]).select("group", "key"), "held"), None, 0
+    while True:
+        names = kept(oldest_fitting(groups, held), "names")
+        if names.isEmpty():
+            break
+        step, turn = kept(accepted(names, turn), "accepted"), turn + 1
+        top = lambda d, step=step: d.join(step, "group", "left").withColumn("group", F.coalesce("hub", "group")).drop("hub")
+        # a hub is older than all that join it
+        groups = kept(top(groups).groupBy("group", "profile_id").agg(F.min("seen").alias("seen"), F.bit_or("mask").alias("mask"), F.min("place").alias("place")), "groups")
+        held = kept(top(held).distinct(), "held")
+        now = kept(top(every.select("group", F.col("group").alias("was")) if now is None else now), "now")
+    if now is not None:
+        members = kept(members.join(now.select(F.col("was").alias("old"), F.col("group").alias("top")), F.col("group") == F.col("old")).select(F.col("top").alias("group"), "cand_id"), "members")
+    strong = keys.where("tier = 'strong'").join(members.select("cand_id", "group"), "cand_id").select("group", "key").distinct()
+    foreign = foreign_groups(groups, strong)
+    return members.select("cand_id", "group").join(foreign, "group", "left").select("cand_id", F.coalesce("owner", "group").alias("component"), F.col("owner").isNotNull().alias("foreign"))
 
 
 def merge_records(members: DataFrame, fields: list[str], first: list[str], last: list[str], order: list[Column]) -> DataFrame:

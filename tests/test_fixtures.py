@@ -199,7 +199,7 @@ def test_oldest_names_the_group(spark):
     c = spark.createDataFrame([(1, "p", "a.com", datetime(2024, 1, 5)), (2, "p", "a.com", datetime(2024, 1, 2)), (3, "p", "b.com", None)], "cand_id long, profile_id string, domain string, first_seen timestamp")
     c = c.withColumns({k: F.lit(None).cast("string") for k in ("instagram", "tiktok", "etsy")})
     keys = c.select("cand_id", F.lit("strong").alias("tier"), F.lit("domain").alias("kind"), F.concat(F.lit("domain:"), "domain").alias("key"))
-    assert {(r["cand_id"], r["component"]) for r in linkage.resolve_entities(c, keys).collect()} == {(1, 2), (2, 2), (3, 3)}
+    assert {(r["cand_id"], r["component"], r["foreign"]) for r in linkage.resolve_entities(c, keys).collect()} == {(1, 2, False), (2, 2, False), (3, 3, False)}
 
 
 def test_private_hosts_and_praise(spark):
