@@ -62,6 +62,18 @@ def b10(spark, sf):
     return ln.key_groups(keys)
 
 
+_STRONG = f"""{_CAND}, {_KEYS}, sp AS (SELECT cand_id, profile_id, key FROM ks JOIN ca USING (cand_id) WHERE tier = 'strong'), lo AS (SELECT profile_id, key, min(cand_id) AS low FROM sp GROUP BY ALL),
+  eg AS (SELECT DISTINCT cand_id AS a, low AS b FROM sp JOIN lo USING (profile_id, key)), bo AS (SELECT a, b FROM eg UNION SELECT b, a FROM eg),
+  re AS (SELECT cand_id, cand_id AS low FROM ca UNION SELECT bo.b, re.low FROM re JOIN bo ON bo.a = re.cand_id WHERE re.low < bo.b)"""
+
+
+@register("b10_strong_groups", f"WITH RECURSIVE {_STRONG} SELECT cand_id, min(low) AS component FROM re GROUP BY 1")
+def b10_strong(spark, sf):
+    """The first step alone: groups by strong keys within a profile."""
+    groups = ln.profile_groups(identified(spark, sf), ln.identity_keys(candidates(spark, sf)))
+    return groups.select("cand_id", F.col("group").alias("component"))
+
+
 @register("b10_resolve_entities")
 def b10_resolve(spark, sf):
     return ln.resolve_entities(identified(spark, sf), ln.identity_keys(candidates(spark, sf)))

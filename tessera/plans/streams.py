@@ -10,7 +10,7 @@ from tessera.operators import linkage
 from tessera.operators.graph import kept, shared_folder
 from tessera.streaming import arrivals as ar
 
-from .links import candidates
+from .links import identified
 from .registry import register
 from .standins import BUDGET, budget, table
 
@@ -39,11 +39,11 @@ def w01(spark, sf):
     return ar.match_notices(notices(spark, sf).dropDuplicates(["message_id"]), sent_rows(spark, sf))
 
 
-def staged(df, name: str):
-    """``df`` as files that a stream can read."""
+def staged(df, name: str, files: int = 1000):
+    """``df`` as files that a stream can read, at most so many at a time."""
     d = kept(df, name)
     path = d.inputFiles()[0].rpartition("/")[0]
-    return df.sparkSession.readStream.schema(df.schema).parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def stateful(spark) -> None:
@@ -63,14 +63,14 @@ def w01_stream(spark, sf):
     return spark.read.parquet(path).drop("batch")
 
 
+# no SQL: the same as b10_resolve_entities, in three batches
 @register("w02_candidate_stream")
 def w02(spark, sf):
-    path = folder(spark, "keys")
-    c = candidates(spark, sf)
-    keys = linkage.identity_keys(c.where("cand_id % 2 = 0"))
-    keys.groupBy("key").agg(F.min("cand_id").alias("entity_id")).write.parquet(f"{path}/batch=-1")
-    ar.run_available(ar.candidate_stream(staged(c.where("cand_id % 2 = 1"), "candidates"), linkage.identity_keys, path), folder(spark, "state"), spark)
-    return spark.read.parquet(path).drop("batch")
+    path = folder(spark, "candidates")
+    c = identified(spark, sf).withColumn("profile_id", F.col("profile_id").cast("string"))
+    keys_of = lambda d: linkage.identity_keys(d.drop("domain"))
+    ar.run_available(ar.candidate_stream(staged(c.repartition(3, "cand_id"), "candidates", 1), keys_of, path), folder(spark, "state"), spark)
+    return ar.candidate_owners(spark, path)
 
 
 @register("w04_spend_batch", f"WITH {BUDGET} SELECT profile_id, metric, day, CAST(sum(units) AS BIGINT) AS units FROM budg GROUP BY ALL")

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tessera.operators import linkage
 from tessera.operators.graph import kept
-from tessera.operators.linkage import key_groups
 
 ADDRESS = r"([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
 
@@ -39,35 +39,83 @@ def bounce_stream(notices: DataFrame, sent: Callable[[], DataFrame], path: str,
     return once.writeStream.foreachBatch(batch)
 
 
-def owners(keys: DataFrame, known: DataFrame) -> DataFrame:
-    """(cand_id, entity_id): candidates with keys (cand_id, key) by all keys that link them, through each other too.
+#: What the candidate stream keeps of each candidate. links: its keys, weak ones under their profile.
+SEEN = "cand_id long, profile_id string, first_seen timestamp, domain string, instagram string, tiktok string, etsy string, keys array<struct<tier:string,key:string>>, links array<string>, batch long"
+OWNED = "cand_id long, entity_id long, foreign boolean, batch long"
 
-    A group that meets known keys (key, entity_id) belongs to the least of their entities, else to its own least candidate.
+
+def with_links(candidates: DataFrame, keys: DataFrame) -> DataFrame:
+    """Candidates (cand_id, profile_id, the identifiers and maybe first_seen) in the form of SEEN, one row for each id."""
+    own = keys.groupBy("cand_id").agg(F.collect_set(F.struct("tier", "key")).alias("keys"))
+    seen = F.col("first_seen").cast("timestamp") if "first_seen" in candidates.columns else F.lit(None).cast("timestamp")
+    profile = F.coalesce(F.col("profile_id").cast("string"), F.lit(""))
+    c = candidates.select("cand_id", profile.alias("profile_id"), seen.alias("first_seen"), *linkage.IDENTITY).dropDuplicates(["cand_id"]).join(own, "cand_id", "left")
+    c = c.withColumn("keys", F.coalesce("keys", F.array().cast("array<struct<tier:string,key:string>>")))
+    return c.withColumn("links", F.transform("keys", lambda k: F.when(k["tier"] == "strong", k["key"]).otherwise(F.concat_ws("|", "profile_id", k["key"]))))
+
+
+def reached(new: DataFrame, old: DataFrame) -> DataFrame:
+    """``new`` and the rows of ``old`` that it meets by links, through each other too."""
+    rows, links = new, kept(new.select(F.explode("links").alias("link")).distinct(), "links")
+    out, seen = new, links
+    while True:
+        hit = old.select("cand_id", F.explode("links").alias("link")).join(links, "link").select("cand_id").distinct()
+        rows = kept(old.join(hit, "cand_id", "left_semi").join(out.select("cand_id"), "cand_id", "left_anti"), "rows")
+        if rows.isEmpty():
+            return out
+        out = kept(out.unionByName(rows), "reached")
+        links = kept(rows.select(F.explode("links").alias("link")).distinct().join(seen, "link", "left_anti"), "links")
+        seen = kept(seen.unionByName(links), "seen")
+
+
+def resolve_batch(new: DataFrame, old: DataFrame, owned: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a batch changes: (cand_id, entity_id, foreign) of new candidates and of old ones whose entity is another now,
+    and (entity_id, winner) of entities that are no more.
+
+    Strong groups and refused weak links may change with each arrival, so all that the batch reaches is resolved again, by
+    the rule of resolve_entities: what stands in the end is the same in whatever batches candidates came.
     """
-    met = keys.select("key").distinct().join(known, "key").select("key", "entity_id")
-    # known entities are members of the groups that their keys make; ids of both kinds are kept apart by the sign
-    old = met.select((-F.col("entity_id") - 1).alias("cand_id"), "key")
-    groups = key_groups(keys.select("cand_id", "key").unionByName(old))
-    first = groups.groupBy("component").agg(F.min(F.when(F.col("cand_id") < 0, -F.col("cand_id") - 1)).alias("old"), F.min(F.when(F.col("cand_id") >= 0, F.col("cand_id"))).alias("new"))
-    return groups.where("cand_id >= 0").join(first, "component").select("cand_id", F.coalesce("old", "new").alias("entity_id"))
+    rows = reached(new, old)
+    keys = rows.select("cand_id", F.explode("keys").alias("k")).select("cand_id", "k.tier", "k.key")
+    now = linkage.resolve_entities(rows, keys).withColumnRenamed("component", "entity_id")
+    before = latest(owned.join(rows.select("cand_id"), "cand_id", "left_semi")).select("cand_id", F.col("entity_id").alias("was"), F.col("foreign").alias("was_foreign"))
+    both = kept(now.join(before, "cand_id", "left").where(~(F.col("entity_id").eqNullSafe(F.col("was")) & F.col("foreign").eqNullSafe(F.col("was_foreign")))), "changed")
+    return both.select("cand_id", "entity_id", "foreign"), both.where("was = cand_id and entity_id <> was").select(F.col("was").alias("entity_id"), F.col("entity_id").alias("winner"))
 
 
-def candidate_stream(candidates: DataFrame, keys_of: Callable[[DataFrame], DataFrame], key_path: str):
-    """Resolve candidates (cand_id and what ``keys_of`` needs) against the key table (key, entity_id) as they arrive.
+def latest(owned: DataFrame) -> DataFrame:
+    """The last entity of each candidate."""
+    return owned.groupBy("cand_id").agg(F.max_by(F.struct("entity_id", "foreign"), "batch").alias("o")).select("cand_id", "o.entity_id", "o.foreign")
 
-    Each batch adds its new keys as a folder, which it replaces if it runs again, and looks up those of earlier ones.
+
+def candidate_stream(candidates: DataFrame, keys_of: Callable[[DataFrame], DataFrame], path: str):
+    """Resolve candidates (cand_id, profile_id, identifiers, and what ``keys_of`` needs) as they arrive.
+
+    Folders below ``path``, each with one folder for a batch, which it replaces if it runs again: ``seen`` (SEEN),
+    ``owned`` (OWNED, only what changed), ``moved`` (entity_id, winner). A cand_id that was seen before is left out.
     """
 
     def batch(df: DataFrame, number: int) -> None:
-        spark, keys = df.sparkSession, kept(keys_of(df).select("cand_id", "key"), "keys")
-        known = spark.read.schema("key string, entity_id long, batch long").parquet(key_path).where(F.col("batch") < number).select("key", "entity_id")
-        owner = owners(keys, known)
-        add = keys.join(owner, "cand_id").groupBy("key").agg(F.min("entity_id").alias("entity_id")).join(known.select("key"), "key", "left_anti")
-        add.write.mode("overwrite").parquet(f"{key_path}/batch={number}")
-
+        spark = df.sparkSession
+        earlier = lambda name, schema: spark.read.schema(schema).parquet(f"{path}/{name}").where(F.col("batch") < number)
+        old, owned = earlier("seen", SEEN).drop("batch"), earlier("owned", OWNED)
+        new = kept(with_links(df, keys_of(df)).join(old.select("cand_id"), "cand_id", "left_anti"), "new")
+        changed, moved = resolve_batch(new, old, owned)
+        for name, rows in (("seen", new), ("owned", changed), ("moved", moved)):
+            rows.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+
+    spark = candidates.sparkSession
+    for name, schema in (("seen", SEEN), ("owned", OWNED)):
+        columns = [c for c in spark.createDataFrame([], schema).columns if c != "batch"]
+        spark.createDataFrame([], schema).select(*columns).write.mode("ignore").parquet(f"{path}/{name}/batch=-1")
     return candidates.writeStream.foreachBatch(batch)
 
 
+def candidate_owners(spark: SparkSession, path: str) -> DataFrame:
+    """(cand_id, entity_id, foreign) as a candidate stream has left them."""
+    return latest(spark.read.schema(OWNED).parquet(f"{path}/owned"))
+
+
 class ChangeProcessor(StatefulProcessor):
     """Remembers the last content hash of a URL and passes pages whose hash differs from the one before."""
 

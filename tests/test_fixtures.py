@@ -160,29 +160,6 @@ def test_streams(spark, tmp_path):
     assert sorted((r["url"], r["content_hash"]) for r in got.collect()) == [("a", "1"), ("a", "1"), ("a", "2"), ("b", "1")]
 
 
-def test_candidates_owned_through_others(spark):
-    """A batch against plain groups: known entities are members, the least of them owns, else the least candidate."""
-    import random
-
-    r = random.Random(3)
-    keys = [(c, f"k{r.randrange(60)}") for c in range(40) for _ in range(r.randint(1, 2))]
-    known = [(f"k{i}", 1000 + i % 7) for i in range(0, 60, 9)]
-    got = {x["cand_id"]: x["entity_id"] for x in ar.owners(spark.createDataFrame(keys, "cand_id long, key string"), spark.createDataFrame(known, "key string, entity_id long")).collect()}
-    group = {c: {c} for c, _ in keys} | {("e", e): {("e", e)} for _, e in known}
-    used = {k for _, k in keys}
-    links = keys + [(("e", e), k) for k, e in known if k in used]
-    for a, k in links:
-        for b, q in links:
-            if k == q and group[a] is not group[b]:
-                group[a] |= group[b]
-                for x in group[a]:
-                    group[x] = group[a]
-    for c in got:
-        old = [x[1] for x in group[c] if isinstance(x, tuple)]
-        assert got[c] == (min(old) if old else min(x for x in group[c]))
-    assert len(got) == 40
-
-
 def test_bounces_and_candidates_by_batch(spark, tmp_path):
     at = datetime(2024, 1, 1)
     n = spark.createDataFrame([("m1", "", "to a@x.com", "", "", at), ("m1", "", "to a@x.com", "", "", at), ("m2", "", "none", "", "", at)], "message_id string, subject string, summary string, to_address string, sender string, received_at timestamp")

@@ -138,3 +138,30 @@ def test_resolution_against_pairs(spark, seed, monkeypatch):
         if foreign:
             assert rows[g]["profile_id"] != rows[i]["profile_id"]
     assert len(set(want.values())) < len(want)
+
+
+def streamed(spark, c, path, splits):
+    from tessera.streaming import arrivals as ar
+
+    for i, part in enumerate(splits):
+        part.coalesce(1).write.parquet(f"{path}/in/{i}")
+    s = spark.readStream.schema(c.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in/*")
+    keys_of = lambda d: linkage.identity_keys(d.drop("domain"))
+    for _ in range(2):
+        ar.run_available(ar.candidate_stream(s, keys_of, f"{path}/out"), f"{path}/state", spark)
+    return {r["cand_id"]: (r["entity_id"], r["foreign"]) for r in ar.candidate_owners(spark, f"{path}/out").collect()}
+
+
+def test_stream_gives_the_batch_result(spark, tmp_path):
+    """Later batches bring what refuses an earlier weak link, and what joins two known entities."""
+    c = frame(spark, many(7, 36)).cache()
+    got = streamed(spark, c, tmp_path, [c.where("cand_id % 3 = 2"), c.where("cand_id % 3 = 0"), c.where("cand_id % 3 = 1")])
+    assert got == resolved(c)
+
+
+def test_stream_says_who_moved(spark, tmp_path):
+    rows = doors({"website": "moonstudio.com"}, {"instagram": "@riverclay"}, {"website": "moonstudio.com", "instagram": "@riverclay"}, {"profile_id": "q", "website": "moonstudio.com"})
+    c = frame(spark, rows)
+    got = streamed(spark, c, tmp_path, [c.where("cand_id < 3"), c.where("cand_id >= 3")])
+    assert got == {1: (1, False), 2: (1, False), 3: (1, False), 4: (1, True)}
+    assert [(r["entity_id"], r["winner"]) for r in spark.read.parquet(f"{tmp_path}/out/moved").collect()] == [(2, 1)]
