@@ -205,11 +205,20 @@ def box_around(lat: Column, lon: Column, radius: float) -> Column:
 
 
 def places_in_boxes(points: DataFrame, boxes: DataFrame, cell: float) -> DataFrame:
-    """Points (id, x, y) in boxes (slug, x0, x1, y0, y1): joined on the grid cells that a box covers, then compared."""
-    at = lambda c: F.floor(F.col(c) / cell).cast("long")
-    b = boxes.withColumn("cx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("cy", F.explode(F.sequence(at("y0"), at("y1"))))
-    p = points.withColumns({"cx": at("x"), "cy": at("y")})
-    return p.join(b, ["cx", "cy"]).where(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))).select("id", "slug")
+    """Points (id, x, y) in boxes (slug, x0, x1, y0, y1): joined on the cells of a hierarchy of grids, then compared.
+
+    A grid's cells are twice as wide as those of the one below; ``cell`` is the smallest width. A box goes to the first
+    grid whose cells are no narrower than it, so it covers four cells at most, however wide it is. A point goes to its cell
+    in each grid that has a box: as many rows as boxes differ in powers of two, not in their number.
+    """
+    side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    b = boxes.where("x1 >= x0 and y1 >= y0").withColumn("level", F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(side, F.lit(cell)) / cell) - 1e-9)).cast("int"))
+    at = lambda c: F.floor(F.col(c) / (F.pow(F.lit(2.0), F.col("level")) * cell)).cast("long")
+    b = b.withColumn("cx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("cy", F.explode(F.sequence(at("y0"), at("y1"))))
+    # one row
+    levels = b.agg(F.collect_set("level").alias("levels"))
+    p = points.crossJoin(F.broadcast(levels)).withColumn("level", F.explode("levels")).drop("levels").withColumns({"cx": at("x"), "cy": at("y")})
+    return p.join(b, ["level", "cx", "cy"]).where(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))).select("id", "slug")
 
 
 def slug(c: Column, most: int = 60) -> Column:

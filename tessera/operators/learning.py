@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.operators.signals import config
+from tessera.operators.graph import kept
+from tessera.operators.patterns import held
+from tessera.sources.stored import merge_buckets, remove
 
 # Fixed values.
 STOPWORDS = "the and for you our with your from that this all are was were has have will can not but they she her his out now new get see how why who what when where about more most some any each other than then them ours shop store home page cart checkout menu search sign login account order orders shipping returns policy privacy terms contact email address phone hours open closed sale off free products product collection collections view add price prices usd size sizes color colors black white blue green small large one two three click here read".split()
@@ -54,8 +56,8 @@ def source_backoff(attempts: DataFrame, fails: int, minutes: int) -> DataFrame:
 def classify_skips(feedback: DataFrame, categories: DataFrame, version: int, most: int = 30) -> DataFrame:
     """The newest pending reasons (feedback_id, reason, version, created_at) with the first category whose keyword they hold; all are stamped."""
     pending = feedback.where(F.col("version").isNull() | (F.col("version") < version)).orderBy(F.desc("created_at"), F.desc("feedback_id")).limit(most)
-    words = categories.select("category_id", "position", F.explode("keywords").alias("word")).where("word <> ''")
-    hit = pending.join(config(words), F.lower("reason").contains(F.lower("word")))
+    words = categories.select("category_id", "position", F.explode("keywords").alias("word")).where("word <> ''").withColumn("word", F.lower("word"))
+    hit = held(pending.select("feedback_id", F.lower("reason").alias("reason")), words, "feedback_id", "reason", "word").withColumnRenamed("id", "feedback_id").join(words, F.col("pattern") == F.col("word"))
     first = hit.groupBy("feedback_id").agg(F.min(F.struct("position", "category_id"))["category_id"].alias("category_id"))
     return pending.select("feedback_id").join(first, "feedback_id", "left").withColumn("version", F.lit(version))
 
@@ -188,6 +190,37 @@ def released_keys(keys: DataFrame, entities: DataFrame, profile: int) -> DataFra
     return purge_profile(keys, entities, profile)
 
 
+#: Tables that a profile's deletion empties: those of its entities' children by entity, then those by profile, and in this order.
+CHILDREN = ["entity_keys", "snapshots", "evaluations"]
+SCOPED = ["feedback", "outreach", "entities", "crawl_frontier", "keywords", "source_cursor", "budget", "lessons", "runs", "skip_categories", "regions"]
+
+
+def delete_profile(spark: SparkSession, root: str, profile: int, name: str, buckets: int) -> tuple[str | None, dict[str, int]]:
+    """Delete a profile from the tables below ``root``: (why not, rows that it had in each table).
+
+    CHILDREN lie in buckets of entity_id (sources.stored), of which only those with the profile's entities are written
+    again; SCOPED and ``profiles`` lie in folders by profile, one of which goes. Nothing is deleted if the name is not the
+    profile's, or it is the only one. Each step may run again, and the profile itself goes last, so a deletion that breaks off
+    is done again from the start. Identity keys go with their entities, so other profiles may take them. Where no
+    active default is left, heir() says who follows.
+    """
+    at = lambda t: spark.read.parquet(f"{root}/{t}")
+    profiles = at("profiles")
+    mine = profiles.where(F.col("profile_id") == profile).select("name").first()
+    if mine is None or mine["name"] != name.strip():
+        return "no such profile" if mine is None else "the name differs", {}
+    if profiles.where(F.col("profile_id") != profile).isEmpty():
+        return "the only profile", {}
+    own = kept(at("entities").where(F.col("profile_id") == profile).select("entity_id"), "purged")
+    had = {t: at(t).join(own, "entity_id", "left_semi").count() for t in CHILDREN}
+    had |= {t: at(t).where(F.col("profile_id") == profile).count() for t in SCOPED}
+    for t in CHILDREN:
+        merge_buckets(f"{root}/{t}", own, ["entity_id"], lambda rows, ids: rows.join(ids, "entity_id", "left_anti"), buckets)
+    for t in [*SCOPED, "profiles"]:
+        remove(spark, f"{root}/{t}/profile_id={profile}")
+    return None, had
+
+
 def heir(profiles: DataFrame, gone: int) -> DataFrame:
     """The profile that takes over when ``gone`` is deleted: the first other active one, the default first; none is an empty table."""
     return profiles.where(F.col("active") & (F.col("profile_id") != gone)).orderBy(F.desc("is_default"), "profile_id").limit(1).select("profile_id", "slug")

@@ -119,13 +119,19 @@ def rail_counts(outreach: DataFrame, entities: DataFrame, day: date) -> DataFram
 
 
 def history_page(outreach: DataFrame, entities: DataFrame, feedback: DataFrame, status: str, search: str, first: date, last: date, page: int = 0, size: int = 20) -> DataFrame:
-    """One page of a status' rows, newest first, with the total and the latest decision on each row's entity."""
+    """One page of a status' rows, newest first, with the total and the last decision and reason on each row itself.
+
+    feedback (outreach_id, created_at, feedback_id, decision, reason) is read for the page's rows alone.
+    """
     hit = F.col("display_name").ilike(f"%{search}%") | F.col("location").ilike(f"%{search}%") | F.col("subject").ilike(f"%{search}%")
-    rows = outreach.where((F.col("status") == status) & F.col("day").between(F.lit(first), F.lit(last))).join(entities, "entity_id").where(hit)
+    some = outreach.where((F.col("status") == status) & F.col("day").between(F.lit(first), F.lit(last))).select("outreach_id", "entity_id", "day", "subject")
+    rows = some.join(entities.select("entity_id", "display_name", "location"), "entity_id").where(hit)
     total = rows.agg(F.count(F.lit(1)).alias("total"))
     shown = rows.select("outreach_id", "entity_id", "display_name", "day").orderBy(F.desc("day"), F.desc("outreach_id")).offset(page * size).limit(size)
-    latest = feedback.groupBy("entity_id").agg(F.max(F.struct("created_at", "feedback_id", "decision", "reason")).alias("f")).select("entity_id", "f.decision", "f.reason")
-    return shown.join(latest, "entity_id", "left").crossJoin(total)
+    # at most ``size`` rows
+    said = feedback.join(F.broadcast(shown.select("outreach_id")), "outreach_id", "left_semi")
+    latest = said.groupBy("outreach_id").agg(F.max(F.struct("created_at", "feedback_id", "decision", "reason")).alias("f")).select("outreach_id", "f.decision", "f.reason")
+    return shown.join(latest, "outreach_id", "left").crossJoin(total)
 
 
 def distinct_places(entities: DataFrame, most: int = 200) -> DataFrame:

@@ -70,11 +70,17 @@ def queue_stats(candidates: DataFrame, suppressions: DataFrame, mx_cache: DataFr
 
 
 def rewrite_drafts(outreach: DataFrame, queue: DataFrame, day: date) -> DataFrame:
-    """The day's drafts replaced by the queue's; other rows stay, and an entity with one that day gets no draft."""
+    """The day's drafts replaced by the queue's; other rows stay, and an entity with one that day gets no draft.
+
+    Rows keep all columns of ``outreach``. A draft takes those that the queue has (rank, subject, body and so on), the day,
+    and its status; others are null.
+    """
     kept = outreach.where(~((F.col("day") == F.lit(day)) & (F.col("status") == "DRAFT")))
     there = kept.where(F.col("day") == F.lit(day)).select("entity_id")
-    new = queue.join(there, "entity_id", "left_anti").select("entity_id", F.lit("DRAFT").alias("status"), F.lit(day).alias("day"))
-    return kept.select("entity_id", "status", "day").unionByName(new)
+    own = {"status": F.lit("DRAFT"), "day": F.lit(day), **{c: F.col(c) for c in queue.columns if c not in ("status", "day")}}
+    none = F.lit(None)
+    new = queue.join(there, "entity_id", "left_anti").select(*[own.get(f.name, none).cast(f.dataType).alias(f.name) for f in outreach.schema])
+    return kept.unionByName(new)
 
 
 def surfaced(entities: DataFrame, queue: DataFrame) -> DataFrame:

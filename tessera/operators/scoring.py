@@ -15,8 +15,8 @@ from tessera.functions.rules import ADVANCED_STATES, CORPORATE_MARKERS, MARKETPL
 # Evidence of a place abroad, in the order in which it is looked for.
 PLACES_ABROAD = ["united kingdom", "england", "scotland", "ireland", "deutschland", "germany", "france", "españa", "spain", "italia", "nederland", "australia", "new zealand", "canada", "ontario", "québec", "quebec", "british columbia", "saudi arabia", "united arab emirates", "dubai", "abu dhabi", "mumbai", "delhi", "bangalore", "singapore", "malaysia", "philippines", "jakarta", "bangkok", "shanghai", "shenzhen", "tokyo", "seoul"]
 FOREIGN = [
-    ("currency", r"[£€₹¥]\s?\d|\b(?:AED|SAR|INR|GBP|EUR|CAD|AUD)\b"),
-    ("address", rf"(?i)\b(?:{'|'.join(PLACES_ABROAD)})\b"),
+    ("currency", r"(?:£\s?\d|€\s?\d|₹\s?\d|¥\s?\d|\bAED\b|\bSAR\b|\bINR\b|\bGBP\b|\bEUR\b|\bCAD\b|\bAUD\b)"),
+    ("address", rf"(?iu)\b(?:{'|'.join(PLACES_ABROAD)})\b"),
     ("uk-postcode", r"\b[A-Z]{1,2}\d[A-Z\d]?\s?\d[A-Z]{2}\b"),
 ]
 PARKED, PLACEHOLDER = "domain (is )?for sale|buy this domain|parked (free )?courtesy", "coming soon|under construction|opening soon"

@@ -9,6 +9,9 @@ from pyspark.sql.window import Window
 from tessera.functions import identity as ident
 from tessera.functions import markup as mk
 from tessera.functions.rules import CONTENT_FLAGS, HTML_FLAGS
+from tessera.operators.merge import upsert_replace
+from tessera.operators.patterns import held
+from tessera.sources.stored import append_dated, merge_buckets
 
 MOST_LINKS = 401
 #: Rows of a configuration table that is checked against every row.
@@ -95,12 +98,23 @@ def js_shell_pages(signals: DataFrame) -> DataFrame:
     return signals.where((F.col("word_count") < 60) & (F.col("img_count") < 4) & (F.regexp_count("html", F.lit("(?i)<script")) >= 2) & root)
 
 
-def append_snapshots(snapshots: DataFrame, signals: DataFrame, fetched_at, status: int = 200, render_mode: str = "static") -> DataFrame:
+def append_snapshots(snapshots: DataFrame | None, signals: DataFrame, fetched_at, status: int = 200, render_mode: str = "static") -> DataFrame:
     """Snapshots with a row for each page of ``signals`` added: when and how it was read, what it held, its signals as JSON."""
     own = ("page_id", "url", "html", "clean", "text", "content_hash")
     found = F.to_json(F.struct(*[c for c in signals.columns if c not in own]))
     new = signals.select("page_id", "url", F.lit(fetched_at).alias("fetched_at"), F.lit(status).alias("status"), "content_hash", F.octet_length("html").cast("long").alias("bytes"), "text_sample", F.lit(render_mode).alias("render_mode"), found.alias("signals"))
-    return snapshots.unionByName(new)
+    return new if snapshots is None else snapshots.unionByName(new)
+
+
+def store_snapshots(path: str, current: str, signals: DataFrame, fetched_at, batch: int, most: int = 64) -> None:
+    """Append a batch's snapshots to the table at ``path``, by date, and move the bucketed table ``current`` of each page's last one.
+
+    A batch that runs again replaces its own snapshots, and leaves the last ones as they are.
+    """
+    new = append_snapshots(None, signals, fetched_at)
+    append_dated(new, path, "fetched_at", batch)
+    last = new.select("page_id", "content_hash", "fetched_at")
+    merge_buckets(current, last, ["page_id"], lambda t, n: upsert_replace(t, n, ["page_id"], [F.col("fetched_at"), F.col("content_hash")]), most)
 
 
 def touch_unchanged(entities: DataFrame, pages: DataFrame, snapshots: DataFrame, at) -> DataFrame:
@@ -115,14 +129,18 @@ def changed_pages(pages: DataFrame, snapshots: DataFrame) -> DataFrame:
     return pages.join(last, "key", "left").where(~F.col("content_hash").eqNullSafe(F.col("_old"))).drop("_old")
 
 
-def guess_niche(texts: DataFrame, keywords: DataFrame, fallback: str, least: int = 2) -> DataFrame:
-    """Texts (id, text) by the niche with most keyword hits; phrases count twice, the first niche wins ties.
+def guess_niche(texts: DataFrame, keywords: DataFrame, fallback: str, least: int = 2, many: bool = False) -> DataFrame:
+    """Texts (id, text; ids are unique) by the niche with most keyword hits; phrases count twice, the first niche wins ties.
 
-    keywords (niche, place, keyword) is a profile's configuration: a few hundred rows, so the pairs are checked by a
-    broadcast nested loop. More than CONFIG_ROWS of them are an error.
+    keywords (niche, place, keyword) is a profile's configuration. A few hundred rows are checked against each text by a
+    broadcast nested loop, of which more than CONFIG_ROWS rows are an error. ``many`` looks them up in an index of the texts'
+    runs of characters instead, whatever their number.
     """
     t = texts.select("id", F.lower("text").alias("t"))
-    hit = t.join(config(keywords), F.col("t").contains(F.col("keyword")))
+    if many:
+        hit = held(t, keywords, text="t", pattern="keyword").join(keywords.where("keyword <> ''"), F.col("pattern") == F.col("keyword"))
+    else:
+        hit = t.join(config(keywords), F.col("t").contains(F.col("keyword")))
     n = hit.groupBy("id", "niche", "place").agg(F.sum(F.when(F.col("keyword").contains(" "), 2).otherwise(1)).alias("hits"))
     best = n.groupBy("id").agg(F.max(F.struct("hits", (-F.col("place")).alias("first"), "niche")).alias("m"))
     return t.select("id").join(best, "id", "left").select("id", F.when(F.col("m.hits") >= least, F.col("m.niche")).otherwise(fallback).alias("niche"))

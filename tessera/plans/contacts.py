@@ -75,8 +75,8 @@ def c12(spark, sf):
 
 
 # whole texts with a sentence behind them that hides an address, or only seems to
-_SAID = "CASE doc_id % 4 WHEN 0 THEN ' write me' || doc_id || ' (at) shop (dot) com please' WHEN 1 THEN ' you' || doc_id || ' at shop dot co' WHEN 2 THEN ' email me at hello dot com' ELSE ' our latest collection at studio.com' END"
-_MARKED = "text || " + _SAID
+_SAID = "CASE doc_id % 4 WHEN 0 THEN ' write me' || doc_id || ' (at) shop (dot) com please' WHEN 1 THEN ' you' || doc_id || ' at shop dot co' WHEN 2 THEN ' email me at hello dot com' ELSE ' our latest collection at studio.com, bell' || chr(1) || 'shop.com' END"
+_MARKED = "translate(text || " + _SAID + ", chr(1) || chr(2) || chr(3), '   ')"
 for _p, _m in ct.SPELLED:
     _MARKED = f"regexp_replace({_MARKED}, '{_p}', chr({ord(_m)}), 'g')"
 _AT = f"split_part(s, chr(3), 1)"
@@ -85,7 +85,7 @@ _AT = f"split_part(s, chr(3), 1)"
 @register("c13_written_emails", f"""WITH f AS (SELECT doc_id, regexp_extract_all({_MARKED}, '{ct.WRITTEN}', 1) AS f FROM documents), b AS (SELECT doc_id, list_concat(list_filter(f, lambda s: contains(s, chr(1))), list_filter(f, lambda s: contains(s, chr(3)) AND lower({_AT}) NOT IN ({quoted(ct.SENTENCE_WORDS)}))) AS b FROM f)
   SELECT doc_id, list_transform(b, lambda s: lower(regexp_replace(translate(s, chr(1) || chr(2) || chr(3), '@.@'), '\\s*\\.\\s*', '.', 'g'))) AS emails FROM b""")
 def c13(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", ct.written_emails(F.concat("text", F.expr(_SAID))).alias("emails"))
+    return table(spark, sf, "documents").select("doc_id", ct.written_emails(F.concat("text", F.expr(_SAID.replace("chr(1)", "char(1)")))).alias("emails"))
 
 
 @register("c16_copyright_year", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN CAST(2010 + page_id % 15 AS INT) END AS copyright_year FROM pages")
@@ -125,21 +125,29 @@ def c22(spark, sf):
     return ct.chased_emails(work, read, home)
 
 
-_FIND = [r[1] for r in ct.DRAFT_RULES]
+_FIND = [r[1] for r in ct.UPSIDES]
 
 
-def sql_row(row) -> str:
-    return "(" + ", ".join(str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'" for x in row) + ")"
+def sql_rows(rows) -> str:
+    text = lambda x: str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+    return ", ".join("(" + ", ".join(map(text, r)) + ")" for r in rows)
 
 
-@register("q16_draft_table", f"""WITH {ENTITIES}, rl(place, finding, upside, remedy, consequence) AS (VALUES {', '.join(sql_row(r) for r in ct.DRAFT_RULES)}), o AS (SELECT entity_id, display_name, CASE WHEN entity_id % 16 = 15 THEN NULL WHEN entity_id % 16 = 14 THEN 'a shop window' ELSE ([{quoted(_FIND)}])[CAST(entity_id % 16 + 1 AS INT)] END AS clause FROM ents)
-  SELECT entity_id, 'A thought about ' || display_name AS subject, coalesce(upside, clause) AS upside, coalesce(remedy, '{ct.PLAIN_REMEDY}') AS remedy, coalesce(consequence, '{ct.PLAIN_CONSEQUENCE}') AS consequence FROM o LEFT JOIN rl ON finding = clause WHERE clause IS NOT NULL""")
+# two findings in one clause, one of which is first among the upsides and the remedies
+_CLAUSE = f"CASE WHEN entity_id % 16 = 15 THEN NULL WHEN entity_id % 16 = 14 THEN 'A shop window' ELSE ([{quoted(_FIND)}])[CAST(entity_id % 14 + 1 AS INT)] || CASE WHEN entity_id % 3 = 0 THEN ' and ' || ([{quoted(_FIND)}])[CAST(entity_id % 5 + 1 AS INT)] ELSE '' END END"
+_FIRST = "SELECT entity_id, arg_min(wording, place) AS {0} FROM {1} JOIN {2} ON contains(lower({3}), finding) GROUP BY 1"
+
+
+@register("q16_draft_table", f"""WITH {ENTITIES}, up(place, finding, wording) AS (VALUES {sql_rows(ct.UPSIDES)}), rm(place, finding, wording) AS (VALUES {sql_rows(ct.REMEDIES)}), cn(place, finding, wording) AS (VALUES {sql_rows(ct.CONSEQUENCES)}),
+  o AS (SELECT entity_id, display_name, {_CLAUSE} AS clause FROM ents), u AS ({_FIRST.format('upside', 'o', 'up', 'clause')}), r AS ({_FIRST.format('remedy', 'o', 'rm', 'clause')}), p AS (SELECT entity_id, display_name, coalesce(upside, clause) AS upside, remedy FROM o LEFT JOIN u USING (entity_id) LEFT JOIN r USING (entity_id) WHERE clause IS NOT NULL),
+  c AS ({_FIRST.format('consequence', 'p', 'cn', 'upside')}) SELECT entity_id, 'A thought about ' || display_name AS subject, upside, coalesce(remedy, '{ct.PLAIN_REMEDY}') AS remedy, coalesce(consequence, '{ct.PLAIN_CONSEQUENCE}') AS consequence FROM p LEFT JOIN c USING (entity_id)""")
 def q16(spark, sf):
     k = F.col("entity_id")
-    f = F.element_at(F.array(*map(F.lit, [*_FIND, "a shop window", ""])), (k % 16 + 1).cast("int"))
-    e = entities(spark, sf).withColumn("opportunity", F.when(k % 16 < 15, F.concat(F.lit("system opportunity: "), f, F.lit(". | more"))))
-    e = e.withColumn("opportunity", F.regexp_replace("opportunity", r"\. \|", " |"))
-    return ct.draft_table(e, spark.createDataFrame(ct.DRAFT_RULES, "place int, finding string, upside string, remedy string, consequence string"))
+    at = lambda n: F.element_at(F.array(*map(F.lit, _FIND)), (k % n + 1).cast("int"))
+    clause = F.when(k % 16 == 14, "A shop window").otherwise(F.concat(at(14), F.when(k % 3 == 0, F.concat(F.lit(" and "), at(5))).otherwise("")))
+    e = entities(spark, sf).withColumn("opportunity", F.when(k % 16 < 15, F.concat(F.lit("System opportunity: "), clause, F.when(k % 2 == 0, ".").otherwise(" | more"))))
+    rules = [spark.createDataFrame(r, "place int, finding string, wording string") for r in (ct.UPSIDES, ct.REMEDIES, ct.CONSEQUENCES)]
+    return ct.draft_table(e, *rules)
 
 
 @register("q16_no_site_drafts", f"WITH {ENTITIES} SELECT entity_id, 'A home on the web for ' || display_name AS subject, 'a place of its own that people can find' AS upside, 'one page with hours, place and pictures' AS remedy, 'people find others first' AS consequence FROM ents WHERE has_website = false AND email IS NOT NULL AND entity_id % 4 <> 0")

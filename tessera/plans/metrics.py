@@ -107,10 +107,11 @@ def m21(spark, sf):
 @register("m22_history_page", f"""WITH {ENTITIES}, {OUTREACH}, {FEEDBACK}, r AS (SELECT outreach_id, entity_id, display_name, day FROM outr JOIN ents USING (entity_id)
   WHERE status = 'SENT' AND day BETWEEN DATE '1996-01-01' AND DATE '2000-12-31' AND (display_name ILIKE '%CUSTOMER%7%' OR location ILIKE '%CUSTOMER%7%' OR priority ILIKE '%CUSTOMER%7%')),
   s AS (SELECT * FROM r ORDER BY day DESC, outreach_id DESC LIMIT 20 OFFSET 20),
-  f AS (SELECT entity_id, decision, 'reason ' || k AS reason FROM feed QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY created_at DESC, feedback_id DESC) = 1)
-  SELECT s.*, decision, reason, (SELECT count(*) FROM r) AS total FROM s LEFT JOIN f USING (entity_id)""")
+  f AS (SELECT feedback_id // 2 AS outreach_id, decision, 'reason ' || k AS reason FROM feed QUALIFY row_number() OVER (PARTITION BY feedback_id // 2 ORDER BY created_at DESC, feedback_id DESC) = 1)
+  SELECT s.*, decision, reason, (SELECT count(*) FROM r) AS total FROM s LEFT JOIN f USING (outreach_id)""")
 def m22(spark, sf):
-    return m.history_page(outreach(spark, sf).withColumn("subject", F.col("priority")), entities(spark, sf), reasoned(spark, sf), "SENT", "customer%7", date(1996, 1, 1), date(2000, 12, 31), page=1)
+    said = reasoned(spark, sf).withColumn("outreach_id", F.floor(F.col("feedback_id") / 2))
+    return m.history_page(outreach(spark, sf).withColumn("subject", F.col("priority")), entities(spark, sf), said, "SENT", "customer%7", date(1996, 1, 1), date(2000, 12, 31), page=1)
 
 
 def reasoned(spark, sf):

@@ -217,6 +217,19 @@ def c19(spark, sf):
     return sg.guess_niche(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), kw, "other")
 
 
+# every word of the benchmark is a keyword, looked for in the pages' titles and descriptions
+_MANY = """kw AS (SELECT DISTINCT w AS keyword, length(w) % 5 AS place, 'niche ' || length(w) % 5 AS niche FROM (SELECT unnest(string_split(lower(text), ' ')) AS w FROM benchmark) WHERE w <> '')"""
+
+
+@register("c19_many_keywords", f"""WITH {PAGES}, {_MANY}, t AS (SELECT page_id AS id, lower({TITLE} || ' ' || url) AS t FROM sg), h AS (SELECT id, niche, place, count(*) AS hits FROM t JOIN kw ON contains(t, keyword) GROUP BY ALL),
+  b AS (SELECT id, max(hits) AS hits, arg_max(niche, (hits, -place)) AS niche FROM h GROUP BY 1) SELECT id, CASE WHEN hits >= 2 THEN b.niche ELSE 'other' END AS niche FROM t LEFT JOIN b USING (id)""")
+def c19_many(spark, sf):
+    words = table(spark, sf, "benchmark").select(F.explode(F.split(F.lower("text"), " ")).alias("keyword")).where("keyword <> ''").distinct()
+    place = F.length("keyword") % 5
+    titles = pages(spark, sf).select(F.col("page_id").alias("id"), F.concat_ws(" ", mk.title(mk.stripped(F.col("html"))), "url").alias("text"))
+    return sg.guess_niche(titles, words.select("keyword", place.alias("place"), F.concat(F.lit("niche "), place).alias("niche")), "other", many=True)
+
+
 @register("c20_js_shell_pages", f"WITH {PAGES.replace('FROM pages)', SHELL)} SELECT page_id FROM sg WHERE len(regexp_extract_all(text, '\\S+')) < 60 AND len(regexp_extract_all(html, '(?i)<script')) >= 2 AND regexp_matches(html, '(?i)id\\s*=\\s*[\"''](root|app|__next|__nuxt|___gatsby)[\"'']')")
 def c20(spark, sf):
     # every third page keeps only its head, before the root element of an application

@@ -65,14 +65,17 @@ def q03_stats(spark, sf):
 
 
 # skipped rows of a day stand for its earlier drafts
-_DRAFTS = "dr AS (SELECT entity_id, CASE status WHEN 'SKIPPED' THEN 'DRAFT' ELSE status END AS status, day FROM outr)"
+_DRAFTS = "dr AS (SELECT outreach_id, entity_id, CASE status WHEN 'SKIPPED' THEN 'DRAFT' ELSE status END AS status, day, priority AS subject, CAST(price AS VARCHAR) AS body, CAST(outreach_id % 30 AS INT) AS rank FROM outr)"
 
 
 @register("q04_rewrite_drafts", f"""WITH {ENTITIES}, {OUTREACH}, {_DRAFTS}, kept AS (SELECT * FROM dr WHERE NOT (day = DATE '2001-07-20' AND status = 'DRAFT')),
-  new AS (SELECT entity_id FROM ents WHERE score >= 90 AND entity_id NOT IN (SELECT entity_id FROM kept WHERE day = DATE '2001-07-20')) SELECT * FROM kept UNION ALL SELECT entity_id, 'DRAFT', DATE '2001-07-20' FROM new""")
+  new AS (SELECT entity_id, display_name, score FROM ents WHERE score >= 90 AND entity_id NOT IN (SELECT entity_id FROM kept WHERE day = DATE '2001-07-20'))
+  SELECT outreach_id, entity_id, status, day, subject, rank, md5(body) AS body FROM kept UNION ALL SELECT NULL, entity_id, 'DRAFT', DATE '2001-07-20', 'About ' || display_name, score, md5('Body ' || entity_id) FROM new""")
 def q04(spark, sf):
-    o = outreach(spark, sf).withColumn("status", F.when(F.col("status") == "SKIPPED", "DRAFT").otherwise(F.col("status")))
-    return queue.rewrite_drafts(o, entities(spark, sf).where("score >= 90"), DAY)
+    k = F.col("outreach_id")
+    o = outreach(spark, sf).select("outreach_id", "entity_id", F.when(F.col("status") == "SKIPPED", "DRAFT").otherwise(F.col("status")).alias("status"), "day", F.col("priority").alias("subject"), F.col("price").cast("string").alias("body"), (k % 30).cast("int").alias("rank"))
+    q = entities(spark, sf).where("score >= 90").select("entity_id", F.concat(F.lit("About "), "display_name").alias("subject"), F.concat(F.lit("Body "), "entity_id").alias("body"), F.col("score").alias("rank"))
+    return queue.rewrite_drafts(o, q, DAY).withColumn("body", F.md5("body"))
 
 
 @register("q05_deliverable", f"WITH {ENTITIES}, {FEEDBACK}, {MX} SELECT entity_id, {VERDICT} AS verdict FROM ents LEFT JOIN mx ON mx_domain = split_part(email, '@', -1)")

@@ -32,7 +32,7 @@ def load() -> None:
         importlib.import_module(f"tessera.plans.{name}")
 
 
-MODULES: tuple[str, ...] = ("metrics", "queues", "pages", "scores", "links", "discover", "learn", "contacts", "streams")
+MODULES: tuple[str, ...] = ("metrics", "queues", "pages", "scores", "links", "discover", "learn", "contacts", "streams", "stores")
 
 
 def queries() -> dict[str, Query]:

@@ -14,18 +14,19 @@ from .pages import CART, CARTS, LINKS, SHOP_PAGES, TITLE, VIEWPORT, quoted, shop
 from .registry import register
 from .standins import ENTITIES, entities, table
 
-EXTRA = ["", " Annual report", " domain for sale", " coming soon", " £ 40", " in Toronto, Ontario, Canada", " SW1A 1AA", " Sevilla, España"]
-_DOCS = f"""d AS (SELECT doc_id, substr(text, 1, 3000) || ([{quoted(EXTRA)}])[CAST(doc_id % 8 + 1 AS INT)] AS text_sample, len(regexp_extract_all(text, '\\S+')) AS word_count, doc_id % 5 AS img_count, doc_id % 3 = 0 AS us_hint, CASE WHEN doc_id % 31 = 0 THEN 'etsy.com' END AS domain FROM documents)"""
+EXTRA = ["", " Annual report", " domain for sale", " coming soon", " £ 40", " in Toronto, Ontario, Canada", " SW1A 1AA", " Sevilla, España", " QUÉBEC", " SEVILLA, ESPAÑA"]
+_DOCS = f"""d AS (SELECT doc_id, substr(text, 1, 3000) || ([{quoted(EXTRA)}])[CAST(doc_id % 10 + 1 AS INT)] AS text_sample, len(regexp_extract_all(text, '\\S+')) AS word_count, doc_id % 5 AS img_count, doc_id % 3 = 0 AS us_hint, CASE WHEN doc_id % 31 = 0 THEN 'etsy.com' END AS domain FROM documents)"""
 
 
 def doc_signals(spark, sf):
     k = F.col("doc_id")
-    extra = F.element_at(F.array(*map(F.lit, EXTRA)), (k % 8 + 1).cast("int"))
+    extra = F.element_at(F.array(*map(F.lit, EXTRA)), (k % 10 + 1).cast("int"))
     return table(spark, sf, "documents").select(k, F.lit("").alias("title"), F.concat(F.substring("text", 1, 3000), extra).alias("text_sample"), F.regexp_count("text", F.lit(r"\S+")).alias("word_count"), (k % 5).alias("img_count"), (k % 3 == 0).alias("us_hint"), F.when(k % 31 == 0, "etsy.com").alias("domain"))
 
 
 _HAY = "lower(' ' || text_sample)"
-_FOREIGN = " ".join(f"WHEN regexp_matches(text_sample, '{p}') THEN 'non-us:{k}'" for k, p in sc.FOREIGN)
+# (?i) is Unicode's in DuckDB
+_FOREIGN = " ".join(f"WHEN regexp_matches(text_sample, '{p.replace('(?iu)', '(?i)')}') THEN 'non-us:{k}'" for k, p in sc.FOREIGN)
 
 
 @register("f01_hard_filter", f"""WITH {_DOCS} SELECT doc_id, CASE {' '.join(f"WHEN contains({_HAY}, '{m}') THEN 'corporate:{m}'" for m in CORPORATE_MARKERS)} WHEN domain IN ({quoted(MARKETPLACES)}) THEN 'marketplace-only'

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.rules import STATES
+from tessera.operators.graph import shared_folder
 from tessera.sources.tables import table
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share."""
+    return f"{shared_folder(spark)}/stored/{name}-{uuid.uuid4().hex}"
+
+
 def entities(spark: SparkSession, sf: str) -> DataFrame:
     """customer with its nation and region; both are small, fixed tables."""
     c = table(spark, sf, "customer")

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from tessera.operators import linkage
-from tessera.operators.graph import kept, shared_folder
+from tessera.operators.graph import kept
 from tessera.streaming import arrivals as ar
 
 from .links import identified
 from .registry import register
-from .standins import BUDGET, budget, table
+from .standins import BUDGET, budget, folder, table
 
 
 def notices(spark, sf):
@@ -51,10 +49,6 @@ def stateful(spark) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def folder(spark, name: str) -> str:
-    return f"{shared_folder(spark)}/streams/{name}-{uuid.uuid4().hex}"
-
-
 @register("w01_bounce_stream", _NOTICE)
 def w01_stream(spark, sf):
     path = folder(spark, "bounces")
@@ -104,12 +98,10 @@ def w05(spark, sf):
 # events as fetches of pages whose content is the kind of event
 @register("w03_change_stream", "SELECT url, content_hash, fetched_at FROM (SELECT 'u' || user_id AS url, event_type AS content_hash, ts AS fetched_at, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_type) AS before FROM events) WHERE content_hash IS DISTINCT FROM before")
 def w03_stream(spark, sf):
-    stateful(spark)
     e = table(spark, sf, "events").select(F.concat(F.lit("u"), "user_id").alias("url"), F.col("event_type").alias("content_hash"), F.col("ts").cast("timestamp").alias("fetched_at"))
     path = folder(spark, "changes")
-    out = ar.change_stream(staged(e, "fetches"))
-    ar.run_available(out.writeStream.outputMode("append").format("parquet").option("path", path), folder(spark, "state"), spark)
-    return spark.read.schema(out.schema).parquet(path).withColumn("fetched_at", F.col("fetched_at").cast("timestamp_ntz"))
+    ar.run_available(ar.change_stream(staged(e, "fetches"), path, folder(spark, "last_seen"), buckets=8), folder(spark, "state"), spark)
+    return spark.read.parquet(path).select("url", "content_hash", F.col("fetched_at").cast("timestamp_ntz").alias("fetched_at"))
 
 
 # the watermark ends an hour before the last event

@@ -8,9 +8,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.window import Window
 
 from tessera.operators import linkage
 from tessera.operators.graph import kept
+from tessera.sources.stored import bucket_of, merge_buckets, read_buckets, write_buckets
 
 ADDRESS = r"([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
 
@@ -116,28 +118,60 @@ def candidate_owners(spark: SparkSession, path: str) -> DataFrame:
     return latest(spark.read.schema(OWNED).parquet(f"{path}/owned"))
 
 
-class ChangeProcessor(StatefulProcessor):
-    """Remembers the last content hash of a URL and passes pages whose hash differs from the one before."""
+LAST_SEEN = "url string, content_hash string, fetched_at timestamp, batch long, old_hash string, old_at timestamp"
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "content_hash string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # the rows of one URL in one batch, which maxFilesPerTrigger bounds
-        d = pd.concat(list(rows))[["content_hash", "fetched_at"]].sort_values(["fetched_at", "content_hash"])
-        before = d["content_hash"].shift(fill_value=self.last.get()[0] if self.last.exists() else None)
-        self.last.update((d["content_hash"].iloc[-1],))
-        new = d[d["content_hash"] != before]
-        if len(new):
-            yield new.assign(url=key[0])[["url", "content_hash", "fetched_at"]]
+def changes_of(new: DataFrame, last: DataFrame, number: int, days: int) -> tuple[DataFrame, DataFrame]:
+    """Pages of a batch (url, content_hash, fetched_at) whose content differs from the one before, and the last seen after it.
 
-    def close(self) -> None:
-        pass
+    ``last`` (LAST_SEEN) also holds what a URL had before the batch that wrote its row, so a batch that runs again sees what it
+    saw at first. A URL that was not seen for ``days`` before a page is unknown.
+    """
+    again = F.col("batch") == number
+    before = last.select("url", F.when(again, F.col("old_hash")).otherwise(F.col("content_hash")).alias("before_hash"), F.when(again, F.col("old_at")).otherwise(F.col("fetched_at")).alias("before_at"))
+    w = Window.partitionBy("url").orderBy("fetched_at", "content_hash")
+    rows = new.join(before, "url", "left").withColumns({"n": F.row_number().over(w), "p_hash": F.lag("content_hash").over(w), "p_at": F.lag("fetched_at").over(w)})
+    known = F.when(F.col("n") == 1, F.struct(F.col("before_hash").alias("hash"), F.col("before_at").alias("at"))).otherwise(F.struct(F.col("p_hash").alias("hash"), F.col("p_at").alias("at")))
+    kept_on = known["at"] >= F.col("fetched_at") - F.make_dt_interval(days=F.lit(days))
+    changed = rows.where(~(F.coalesce(kept_on, F.lit(False)) & F.col("content_hash").eqNullSafe(known["hash"]))).select("url", "content_hash", "fetched_at")
+    top = new.groupBy("url").agg(F.max(F.struct("fetched_at", "content_hash")).alias("t")).select("url", F.col("t.content_hash").alias("content_hash"), F.col("t.fetched_at").alias("fetched_at"))
+    now = top.join(before, "url", "left").select("url", "content_hash", "fetched_at", F.lit(number).cast("long").alias("batch"), F.col("before_hash").alias("old_hash"), F.col("before_at").alias("old_at"))
+    return changed, now
+
+
+def change_stream(pages: DataFrame, out: str, state: str, days: int = 400, buckets: int = 64):
+    """Write pages (url, content_hash, fetched_at) whose content differs from the last seen of their URL to ``out``, a folder for each batch.
+
+    The last seen hashes are a table in buckets of URLs, of which a batch reads and writes those that it touches. There a
+    URL that was not seen for ``days`` is dropped, so the state holds what is still read.
+    """
+    spark = pages.sparkSession
+    if not state_there(spark, state):
+        write_buckets(spark.createDataFrame([(None,) * 6], LAST_SEEN), state, ["url"], buckets)
+
+    def batch(df: DataFrame, number: int) -> None:
+        new = kept(df.select("url", "content_hash", "fetched_at").where("url is not null"), "pages")
+        if new.isEmpty():
+            new.write.mode("overwrite").parquet(f"{out}/batch={number}")
+            return
+        touched = [r[0] for r in new.select(bucket_of(["url"], buckets).alias("b")).distinct().collect()]
+        last = read_buckets(spark, state, f"{LAST_SEEN}, bucket int").where(F.col("bucket").isin(touched)).drop("bucket")
+        changed, now = changes_of(new, last, number, days)
+        changed.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        oldest = new.agg(F.max("fetched_at")).first()[0]
+
+        def merged(target: DataFrame, rows: DataFrame) -> DataFrame:
+            left = target.where((F.col("fetched_at") >= F.lit(oldest) - F.make_dt_interval(days=F.lit(days))) | F.col("url").isNull())
+            return left.join(rows.select("url"), "url", "left_anti").select(*rows.columns).unionByName(rows)
+
+        merge_buckets(state, kept(now, "last_seen"), ["url"], merged, buckets)
+
+    return pages.writeStream.foreachBatch(batch)
 
 
-def change_stream(pages: DataFrame) -> DataFrame:
-    """Pages (url, content_hash, fetched_at) whose content differs from the last seen of their URL."""
-    return pages.select("url", "content_hash", "fetched_at").groupBy("url").transformWithStateInPandas(ChangeProcessor(), "url string, content_hash string, fetched_at timestamp", "Append", "None")
+def state_there(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
 
 
 def spend_stream(units: DataFrame, delay: str = "2 days") -> DataFrame:

@@ -155,7 +155,7 @@ def test_streams(spark, tmp_path):
     pages = spark.createDataFrame([("a", "1", at(1)), ("a", "1", at(2)), ("a", "2", at(3)), ("b", "1", at(1)), ("a", "1", at(4))], "url string, content_hash string, fetched_at timestamp")
     pages.coalesce(1).write.parquet(f"{tmp_path}/pages")
     s = spark.readStream.schema(pages.schema).parquet(f"{tmp_path}/pages")
-    ar.run_available(ar.change_stream(s).writeStream.format("parquet").option("path", f"{tmp_path}/changes"), f"{tmp_path}/c1", spark)
+    ar.run_available(ar.change_stream(s, f"{tmp_path}/changes", f"{tmp_path}/last", buckets=4), f"{tmp_path}/c1", spark)
     got = spark.read.parquet(f"{tmp_path}/changes")
     assert sorted((r["url"], r["content_hash"]) for r in got.collect()) == [("a", "1"), ("a", "1"), ("a", "2"), ("b", "1")]
 
