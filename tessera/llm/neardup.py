@@ -16,8 +16,10 @@ from .common import bytes_of, steps, stored, with_arrow
 
 #: Bands of so many signature slots. A pair at similarity 0.8 misses all of them once in 3 million times.
 BANDS, ROWS = 38, 5
-#: Members that aren't linked with a hub are paired with each other where at most so many of them meet at an edit.
+#: Members of a hub are paired with each other where at most so many of those that meet at an edit aren't linked with it, or are outside the largest component there.
 FEW = 16
+#: Pairs of a hub's members a set from which on components are looked at, and pairs a set that are compared between two looks.
+DENSE, WAVE = 4, 2
 #: Shingles handled together; a larger set is handled in parts, whose slot minima are the set's.
 TOGETHER = 60_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -178,53 +180,100 @@ def next_pairs(rows: DataFrame, percent: int) -> DataFrame:
     (|X| - c(|x| + |p|)) / (1 + c). Sets that share o elements also share one among their first size - o + 1 in any common
     order; the order here is by how many members have an edit, rarest first. So members with edits of their own don't meet.
 
-    Members that meet at an edit are paired with each other where at most FEW of them aren't linked with the hub.
-    Elsewhere they are paired with the first of them alone (``deep``), which is a hub for them in the next round, so a
-    round makes a number of pairs in proportion to its rows.
+    Members that meet at an edit are paired with each other where at most FEW of them aren't linked with the hub, or all but
+    FEW are in one component (``part``); pairs within a component are left out, since they can't change it. Elsewhere
+    members are paired with the first of them alone (``deep``), which is a hub for them in the next round. So a round
+    makes a number of pairs in proportion to its rows.
     """
     c = (100 - percent) / (100 + percent)
     m = rows.withColumn("n", F.size("edits"))
     share_y = F.greatest(F.lit(1), F.ceil((F.col("n") + c * (F.col("size_b") - F.col("size_a"))) / 2 - 1e-6))
     share_x = F.greatest(F.lit(1), F.ceil((F.col("n") - c * (F.col("size_a") + F.col("size_b"))) / (1 + c) - 1e-6))
-    own = ["a", "b", "linked", "n", "meets", "need", "as_y", "as_x"]
+    own = ["a", "b", "part", "linked", "n", "meets", "need", "as_y", "as_x"]
     m = m.withColumns({"as_y": F.col("n") - share_y + 1, "as_x": F.col("n") - share_x + 1, "need": F.col("n") - c * F.col("size_a")}).select(*own, "edits")
     every = m.select(*own, F.explode("edits").alias("edit"))
     often = every.groupBy("b", "edit").agg(F.count(F.lit(1)).alias("often"))
     ranked = every.join(often, ["b", "edit"]).groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("often", "edit"))).alias("ranked"))
-    at = ranked.select(*own, F.posexplode("ranked").alias("at", "r")).where("r.often > 1").select("a", "b", "meets", "need", (F.col("n") - F.col("at")).alias("left"), F.col("r.edit").alias("edit"), (F.col("at") < F.col("as_y")).alias("is_y"), (~F.col("linked") & (F.col("at") < F.col("as_x"))).alias("is_x"))
+    at = ranked.select(*own, F.posexplode("ranked").alias("at", "r")).where("r.often > 1").select("a", "b", "part", "meets", "need", (F.col("n") - F.col("at")).alias("left"), F.col("r.edit").alias("edit"), (F.col("at") < F.col("as_y")).alias("is_y"), (~F.col("linked") & (F.col("at") < F.col("as_x"))).alias("is_x"))
     first = stored(at.where("is_x or is_y"), "prefixes")
     # two sets are linked only where twice what either may still share is as much as both need
     least = first.groupBy("b", "edit").agg(F.count(F.lit(1)).alias("c"), F.max("is_x").alias("any_x"), F.min("need").alias("low")).where("c > 1 and any_x")
     open_ = first.join(least.select("b", "edit", "low"), ["b", "edit"]).where(2 * F.col("left") >= F.col("need") + F.col("low") - 1e-6)
-    groups = open_.groupBy("b", "edit").agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("is_x").cast("int")).alias("n_x"), F.min(F.struct((-F.col("meets")).alias("m"), "a")).alias("lead")).where("c > 1 and n_x > 0")
-    met = stored(open_.drop("low").join(groups, ["b", "edit"]).drop("c"), "met")
-    few = met.where(F.col("n_x") <= FEW)
-    x = few.where("is_x").select("b", "edit", F.col("a").alias("x"), F.col("left").alias("left_x"), F.col("need").alias("need_x"), F.col("meets").alias("meets_x"))
-    y = few.where("is_y").select("b", "edit", F.col("a").alias("y"), F.col("left").alias("left_y"), F.col("need").alias("need_y"), F.col("meets").alias("meets_y"))
+    by_part = open_.groupBy("b", "edit", "part").agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("is_x").cast("int")).alias("n_x"), F.min(F.struct((-F.col("meets")).alias("m"), "a")).alias("lead"))
+    groups = by_part.groupBy("b", "edit").agg(F.sum("c").alias("c"), F.sum("n_x").alias("n_x"), F.min("lead").alias("lead"), (F.sum("c") - F.max("c")).alias("n_out")).where("n_out > 0 and n_x > 0").drop("c")
+    met = stored(open_.drop("low").join(groups, ["b", "edit"]), "met")
+    is_few = F.least("n_x", "n_out") <= FEW
+    few = met.where(is_few)
+    x = few.where("is_x").select("b", "edit", F.col("a").alias("x"), F.col("left").alias("left_x"), F.col("need").alias("need_x"), F.col("meets").alias("meets_x"), F.col("part").alias("part_x"))
+    y = few.where("is_y").select("b", "edit", F.col("a").alias("y"), F.col("left").alias("left_y"), F.col("need").alias("need_y"), F.col("meets").alias("meets_y"), F.col("part").alias("part_y"))
     enough = 2 * F.least("left_x", "left_y") >= F.col("need_x") + F.col("need_y") - 1e-6
     leads = F.struct((-F.col("meets_x")).alias("m"), F.col("x").alias("a")) < F.struct((-F.col("meets_y")).alias("m"), F.col("y").alias("a"))
-    some = x.join(y, ["b", "edit"]).where((F.col("x") != F.col("y")) & enough).select(F.when(leads, F.col("y")).otherwise(F.col("x")).alias("a"), F.when(leads, F.col("x")).otherwise(F.col("y")).alias("b"), F.lit(False).alias("deep"))
-    many = met.where((F.col("n_x") > FEW) & (F.col("a") != F.col("lead.a"))).select("a", F.col("lead.a").alias("b"), F.lit(True).alias("deep"))
+    some = x.join(y, ["b", "edit"]).where((F.col("part_x") != F.col("part_y")) & enough).select(F.when(leads, F.col("y")).otherwise(F.col("x")).alias("a"), F.when(leads, F.col("x")).otherwise(F.col("y")).alias("b"), F.lit(False).alias("deep"))
+    many = met.where(~is_few & (F.col("a") != F.col("lead.a"))).select("a", F.col("lead.a").alias("b"), F.lit(True).alias("deep"))
     return some.unionByName(many).groupBy("a", "b").agg(F.max("deep").alias("deep"))
 
 
+def parts_of(done: DataFrame) -> DataFrame:
+    """(node, component) of the links found so far."""
+    return stored(components(done.where("linked").select("a", "b")), "parts")
+
+
+def marked(rows: DataFrame, column: str, parts: DataFrame | None, name: str) -> DataFrame:
+    """``rows`` with the component of the set in ``column``; a set without links, or without a look at them, is its own."""
+    if parts is None:
+        return rows.withColumn(name, F.col(column))
+    named = parts.select(F.col("node").alias(column), F.col("component").alias(name))
+    return rows.join(named, column, "left").withColumn(name, F.coalesce(name, column))
+
+
+def compared_in_waves(found: DataFrame, done: DataFrame, texts: DataFrame, words: int, percent: int, sets: int) -> DataFrame:
+    """``done`` and what comparing ``found`` (a, b, deep) adds to the components.
+
+    Pairs with a hub are all compared. Of the others WAVE for each set are compared at a time, chosen by hash; before
+    the next ones, those are left out whose ends are in one component by now. What remains is compared in the end, so the
+    components are those of all pairs.
+    """
+    left = stored(found, "left")
+    done = done.unionByName(stored(verified(left.where("deep").select("a", "b"), texts, words, percent), "compared"))
+    left, turn = left.where("not deep").select("a", "b"), 0
+    while n := left.count():
+        waves = -(-n // (WAVE * sets))
+        now = F.pmod(F.xxhash64("a", "b", F.lit(turn)), F.lit(waves)) == 0
+        done = done.unionByName(stored(verified(left.where(now), texts, words, percent), "compared"))
+        if waves == 1:
+            break
+        parts = parts_of(done)
+        both = marked(marked(left.where(~now), "a", parts, "part_a"), "b", parts, "part_b")
+        left, turn = stored(both.where("part_a <> part_b").select("a", "b"), "left"), turn + 1
+    return done
+
+
 def near_pairs(pairs: DataFrame, meets: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The links (a, b) that make the components of all pairs that meet at a hub; ``pairs``: members (a) and hubs (b).
 
     Members come after their hub in one order of all sets, most meetings first. Where members of a hub remain that may be
     linked without it, the first of them is their hub in the next round: hubs move on in the order, so rounds end, and
-    each compares a set once with a hub.
+    each compares a set once with a hub. Where pairs are many for their sets (letters that differ in a few places, each with a few
+    words), pairs whose ends are in one component already are left out, and those of the rest that come first decide.
     """
     ranked = meets.select(F.col("rep").alias("a"), "meets")
+    sets = max(1, meets.count())
+    dense, turn = pairs.count() > DENSE * sets, 0
     done = stored(verified(pairs, texts, words, percent), "compared")
     deep, rows = pairs, done
     while True:
-        found = stored(next_pairs(rows.join(ranked, "a"), percent), "found")
-        fresh = stored(verified(found.join(done, ["a", "b"], "left_anti").select("a", "b"), texts, words, percent), "compared")
-        done = done.unionByName(fresh)
+        parts = parts_of(done) if dense else None
+        found = stored(next_pairs(marked(rows.join(ranked, "a"), "a", parts, "part"), percent), "found")
+        new = found.join(done, ["a", "b"], "left_anti")
+        if dense:
+            done = compared_in_waves(new, done, texts, words, percent, sets)
+        else:
+            done = done.unionByName(stored(verified(new.select("a", "b"), texts, words, percent), "compared"))
         more = stored(found.where("deep").select("a", "b").join(deep, ["a", "b"], "left_anti"), "deep")
         if more.isEmpty():
             return done.where("linked").select("a", "b")
+        turn += 1
+        dense = dense or turn > 2 or found.count() > DENSE * sets
         deep = deep.unionByName(more)
         hubs = more.select("b").distinct()
         rows = done.join(deep, ["a", "b"], "left_semi").join(hubs, "b", "left_semi")
