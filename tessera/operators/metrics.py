@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.sources.stored import overwrite_partitions
+
 NESTED = {
     "evaluated": ["EVALUATED", "QUALIFIED", "SHORTLISTED", "OUTREACH_READY", "CONTACTED", "REPLIED", "CONVERSATION", "CLIENT", "NURTURE", "NOT_NOW", "REJECTED"],
     "qualified": ["QUALIFIED", "SHORTLISTED", "OUTREACH_READY", "CONTACTED", "REPLIED", "CONVERSATION", "CLIENT"],
@@ -71,11 +73,17 @@ def reply_by_niche(outreach: DataFrame, entities: DataFrame, bounds: tuple, top:
     return reply_by(outreach, entities, bounds, F.col("niche"), "niche").orderBy(F.desc("sent"), "niche").limit(top)
 
 
-def reply_by_score_band(outreach: DataFrame, entities: DataFrame, bounds: tuple) -> DataFrame:
-    """Fixed bands, best first; ``place`` is the order."""
+def band_of(score: Column) -> tuple[Column, Column]:
+    """A score's band and its place."""
     band, place = F.lit("under 50"), F.lit(len(BANDS))
     for i, (low, name) in reversed(list(enumerate(BANDS))):
-        band, place = F.when(F.col("score") >= low, name).otherwise(band), F.when(F.col("score") >= low, i).otherwise(place)
+        band, place = F.when(score >= low, name).otherwise(band), F.when(score >= low, i).otherwise(place)
+    return band, place
+
+
+def reply_by_score_band(outreach: DataFrame, entities: DataFrame, bounds: tuple) -> DataFrame:
+    """Fixed bands, best first; ``place`` is the order."""
+    band, place = band_of(F.col("score"))
     return reply_by(outreach, entities, bounds, F.struct(place.alias("place"), band.alias("band")), "b").select("b.place", "b.band", "sent", "replied", "rate")
 
 
@@ -83,6 +91,58 @@ def spend(budget: DataFrame, bounds: tuple) -> DataFrame:
     return budget.where(within(F.col("day"), bounds)).groupBy("metric").agg(F.sum("units").alias("units"))
 
 
+def daily(outreach: DataFrame, entities: DataFrame) -> DataFrame:
+    """Summaries from which the metrics of any window are merged: rows of each profile, day, status, niche, band and response.
+
+    ``who`` is a sketch of the entities, for distinct counts over many days. Rows of unknown entities have no profile.
+    """
+    band, place = band_of(F.col("score"))
+    e = entities.select("entity_id", "profile_id", "niche", "score", "response_status")
+    rows = outreach.select("entity_id", "status", "day").join(e, "entity_id", "left").withColumns({"band": band, "place": place})
+    return rows.groupBy("profile_id", "day", "status", "niche", "place", "band", "response_status").agg(F.count(F.lit(1)).alias("n"), F.hll_sketch_agg(F.col("entity_id").cast("long")).alias("who"))
+
+
+def store_daily(path: str, summaries: DataFrame) -> None:
+    """Write the months that ``summaries`` has, each whole; other months of the table stay as they are."""
+    months = summaries.withColumn("month", F.date_format("day", "yyyy-MM"))
+    overwrite_partitions(months.repartition("month"), path, ["month"])
+
+
+def in_months(days: DataFrame, bounds: tuple) -> DataFrame:
+    """Rows of the window, found by their month first, so that other folders aren't read."""
+    first, last, _ = bounds
+    d = days.where(F.col("month") <= last.strftime("%Y-%m"))
+    d = d.where(F.col("month") >= first.strftime("%Y-%m")) if first is not None else d
+    return d.where(within(F.col("day"), bounds))
+
+
+def daily_outcomes(days: DataFrame, bounds: tuple) -> DataFrame:
+    """outcomes() from summaries."""
+    sent = in_months(days, bounds).where("status = 'SENT' and profile_id is not null")
+    n, r = F.col("n"), F.col("response_status")
+    some = lambda c: F.sum(F.when(c, n).otherwise(0))
+    return sent.groupBy("profile_id").agg(some(r == "REPLIED").alias("replied"), some(r == "NO_REPLY").alias("no_reply"), some(r == "GHOSTED").alias("ghosted"), some(r.isNull()).alias("awaiting"), F.sum(n).alias("sent"))
+
+
+def daily_volume(days: DataFrame, bounds: tuple) -> DataFrame:
+    """send_volume() from summaries."""
+    bucket = F.date_trunc(bounds[2], F.col("day")).cast("date").alias("bucket")
+    some = lambda s: F.sum(F.when(F.col("status") == s, F.col("n")).otherwise(0))
+    return in_months(days, bounds).where("status in ('SENT', 'BOUNCED')").groupBy(bucket).agg(some("SENT").alias("sent"), some("BOUNCED").alias("bounced"))
+
+
+def daily_replies(days: DataFrame, bounds: tuple, by: list[str]) -> DataFrame:
+    """Sent rows, replies and their rate by columns of the summaries."""
+    sent = in_months(days, bounds).where("status = 'SENT' and profile_id is not null")
+    return sent.groupBy(*by).agg(F.sum("n").alias("sent"), F.sum(F.when(F.col("response_status") == "REPLIED", F.col("n")).otherwise(0)).alias("replied")).withColumn("rate", F.try_divide("replied", "sent"))
+
+
+def daily_reach(days: DataFrame, bounds: tuple) -> DataFrame:
+    """About how many distinct entities each profile wrote to in the window: sketches of single days, united."""
+    sent = in_months(days, bounds).where("status = 'SENT' and profile_id is not null")
+    return sent.groupBy("profile_id").agg(F.hll_sketch_estimate(F.hll_union_agg("who")).alias("reached"))
+
+
 def places_rollup(entities: DataFrame, states: int = 8, cities: int = 12) -> DataFrame:
     """Entities (location, source) by state and place with state totals: the largest states, and the largest places of each.
 

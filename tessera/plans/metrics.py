@@ -10,7 +10,7 @@ from tessera.operators import metrics as m
 from tessera.operators.metrics import NESTED
 
 from .registry import register
-from .standins import BUDGET, ENTITIES, FEEDBACK, OUTREACH, budget, entities, feedback, outreach, table
+from .standins import BUDGET, ENTITIES, FEEDBACK, OUTREACH, budget, entities, feedback, folder, outreach, table
 
 AS_OF = date(2001, 7, 31)
 YEAR, ALL, MONTH = m.window_bounds("year", AS_OF), m.window_bounds("all", AS_OF), m.window_bounds("month", AS_OF)
@@ -178,3 +178,37 @@ def m03(spark, sf):
 @register("m03_event_counts", f"WITH {FEEDBACK}, f AS (SELECT decision FROM feed WHERE day >= DATE '2024-01-05' AND day < DATE '2024-01-20'), " + _CATS.format("decision", "f"))
 def m03_events(spark, sf):
     return m.category_counts(feedback(spark, sf), "decision", (date(2024, 1, 5), date(2024, 1, 20), "day"))
+
+
+def stored_days(spark, sf):
+    """Summaries of all days, those of one month written again after the others."""
+    o, e, path = outreach(spark, sf), entities(spark, sf), folder(spark, "daily")
+    days = m.daily(o, e)
+    m.store_daily(path, days)
+    m.store_daily(path, days.where(m.within(F.col("day"), MONTH)))
+    return spark.read.parquet(path)
+
+
+@register("m12_daily_outcomes", f"""WITH {ENTITIES}, {OUTREACH} SELECT profile_id, count(*) FILTER (response_status = 'REPLIED') AS replied, count(*) FILTER (response_status = 'NO_REPLY') AS no_reply,
+  count(*) FILTER (response_status = 'GHOSTED') AS ghosted, count(*) FILTER (response_status IS NULL) AS awaiting, count(*) AS sent FROM outr JOIN ents USING (entity_id) WHERE status = 'SENT' AND {IN_YEAR} GROUP BY profile_id""")
+def m12_daily(spark, sf):
+    return m.daily_outcomes(stored_days(spark, sf), YEAR)
+
+
+@register("m13_daily_volume", f"WITH {OUTREACH} SELECT CAST(date_trunc('month', day) AS DATE) AS bucket, {VOLUME} AND {IN_ALL} GROUP BY 1")
+def m13_daily(spark, sf):
+    return m.daily_volume(stored_days(spark, sf), ALL)
+
+
+@register("m16_daily_bands", f"""WITH {ENTITIES}, {OUTREACH} SELECT CASE WHEN score >= 85 THEN 0 WHEN score >= 75 THEN 1 WHEN score >= 68 THEN 2 WHEN score >= 50 THEN 3 ELSE 4 END AS place,
+  CASE WHEN score >= 85 THEN '85+' WHEN score >= 75 THEN '75-84' WHEN score >= 68 THEN '68-74' WHEN score >= 50 THEN '50-67' ELSE 'under 50' END AS band, {REPLY} AND {IN_ALL} GROUP BY 1, 2""")
+def m16_daily(spark, sf):
+    return m.daily_replies(stored_days(spark, sf), ALL, ["place", "band"])
+
+
+# sketches of 2^12 registers err by less than 2 %; 6 % is three times that
+@register("m20_daily_reach", f"WITH {ENTITIES}, {OUTREACH} SELECT profile_id, count(DISTINCT entity_id) AS entities, true AS near FROM outr JOIN ents USING (entity_id) WHERE status = 'SENT' AND {IN_ALL} GROUP BY profile_id")
+def m20_reach(spark, sf):
+    exact = outreach(spark, sf).where((F.col("status") == "SENT") & m.within(F.col("day"), ALL)).join(entities(spark, sf), "entity_id").groupBy("profile_id").agg(F.count_distinct("entity_id").alias("entities"))
+    near = F.abs(F.col("reached") - F.col("entities")) <= F.greatest(F.lit(1), F.col("entities") * 0.06)
+    return m.daily_reach(stored_days(spark, sf), ALL).join(exact, "profile_id").select("profile_id", "entities", near.alias("near"))
