@@ -8,7 +8,7 @@ from tessera.operators import contact as ct
 from tessera.operators import signals as sg
 
 from .pages import _ANCHORS as ANCHORS
-from .pages import PAGES, quoted, sql_host
+from .pages import CLEAN, PAGES, quoted, sql_host, sql_visible
 from .registry import register
 from .standins import ENTITIES, entities, table
 
@@ -47,23 +47,48 @@ def c15(spark, sf):
 _SOC = "CASE page_id % 4 WHEN 0 THEN '<a href=\"https://www.instagram.com/i' || page_id || '\">i</a><a href=\"https://instagram.com/second\">j</a>' WHEN 1 THEN '<a href=\"https://etsy.com/shop/e\">e</a>' ELSE '' END"
 
 
-@register("c05_social_links", "SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'https://www.instagram.com/i' || page_id END AS instagram, CAST(NULL AS VARCHAR) AS tiktok, CASE WHEN page_id % 4 = 1 THEN 'https://etsy.com/shop/e' END AS etsy, CAST(NULL AS VARCHAR) AS facebook, CAST(NULL AS VARCHAR) AS pinterest, CAST(NULL AS VARCHAR) AS youtube FROM pages WHERE page_id % 4 < 2")
+def sql_pages(html: str) -> str:
+    """The pages' text and anchors with something put to their html, in the same words in Spark and in SQL."""
+    return PAGES.replace("FROM pages)", f"FROM (SELECT page_id, url, {html} AS html FROM pages))")
+
+
+_NETWORK = ", ".join(f"arg_min(url, pos) FILTER (ends_with(host, '{n}.com')) AS {n}" for n in ct.NETWORKS)
+
+
+@register("c05_social_links", f"WITH {sql_pages(_SOC + ' || html')}, {ANCHORS} SELECT page_id, {_NETWORK} FROM ln WHERE regexp_matches(host, '({'|'.join(ct.NETWORKS)})\\.com$') GROUP BY 1")
 def c05(spark, sf):
     p = table(spark, sf, "pages").withColumn("html", F.concat(F.expr(_SOC), "html"))
     return ct.social_links(sg.page_links(p))
 
 
-@register("c07_image_stats", "SELECT page_id, CAST(page_id % 4 AS INT) AS img_count, CAST(CASE WHEN page_id % 4 > 0 THEN 1 ELSE 0 END AS INT) AS img_with_dims, CAST(greatest(page_id % 4 - 1, 0) AS INT) AS img_lazy, CAST(0 AS INT) AS img_srcset FROM pages")
+_IMG = """html || CASE page_id % 4 WHEN 0 THEN '' WHEN 1 THEN '<img src=a width=1 height=2>' WHEN 2 THEN '<img src=b loading="lazy"><img srcset="x">' ELSE '<IMG src=c LOADING="lazy"><script><img width=1></script>' END"""
+
+
+def sql_shown(*tests: str) -> str:
+    every = " AND ".join(f"regexp_matches(t, '{t}')" for t in tests)
+    return f"CAST(len(list_filter(regexp_extract_all(clean, '(?i)<img\\b[^>]*>'), lambda t: {every})) AS INT)"
+
+
+_LAZY = "(?i)loading\\s*=\\s*[\"'']lazy[\"'']"
+
+
+@register("c07_image_stats", f"WITH {sql_pages(_IMG)} SELECT page_id, {sql_shown('.')} AS img_count, {sql_shown('(?i)width[ ]*=', '(?i)height[ ]*=')} AS img_with_dims, {sql_shown(_LAZY)} AS img_lazy, {sql_shown('(?i)srcset[ ]*=')} AS img_srcset FROM sg")
 def c07(spark, sf):
-    tag = lambda n, t: F.when(F.col("page_id") % 4 >= n, t).otherwise("")
-    p = table(spark, sf, "pages").withColumn("html", F.concat("html", tag(1, "<img src=a width=1 height=2>"), tag(2, '<img src=b loading="lazy">'), tag(3, '<IMG src=c loading="lazy">')))
-    return ct.image_stats(p)
+    return ct.image_stats(table(spark, sf, "pages").withColumn("html", F.expr(_IMG)))
+
+
+# markers of single applications at different places, and words that only look like one
+_MARK = ["klaviyo", "Yotpo", "judge.me", "gorgias", "recharge-cdn", "loox.io", "okendo", "attentivemobile", "postscript.io", "rebuyengine"]
+_APP = f"CASE WHEN page_id % 3 = 0 THEN ([{quoted(_MARK)}])[CAST(page_id // 3 % {len(_MARK)} + 1 AS INT)] || html WHEN page_id % 3 = 1 THEN html || 'judge.me and judgexme Klaviyo' ELSE html END"
+_APPS = ", ".join(f"CASE WHEN regexp_matches(h, '(?i){p}') THEN '{n}' END" for n, p in ct.PAID_APPS)
 
 
-@register("c10_paid_apps", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN ['klaviyo', 'loox'] WHEN 1 THEN ['judgeme'] ELSE [] END AS apps FROM pages")
+@register("c10_paid_apps", f"SELECT page_id, list_filter([{_APPS}], lambda x: x IS NOT NULL) AS apps FROM (SELECT page_id, {_APP} AS h FROM pages)")
 def c10(spark, sf):
-    x = F.when(F.col("page_id") % 3 == 0, "<script src=//loox.io/a></script>Klaviyo").when(F.col("page_id") % 3 == 1, "judge.me").otherwise("")
-    return table(spark, sf, "pages").select("page_id", ct.paid_apps(F.concat("html", x)).alias("apps"))
+    k = F.col("page_id")
+    mark = F.element_at(F.array(*map(F.lit, _MARK)), (F.floor(k / 3) % len(_MARK) + 1).cast("int"))
+    html = F.when(k % 3 == 0, F.concat(mark, "html")).when(k % 3 == 1, F.concat("html", F.lit("judge.me and judgexme Klaviyo"))).otherwise(F.col("html"))
+    return table(spark, sf, "pages").select("page_id", ct.paid_apps(html).alias("apps"))
 
 
 @register("c12_xor_emails", "SELECT event_id, ['me' || user_id || '@shop.com'] AS emails FROM events")
@@ -76,14 +101,29 @@ def c12(spark, sf):
 
 # whole texts with a sentence behind them that hides an address, or only seems to
 _SAID = "CASE doc_id % 4 WHEN 0 THEN ' write me' || doc_id || ' (at) shop (dot) com please' WHEN 1 THEN ' you' || doc_id || ' at shop dot co' WHEN 2 THEN ' email me at hello dot com' ELSE ' our latest collection at studio.com, bell' || chr(1) || 'shop.com' END"
-_MARKED = "translate(text || " + _SAID + ", chr(1) || chr(2) || chr(3), '   ')"
-for _p, _m in ct.SPELLED:
-    _MARKED = f"regexp_replace({_MARKED}, '{_p}', chr({ord(_m)}), 'g')"
-_AT = f"split_part(s, chr(3), 1)"
 
 
-@register("c13_written_emails", f"""WITH f AS (SELECT doc_id, regexp_extract_all({_MARKED}, '{ct.WRITTEN}', 1) AS f FROM documents), b AS (SELECT doc_id, list_concat(list_filter(f, lambda s: contains(s, chr(1))), list_filter(f, lambda s: contains(s, chr(3)) AND lower({_AT}) NOT IN ({quoted(ct.SENTENCE_WORDS)}))) AS b FROM f)
-  SELECT doc_id, list_transform(b, lambda s: lower(regexp_replace(translate(s, chr(1) || chr(2) || chr(3), '@.@'), '\\s*\\.\\s*', '.', 'g'))) AS emails FROM b""")
+def sql_written(text: str) -> str:
+    """Addresses that a text spells out: separators as single characters, bracketed ones first, then those with a bare "at"."""
+    said = f"translate({text}, chr(1) || chr(2) || chr(3), '   ')"
+    for pattern, mark in ct.SPELLED:
+        said = f"regexp_replace({said}, '{pattern}', chr({ord(mark)}), 'g')"
+    found = f"regexp_extract_all({said}, '{ct.WRITTEN}', 1)"
+    bare = f"list_filter({found}, lambda s: contains(s, chr(3)) AND lower(split_part(s, chr(3), 1)) NOT IN ({quoted(ct.SENTENCE_WORDS)}))"
+    return f"list_transform(list_concat(list_filter({found}, lambda s: contains(s, chr(1))), {bare}), lambda s: lower(regexp_replace(translate(s, chr(1) || chr(2) || chr(3), '@.@'), '\\s*\\.\\s*', '.', 'g')))"
+
+
+def sql_harvest(html: str, clean: str, text: str) -> str:
+    """Addresses of a page or a part of it: mail links, plain ones, hidden ones, spelled ones."""
+    byte = lambda at: f"CAST('0x' || substr(h, {at}, 2) AS INT)"
+    blobs = f"regexp_extract_all({html}, '(?i)(?:data-cfemail=[\"'']|/cdn-cgi/l/email-protection#)([0-9a-f]{{8,}})', 1)"
+    hidden = f"list_filter(list_transform({blobs}, lambda h: lower(array_to_string(list_transform(range(3, length(h), 2), lambda i: chr(xor({byte('i')}, {byte('1')}))), ''))), lambda e: regexp_matches(e, '^[^\\s@]+@[^\\s@]+\\.[^\\s@]+$'))"
+    mail = f"list_transform(regexp_extract_all({clean}, '(?i)mailto:([^\"''?\\s>]+)', 1), lambda e: lower(e))"
+    plain = _PLAIN.replace("regexp_extract_all(text,", f"regexp_extract_all({text},")
+    return f"list_concat({mail}, {plain}, {hidden}, {sql_written(text)})"
+
+
+@register("c13_written_emails", f"SELECT doc_id, list_filter(e, lambda x, i: list_position(e, x) = i) AS emails FROM (SELECT doc_id, {sql_written('text || ' + _SAID)} AS e FROM documents)")
 def c13(spark, sf):
     return table(spark, sf, "documents").select("doc_id", ct.written_emails(F.concat("text", F.expr(_SAID.replace("chr(1)", "char(1)")))).alias("emails"))
 
@@ -94,15 +134,19 @@ def c16(spark, sf):
     return sg.extract_signals(table(spark, sf, "pages").withColumn("html", F.concat("html", t))).select("page_id", "copyright_year")
 
 
-# a footer, a mail link and a hidden address behind two of three pages
-_BEHIND = """html || CASE page_id % 3 WHEN 0 THEN '<p>ann@mara.studio</p><footer>hello@mara.studio</footer><a href="mailto:Ann@mara.studio?x=1">mail</a>' WHEN 1 THEN '<p>press (at) mara (dot) studio</p>' ELSE '' END"""
+# a footer, a mail link, a hidden and a spelled address behind three of four pages
+_BEHIND = """html || CASE page_id % 4 WHEN 0 THEN '<p>ann@mara.studio</p><footer>hello@mara.studio</footer><a href="mailto:Ann@mara.studio?x=1">mail</a>' WHEN 1 THEN '<p>press (at) mara (dot) studio</p>' WHEN 2 THEN '<a data-cfemail="2a4243684804494547">x</a><FOOTER>no end, b@c.com' ELSE '' END"""
+_FOOT = "array_to_string(regexp_extract_all(html, '(?is)(<footer\\b.*?</footer\\s*>)', 1), chr(10))"
+
+
+def sql_usable(found: str, most: int) -> str:
+    return f"list_filter(list_filter({found}, lambda e, i: list_position({found}, e) = i), lambda e: {_USABLE})[:{most}]"
 
 
-@register("c11_page_emails", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN ['hello@mara.studio', 'ann@mara.studio'] WHEN 1 THEN ['press@mara.studio'] ELSE [] END AS emails, CASE page_id % 3 WHEN 0 THEN ['hello@mara.studio'] WHEN 1 THEN ['press@mara.studio'] ELSE [] END AS footer_emails FROM pages")
+@register("c11_page_emails", f"""WITH {sql_pages(_BEHIND)}, ft AS (SELECT *, CASE WHEN {_FOOT} <> '' THEN {_FOOT} ELSE substr(html, CAST(floor(length(html) * 0.75) AS INT) + 1) END AS foot FROM sg), fc AS (SELECT *, {CLEAN.replace('html', 'foot')} AS foot_clean FROM ft), fv AS (SELECT *, {sql_visible('foot_clean')} AS foot_text FROM fc),
+  hv AS (SELECT page_id, {sql_harvest('foot', 'foot_clean', 'foot_text')} AS low, {sql_harvest('html', 'clean', 'text')} AS every FROM fv), al AS (SELECT *, list_concat(low, every) AS both_lists FROM hv) SELECT page_id, {sql_usable('both_lists', 12)} AS emails, {sql_usable('low', 6)} AS footer_emails FROM al""")
 def c11_pages(spark, sf):
-    # the pages' own at signs stand in prose, and some of their footers have no end
-    p = table(spark, sf, "pages").withColumn("html", F.replace(F.translate("html", "@", " "), F.lit("<footer"), F.lit("<div")))
-    return ct.page_emails(p.withColumn("html", F.expr(_BEHIND)))
+    return ct.page_emails(table(spark, sf, "pages").withColumn("html", F.expr(_BEHIND)))
 
 
 _CHASE = f"""fp AS (SELECT page_id, page_url, pos, replace(url, '/to', '/contact') AS url, host, label FROM ln), sc AS (SELECT page_id, pos, url, lower(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1)) AS path, lower(label) AS label FROM fp WHERE host = {sql_host('page_url')}),
