@@ -329,6 +329,27 @@ def test_near_duplicates_beside_a_hub(spark, monkeypatch):
     assert sum(made) < 20 * len(texts), made
 
 
+def test_form_letters_are_compared_in_few_rounds(spark, monkeypatch):
+    """Texts that differ in eight places, each with one of four words: most pairs meet in buckets, and one in forty is linked."""
+    from tessera.llm import neardup
+
+    r, n = random.Random(4), 70
+    texts = []
+    for _ in range(n):
+        words = [f"w{i}" for i in range(120)]
+        for place in range(8):
+            words[7 + 14 * place] = f"v{place}x{r.randrange(4)}"
+        texts.append(" ".join(words))
+    pairs, rounds = [], []
+    compare, following = neardup.verified, neardup.next_pairs
+    monkeypatch.setattr(neardup, "verified", lambda some, *rest: pairs.append(some.count()) or compare(some, *rest))
+    monkeypatch.setattr(neardup, "next_pairs", lambda *rest: rounds.append(1) or following(*rest))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: x["component_id"] for x in neardup.near_duplicates(d, 3, 85).collect()}
+    assert [got[i] for i in range(n)] == plain_components(texts, 3, 85)[0]
+    assert sum(pairs) <= 25 * n and len(rounds) <= 6
+
+
 def test_near_duplicates_repeated_ids(spark):
     from tessera.llm.neardup import drop_near_duplicates, near_duplicates
 
