@@ -121,7 +121,7 @@ def many(seed, n=60):
     return out
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_resolution_against_pairs(spark, seed, monkeypatch):
     monkeypatch.setattr(linkage, "PATIENCE", 6 if seed else 0)
     c = frame(spark, many(seed)).cache()
@@ -154,8 +154,8 @@ def streamed(spark, c, path, splits):
 
 def test_stream_gives_the_batch_result(spark, tmp_path):
     """Later batches bring what refuses an earlier weak link, and what joins two known entities."""
-    c = frame(spark, many(7, 36)).cache()
-    got = streamed(spark, c, tmp_path, [c.where("cand_id % 3 = 2"), c.where("cand_id % 3 = 0"), c.where("cand_id % 3 = 1")])
+    c = frame(spark, many(7, 30)).cache()
+    got = streamed(spark, c, tmp_path, [c.where("cand_id % 3 <> 0"), c.where("cand_id % 3 = 0")])
     assert got == resolved(c)
 
 
