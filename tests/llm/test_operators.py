@@ -645,6 +645,60 @@ def test_packing_across_partitions(spark):
     assert bins.where("n > 1024 or a != 0 or b != n").count() == 0 and bins.count() == 6000
 
 
+def test_packing_tree_against_a_plain_version(spark, monkeypatch):
+    from tessera.llm import binpack
+    from tessera.llm.tokens import vocabulary_file
+
+    monkeypatch.setattr(binpack, "FAN", 2)
+    # eight leaves, three rounds: (name, fill) of underfull bins, one of each leaf half full or less
+    g = np.random.default_rng(11)
+    leaves = [[100 * n + i for i in range(4)] for n in range(8)]
+    fill = {b: int(x) for leaf in leaves for b, x in zip(leaf, [*g.integers(33, 56, 3), g.integers(3, 20)], strict=True)}
+    rows = spark.createDataFrame([(b, b, 0, fill[b], n) for n, leaf in enumerate(leaves) for b in leaf], binpack.BRANCH)
+    plain = {n: [(fill[b], [b]) for b in leaf] for n, leaf in enumerate(leaves)}
+    merged = 0
+    for nodes in (4, 2, 1):
+        got = binpack.tree_round(rows.withColumn("node", F.pmod("node", F.lit(nodes))), 64).cache()
+        expected = {}
+        for n in range(nodes):
+            bins = []
+            for size, own in sorted((x for m in plain if m % nodes == n for x in plain[m]), key=lambda x: (-x[0], x[1][0])):
+                room = [b for b in bins if b[0] + size <= 64]
+                if room:
+                    best = max(room, key=lambda b: b[0])
+                    best[0], best[1], best[2] = best[0] + size, best[1] + own, best[2] + 1
+                else:
+                    bins.append([size, own, 1])
+            expected[n] = sorted(b[0] for b in bins if b[2] > 1)
+        roots = {}
+        for r in got.collect():
+            roots.setdefault((r["node"], r["root"]), []).append(r)
+        for own in roots.values():
+            at = 0
+            for r in sorted(own, key=lambda r: r["base"]):
+                assert r["base"] == at
+                at += fill[r["bin"]]
+            assert {r["fill"] for r in own} == {at} and at <= 64
+        assert {n: sorted(own[0]["fill"] for (m, _), own in roots.items() if m == n) for n in range(nodes)} == expected
+        merged += len(roots)
+        rows = got.where("fill < 56")
+        plain = {n: [(own[0]["fill"], [root]) for (m, root), own in roots.items() if m == n and own[0]["fill"] < 56] for n in range(nodes)}
+    assert merged > 3
+    # whole: all pieces stand once, without gaps, some in sequences of several leaves, in no more sequences than one plan makes
+    texts = spark.range(600, numPartitions=8).select(F.col("id").alias("doc_id"), F.repeat(F.lit(" a"), F.pmod(F.xxhash64("id"), F.lit(60)).cast("int") + 1).alias("text"))
+    path = vocabulary_file("byte_bpe_50k.json")
+    out = binpack.pack_documents(texts, path, 64).cache()
+    bins = out.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.min("offset").alias("a"), F.max(F.col("offset") + F.col("length")).alias("b"), F.array_sort(F.collect_list(F.struct("offset", "length"))).alias("at"), F.array_sort(F.collect_set(F.floor(F.col("doc_id") / 75))).alias("leaves"))
+    rows = bins.collect()
+    for r in rows:
+        assert (r["a"], r["b"]) == (0, r["n"]) and r["n"] <= 64
+        assert [x["offset"] for x in r["at"]] == np.cumsum([0, *(x["length"] for x in r["at"])])[:-1].tolist()
+    assert out.select("doc_id", "piece").distinct().count() == out.count() == 600
+    assert sum(len(r["leaves"]) > 1 for r in rows if r["sequence_id"] < binpack.UPPER) > 0
+    monkeypatch.setattr(binpack, "tree", lambda placed, size: None)
+    assert len(rows) <= binpack.pack_documents(texts, path, 64).select("sequence_id").distinct().count() + 1
+
+
 def test_pipeline_and_queries(spark):
     import corpus_pipeline as p
     from tessera.llm.queries import QUERIES
