@@ -711,7 +711,7 @@ def test_pipeline_and_queries(spark):
         assert at.count() <= before.count() or name == "source_mix"
     out = p.STAGES[-1][1](spark, at, SF)
     assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0
-    assert sorted(QUERIES) == sorted(k for k in QUERIES if re.match(r"op\d+_", k)) and len(QUERIES) == 10
+    assert sorted(QUERIES) == sorted(k for k in QUERIES if re.match(r"op\d+_", k)) and len(QUERIES) == 13
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     kept = QUERIES["op4_quality_rules"](spark, SF).join(labels, "doc_id").where("not base_failed")
     assert kept.where("quality = 1 and not kept").count() <= 0.02 * kept.where("quality = 1").count() + 1
