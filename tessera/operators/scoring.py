@@ -177,7 +177,7 @@ def specific_compliment(praise: DataFrame, column: str = "praise") -> DataFrame:
 
 
 def robots_filter(urls: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
-    """URLs (url, host, path) that rules (host, agent, allow, pattern) let ``agent`` read.
+    """URLs (url, host, path) that rules (host, agent, allow, pattern) let ``agent`` read; each row of a URL that comes several times.
 
     The agent's own group counts instead of the one for all; the longest pattern wins, and allow wins a tie.
     """
@@ -186,8 +186,9 @@ def robots_filter(urls: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
     mine = own.join(first, "host").where((F.col("agent") == agent) == F.col("has_own"))
     escaped = F.regexp_replace(F.regexp_replace("pattern", r"([.+?^{}()|\[\]\\])", r"\\$1"), r"\*", ".*")
     mine = mine.select("host", "pattern", "allow", F.concat(F.lit("^"), escaped).alias("rx"))
-    hit = urls.join(mine, "host", "left").withColumn("ok", F.rlike("path", F.col("rx")))
+    hit = urls.select("url", "host", "path").distinct().join(mine, "host", "left").withColumn("ok", F.rlike("path", F.col("rx")))
     best = hit.groupBy("url").agg(F.max(F.when(F.col("ok"), F.struct(F.length("pattern").alias("n"), "allow"))).alias("b"))
-    return best.where(F.coalesce(F.col("b.allow"), F.lit(True))).select("url")
+    allowed = best.where(F.coalesce(F.col("b.allow"), F.lit(True))).select("url")
+    return urls.select("url").join(allowed, "url", "left_semi")
 
 

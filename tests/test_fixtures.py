@@ -124,6 +124,12 @@ def test_robots(spark):
     assert {r["url"] for r in scoring.robots_filter(urls, rules, "me").collect()} == {"u1", "u3", "u5"}
 
 
+def test_robots_keep_each_row_of_a_url(spark):
+    rules = spark.createDataFrame([("h", "*", False, "/a")], "host string, agent string, allow boolean, pattern string")
+    urls = spark.createDataFrame([("u1", "h", "/x"), ("u1", "h", "/x"), ("u2", "h", "/a"), ("u2", "h", "/a")], "url string, host string, path string")
+    assert [r["url"] for r in scoring.robots_filter(urls, rules, "me").collect()] == ["u1", "u1"]
+
+
 def test_scores(spark):
     dims = dict.fromkeys(scoring.WEIGHTS, 60) | {"entity_id": "e"}
     scored = spark.createDataFrame([dims])
