@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 from .rules import PLATFORMS, US_STATES, US_WORDS
 
 
+def ascii_bounds(pattern: str) -> str:
+    """``pattern`` with \\b as the bound of a run of [A-Za-z0-9_], as its \\w; Java's own takes other letters for such a run before version 19."""
+    return pattern.replace(r"\b", r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))")
+
+
 def stripped(html: Column) -> Column:
     """Without scripts, styles and comments."""
     s = F.regexp_replace(html, r"(?is)<script.*?</script>", " ")
@@ -79,7 +84,7 @@ def found(s: Column, pattern: str, collapsed: bool = False) -> Column:
 
 
 def us_hint(text: Column) -> Column:
-    return text.rlike(rf"\b({US_STATES})\b[\s,]*\d{{5}}") | text.rlike(rf"(?i)\b({US_WORDS})\b")
+    return text.rlike(ascii_bounds(rf"\b({US_STATES})\b[\s,]*\d{{5}}")) | text.rlike(ascii_bounds(rf"(?i)\b({US_WORDS})\b"))
 
 
 def absolute(href: Column, page_url: Column) -> Column:

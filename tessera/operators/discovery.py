@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import identity as ident
+from tessera.functions import markup as mk
 from tessera.functions.rules import FINAL_STATES, MARKETPLACES, QUALIFY_BAR
 
 # Fixed values.
@@ -30,7 +31,7 @@ def is_chain() -> Column:
     name = F.lower(tag("name"))
     marked = F.greatest(*[tag(k) for k in ("brand:wikidata", "brand:wikipedia", "wikidata", "wikipedia")]) != ""
     brand = (tag("brand") != "") & (tag("name") != "") & (tag("brand") != tag("name"))
-    return marked | brand | ((tag("operator") != "") & (tag("operator") != tag("name"))) | name.rlike(CHAIN_NAME) | name.rlike(CHAIN_NUMBER)
+    return marked | brand | ((tag("operator") != "") & (tag("operator") != tag("name"))) | name.rlike(mk.ascii_bounds(CHAIN_NAME)) | name.rlike(mk.ascii_bounds(CHAIN_NUMBER))
 
 
 def drop_chains(elements: DataFrame) -> DataFrame:
@@ -114,7 +115,7 @@ def peer_links(links: DataFrame, depth: int = 0, most: int = 25, least: int = 20
     hint = F.lit(False)
     for h in PEER_HINTS:
         hint = hint | label.contains(h)
-    plain = (label != "") & (F.length(label) <= 40) & ~label.rlike(r"\b(home|shop|about|contact|privacy|terms|faq|cart|login|search|blog)\b")
+    plain = (label != "") & (F.length(label) <= 40) & ~label.rlike(mk.ascii_bounds(r"\b(home|shop|about|contact|privacy|terms|faq|cart|login|search|blog)\b"))
     score = F.lit(10) + F.when(hint, 30).otherwise(0) + F.when(segments == 0, 25).when(segments <= 1, 10).otherwise(-10) + F.when(plain, 8).otherwise(0)
     p = links.withColumns({"domain": dom, "priority": score}).where(F.col("domain").isNotNull() & (F.col("domain") != ident.domain(F.col("page_url"))) & ~F.col("domain").isin(SKIP_HOSTS + MARKETPLACES))
     p = p.where(~F.col("url").rlike(r"(?i)\.(pdf|zip|jpe?g|png|gif|svg|mp4|css|js)(\?|$)") & (F.col("priority") >= least))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions.markup import found
+from tessera.functions.markup import ascii_bounds, found
 from tessera.functions.rules import ADVANCED_STATES, CORPORATE_MARKERS, MARKETPLACES, QUALIFY_BAR, VAGUE_PRAISE, WEIGHTS
 
 # Evidence of a place abroad, in the order in which it is looked for.
@@ -45,7 +45,7 @@ def hard_filter(signals: DataFrame) -> DataFrame:
     for place in PLACES_ABROAD:
         named = named | hay.contains(place)
     guarded = {"address": lambda p: F.when(named, F.col("text_sample").rlike(p))}
-    foreign = F.coalesce(*[F.when(guarded.get(k, F.col("text_sample").rlike)(p), f"non-us:{k}") for k, p in FOREIGN])
+    foreign = F.coalesce(*[F.when(guarded.get(k, F.col("text_sample").rlike)(ascii_bounds(p)), f"non-us:{k}") for k, p in FOREIGN])
     reason = F.coalesce(
         F.when(F.col("text_sample").isNull(), "no-signals"), corporate, F.when(F.col("domain").isin(MARKETPLACES), "marketplace-only"),
         F.when((words < 40) & (images < 3), "empty-page"), F.when(found(hay, PARKED), "parked-domain"),
@@ -173,7 +173,7 @@ def specific_compliment(praise: DataFrame, column: str = "praise") -> DataFrame:
     """
     p = F.regexp_replace(column, r"^\s+|\s+$", "")
     joined = p.rlike(r"^[\w\s]+ and [\w\s]+$") & ~F.substring(p, 2, 200).rlike(r"[A-Z0-9\"']")
-    return praise.where(F.length(p).between(12, 200) & ~p.rlike(f"(?i){VAGUE_PRAISE}") & ~joined)
+    return praise.where(F.length(p).between(12, 200) & ~p.rlike(ascii_bounds(f"(?i){VAGUE_PRAISE}")) & ~joined)
 
 
 def robots_filter(urls: DataFrame, rules: DataFrame, agent: str) -> DataFrame:

@@ -41,7 +41,7 @@ def extract_signals(pages: DataFrame) -> DataFrame:
     p = p.withColumns({"low_text": F.lower("text"), "low_clean": F.lower("clean")})
     clean, text, html = F.col("clean"), F.col("text"), F.col("html")
     prices = F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"\$\s?(\d{1,3}(?:,\d{3})*(?:\.\d{2})?)"), 1), lambda x: F.replace(x, F.lit(","), F.lit("")).cast("double")), lambda v: (v > 0) & (v < 100000))
-    tags = F.regexp_extract_all(clean, F.lit(r"(?i)(<img\b[^>]*>)"), 1)
+    tags = F.regexp_extract_all(clean, F.lit(mk.ascii_bounds(r"(?i)(<img\b[^>]*>)")), 1)
     p = p.withColumns({"prices": F.array_sort(F.slice(prices, 1, 301)), "tags": tags})
     shown = lambda test: F.size(F.filter("tags", test)).cast("long")
     years = F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"(?i)(?:©|copyright)\s*(?:\d{4}\s*[-–]\s*)?(\d{4})"), 1), lambda y: y.cast("int")), lambda y: (y >= 2000) & (y <= 2100))
@@ -67,8 +67,8 @@ def content_hash(column: str):
 
 def page_links(pages: DataFrame) -> DataFrame:
     """(page_id, page_url, pos, url, host, label) of each page's first anchors with an http(s) target."""
-    a = pages.select("page_id", F.col("url").alias("page_url"), F.posexplode(F.regexp_extract_all(mk.stripped(F.col("html")), F.lit(r"(?is)(<a\b[^>]*>.{0,200}?</a>)"), 1)).alias("pos", "a"))
-    href = mk.attribute(F.regexp_extract("a", r"(?is)^(<a\b[^>]*>)", 1), "href")
+    a = pages.select("page_id", F.col("url").alias("page_url"), F.posexplode(F.regexp_extract_all(mk.stripped(F.col("html")), F.lit(mk.ascii_bounds(r"(?is)(<a\b[^>]*>.{0,200}?</a>)")), 1)).alias("pos", "a"))
+    href = mk.attribute(F.regexp_extract("a", mk.ascii_bounds(r"(?is)^(<a\b[^>]*>)"), 1), "href")
     a = a.withColumn("url", mk.absolute(href, F.col("page_url"))).where("url is not null")
     a = a.withColumns({"host": ident.host(F.col("url")), "label": F.substring(mk.visible(F.col("a")), 1, 120)})
     w = Window.partitionBy("page_id").orderBy("pos")
@@ -85,7 +85,7 @@ def contact_links(links: DataFrame, most: int = 3) -> DataFrame:
     """Same-host links that probably lead to an address: by path, then label; the best of each path, ``most`` a page."""
     path, label = F.lower(F.regexp_extract("url", r"^https?://[^/?#]+([^?#]*)", 1)), F.lower("label")
     by_path = F.when(path.contains("/contact"), 50).when(path.contains("/about"), 30).when(path.rlike("/pages/(contact|about|our-story|stockists|wholesale)"), 40).when(path.rlike("/(info|support|help|faq|imprint|impressum|legal|team)"), 20).when(path.rlike("/(stockists|wholesale|trade|press)"), 18).otherwise(0)
-    by_label = F.when(label.rlike(r"\bcontact\b|get in touch|say hello|reach us|email us"), 25).when(label.rlike(r"\babout\b|our story|the studio"), 12).otherwise(0)
+    by_label = F.when(label.rlike(mk.ascii_bounds(r"\bcontact\b|get in touch|say hello|reach us|email us")), 25).when(label.rlike(mk.ascii_bounds(r"\babout\b|our story|the studio")), 12).otherwise(0)
     s = links.where(F.col("host") == ident.host(F.col("page_url"))).withColumns({"path": path, "score": by_path + by_label}).where("score > 0")
     best = s.groupBy("page_id", "path").agg(F.max(F.struct("score", (-F.col("pos")).alias("first"), "url")).alias("m"))
     w = Window.partitionBy("page_id").orderBy(F.desc("m.score"), F.desc("m.first"))

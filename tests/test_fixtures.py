@@ -130,6 +130,14 @@ def test_robots_keep_each_row_of_a_url(spark):
     assert [r["url"] for r in scoring.robots_filter(urls, rules, "me").collect()] == ["u1", "u1"]
 
 
+def test_word_bounds_are_ascii(spark):
+    """As in SQL: a letter with a mark ends a run of word characters."""
+    d = spark.createDataFrame([("denverö",), ("ödenver",), ("denvers",), ("äTX 78701",), ("xTX 78701",)], "t string")
+    assert [r[0] for r in d.select(mk.us_hint(F.col("t"))).collect()] == [True, True, False, True, False]
+    s = spark.createDataFrame([("für öEURö da", 500), ("für öEURx da", 500)], "text_sample string, word_count int").withColumns({"title": F.lit(""), "img_count": F.lit(9), "domain": F.lit("a.de"), "us_hint": F.lit(False)})
+    assert [r["reject_reason"] for r in scoring.hard_filter(s).collect()] == ["non-us:currency", None]
+
+
 def test_scores(spark):
     dims = dict.fromkeys(scoring.WEIGHTS, 60) | {"entity_id": "e"}
     scored = spark.createDataFrame([dims])
