@@ -67,8 +67,10 @@ def a13_buckets(spark, sf):
 def profile_tables(spark, sf):
     """A table of each kind that a profile owns rows in, by entity or by profile."""
     e = entities(spark, sf).select("entity_id", "profile_id", "niche", "email")
-    o = outreach(spark, sf).join(e.select("entity_id", "profile_id"), "entity_id")
-    f = feedback(spark, sf).join(e.select("entity_id", "profile_id"), "entity_id")
+    # neither side is small, however well its file is compressed
+    owner = e.select("entity_id", "profile_id").hint("merge")
+    o = outreach(spark, sf).join(owner, "entity_id")
+    f = feedback(spark, sf).join(owner, "entity_id")
     part = table(spark, sf, "part").withColumn("profile_id", F.col("p_partkey") % 3)
     two = lambda c: part.select("profile_id", c)
     return {

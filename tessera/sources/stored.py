@@ -17,6 +17,11 @@ def overwrite_partitions(rows: DataFrame, path: str, by: list[str]) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
+def gathered(rows: DataFrame, by: str) -> DataFrame:
+    """Rows of one folder in one task, but in several where they are many, so that a task's rows don't grow with the table."""
+    return rows.hint("rebalance", F.col(by))
+
+
 def append_dated(rows: DataFrame, path: str, time: str, batch: int) -> None:
     """Append rows by the date of ``time``, as one batch: a batch that runs again replaces what it wrote."""
     overwrite_partitions(rows.withColumns({"on": F.to_date(time), "batch": F.lit(batch)}), path, ["on", "batch"])
@@ -28,7 +33,7 @@ def bucket_of(keys: list[str], buckets: int = BUCKETS) -> Column:
 
 def write_buckets(rows: DataFrame, path: str, keys: list[str], buckets: int = BUCKETS) -> None:
     """A new table in folders by the hash of its keys, one file or more for each."""
-    rows.withColumn("bucket", bucket_of(keys, buckets)).repartition("bucket").write.partitionBy("bucket").parquet(path)
+    gathered(rows.withColumn("bucket", bucket_of(keys, buckets)), "bucket").write.partitionBy("bucket").parquet(path)
 
 
 def read_buckets(spark: SparkSession, path: str, schema=None) -> DataFrame:
@@ -49,7 +54,7 @@ def merge_buckets(path: str, new: DataFrame, keys: list[str], merge: Callable[[D
     target = read_buckets(spark, path).where(F.col("bucket").isin(touched)).drop("bucket")
     merged = kept(merge(target, new).withColumn("bucket", bucket_of(keys, buckets)), "merged")
     left = {r[0] for r in merged.select("bucket").distinct().collect()}
-    overwrite_partitions(merged.repartition("bucket"), path, ["bucket"])
+    overwrite_partitions(gathered(merged, "bucket"), path, ["bucket"])
     for b in touched:
         if b not in left:
             remove(spark, f"{path}/bucket={b}")
@@ -63,5 +68,5 @@ def remove(spark: SparkSession, path: str) -> bool:
 
 
 def write_profiles(rows: DataFrame, path: str) -> None:
-    """A table in folders by profile_id."""
-    rows.repartition("profile_id").write.partitionBy("profile_id").parquet(path)
+    """A table in folders by profile_id, one file or more for each."""
+    gathered(rows, "profile_id").write.partitionBy("profile_id").parquet(path)

@@ -3,6 +3,7 @@
 from datetime import datetime, timedelta
 from pathlib import Path
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import discovery, learning, merge, patterns
@@ -58,6 +59,19 @@ def test_snapshots_feed_the_change_check(spark, tmp_path):
     assert [r["key"] for r in sg.changed_pages(again, last).collect()] == [2]
 
 
+def test_a_large_profile_is_written_by_several_tasks(spark, tmp_path):
+    rows = spark.range(0, 40000, 1, 8).select("id", F.lit(1).alias("profile_id"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "32k")
+    try:
+        write_profiles(rows, f"{tmp_path}/p")
+        write_buckets(rows, f"{tmp_path}/b", ["profile_id"], 4)
+        merge_buckets(f"{tmp_path}/b", rows.withColumn("id", F.col("id") + 40000), ["profile_id"], DataFrame.unionByName, 4)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len(files(f"{tmp_path}/p")) > 2 and len(files(f"{tmp_path}/b")) > 2
+    assert spark.read.parquet(f"{tmp_path}/p").distinct().count() == 40000 and read_buckets(spark, f"{tmp_path}/b").distinct().count() == 80000
+
+
 def test_a_profile_goes_whole(spark, tmp_path):
     root = str(tmp_path)
     own = spark.createDataFrame([(i, i % 3) for i in range(30)], "entity_id long, profile_id long")
