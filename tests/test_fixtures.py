@@ -213,6 +213,22 @@ def test_ghosts_in_batch(spark):
     assert [r["entity_id"] for r in ar.ghosts_in_batch(e, 5, F.lit(at(10))).collect()] == [1]
 
 
+def test_ghost_stream_runs_in_the_jvm_and_sees_each_silence(spark, tmp_path):
+    at = lambda d: datetime(2024, 1, d)
+    rows = [(1, "contact", at(1)), (1, "contact", at(20)), (2, "contact", at(1)), (2, "reply", at(2)), (3, "contact", at(1)), (3, "contact", at(3)), (4, "contact", at(28)), (5, "reply", at(30))]
+    e = spark.createDataFrame(rows, "entity_id long, kind string, at timestamp")
+    found = []
+    for n, batches in enumerate(([e], [e.where("at < '2024-01-10'"), e.where("at >= '2024-01-10'")])):
+        path, ghosts = f"{tmp_path}/{n}", []
+        for b in batches:
+            b.write.mode("append").parquet(f"{path}/in")
+            out = ar.ghost_timer(spark.readStream.schema(e.schema).parquet(f"{path}/in"), 5)
+            ar.run_available(out.writeStream.outputMode("append").format("parquet").option("path", f"{path}/out"), f"{path}/state", spark)
+        assert "Pandas" not in out._jdf.queryExecution().analyzed().toString()
+        found.append(sorted((r["entity_id"], r["ghosted_at"].day) for r in spark.read.schema(out.schema).parquet(f"{path}/out").collect()))
+    assert found == [[(1, 6), (1, 25), (3, 8)]] * 2
+
+
 def test_phrases_are_found_as_their_pattern_says(spark):
     patterns = [*rules.CONTENT_FLAGS.values(), *rules.HTML_FLAGS.values(), scoring.PARKED, scoring.PLACEHOLDER]
     texts = ["", "where to buy", "whereto buy", "a pop-up", "popup", "pop up", "fairexcom", "faire.com", "dm us to order", "dm you to order", "order via instagram", "squareup.com/appointments", "book now", "bookan", "schedule an call", "/news", "parked free courtesy", "parked courtesy", "domain for sale", "domain is for sale", "under construction", "the cut", None]
