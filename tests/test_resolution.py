@@ -165,3 +165,16 @@ def test_stream_says_who_moved(spark, tmp_path):
     got = streamed(spark, c, tmp_path, [c.where("cand_id < 3"), c.where("cand_id >= 3")])
     assert got == {1: (1, False), 2: (1, False), 3: (1, False), 4: (1, True)}
     assert [(r["entity_id"], r["winner"]) for r in spark.read.parquet(f"{tmp_path}/out/moved").collect()] == [(2, 1)]
+
+
+def test_keys_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(key):
+        made.add(1)
+        return key
+
+    c = spark.createDataFrame([(i, "p", f"d{i // 2}.com") for i in range(8)], "cand_id long, profile_id string, domain string").withColumns({k: F.lit(None).cast("string") for k in ("instagram", "tiktok", "etsy")})
+    key = F.udf(counted).asNondeterministic()(F.concat(F.lit("domain:"), "domain"))
+    got = linkage.resolve_entities(c, c.select("cand_id", F.lit("strong").alias("tier"), key.alias("key"))).collect()
+    assert {(r["cand_id"], r["component"]) for r in got} == {(i, i // 2 * 2) for i in range(8)} and made.value == 8
