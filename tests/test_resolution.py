@@ -178,3 +178,22 @@ def test_keys_are_made_once(spark):
     key = F.udf(counted).asNondeterministic()(F.concat(F.lit("domain:"), "domain"))
     got = linkage.resolve_entities(c, c.select("cand_id", F.lit("strong").alias("tier"), key.alias("key"))).collect()
     assert {(r["cand_id"], r["component"]) for r in got} == {(i, i // 2 * 2) for i in range(8)} and made.value == 8
+
+
+def test_a_batch_of_one_file_makes_its_keys_in_several_tasks(spark, tmp_path):
+    from tessera.streaming import arrivals as ar
+
+    c = spark.createDataFrame([(i, "p", f"d{i // 2}.com") for i in range(40)], "cand_id long, profile_id string, domain string").withColumns({k: F.lit(None).cast("string") for k in ("instagram", "tiktok", "etsy")})
+    c.coalesce(1).write.parquet(f"{tmp_path}/in")
+    files = []
+
+    def keys_of(d):
+        files.append(len(d.inputFiles()))
+        return d.select("cand_id", F.lit("strong").alias("tier"), F.concat(F.lit("domain:"), "domain").alias("key"))
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ar.run_available(ar.candidate_stream(spark.readStream.schema(c.schema).parquet(f"{tmp_path}/in"), keys_of, f"{tmp_path}/out"), f"{tmp_path}/state", spark)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {r["cand_id"]: r["entity_id"] for r in ar.candidate_owners(spark, f"{tmp_path}/out").collect()} == {i: i // 2 * 2 for i in range(40)} and min(files) > 1
