@@ -43,7 +43,7 @@ STOP = 10
 #: Gates and places of the refinement, for words' bits and then for spelled ones.
 GATES, BOXES = 16, 37
 #: The end of a text, as a word's hash. 1 and 2 stand before the first word.
-END = np.uint64(0)
+END, U = np.uint64(0), np.uint64
 MIX1, MIX2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 COUNT = T.StructType([T.StructField("is_byte", T.BooleanType()), T.StructField("h", T.LongType()), T.StructField("c", T.LongType())])
 TABLE = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("counts", T.BinaryType())])
@@ -53,33 +53,129 @@ SCORED = T.StructType([
 ])
 
 
+@dataclass
+class Words:
+    """The words of some texts, lower-cased: ``data`` holds the texts, each between line feeds; a word begins at ``begin`` and has ``size`` bytes.
+
+    ``first``: the number of each text's first word, and of all words at the end. An item is the list of a text's words.
+    """
+
+    data: np.ndarray
+    begin: np.ndarray
+    size: np.ndarray
+    first: np.ndarray
+
+    @staticmethod
+    def of(raws: list[bytes]) -> Words:
+        # eight bytes more, so that eight can be read at any place
+        data = np.frombuffer(b"\n".join([b"", *raws, b"\n" * 8]).lower(), np.uint8)
+        inside = (data - np.uint8(9) > 4) & (data != 32)
+        edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        begin = edges[0::2]
+        texts = np.cumsum([1, *(len(x) + 1 for x in raws)])
+        return Words(data, begin, edges[1::2] - begin, np.searchsorted(begin, texts))
+
+    def __len__(self) -> int:
+        return len(self.first) - 1
+
+    def __getitem__(self, text: int) -> list[bytes]:
+        if text >= len(self):
+            raise IndexError(text)
+        some = slice(self.first[text], self.first[text + 1])
+        return [self.data[b : b + n].tobytes() for b, n in zip(self.begin[some].tolist(), self.size[some].tolist(), strict=True)]
+
+    def hashes(self, known: WordHashes) -> np.ndarray:
+        """The same as ``known`` has, XXH3 with 64 bits, but all words of up to 16 bytes at once.
+
+        Constants are XXH3's own: words of its default secret, combined, and the factors of its last steps.
+        """
+        begin, size, end = self.begin, self.size, self.begin + self.size
+        wide = lambda kind, n: np.ndarray(len(self.data) - n + 1, kind, self.data, strides=(1,))
+        four, eight = wide("<u4", 4), wide("<u8", 8)
+        out = np.empty(len(begin), np.uint64)
+        i = np.flatnonzero(size <= 3)
+        b, n = begin[i], size[i]
+        x = self.data[b].astype(np.uint64) << U(16) | self.data[b + (n >> 1)].astype(np.uint64) << U(24) | self.data[b + n - 1] | n.astype(np.uint64) << U(8)
+        x ^= U(0x87275A9B)
+        x = (x ^ (x >> U(33))) * U(0xC2B2AE3D27D4EB4F)
+        x = (x ^ (x >> U(29))) * U(0x165667B19E3779F9)
+        out[i] = x ^ (x >> U(32))
+        i = np.flatnonzero((size > 3) & (size <= 8))
+        x = four[end[i] - 4] + (four[begin[i]].astype(np.uint64) << U(32)) ^ U(0xC73AB174C5ECD5A2)
+        x ^= (x << U(49) | x >> U(15)) ^ (x << U(24) | x >> U(40))
+        x *= U(0x9FB21C651E98DF25)
+        x = (x ^ ((x >> U(35)) + size[i].astype(np.uint64))) * U(0x9FB21C651E98DF25)
+        out[i] = x ^ (x >> U(28))
+        i = np.flatnonzero((size > 8) & (size <= 16))
+        x, y = eight[begin[i]] ^ U(0x6782737BEA4239B9), eight[end[i] - 8] ^ U(0xAF56BC3B0996523A)
+        x = size[i].astype(np.uint64) + x.byteswap() + y + (x * y ^ upper(x, y))
+        x = (x ^ (x >> U(37))) * U(0x165667919E3779F9)
+        out[i] = x ^ (x >> U(32))
+        for k in np.flatnonzero(size > 16).tolist():
+            out[k] = known[self.data[begin[k] : end[k]].tobytes()]
+        return out
+
+    def spelled(self, some: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The bytes of ``some`` words, a STOP after each; one with a size of 0 is the STOP alone."""
+        ends = np.cumsum(size + 1)
+        out = self.data[np.repeat(self.begin[some] - (ends - size - 1), size + 1) + np.arange(ends[-1])] if len(self.begin) else np.empty(ends[-1], np.uint8)
+        out[ends - 1] = STOP
+        return out
+
+
+def upper(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The upper half of products with 128 bits."""
+    half = U(0xFFFFFFFF)
+    x0, x1, y0, y1 = x & half, x >> U(32), y & half, y >> U(32)
+    mid = (x0 * y0 >> U(32)) + x1 * y0
+    return x1 * y1 + (mid >> U(32)) + ((mid & half) + x0 * y1 >> U(32))
+
+
+def summed(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes, and the sums of their counts."""
+    if not len(h):
+        return h, c
+    order = np.argsort(h)
+    h = h[order]
+    at = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    return h[at], np.add.reduceat(c[order], at)
+
+
 def token_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(is_byte, h, c): how often each word, by its 64-bit hash, and each byte of a word occurs; the end counts as a word."""
 
     def run(batches):
-        from collections import Counter
-
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        import xxhash
+        schema, known, octets, ends = to_arrow_schema(COUNT), WordHashes(), np.zeros(256, np.int64), 0
+        h, c, waiting = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
 
-        schema, words, octets, ends = to_arrow_schema(COUNT), Counter(), np.zeros(256, np.int64), 0
+        def merge():
+            nonlocal h, c
+            new, n = np.unique(np.concatenate(waiting), return_counts=True)
+            h, c = summed(np.append(h, new), np.append(c, n))
+            waiting.clear()
 
         def flush():
-            h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words)).view(np.int64)
-            c = np.fromiter(words.values(), np.int64, len(words))
-            words.clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(h), bool)), pa.array(h), pa.array(c)], schema=schema)
+            nonlocal h, c
+            out = pa.RecordBatch.from_arrays([pa.array(np.zeros(len(h), bool)), pa.array(h.view(np.int64)), pa.array(c)], schema=schema)
+            h, c = h[:0], c[:0]
+            return out
 
         for b in (s for batch in batches for s in steps(batch, text)):
-            for raw in bytes_of(b, text):
-                found = raw.lower().split()
-                words.update(found)
-                ends += 1
-            octets += np.bincount(np.frombuffer(b"".join(bytes_of(b, text)).lower(), np.uint8), minlength=256)
-            if len(words) > COUNTED:
+            raws = bytes_of(b, text)
+            ends += len(raws)
+            for x, y in parts(raws):
+                words = Words.of(raws[x:y])
+                octets += np.bincount(words.data, minlength=256)
+                waiting.append(words.hashes(known))
+            if sum(map(len, waiting)) > COUNTED:
+                merge()
+            if len(h) > COUNTED:
                 yield flush()
         if ends:
+            if waiting:
+                merge()
             yield flush()
             yield pa.RecordBatch.from_arrays([pa.array([False]), pa.array([int(END)]), pa.array([ends])], schema=schema)
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(256, bool)), pa.array(np.arange(256)), pa.array(octets)], schema=schema)
@@ -121,6 +217,7 @@ class Code:
 
     Symbols: words, then the escape, then the 256 bytes of spelled words. ``key`` is a path place's node, scrambled, with
     its bit lowest; ``own`` the stretched probability of the node's 1 side. ``bits``: slots of a table, as a power of 2.
+    ``near``: where hashes with the same upper bits begin.
     """
 
     hashes: np.ndarray
@@ -131,6 +228,7 @@ class Code:
     key: np.ndarray
     own: np.ndarray
     bits: int
+    near: np.ndarray
 
     @staticmethod
     def of(hashes: np.ndarray, counts: np.ndarray, rest: float, octets: np.ndarray, bits: int = LEAST_BITS) -> Code:
@@ -145,34 +243,45 @@ class Code:
         node = np.append(inner, inner2 + len(ones)).astype(np.uint32) * MIX2
         key = (node ^ (node >> np.uint32(15))) & np.uint32(0xFFFFFFFE) | bit.astype(np.uint32)
         order = np.argsort(hashes)
-        return Code(hashes[order], order.astype(np.int32), counts[order].astype(np.int64), (np.cumsum(length) - length).astype(np.int32), length.astype(np.int32), key, own, bits)
+        upper_bits = max(1, len(hashes).bit_length())
+        near = np.searchsorted(hashes[order], np.arange(1 << upper_bits).astype(np.uint64) << U(64 - upper_bits)).astype(np.int32)
+        return Code(hashes[order], order.astype(np.int32), counts[order].astype(np.int64), (np.cumsum(length) - length).astype(np.int32), length.astype(np.int32), key, own, bits, near)
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in ``hashes``, and which of ``h`` stand there."""
         if not len(self.hashes):
             return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return at, self.hashes[at] == h
+        last, shift = len(self.hashes) - 1, U(65 - len(self.near).bit_length())
+        at = np.minimum(self.near.take((h >> shift).astype(np.int64)), last).astype(np.int64)
+        # hashes are spread evenly, so only few steps lead to the first that isn't less
+        behind = np.flatnonzero(self.hashes.take(at) < h)
+        while len(behind):
+            at[behind] += 1
+            behind = behind[at[behind] <= last]
+            behind = behind[self.hashes.take(at[behind]) < h[behind]]
+        np.minimum(at, last, out=at)
+        return at, self.hashes.take(at) == h
 
 
 @dataclass
 class Laid:
     """The bits of some texts in the order of the mixer's updates: first the first tokens of all texts, and so on.
 
-    ``key``, ``own``: of each bit's path place; ``slot1``, ``slot2``: its table slots; ``owner``: its text, by rank, the
-    longest first; ``spelled``: whether it spells a word. ``ends``: where each update's bits end; ``live``: how many texts
-    have bits in it, and in a later one; ``rank``: of each text.
+    ``path``: each bit's place in the code's paths; ``key``: that place's; ``slot1``, ``slot2``: its table slots; ``half``:
+    twice its text, by rank, the longest first, and one more if it spells a word. ``ends``: where each update's bits end;
+    ``live``: how many texts have bits in it, and in a later one; ``rank``: of each text; ``at``: of each token, its word's
+    place in the code, or -1.
     """
 
+    path: np.ndarray
     key: np.ndarray
-    own: np.ndarray
     slot1: np.ndarray
     slot2: np.ndarray
-    owner: np.ndarray
-    spelled: np.ndarray
+    half: np.ndarray
     ends: list
     live: list
     rank: np.ndarray
+    at: np.ndarray
 
 
 def scrambled(x: np.ndarray) -> np.ndarray:
@@ -203,8 +312,8 @@ def byte_contexts(data: np.ndarray, within: np.ndarray) -> tuple[np.ndarray, np.
     return c1, scrambled(c1 * MIX2 + (before[2] | before[3] << np.uint32(8) | np.uint32(1 << 25)))
 
 
-def lay(code: Code, words: list[list[bytes]], hashes: list[np.ndarray]) -> Laid:
-    """The bits of texts, given their words and the words' hashes, with END after each text's."""
+def symbols(code: Code, words: Words, hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols and both contexts of all tokens, then of the bytes of escaped ones; each token's place in the code, or -1; escaped tokens and how many bytes each has."""
     h = np.concatenate(hashes)
     count = np.array([len(x) for x in hashes])
     first = np.cumsum(count) - count
@@ -218,41 +327,64 @@ def lay(code: Code, words: list[list[bytes]], hashes: list[np.ndarray]) -> Laid:
     before2[first] = before2[np.minimum(first + 1, first + count - 1)] = 2
     c1 = scrambled(halves(before1))
     c2 = scrambled(c1 * MIX2 + halves(before2))
-    rank = np.empty(len(count), np.int64)
-    rank[np.argsort(-count, kind="stable")] = np.arange(len(count))
-    owner = np.repeat(rank, count)
-    place = np.arange(len(h)) - np.repeat(first, count)
-    cuts = updates(int(count.max()))
-    step = np.searchsorted(cuts, place, "right") - 1
-    spelled = np.zeros(len(h), bool)
-    missed = np.flatnonzero(~hit)
+    missed, size = np.flatnonzero(~hit), np.zeros(0, np.int64)
     if len(missed):
-        text = np.repeat(np.arange(len(count)), count)[missed]
-        some = [words[t][p] if p < len(words[t]) else b"" for t, p in zip(text.tolist(), place[missed].tolist(), strict=True)]
-        size = np.fromiter(map(len, some), np.int64, len(some)) + 1
-        data = np.frombuffer(b"\n".join(some) + b"\n", np.uint8)
+        # a text's end has no word; where it escapes, it takes the place of any word and has no bytes
+        text = np.searchsorted(first, missed, "right") - 1
+        place = missed - first[text]
+        some, real = words.first[text] + place, place < np.diff(words.first)[text]
+        some = np.where(real, some, 0)
+        size = np.where(real, words.size[some], 0) + 1 if len(words.size) else np.ones(len(missed), np.int64)
+        data = words.spelled(some, size - 1)
         b1, b2 = byte_contexts(data, np.arange(len(data)) - np.repeat(np.cumsum(size) - size, size))
         symbol = np.append(symbol, escape + 1 + data.astype(np.int32))
-        c1, c2, owner, step = np.append(c1, b1), np.append(c2, b2), np.append(owner, np.repeat(owner[missed], size)), np.append(step, np.repeat(step[missed], size))
-        spelled = np.append(spelled, np.ones(len(data), bool))
-    order = np.argsort(step * len(count) + owner, kind="stable")
-    symbol, c1, c2 = symbol[order], c1[order], c2[order]
+        c1, c2 = np.append(c1, b1), np.append(c2, b2)
+    return symbol, c1, c2, np.where(hit, at, -1), missed, size
+
+
+def bits_of(code: Code, symbol: np.ndarray, c1: np.ndarray, c2: np.ndarray) -> tuple[np.ndarray, ...]:
+    """How many bits each symbol has; of all bits the place in the paths, its key, and the slots in both tables."""
     bits = code.length[symbol]
-    ends = np.cumsum(bits)
-    path = np.repeat(code.begin[symbol] - (ends - bits).astype(np.int32), bits)
-    path += np.arange(len(path), dtype=np.int32)
-    key = code.key[path]
+    path = np.repeat(code.begin[symbol] - (np.cumsum(bits) - bits), bits)
+    path += np.arange(len(path))
+    key = code.key.take(path, mode="clip")
     node, shift = key >> np.uint32(1), np.uint32(32 - code.bits)
-    slot1 = ((np.repeat(c1, bits) + node) * MIX1) >> shift
-    slot2 = ((np.repeat(c2, bits) ^ node) * MIX2) >> shift
-    last = np.searchsorted(step[order], np.arange(len(cuts) - 1), "right") - 1
-    return Laid(key, code.own[path], slot1, slot2, np.repeat(owner[order], bits), np.repeat(spelled[order], bits), ends[last].tolist(), [(int((count > a).sum()), int((count > b).sum())) for a, b in zip(cuts, cuts[1:], strict=False)], rank)
+    slot1, slot2 = np.repeat(c1, bits), np.repeat(c2, bits)
+    slot1 += node
+    slot1 *= MIX1
+    slot1 >>= shift
+    slot2 ^= node
+    slot2 *= MIX2
+    slot2 >>= shift
+    return bits, path, key, slot1, slot2
+
+
+def lay(code: Code, words: Words | list[list[bytes]], hashes: list[np.ndarray]) -> Laid:
+    """The bits of texts, given their words and the words' hashes, with END after each text's."""
+    words = words if isinstance(words, Words) else Words.of([b" ".join(x) for x in words])
+    count = np.array([len(x) for x in hashes])
+    symbol, c1, c2, at, missed, size = symbols(code, words, hashes)
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(-count, kind="stable")] = np.arange(len(count))
+    place = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+    cuts = updates(int(count.max()))
+    group = (np.searchsorted(cuts, np.arange(count.max()), "right") - 1)[place] * len(count) + np.repeat(rank, count)
+    group = np.append(group, np.repeat(group[missed], size))
+    # by group, and in it as they come: a sort of both in one number is several times faster than a stable one
+    group = np.sort(group << 32 | np.arange(len(group)))
+    order = group & 0xFFFFFFFF
+    group >>= 32
+    bits, path, key, slot1, slot2 = bits_of(code, symbol[order], c1[order], c2[order])
+    last = np.searchsorted(group, np.arange(1, len(cuts)) * len(count)) - 1
+    half = group % len(count) * 2 + (order >= len(at))
+    return Laid(path, key, slot1, slot2, np.repeat(half, bits), np.cumsum(bits)[last].tolist(), [(int((count > a).sum()), int((count > b).sum())) for a, b in zip(cuts, cuts[1:], strict=False)], rank, at)
 
 
-def hashed(raws: list[bytes], known: WordHashes) -> tuple[list[list[bytes]], list[np.ndarray]]:
-    words = [x.lower().split() for x in raws]
-    get = known.__getitem__
-    return words, [np.append(np.fromiter(map(get, w), np.uint64, len(w)), END) for w in words]
+def hashed(raws: list[bytes], known: WordHashes) -> tuple[Words, list[np.ndarray]]:
+    """The words of texts and each text's hashes, with END after them."""
+    words = Words.of(raws)
+    h = np.insert(words.hashes(known), words.first[1:], END)
+    return words, np.split(h, words.first[1:-1] + np.arange(1, len(raws)))
 
 
 def parts(raws: list[bytes]) -> list[tuple[int, int]]:
@@ -320,10 +452,12 @@ def context_tables(docs: DataFrame, held: Shared, bits: int, text: str = "text")
             raws = bytes_of(b, text)
             tables = tables or [np.zeros(2 << code.bits, np.uint32) for _ in range(2)]
             for x, y in parts(raws):
-                laid = lay(code, *hashed(raws[x:y], known))
-                bit = laid.key & np.uint32(1)
-                for table, slot in zip(tables, (laid.slot1, laid.slot2), strict=True):
-                    np.add.at(table, slot * np.uint32(2) + bit, np.uint32(1))
+                _, _, key, *slots = bits_of(code, *symbols(code, *hashed(raws[x:y], known))[:3])
+                key &= np.uint32(1)
+                for table, slot in zip(tables, slots, strict=True):
+                    slot *= np.uint32(2)
+                    slot += key
+                    np.add.at(table, slot, np.uint32(1))
         for i, table in enumerate(tables):
             for k, piece in enumerate(table.reshape(-1, 2 * BLOCK)):
                 if piece.any():
@@ -382,6 +516,12 @@ def first_weights() -> np.ndarray:
     return np.tile(w.reshape(GATES, 3).T, 2)
 
 
+def log_more(x: np.ndarray) -> np.ndarray:
+    """log(1 + x): the rounding of the sum is given back, so it is as exact as log1p, which is several times slower for float32."""
+    more = 1 + x
+    return np.log(more) + (x - (more - 1)) / more
+
+
 class Mixer:
     """Scores the bits of many texts side by side, each by its own weights; every text starts from the same ones."""
 
@@ -396,20 +536,23 @@ class Mixer:
         fine, total = np.zeros(n * 2 * BOXES, np.float32), np.zeros(2 * n)
         a = 0
         for b, (live, later) in zip(laid.ends, laid.live, strict=True):
-            v1, v2 = self.tables[0].take(laid.slot1[a:b]), self.tables[1].take(laid.slot2[a:b])
-            half = laid.owner[a:b] * 2 + laid.spelled[a:b]
-            g = half * GATES + (((v1 & 3) << 2) | (v2 & 3))
+            # all places are inside their arrays: "clip" only spares the check
+            v1, v2 = self.tables[0].take(laid.slot1[a:b], mode="clip"), self.tables[1].take(laid.slot2[a:b], mode="clip")
+            half = laid.half[a:b]
+            g = half * GATES
+            g += ((v1 & 3) << 2) | (v2 & 3)
             sign = (laid.key[a:b] & np.uint32(1)).astype(np.float32) * 2 - 1
-            xs = laid.own[a:b], (v1 >> 2) * np.float32(1 / 64), (v2 >> 2) * np.float32(1 / 64)
-            st = w[0].take(g) * xs[0]
-            st += w[1].take(g) * xs[1]
-            st += w[2].take(g) * xs[2]
+            xs = self.code.own.take(laid.path[a:b], mode="clip"), (v1 >> 2) * np.float32(1 / 64), (v2 >> 2) * np.float32(1 / 64)
+            st = w[0].take(g, mode="clip") * xs[0]
+            st += w[1].take(g, mode="clip") * xs[1]
+            st += w[2].take(g, mode="clip") * xs[2]
             np.clip(st, -9, 9, out=st)
-            box = half * BOXES + (st * 2 + 18.5).astype(np.int64)
-            st += fine.take(box)
+            box = (st * 2 + 18.5).astype(np.int64)
+            box += half * BOXES
+            st += fine.take(box, mode="clip")
             st *= sign
             odds = np.exp(-st)
-            total[: 2 * live] -= np.bincount(half, np.log1p(odds), 2 * live)
+            total[: 2 * live] -= np.bincount(half, log_more(odds), 2 * live)
             if later:
                 # the longest texts come first, so those that go on are the first ones
                 miss = odds / (1 + odds)
@@ -479,14 +622,20 @@ def scores(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
             cols: list[list] = [[] for _ in SCORED]
             for x, y in parts(raws):
                 words, hashes = hashed(raws[x:y], known)
-                for raw, h, said, written in zip(raws[x:y], hashes, *mixer.logs(lay(code.value, words, hashes)), strict=True):
-                    at, hit = code.value.find(h)
-                    own = at[hit]
-                    seen[0] += 1
-                    row = (len(h), len(raw), int((code.value.counts[own] > 0).sum()), float(log[own].sum()), said / np.log(10), -(said + written) / np.log(2), h[~hit].view(np.int64), (TaskContext.get().partitionId() << 36) + seen[0])
-                    for c, value in zip(cols, row, strict=True):
-                        c.append(value)
-            return cols
+                laid = lay(code.value, words, hashes)
+                said, written = mixer.logs(laid)
+                n, h = np.array([len(v) for v in hashes]), np.concatenate(hashes)
+                text_of, hit = np.repeat(np.arange(len(n)), n), laid.at >= 0
+                own, where = laid.at[hit], text_of[hit]
+                seen[0] += len(n)
+                row = (
+                    n, [len(v) for v in raws[x:y]], np.bincount(where[code.value.counts[own] > 0], minlength=len(n)), np.bincount(where, log[own], len(n)), said / np.log(10), -(said + written) / np.log(2),
+                    pa.ListArray.from_arrays(np.append(0, np.cumsum(n - np.bincount(where, minlength=len(n)))).astype(np.int32), h[~hit].view(np.int64)),
+                    (TaskContext.get().partitionId() << 36) + seen[0] - np.arange(len(n)),
+                )
+                for c, value in zip(cols, row, strict=True):
+                    c.append(pa.array(value) if not isinstance(value, pa.Array) else value)
+            return [pa.concat_arrays(c) for c in cols]
 
         return step
 
