@@ -197,3 +197,16 @@ def test_a_batch_of_one_file_makes_its_keys_in_several_tasks(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert {r["cand_id"]: r["entity_id"] for r in ar.candidate_owners(spark, f"{tmp_path}/out").collect()} == {i: i // 2 * 2 for i in range(40)} and min(files) > 1
+
+
+@pytest.mark.parametrize("name", ["b10_resolve_entities"])
+def test_suppliers_are_candidates(spark, tmp_path, name):
+    """Pages, customers and suppliers are all resolved, and suppliers of one name and profile are one."""
+    from tessera.plans import registry
+
+    spark.createDataFrame([(0, "https://moonstudio.com/a"), (2, "https://moonstudio.com/b")], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(4, "BUILDING")], "c_custkey long, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(0, "Sun Bakery"), (1, "Sun Bakery"), (2, "sun bakery, inc"), (3, "Building Store 4"), (4, "Building Store 4")], "s_suppkey long, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = [tuple(r) for r in registry.queries()[name](spark, str(tmp_path)).collect()]
+    # the customer and supplier 4 are of one profile
+    assert sorted(got) == [(-5, -5, False), (-4, -4, False), (-3, -3, False), (-2, -2, False), (-1, -3, False), (0, 0, False), (2, 0, False), (1000004, -5, False)]
