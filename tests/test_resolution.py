@@ -199,7 +199,7 @@ def test_a_batch_of_one_file_makes_its_keys_in_several_tasks(spark, tmp_path):
     assert {r["cand_id"]: r["entity_id"] for r in ar.candidate_owners(spark, f"{tmp_path}/out").collect()} == {i: i // 2 * 2 for i in range(40)} and min(files) > 1
 
 
-@pytest.mark.parametrize("name", ["b10_resolve_entities"])
+@pytest.mark.parametrize("name", ["b10_resolve_entities", "w02_candidate_stream"])
 def test_suppliers_are_candidates(spark, tmp_path, name):
     """Pages, customers and suppliers are all resolved, and suppliers of one name and profile are one."""
     from tessera.plans import registry
