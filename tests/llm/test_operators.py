@@ -397,6 +397,44 @@ def test_near_duplicates_repeated_ids(spark):
     assert kept.where("doc_id = 5").count() == 1
 
 
+def test_maybe_in_misses_no_key(spark, monkeypatch):
+    from tessera.llm import common
+
+    r = random.Random(3)
+    d = spark.createDataFrame([(r.getrandbits(62), i % 3) for i in range(4000)], "a long, b long")
+    d = d.unionByName(spark.createDataFrame([(None, 1)], "a long, b long"))
+    for bits in (1 << 26, 1 << 17):
+        monkeypatch.setattr(common, "BITS", bits)
+        got = common.maybe_in(d, d.where("b = 0"), ["a", "b"])
+        assert got.columns == ["a", "b", "maybe"] and got.count() == 4001 and got.where("b = 0 and not maybe").count() == 0
+        assert got.where("b > 0 and maybe").count() < 400
+    assert common.maybe_in(d, d.where("b > 5"), ["a"]).where("maybe").count() == 0
+
+
+@pytest.mark.parametrize("name", ["near_duplicates"])
+def test_near_duplicates_move_few_texts(spark, tmp_path, name):
+    """Texts without a near one aren't shuffled, and shuffle files and tables of the rounds don't stay."""
+    import glob
+    import os
+
+    from tessera.llm import neardup
+    from tessera.llm.common import shared_root
+
+    r = random.Random(6)
+    texts = [" ".join(f"{r.getrandbits(60):x}" for _ in range(1500)) for _ in range(200)]
+    d = spark.createDataFrame(list(enumerate([*texts, texts[7] + " more", texts[9]])), "doc_id long, text string")
+    d.write.parquet(f"{tmp_path}/in")
+    root = shared_root(spark).removeprefix("file://")
+    shared = lambda: set(glob.glob(f"{root}/tessera/*"))
+    shuffled = lambda: set(glob.glob(f"{spark.conf.get('spark.local.dir')}/**/shuffle_*.data", recursive=True))
+    before, tables = shuffled(), shared()
+    getattr(neardup, name)(spark.read.parquet(f"{tmp_path}/in")).write.parquet(f"{tmp_path}/out")
+    assert {x["doc_id"] for x in spark.read.parquet(f"{tmp_path}/out").collect() if x.asDict().get("kept", True)} == set(range(200))
+    left = sum(os.path.getsize(x) for x in shuffled() - before)
+    assert left < 0.1 * sum(map(len, texts)), left
+    assert not [x for x in shared() - tables if os.path.basename(x).split("-")[0] in ("texts", "compared", "classes")]
+
+
 def test_super_minhash_estimates_and_parts():
     from tessera.llm import neardup as nd
 
