@@ -411,7 +411,7 @@ def test_maybe_in_misses_no_key(spark, monkeypatch):
     assert common.maybe_in(d, d.where("b > 5"), ["a"]).where("maybe").count() == 0
 
 
-@pytest.mark.parametrize("name", ["near_duplicates"])
+@pytest.mark.parametrize("name", ["near_duplicates", "drop_near_duplicates"])
 def test_near_duplicates_move_few_texts(spark, tmp_path, name):
     """Texts without a near one aren't shuffled, and shuffle files and tables of the rounds don't stay."""
     import glob
